@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from feedlens import schema
 
-# Unicode-aware edge whitespace (Python's str.strip strips all Unicode white space,
-# Spark's trim only ASCII space).
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# White space as Python's str.strip/str.isspace define it (Spark's trim removes
+# ASCII spaces only).  Fixed value: the set of code points below.
+WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+_EDGE_WS = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 
 # Numbers as Python's float() accepts them (underscores only between digits).
 _DIGITS = r"\d(?:_?\d)*"

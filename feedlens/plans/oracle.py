@@ -120,3 +120,94 @@ FROM z GROUP BY platform""")
 sql("platform_distribution", with_posts(ORDERS_POSTS) + """
 SELECT platform, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM orders_posts), 1) AS pct
 FROM orders_posts GROUP BY platform""")
+
+
+# --- scalar rules ---------------------------------------------------------------
+# Python str.strip white space, RE2 syntax (same code points as functions.scalar.WS_CLASS).
+WS = r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def ustrip(e: str) -> str:
+    return f"regexp_replace({e}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def clean(e: str) -> str:
+    t = ustrip(f"coalesce({e}, '')")
+    t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
+    t = f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return ustrip(t)
+
+
+FLOAT_RE = r"^[+-]?(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?$"
+
+
+def safe_int(e: str) -> str:
+    s = f"replace({ustrip(f'coalesce({e}, {chr(39)}{chr(39)})')}, ',', '')"
+    return (f"coalesce(CASE WHEN regexp_full_match({s}, '{FLOAT_RE}') THEN "
+            f"TRY_CAST(trunc(TRY_CAST(replace({s}, '_', '') AS DOUBLE)) AS BIGINT) END, 0)")
+
+
+sql("clean_text", f"""
+SELECT doc_id, {clean('text')} AS text, CAST(length({clean('text')}) AS BIGINT) AS text_length
+FROM documents""")
+
+sql("safe_int", f"""
+SELECT o_orderkey, raw, {safe_int('raw')} AS value, {safe_int('o_orderstatus')} AS status_value
+FROM (SELECT o_orderkey, o_orderstatus, format('{{:,.2f}}', o_totalprice) AS raw FROM orders)""")
+
+sql("normalize_date", """
+SELECT o_orderkey, raw,
+  CASE WHEN regexp_full_match(raw, '\\d{4}-\\d{2}-\\d{2}') THEN raw
+       WHEN regexp_matches(raw, '^\\d{4}-\\d{2}-\\d{2}[T\\s]') THEN left(raw, 10)
+       WHEN regexp_full_match(raw, '(\\d{1,2})/(\\d{1,2})/(\\d{4})') THEN
+         regexp_extract(raw, '^(\\d{1,2})/(\\d{1,2})/(\\d{4})$', 3) || '-' ||
+         lpad(regexp_extract(raw, '^(\\d{1,2})/(\\d{1,2})/(\\d{4})$', 1), 2, '0') || '-' ||
+         lpad(regexp_extract(raw, '^(\\d{1,2})/(\\d{1,2})/(\\d{4})$', 2), 2, '0')
+       WHEN regexp_full_match(raw, '(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})') THEN
+         regexp_extract(raw, '^(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})$', 3) || '-' ||
+         lpad(regexp_extract(raw, '^(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})$', 2), 2, '0') || '-' ||
+         lpad(regexp_extract(raw, '^(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})$', 1), 2, '0')
+       ELSE raw END AS date
+FROM (SELECT o_orderkey,
+        CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%-m/%-d/%Y')
+                           WHEN 'O' THEN strftime(o_orderdate, '%-d.%-m.%Y')
+                           ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS raw
+      FROM orders)""")
+
+# --- merge / dedup -------------------------------------------------------------------
+DEDUP_KEY = "left(lower(" + ustrip("coalesce(text, '')") + "), 200)"
+
+CLEANED_DOCS = DOC_POSTS + f""",
+cleaned AS (
+  SELECT * REPLACE ({clean('text')} AS text) FROM doc_posts),
+flagged AS (
+  SELECT *, CAST(length(text) AS INTEGER) AS text_length2,
+         CASE WHEN length(text) < 20 THEN true WHEN content_type IS NULL THEN false
+              ELSE content_type = 'en' END AS keep_lang
+  FROM cleaned WHERE text <> '')"""
+
+sql("dedup_keep_first", with_posts(DOC_POSTS) + f"""
+SELECT platform, seq, date, engagement, content_type, text_length FROM (
+  SELECT *, row_number() OVER (PARTITION BY {DEDUP_KEY} ORDER BY platform, seq) AS rn
+  FROM doc_posts WHERE {DEDUP_KEY} <> '') WHERE rn = 1""")
+
+sql("merge_stats", with_posts(CLEANED_DOCS) + f"""
+SELECT platform, count(*) FILTER (WHERE keep_lang) AS loaded,
+  count(DISTINCT CASE WHEN keep_lang THEN {DEDUP_KEY} END) AS deduped,
+  count(*) FILTER (WHERE NOT keep_lang) AS skipped_lang
+FROM flagged GROUP BY platform""")
+
+sql("merge_posts", with_posts(CLEANED_DOCS) + f"""
+SELECT platform, seq, date, engagement, content_type, text_length2 AS text_length FROM (
+  SELECT *, row_number() OVER (PARTITION BY {DEDUP_KEY} ORDER BY platform, seq) AS rn
+  FROM flagged WHERE keep_lang) WHERE rn = 1""")
+
+sql("append_merge", with_posts(CLEANED_DOCS) + f""",
+unioned AS (
+  SELECT platform, text, seq, date, engagement, content_type, text_length, 0 AS src FROM doc_posts
+  WHERE date < '2024-01-16'
+  UNION ALL
+  SELECT platform, text, seq, date, engagement, content_type, text_length2, 1 FROM flagged WHERE keep_lang)
+SELECT platform, seq, date, engagement, content_type, text_length FROM (
+  SELECT *, row_number() OVER (PARTITION BY {DEDUP_KEY} ORDER BY src, platform, seq) AS rn
+  FROM unioned WHERE {DEDUP_KEY} <> '') WHERE rn = 1""")

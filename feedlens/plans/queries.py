@@ -76,3 +76,66 @@ def q_platform_normalized(spark, d):
 @register("platform_distribution")
 def q_platform_distribution(spark, d):
     return SM.platform_distribution(A.orders_posts(spark, d))
+
+
+# --- Phase 1: scalar rules over whole tables ----------------------------------------
+
+from feedlens.functions import scalar as S  # noqa: E402
+from feedlens.operators import merge as MG  # noqa: E402
+
+
+@register("clean_text")
+def q_clean_text(spark, d):
+    docs = A.read_table(spark, d, "documents")
+    t = S.clean_text("text")
+    return docs.select("doc_id", t.alias("text"), F.length(t).cast("bigint").alias("text_length"))
+
+
+@register("safe_int")
+def q_safe_int(spark, d):
+    o = A.read_table(spark, d, "orders")
+    raw = F.format_number("o_totalprice", 2)
+    return o.select("o_orderkey", raw.alias("raw"), S.safe_int(raw).alias("value"),
+                    S.safe_int("o_orderstatus").alias("status_value"))
+
+
+@register("normalize_date")
+def q_normalize_date(spark, d):
+    o = A.read_table(spark, d, "orders")
+    raw = (F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "M/d/yyyy"))
+            .when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "d.M.yyyy"))
+            .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
+    return o.select("o_orderkey", raw.alias("raw"), S.normalize_date(raw).alias("date"))
+
+
+# --- Phase 2: merge / dedup ---------------------------------------------------------
+
+def _cleaned_docs(spark, d):
+    p = A.doc_posts(spark, d)
+    return p.withColumn("text", S.clean_text("text")).withColumn("text_length", F.length("text"))
+
+
+@register("dedup_keep_first")
+def q_dedup(spark, d):
+    return MG.deduplicate(A.doc_posts(spark, d)).select(
+        "platform", "seq", "date", "engagement", "content_type", "text_length")
+
+
+@register("merge_stats")
+def q_merge_stats(spark, d):
+    flagged = MG.language_flags(_cleaned_docs(spark, d).where(F.col("text") != ""), "content_type")
+    return MG.merge_stats(flagged)
+
+
+@register("merge_posts")
+def q_merge_posts(spark, d):
+    merged = MG.merge_posts(_cleaned_docs(spark, d), lang_col="content_type")
+    return merged.select("platform", "seq", "date", "engagement", "content_type", "text_length")
+
+
+@register("append_merge")
+def q_append_merge(spark, d):
+    cleaned = _cleaned_docs(spark, d)
+    existing = A.doc_posts(spark, d).where(F.col("date") < "2024-01-16")
+    merged = MG.merge_posts(cleaned, lang_col="content_type", existing=existing)
+    return merged.select("platform", "seq", "date", "engagement", "content_type", "text_length")
