@@ -211,3 +211,105 @@ unioned AS (
 SELECT platform, seq, date, engagement, content_type, text_length FROM (
   SELECT *, row_number() OVER (PARTITION BY {DEDUP_KEY} ORDER BY src, platform, seq) AS rn
   FROM unioned WHERE {DEDUP_KEY} <> '') WHERE rn = 1""")
+
+
+# --- text analytics ------------------------------------------------------------------
+from feedlens import schema as _schema  # noqa: E402
+from feedlens.plans.queries import DOC_BUCKETS, DOC_KEYWORDS, DOC_PLATFORMS  # noqa: E402
+
+NONWORD = r"[^\p{L}\p{N}_]+"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+STOP_LIST = _list(sorted(set(_schema.STOPWORDS)))
+
+
+def tokens(e: str) -> str:
+    return (f"list_filter(regexp_split_to_array(lower(coalesce({e}, '')), '{NONWORD}'), "
+            f"lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({STOP_LIST}, x))")
+
+
+def re2_bucket(p: str) -> str:
+    """Python ``\\b(...)\\b`` pattern -> RE2 with explicit Unicode word boundaries."""
+    assert p.startswith(r"\b(") and p.endswith(r")\b")
+    return f"(?i)(^|{NONWORD[:-1]})" + p[2:-2] + f"($|{NONWORD[:-1]})"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'"
+                                     for x in r) + ")" for r in rows)
+
+
+KW_VALUES = _values([(i, k) for i, k in enumerate(DOC_KEYWORDS)])
+BUCKET_VALUES = _values([(i, b, re2_bucket(p)) for i, (b, p) in enumerate(DOC_BUCKETS.items())])
+
+sql("keyword_analysis", with_posts(DOC_POSTS) + f""",
+kw AS (SELECT * FROM (VALUES {KW_VALUES}) t(kw_rank, keyword)),
+runs AS (SELECT engagement, list_distinct(regexp_split_to_array(lower(text), '{NONWORD}')) AS r FROM doc_posts),
+hits AS (SELECT k.keyword, r.engagement FROM runs r JOIN kw k ON list_contains(r.r, k.keyword))
+SELECT k.keyword, count(h.keyword) AS rows,
+  round(coalesce(avg(h.engagement), 0), 6) AS avg_engagement,
+  round(coalesce(CAST(median(h.engagement) AS DOUBLE), 0), 6) AS median_engagement,
+  CAST(coalesce(sum(h.engagement), 0) AS BIGINT) AS total_engagement
+FROM kw k LEFT JOIN hits h USING (keyword) GROUP BY k.keyword""")
+
+sql("word_frequency", with_posts(DOC_POSTS) + f""",
+toks AS (SELECT unnest({tokens('text')}) AS word FROM doc_posts)
+SELECT word, count(*) AS count FROM toks GROUP BY word ORDER BY count DESC, word LIMIT 40""")
+
+_TAGGED = f""",
+b AS (SELECT * FROM (VALUES {BUCKET_VALUES}) t(bucket_rank, bucket, pat)),
+hits AS (SELECT b.bucket, p.platform, p.engagement FROM doc_posts p JOIN b ON regexp_matches(p.text, b.pat))"""
+
+sql("narrative_buckets", with_posts(DOC_POSTS) + _TAGGED + """
+SELECT b.bucket, count(h.bucket) AS rows,
+  round(coalesce(avg(h.engagement), 0), 6) AS avg_engagement,
+  round(coalesce(CAST(median(h.engagement) AS DOUBLE), 0), 6) AS median_engagement,
+  CAST(coalesce(sum(h.engagement), 0) AS BIGINT) AS total_engagement
+FROM b LEFT JOIN hits h USING (bucket) GROUP BY b.bucket""")
+
+_CROSSTAB = """,
+ct AS (
+  SELECT bucket AS narrative, platform, count(*) AS posts, round(avg(engagement), 6) AS avg_engagement,
+    round(CAST(median(engagement) AS DOUBLE), 6) AS median_engagement,
+    CAST(sum(engagement) AS BIGINT) AS total_engagement
+  FROM hits GROUP BY bucket, platform)"""
+
+sql("narrative_crosstab", with_posts(DOC_POSTS) + _TAGGED + _CROSSTAB + "\nSELECT * FROM ct")
+
+sql("narrative_pivot", with_posts(DOC_POSTS) + _TAGGED + _CROSSTAB + "\nSELECT narrative, " + ", ".join(
+    f"coalesce(max(CASE WHEN platform = '{p}' THEN avg_engagement END), 0.0) AS \"{p}\"" for p in DOC_PLATFORMS)
+    + " FROM ct GROUP BY narrative")
+
+sql("tfidf_top", with_posts(DOC_POSTS) + f""",
+docs AS (SELECT seq AS doc, text FROM doc_posts WHERE length(text) >= 20),
+nd AS (SELECT count(*) AS n FROM docs),
+toks AS (SELECT doc, unnest({tokens('text')}) AS term FROM docs),
+tf AS (SELECT doc, term, count(*) AS tf FROM toks GROUP BY doc, term),
+dfs AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
+vocab AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfs, nd
+          WHERE df >= 3 AND df <= 0.8 * n ORDER BY cf DESC, term LIMIT 200),
+w AS (SELECT doc, term, tf * idf AS w FROM tf JOIN vocab USING (term)),
+nw AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS x FROM w),
+sc AS (SELECT term, sum(x) / (SELECT n FROM nd) AS s FROM nw GROUP BY term)
+SELECT term, round(s, 6) AS tfidf_score FROM sc WHERE (SELECT n FROM nd) >= 10
+ORDER BY s DESC, term LIMIT 50""")
+
+HALVES = """,
+dated AS (SELECT * FROM {src} WHERE parsed_date IS NOT NULL),
+pos AS (SELECT *, row_number() OVER (ORDER BY parsed_date, seq) AS rn, count(*) OVER () AS n_dated FROM dated),
+h AS (SELECT *, rn > n_dated // 2 AS is_new FROM pos)"""
+
+sql("emerging_terms", with_posts(DOC_POSTS) + HALVES.format(src="doc_posts") + f""",
+toks AS (SELECT is_new, unnest({tokens('text')}) AS term FROM h),
+counts AS (SELECT term, count(*) FILTER (WHERE NOT is_new) AS old_count,
+                  count(*) FILTER (WHERE is_new) AS new_count FROM toks GROUP BY term),
+tot AS (SELECT greatest(sum(old_count), 1) AS ot, greatest(sum(new_count), 1) AS nt FROM counts),
+cand AS (SELECT * FROM counts WHERE new_count > 0 ORDER BY new_count DESC, term LIMIT 500),
+r AS (SELECT term, old_count, new_count, (new_count / nt) AS nr, (old_count / ot) AS orate FROM cand, tot)
+SELECT term, old_count, new_count, round(nr / greatest(orate, 1e-9), 6) AS growth FROM r
+WHERE new_count >= 5 AND (orate = 0 OR nr / orate >= 1.5) AND (SELECT count(*) FROM dated) >= 40
+ORDER BY growth DESC, new_count DESC, term LIMIT 30""")

@@ -139,3 +139,56 @@ def q_append_merge(spark, d):
     existing = A.doc_posts(spark, d).where(F.col("date") < "2024-01-16")
     merged = MG.merge_posts(cleaned, lang_col="content_type", existing=existing)
     return merged.select("platform", "seq", "date", "engagement", "content_type", "text_length")
+
+
+# --- Phase 4: text analytics ---------------------------------------------------------
+
+from feedlens.operators import text as TXT  # noqa: E402
+
+# Keyword and bucket tables for the test corpus (the default social keywords do
+# not occur in ``documents``); one keyword and one bucket have no hits on purpose.
+DOC_KEYWORDS = ["the", "that", "with", "this", "from", "rewh", "orre", "der", "que", "tion", "chatgpt", "code"]
+DOC_BUCKETS = {
+    "articles": r"\b(the|der|die|les)\b",
+    "linking": r"\b(that|with|from)\b",
+    "made_up": r"\b(rewh|orre|thatin)\b",
+    "phrases": r"\b(of the|in the|with .* from)\b",
+    "unused": r"\b(chatgpt|gpt)\b",
+}
+DOC_PLATFORMS = ["click", "error", "purchase", "signup", "view"]
+
+
+@register("keyword_analysis")
+def q_keyword_analysis(spark, d):
+    return rounded(TXT.keyword_analysis(A.doc_posts(spark, d), DOC_KEYWORDS))
+
+
+@register("word_frequency")
+def q_word_frequency(spark, d):
+    return TXT.word_frequency(A.doc_posts(spark, d))
+
+
+@register("narrative_buckets")
+def q_narrative_buckets(spark, d):
+    return rounded(TXT.narrative_buckets(A.doc_posts(spark, d), DOC_BUCKETS))
+
+
+@register("narrative_crosstab")
+def q_narrative_crosstab(spark, d):
+    return TXT.narrative_crosstab(A.doc_posts(spark, d), DOC_BUCKETS, digits=6)
+
+
+@register("narrative_pivot")
+def q_narrative_pivot(spark, d):
+    ct = TXT.narrative_crosstab(A.doc_posts(spark, d), DOC_BUCKETS, digits=6)
+    return TXT.narrative_pivot(ct, DOC_PLATFORMS)
+
+
+@register("tfidf_top")
+def q_tfidf_top(spark, d):
+    return TXT.tfidf_top_terms(A.doc_posts(spark, d), digits=6)
+
+
+@register("emerging_terms")
+def q_emerging_terms(spark, d):
+    return TXT.emerging_terms(A.doc_posts(spark, d), digits=6)
