@@ -313,3 +313,116 @@ r AS (SELECT term, old_count, new_count, (new_count / nt) AS nr, (old_count / ot
 SELECT term, old_count, new_count, round(nr / greatest(orate, 1e-9), 6) AS growth FROM r
 WHERE new_count >= 5 AND (orate = 0 OR nr / orate >= 1.5) AND (SELECT count(*) FROM dated) >= 40
 ORDER BY growth DESC, new_count DESC, term LIMIT 30""")
+
+
+# --- series and alerts ---------------------------------------------------------------
+from feedlens.plans.queries import ORDER_KEYWORDS  # noqa: E402
+
+sql("weekly_trend", with_posts(ORDERS_POSTS) + """,
+w AS (SELECT strftime(date_trunc('week', parsed_date), '%Y-%m-%d') AS week, count(*) AS mentions,
+        CAST(sum(engagement) AS BIGINT) AS total_engagement, avg(engagement) AS avg_engagement
+      FROM orders_posts WHERE parsed_date IS NOT NULL GROUP BY 1),
+x AS (SELECT *, CAST(row_number() OVER (ORDER BY week) - 1 AS DOUBLE) AS x, count(*) OVER () AS n FROM w)
+SELECT week, mentions, total_engagement, round(avg_engagement, 6) AS avg_engagement,
+  round(CASE WHEN n >= 3 THEN regr_intercept(mentions, x) OVER () + regr_slope(mentions, x) OVER () * x
+             ELSE mentions END, 3) AS mentions_trend,
+  round(CASE WHEN n >= 3 THEN regr_intercept(total_engagement, x) OVER () + regr_slope(total_engagement, x) OVER () * x
+             ELSE total_engagement END, 3) AS engagement_trend
+FROM x""")
+
+sql("weekly_by_platform", with_posts(ORDERS_POSTS) + """
+SELECT strftime(date_trunc('week', parsed_date), '%Y-%m-%d') AS week, platform, count(*) AS mentions
+FROM orders_posts WHERE parsed_date IS NOT NULL GROUP BY 1, 2""")
+
+_DAILY = """,
+daily AS (SELECT CAST(parsed_date AS DATE) AS day, count(*) AS rows, CAST(sum(engagement) AS BIGINT) AS eng
+          FROM {src} WHERE parsed_date IS NOT NULL GROUP BY 1),
+b AS (SELECT *, row_number() OVER w AS pos,
+        avg({v}) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS m,
+        stddev_samp({v}) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS s,
+        lag({v}) OVER w AS prev
+      FROM daily WINDOW w AS (ORDER BY day))"""
+
+E1_SQL = _DAILY.format(src="orders_posts", v="eng") + """,
+e1 AS (SELECT * FROM b WHERE pos > 7 AND s > 0 AND eng > m + 3 * s AND eng > 500 AND prev > 0 AND eng / prev >= 3.0
+       ORDER BY eng DESC, day LIMIT 15)
+SELECT 'engagement_spike' AS type, 'high' AS severity, strftime(day, '%Y-%m-%d') AS date,
+  printf('Engagement spiked %.1fx on %s (%d -> %d, 7d avg: %d)', eng / prev, strftime(day, '%Y-%m-%d'),
+         prev, eng, CAST(trunc(m) AS BIGINT)) AS message,
+  eng AS value, prev AS previous, CAST(NULL AS VARCHAR) AS keyword, CAST(NULL AS VARCHAR) AS platform,
+  CAST(NULL AS BIGINT) AS engagement, row_number() OVER (ORDER BY eng DESC, day) AS alert_pos
+FROM e1"""
+
+E2_SQL = _DAILY.format(src="orders_posts", v="rows") + """,
+e2 AS (SELECT * FROM b WHERE pos > 7 AND s > 0 AND rows > m + 2.5 * s AND rows >= 5 AND prev > 0
+       ORDER BY rows DESC, day LIMIT 10)
+SELECT 'mention_spike' AS type, 'medium' AS severity, strftime(day, '%Y-%m-%d') AS date,
+  printf('Mentions jumped %.1fx on %s (%d -> %d posts, 7d avg: %.0f)', rows / prev, strftime(day, '%Y-%m-%d'),
+         prev, rows, m) AS message,
+  rows AS value, prev AS previous, CAST(NULL AS VARCHAR) AS keyword, CAST(NULL AS VARCHAR) AS platform,
+  CAST(NULL AS BIGINT) AS engagement, row_number() OVER (ORDER BY rows DESC, day) AS alert_pos
+FROM e2"""
+
+sql("daily_spikes_engagement", with_posts(ORDERS_POSTS) + E1_SQL)
+sql("daily_spikes_mentions", with_posts(ORDERS_POSTS) + E2_SQL)
+
+
+def viral_sql(src: str, mult: float) -> str:
+    return f""",
+med AS (SELECT platform, CAST(median(engagement) AS DOUBLE) AS med FROM {src} GROUP BY platform),
+v AS (SELECT p.platform, p.engagement, p.text, p.seq, med.med FROM {src} p LEFT JOIN med USING (platform)
+      WHERE med.med > 0 AND p.engagement > med.med * {mult}
+      ORDER BY p.engagement DESC, p.seq, p.platform LIMIT 5)
+SELECT 'viral_post' AS type, 'info' AS severity, CAST(NULL AS VARCHAR) AS date,
+  'Viral post on ' || platform || ': ' || CAST(engagement AS VARCHAR) || ' engagement (median '
+    || CAST(CAST(trunc(med) AS BIGINT) AS VARCHAR) || ') — ' || left(coalesce(text, ''), 60) || '...' AS message,
+  CAST(NULL AS BIGINT) AS value, CAST(NULL AS BIGINT) AS previous, CAST(NULL AS VARCHAR) AS keyword,
+  platform, engagement, row_number() OVER (ORDER BY engagement DESC, seq, platform) AS alert_pos
+FROM v"""
+
+
+sql("viral_posts", with_posts(EVENTS_POSTS) + viral_sql("events_posts", 5))
+
+
+def keyword_trends_sql(src: str, kws) -> str:
+    vals = _values([(i, k) for i, k in enumerate(kws)])
+    return HALVES.format(src=src) + f""",
+kw AS (SELECT * FROM (VALUES {vals}) t(kw_rank, keyword)),
+sizes AS (SELECT greatest(count(*) FILTER (WHERE NOT is_new), 1) AS n_old,
+                 greatest(count(*) FILTER (WHERE is_new), 1) AS n_new, count(*) AS n_all FROM h),
+runs AS (SELECT is_new, list_distinct(regexp_split_to_array(lower(text), '{NONWORD}')) AS r FROM h),
+cnt AS (SELECT k.kw_rank, k.keyword,
+          count(r.r) FILTER (WHERE NOT r.is_new) AS old_count,
+          count(r.r) FILTER (WHERE r.is_new) AS new_count
+        FROM kw k LEFT JOIN runs r ON list_contains(r.r, k.keyword) GROUP BY k.kw_rank, k.keyword),
+c AS (SELECT cnt.*, old_count / n_old AS orate, new_count / n_new AS nrate FROM cnt, sizes WHERE n_all >= 20)
+SELECT 'keyword_trending' AS type, 'medium' AS severity, CAST(NULL AS VARCHAR) AS date,
+  printf('Keyword "%s" trending up — %.1fx more frequent in recent data (%d -> %d)', keyword, nrate / orate,
+         old_count, new_count) AS message,
+  CAST(NULL AS BIGINT) AS value, CAST(NULL AS BIGINT) AS previous, keyword, CAST(NULL AS VARCHAR) AS platform,
+  CAST(NULL AS BIGINT) AS engagement, CAST(kw_rank * 2 + 1 AS BIGINT) AS alert_pos
+FROM c WHERE orate > 0 AND nrate / orate >= 2.0
+UNION ALL
+SELECT 'keyword_new', 'low', NULL,
+  printf('New keyword detected: "%s" appeared %d times in recent data', keyword, new_count),
+  NULL, NULL, keyword, NULL, NULL, CAST(kw_rank * 2 + 2 AS BIGINT)
+FROM c WHERE old_count = 0 AND new_count >= 5"""
+
+
+sql("keyword_trends", with_posts(DOC_POSTS) + keyword_trends_sql("doc_posts", DOC_KEYWORDS))
+
+
+_parts = [with_posts(ORDERS_POSTS) + E1_SQL, with_posts(ORDERS_POSTS) + E2_SQL,
+          with_posts(ORDERS_POSTS) + keyword_trends_sql("orders_posts", ORDER_KEYWORDS),
+          with_posts(ORDERS_POSTS) + viral_sql("orders_posts", 3)]
+ALERTS_ALL = "\nUNION ALL\n".join(
+    f"SELECT *, {i} AS type_rank, alert_pos AS _pos FROM ({p})" for i, p in enumerate(_parts))
+ALERTS_ALL = f"""
+SELECT * EXCLUDE (type_rank, _pos, alert_pos), row_number() OVER (ORDER BY type_rank, _pos) AS alert_order FROM (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY message ORDER BY type_rank, _pos) AS rn FROM ({ALERTS_ALL}))
+  WHERE rn = 1)"""
+sql("alerts_all", ALERTS_ALL)
+sql("alert_severity_counts", f"""
+SELECT count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
+  count(*) FILTER (WHERE severity IN ('info', 'low')) AS info, count(*) AS total FROM ({ALERTS_ALL})""")

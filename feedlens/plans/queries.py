@@ -192,3 +192,58 @@ def q_tfidf_top(spark, d):
 @register("emerging_terms")
 def q_emerging_terms(spark, d):
     return TXT.emerging_terms(A.doc_posts(spark, d), digits=6)
+
+
+# --- Phase 5: series and alerts -------------------------------------------------------
+
+from feedlens.operators import alerts as AL  # noqa: E402
+from feedlens.operators import series as SR  # noqa: E402
+
+ORDER_KEYWORDS = ["urgent", "high", "medium", "low", "specified", "order"]
+
+
+@register("weekly_trend")
+def q_weekly_trend(spark, d):
+    # Trend values reach 1e9 here: compare them to 3 dp (float sums differ by engine).
+    w = SR.weekly_timeseries(A.orders_posts(spark, d))
+    return rounded(w.withColumn("mentions_trend", F.round("mentions_trend", 3))
+                    .withColumn("engagement_trend", F.round("engagement_trend", 3)))
+
+
+@register("weekly_by_platform")
+def q_weekly_by_platform(spark, d):
+    return SR.weekly_by_platform(A.orders_posts(spark, d))
+
+
+@register("daily_spikes_engagement")
+def q_spikes_engagement(spark, d):
+    return AL.engagement_spikes(A.orders_posts(spark, d))
+
+
+@register("daily_spikes_mentions")
+def q_spikes_mentions(spark, d):
+    return AL.mention_spikes(A.orders_posts(spark, d))
+
+
+@register("viral_posts")
+def q_viral(spark, d):
+    return AL.viral_posts(A.events_posts(spark, d), multiplier=5)
+
+
+@register("keyword_trends")
+def q_keyword_trends(spark, d):
+    return AL.keyword_trends(A.doc_posts(spark, d), DOC_KEYWORDS)
+
+
+def _all_alerts(spark, d):
+    return AL.run_alerts(A.orders_posts(spark, d), ORDER_KEYWORDS, viral_multiplier=3)
+
+
+@register("alerts_all")
+def q_alerts_all(spark, d):
+    return _all_alerts(spark, d)
+
+
+@register("alert_severity_counts")
+def q_alert_severity_counts(spark, d):
+    return AL.severity_counts(_all_alerts(spark, d))
