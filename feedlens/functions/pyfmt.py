@@ -11,10 +11,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _make(digits: int):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def fmt(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None or pd.isna(v) else f"{float(v):.{digits}f}")
     return fmt

@@ -426,3 +426,50 @@ sql("alerts_all", ALERTS_ALL)
 sql("alert_severity_counts", f"""
 SELECT count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
   count(*) FILTER (WHERE severity IN ('info', 'low')) AS info, count(*) AS total FROM ({ALERTS_ALL})""")
+
+
+# --- statistics (statistics only; p-values need special functions -> rows-only) --------
+
+def _avg_rank(v: str) -> str:
+    return f"(rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0)"
+
+
+sql("kruskal_stat", with_posts(ORDERS_POSTS) + f""",
+g AS (SELECT platform FROM orders_posts GROUP BY platform HAVING count(*) >= 5),
+x AS (SELECT p.platform, p.engagement FROM orders_posts p JOIN g USING (platform)),
+r AS (SELECT platform, {_avg_rank('engagement')} AS rk FROM x),
+rs AS (SELECT platform, sum(rk) AS r_g, count(*) AS n_g FROM r GROUP BY platform),
+tie AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS t, CAST(sum(c) AS BIGINT) AS n
+        FROM (SELECT count(*) AS c FROM x GROUP BY engagement))
+SELECT round((12.0 / (n * (n + 1.0)) * sum(r_g * r_g / n_g) - 3.0 * (n + 1)) / (1.0 - t / (CAST(n AS DOUBLE) ^ 3 - n)), 6)
+         AS statistic, count(*) - 1 AS dof, n, count(*) AS k
+FROM rs, tie GROUP BY n, t HAVING count(*) >= 2""")
+
+sql("chi2_stat", with_posts(ORDERS_POSTS) + """,
+obs AS (SELECT platform, content_type, count(*) AS o FROM orders_posts GROUP BY platform, content_type),
+rt AS (SELECT platform, sum(o) AS r FROM obs GROUP BY platform),
+ct AS (SELECT content_type, sum(o) AS c FROM obs GROUP BY content_type),
+nn AS (SELECT CAST(sum(o) AS BIGINT) AS n, ((SELECT count(*) FROM rt) - 1) * ((SELECT count(*) FROM ct) - 1) AS dof,
+              (SELECT count(*) FROM rt) AS rk, (SELECT count(*) FROM ct) AS ck FROM obs),
+cells AS (SELECT coalesce(obs.o, 0) AS o, rt.r * ct.c / nn.n AS e, nn.dof
+          FROM rt CROSS JOIN ct CROSS JOIN nn LEFT JOIN obs USING (platform, content_type))
+SELECT round(sum(power(CASE WHEN cells.dof = 1 THEN abs(e - o) - least(0.5, abs(e - o)) ELSE abs(e - o) END, 2) / e), 6)
+         AS statistic, nn.dof, nn.n
+FROM cells, nn WHERE nn.rk >= 2 AND nn.ck >= 2 GROUP BY nn.dof, nn.n""")
+
+sql("mannwhitney_stat", with_posts(EVENTS_POSTS) + f""",
+x AS (SELECT coalesce(content_type IN ('video', 'reel', 'carousel_album'), false) AS vis, engagement AS v
+      FROM events_posts),
+r AS (SELECT vis, {_avg_rank('v')} AS rk FROM x),
+a AS (SELECT sum(rk) FILTER (WHERE vis) AS r1, count(*) FILTER (WHERE vis) AS n1,
+             count(*) FILTER (WHERE NOT vis) AS n2 FROM r),
+t AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS t FROM (SELECT count(*) AS c FROM x GROUP BY v)),
+u AS (SELECT r1 - n1 * (n1 + 1) / 2.0 AS u1, n1, n2, n1 + n2 AS n, t FROM a, t)
+SELECT round(u1, 6) AS statistic,
+  round((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - t / (n * (n - 1.0)))), 6) AS z,
+  n1, n2
+FROM u WHERE n1 >= 5 AND n2 >= 5""")
+
+sql("spearman_stat", with_posts(DOC_POSTS) + f""",
+r AS (SELECT {_avg_rank('text_length')} AS rx, {_avg_rank('engagement')} AS ry FROM doc_posts)
+SELECT round(corr(rx, ry), 6) AS statistic, count(*) AS n FROM r HAVING count(*) >= 20""")

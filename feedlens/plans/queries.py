@@ -247,3 +247,48 @@ def q_alerts_all(spark, d):
 @register("alert_severity_counts")
 def q_alert_severity_counts(spark, d):
     return AL.severity_counts(_all_alerts(spark, d))
+
+
+# --- Phase 6: statistics --------------------------------------------------------------
+
+from feedlens.operators import stats as ST  # noqa: E402
+
+
+@register("kruskal_stat")
+def q_kruskal_stat(spark, d):
+    return rounded(ST.kruskal_stat(A.orders_posts(spark, d)))
+
+
+@register("kruskal")
+def q_kruskal(spark, d):
+    return ST.kruskal(A.orders_posts(spark, d))
+
+
+@register("chi2_stat")
+def q_chi2_stat(spark, d):
+    return rounded(ST.chi2_stat(A.orders_posts(spark, d), "platform", "content_type"))
+
+
+@register("chi2")
+def q_chi2(spark, d):
+    return ST.chi2(A.orders_posts(spark, d), "platform", "content_type")
+
+
+@register("mannwhitney_stat")
+def q_mannwhitney_stat(spark, d):
+    return rounded(ST.mannwhitney_stat(A.events_posts(spark, d)))
+
+
+@register("mannwhitney")
+def q_mannwhitney(spark, d):
+    return ST.mannwhitney(A.events_posts(spark, d))
+
+
+@register("spearman_stat")
+def q_spearman_stat(spark, d):
+    return rounded(ST.spearman_stat(A.doc_posts(spark, d)))
+
+
+@register("spearman")
+def q_spearman(spark, d):
+    return ST.spearman(A.doc_posts(spark, d))
