@@ -473,3 +473,102 @@ FROM u WHERE n1 >= 5 AND n2 >= 5""")
 sql("spearman_stat", with_posts(DOC_POSTS) + f""",
 r AS (SELECT {_avg_rank('text_length')} AS rx, {_avg_rank('engagement')} AS ry FROM doc_posts)
 SELECT round(corr(rx, ry), 6) AS statistic, count(*) AS n FROM r HAVING count(*) >= 20""")
+
+
+# --- sentiment (relational form: tokens with positions, self-joined to predecessors) ------
+from feedlens.functions.scalar import WS_CLASS  # noqa: E402
+from feedlens.operators import sentiment as _SE  # noqa: E402
+from feedlens.plans.queries import DOC_BOOSTERS, DOC_LEXICON, DOC_NEGATIONS  # noqa: E402
+
+_P = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in _SE.PUNCT) + "]"
+_P = _P.replace("'", "''")
+
+
+def sentiment_sql(src: str) -> str:
+    lex = _values(sorted(DOC_LEXICON.items()))
+    boo = _values(sorted(DOC_BOOSTERS.items()))
+    neg = _list(DOC_NEGATIONS)
+    ci = _SE.C_INCR
+
+    def step(k: int, prev: str, cur: str, damp: float) -> str:
+        return f"""
+s{k} AS (
+  SELECT s.*, CASE WHEN p.seq IS NOT NULL AND p.v IS NULL THEN
+      (CASE WHEN p.neg THEN -0.74 ELSE 1.0 END) *
+      ({prev} + {damp} * (CASE WHEN coalesce(p.bd, 0) = 0 THEN 0.0 ELSE
+         (CASE WHEN {prev} < 0 THEN -p.bd ELSE p.bd END)
+         + (CASE WHEN p.isup AND s.capdiff THEN (CASE WHEN {prev} > 0 THEN {ci} ELSE -{ci} END) ELSE 0.0 END) END))
+    ELSE {prev} END AS {cur}
+  FROM s{k - 1} s LEFT JOIN t p ON p.seq = s.seq AND p.pos = s.pos - {k})"""
+
+    return f""",
+src AS (SELECT seq, platform, parsed_date, coalesce(text, '') AS text FROM {src}),
+arr AS (SELECT seq, list_filter(regexp_split_to_array(text, '{WS_CLASS}+'), lambda x: x <> '') AS a FROM src),
+r0 AS (SELECT seq, unnest(a) AS tok, generate_subscripts(a, 1) AS pos FROM arr),
+r1 AS (SELECT seq, pos, CASE WHEN length(regexp_replace(tok, '^{_P}+|{_P}+$', '', 'g')) <= 2 THEN tok
+                        ELSE regexp_replace(tok, '^{_P}+|{_P}+$', '', 'g') END AS w FROM r0),
+lex AS (SELECT * FROM (VALUES {lex}) x(token, valence)),
+boo AS (SELECT * FROM (VALUES {boo}) x(token, delta)),
+t AS (SELECT r1.seq, r1.pos, lower(w) AS wl, (upper(w) = w AND lower(w) <> w) AS isup,
+             lex.valence AS v, boo.delta AS bd,
+             (list_contains({neg}, lower(w)) OR contains(lower(w), 'n''t')) AS neg
+      FROM r1 LEFT JOIN lex ON lex.token = lower(w) LEFT JOIN boo ON boo.token = lower(w)),
+pp AS (SELECT seq, count(*) FILTER (WHERE isup) AS caps, count(*) AS n,
+              min(pos) FILTER (WHERE wl = 'but') AS but_pos FROM t GROUP BY seq),
+s0 AS (SELECT t.*, (pp.caps > 0 AND pp.caps < pp.n) AS capdiff, pp.but_pos,
+              t.v + CASE WHEN (pp.caps > 0 AND pp.caps < pp.n) AND t.isup
+                         THEN (CASE WHEN t.v > 0 THEN {ci} ELSE -{ci} END) ELSE 0.0 END AS a0
+       FROM t JOIN pp USING (seq)),
+{step(1, 'a0', 'a1', 1.0)},
+{step(2, 'a1', 'a2', 0.95)},
+{step(3, 'a2', 'a3', 0.9)},
+tokv AS (SELECT seq, CASE WHEN (bd IS NOT NULL AND bd <> 0) OR v IS NULL THEN 0.0 ELSE a3 END
+                     * CASE WHEN but_pos IS NULL THEN 1.0 WHEN pos < but_pos THEN 0.5
+                            WHEN pos > but_pos THEN 1.5 ELSE 1.0 END AS sv FROM s3),
+tot AS (SELECT seq, sum(sv) AS total FROM tokv GROUP BY seq),
+amp AS (SELECT seq, text, least(length(text) - length(replace(text, '!', '')), 4) * 0.292
+          + CASE WHEN length(text) - length(replace(text, '?', '')) > 1 THEN
+              (CASE WHEN length(text) - length(replace(text, '?', '')) <= 3
+                    THEN (length(text) - length(replace(text, '?', ''))) * 0.18 ELSE 0.96 END) ELSE 0.0 END AS amp
+        FROM src),
+adj AS (SELECT amp.seq, amp.text, CASE WHEN coalesce(total, 0) > 0 THEN total + amp
+                                      WHEN coalesce(total, 0) < 0 THEN total - amp ELSE 0.0 END AS s
+        FROM amp LEFT JOIN tot USING (seq)),
+scored AS (
+  SELECT s2.*, CASE WHEN sentiment_score >= 0.05 THEN 'positive' WHEN sentiment_score <= -0.05 THEN 'negative'
+                    ELSE 'neutral' END AS sentiment_label
+  FROM (SELECT src.seq, src.platform, src.parsed_date,
+          CASE WHEN length({ustrip('src.text')}) < 5 THEN 0.0
+               ELSE round(greatest(-1.0, least(1.0, adj.s / sqrt(adj.s * adj.s + 15.0))), 4) END AS sentiment_score
+        FROM src JOIN adj USING (seq)) s2)"""
+
+
+SENT = with_posts(DOC_POSTS) + sentiment_sql("doc_posts")
+
+sql("lexicon_sentiment", SENT + "\nSELECT seq, sentiment_score, sentiment_label FROM scored")
+
+_BY_PLATFORM = """,
+bp AS (SELECT platform, avg(sentiment_score) AS avg_sentiment,
+  avg(CASE WHEN sentiment_label = 'positive' THEN 100.0 ELSE 0.0 END) AS positive_pct,
+  avg(CASE WHEN sentiment_label = 'negative' THEN 100.0 ELSE 0.0 END) AS negative_pct,
+  avg(CASE WHEN sentiment_label = 'neutral' THEN 100.0 ELSE 0.0 END) AS neutral_pct,
+  count(sentiment_score) AS count FROM scored GROUP BY platform)"""
+
+sql("sentiment_by_platform", SENT + _BY_PLATFORM + """
+SELECT platform, round(avg_sentiment, 6) AS avg_sentiment, round(positive_pct, 6) AS positive_pct,
+  round(negative_pct, 6) AS negative_pct, round(neutral_pct, 6) AS neutral_pct, count FROM bp""")
+
+sql("sentiment_weekly", SENT + """
+SELECT strftime(date_trunc('week', parsed_date), '%Y-%m-%d') AS week, round(avg(sentiment_score), 6) AS avg_sentiment,
+  count(*) FILTER (WHERE sentiment_label = 'positive') AS positive_count,
+  count(*) FILTER (WHERE sentiment_label = 'negative') AS negative_count,
+  count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral_count, count(sentiment_score) AS total
+FROM scored WHERE parsed_date IS NOT NULL GROUP BY 1""")
+
+sql("sentiment_totals", SENT + "\nSELECT sentiment_label, count(*) AS count FROM scored GROUP BY 1")
+
+sql("sentiment_melt", SENT + _BY_PLATFORM + """
+SELECT platform, sentiment, round(pct, 6) AS pct FROM (
+  SELECT platform, 'positive' AS sentiment, positive_pct AS pct FROM bp
+  UNION ALL SELECT platform, 'negative', negative_pct FROM bp
+  UNION ALL SELECT platform, 'neutral', neutral_pct FROM bp)""")

@@ -292,3 +292,49 @@ def q_spearman_stat(spark, d):
 @register("spearman")
 def q_spearman(spark, d):
     return ST.spearman(A.doc_posts(spark, d))
+
+
+# --- Phase 7: sentiment ---------------------------------------------------------------
+
+from feedlens.operators import sentiment as SE  # noqa: E402
+
+# A made-up lexicon over words that occur in the test corpus (the default English
+# lexicon has no hits in ``documents``), plus two boosters and two negations.
+DOC_LEXICON = {"the": 0.6, "and": 1.1, "that": -0.9, "was": -1.4, "with": 0.8, "this": -0.5,
+               "from": 1.7, "are": -2.2, "der": 0.4, "que": -0.7, "des": 1.3, "les": -1.0}
+DOC_BOOSTERS = {"for": SE.B_INCR, "und": SE.B_DECR}
+DOC_NEGATIONS = ["not", "nicht", "pas", "never"]
+
+
+def _scored_docs(spark, d):
+    return SE.lexicon_sentiment(A.doc_posts(spark, d), DOC_LEXICON, DOC_BOOSTERS, DOC_NEGATIONS)
+
+
+@register("lexicon_sentiment")
+def q_lexicon_sentiment(spark, d):
+    return _scored_docs(spark, d).select("seq", "sentiment_score", "sentiment_label")
+
+
+@register("sentiment_by_platform")
+def q_sentiment_by_platform(spark, d):
+    return rounded(SE.sentiment_by_platform(_scored_docs(spark, d), digits=6))
+
+
+@register("sentiment_weekly")
+def q_sentiment_weekly(spark, d):
+    return rounded(SE.sentiment_over_time(_scored_docs(spark, d)))
+
+
+@register("sentiment_totals")
+def q_sentiment_totals(spark, d):
+    return SE.sentiment_totals(_scored_docs(spark, d))
+
+
+@register("sentiment_melt")
+def q_sentiment_melt(spark, d):
+    return rounded(SE.sentiment_melt(SE.sentiment_by_platform(_scored_docs(spark, d), digits=6)))
+
+
+@register("chi2_sentiment")
+def q_chi2_sentiment(spark, d):
+    return ST.chi2(_scored_docs(spark, d))
