@@ -572,3 +572,35 @@ SELECT platform, sentiment, round(pct, 6) AS pct FROM (
   SELECT platform, 'positive' AS sentiment, positive_pct AS pct FROM bp
   UNION ALL SELECT platform, 'negative', negative_pct FROM bp
   UNION ALL SELECT platform, 'neutral', neutral_pct FROM bp)""")
+
+
+# --- language identification ----------------------------------------------------------
+_NORM = ("' ' || regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g'), "
+         "'^ +| +$', '', 'g') || ' '")
+LANG_GRAMS = f"""
+WITH nt AS (SELECT doc_id, lang, {_NORM} AS t FROM documents),
+grams AS (SELECT doc_id, lang, substring(t, i, 3) AS gram
+          FROM nt, LATERAL (SELECT unnest(range(1, length(t) - 1)) AS i)
+          WHERE substring(t, i, 3) <> '   '),
+prof AS (SELECT lang, gram, count(*) AS count FROM grams WHERE lang IS NOT NULL GROUP BY lang, gram)"""
+
+sql("lang_profile", LANG_GRAMS + "\nSELECT * FROM prof")
+
+LANG_PRED = LANG_GRAMS + """,
+vocab AS (SELECT count(DISTINCT gram) AS v FROM prof),
+nd_docs AS (SELECT lang, count(*) AS d FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+cls AS (SELECT p.lang, ln(nd_docs.d / (SELECT sum(d) FROM nd_docs)) AS prior, -ln(sum(p.count) + v) AS unseen
+        FROM prof p JOIN nd_docs USING (lang), vocab GROUP BY p.lang, nd_docs.d, v),
+dg AS (SELECT doc_id, gram, count(*) AS cnt FROM grams GROUP BY doc_id, gram),
+nd AS (SELECT doc_id, sum(cnt) AS n FROM dg GROUP BY doc_id),
+sc AS (SELECT dg.doc_id, p.lang, sum(dg.cnt * ln(1 + p.count)) AS s FROM dg JOIN prof p USING (gram)
+       GROUP BY dg.doc_id, p.lang),
+allc AS (SELECT nd.doc_id, cls.lang, coalesce(sc.s, 0) + nd.n * cls.unseen + cls.prior AS score
+         FROM nd CROSS JOIN cls LEFT JOIN sc ON sc.doc_id = nd.doc_id AND sc.lang = cls.lang),
+best AS (SELECT doc_id, arg_max(lang, score) AS lang FROM allc GROUP BY doc_id),
+pred AS (SELECT d.doc_id, d.lang AS true_lang, best.lang FROM documents d LEFT JOIN best USING (doc_id))"""
+
+sql("lang_predict", LANG_PRED + "\nSELECT doc_id, lang FROM pred")
+sql("lang_accuracy", LANG_PRED + """
+SELECT true_lang, count(*) AS docs, count(*) FILTER (WHERE true_lang = lang) AS correct,
+  round(count(*) FILTER (WHERE true_lang = lang) / count(*), 6) AS accuracy FROM pred GROUP BY true_lang""")

@@ -338,3 +338,33 @@ def q_sentiment_melt(spark, d):
 @register("chi2_sentiment")
 def q_chi2_sentiment(spark, d):
     return ST.chi2(_scored_docs(spark, d))
+
+
+# --- Phase 7b: language identification ---------------------------------------------
+
+from feedlens.operators import langid as LI  # noqa: E402
+
+
+def _docs(spark, d):
+    return A.read_table(spark, d, "documents")
+
+
+@register("lang_profile")
+def q_lang_profile(spark, d):
+    return LI.train_profile(_docs(spark, d))
+
+
+def _lang_predicted(spark, d):
+    docs = _docs(spark, d)
+    return LI.detect(docs.select("doc_id", "text", "lang").withColumnRenamed("lang", "true_lang"),
+                     LI.fit(docs), id_col="doc_id", out_col="lang")
+
+
+@register("lang_predict")
+def q_lang_predict(spark, d):
+    return _lang_predicted(spark, d).select("doc_id", "lang")
+
+
+@register("lang_accuracy")
+def q_lang_accuracy(spark, d):
+    return rounded(LI.accuracy(_lang_predicted(spark, d), truth_col="true_lang", pred_col="lang"))
