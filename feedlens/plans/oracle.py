@@ -604,3 +604,42 @@ sql("lang_predict", LANG_PRED + "\nSELECT doc_id, lang FROM pred")
 sql("lang_accuracy", LANG_PRED + """
 SELECT true_lang, count(*) AS docs, count(*) FILTER (WHERE true_lang = lang) AS correct,
   round(count(*) FILTER (WHERE true_lang = lang) / count(*), 6) AS accuracy FROM pred GROUP BY true_lang""")
+
+
+# --- data quality --------------------------------------------------------------------
+_FIXED = with_posts(ORDERS_POSTS) + """,
+fixed AS (
+  SELECT * REPLACE (CASE WHEN engagement < 0 THEN greatest(likes, 0) ELSE likes END AS likes,
+                    CASE WHEN engagement < 0 THEN 0 ELSE engagement END AS engagement,
+                    CASE WHEN parsed_date IS NOT NULL AND CAST(parsed_date AS DATE) > DATE '2000-01-01'
+                         THEN '' ELSE date END AS date,
+                    CASE WHEN parsed_date IS NOT NULL AND CAST(parsed_date AS DATE) > DATE '2000-01-01'
+                         THEN NULL ELSE parsed_date END AS parsed_date),
+         engagement < 0 AS neg_fixed,
+         parsed_date IS NOT NULL AND CAST(parsed_date AS DATE) > DATE '2000-01-01' AS future_cleared
+  FROM orders_posts),
+m AS (
+  SELECT count(*) AS rows_before, count(*) FILTER (WHERE neg_fixed) AS negative_engagement_fixed,
+    count(*) FILTER (WHERE future_cleared) AS future_dates_cleared,
+    count(*) FILTER (WHERE trim(coalesce(url, '')) <> '') AS urls_present,
+    count(*) FILTER (WHERE trim(coalesce(url, '')) = '') AS urls_missing,
+    round_even(count(*) FILTER (WHERE trim(coalesce(url, '')) <> '') / greatest(count(*), 1) * 100, 1) AS url_coverage_pct,
+    count(parsed_date) AS rows_with_date,
+    round_even(count(parsed_date) / greatest(count(*), 1) * 100, 1) AS date_coverage_pct,
+    count(*) AS rows_after
+  FROM fixed)"""
+
+sql("quality_metrics", _FIXED + "\nSELECT * FROM m")
+
+sql("quality_issues", _FIXED + """,
+sh AS (SELECT platform, count(*) AS c, count(*) * 100.0 / (SELECT count(*) FROM fixed) AS p FROM fixed GROUP BY platform),
+iss AS (
+  SELECT 0 AS rk, 0 AS sub, printf('Fixed %d rows with negative engagement (set to 0)', negative_engagement_fixed) AS issue
+  FROM m WHERE negative_engagement_fixed > 0
+  UNION ALL SELECT 1, 0, printf('Cleared %d future timestamps', future_dates_cleared) FROM m WHERE future_dates_cleared > 0
+  UNION ALL SELECT 2, 0, 'Low URL coverage: ' || CAST(url_coverage_pct AS VARCHAR) || '% (' || CAST(urls_present AS VARCHAR)
+                  || '/' || CAST(rows_before AS VARCHAR) || ')' FROM m WHERE urls_missing > rows_before * 0.5
+  UNION ALL SELECT 3, row_number() OVER (ORDER BY c DESC, platform),
+    CASE WHEN p > 70 THEN printf('Platform imbalance: %s = %.1f%% of dataset', platform, p)
+         WHEN c < 10 THEN printf('Low sample: %s has only %d rows', platform, c) END FROM sh)
+SELECT row_number() OVER (ORDER BY rk, sub) AS issue_no, issue FROM iss WHERE issue IS NOT NULL""")

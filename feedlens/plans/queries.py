@@ -368,3 +368,29 @@ def q_lang_predict(spark, d):
 @register("lang_accuracy")
 def q_lang_accuracy(spark, d):
     return rounded(LI.accuracy(_lang_predicted(spark, d), truth_col="true_lang", pred_col="lang"))
+
+
+# --- Phase 3b: data quality -----------------------------------------------------------
+
+from feedlens.operators import quality as QA  # noqa: E402
+
+QUALITY_AS_OF = "2000-01-01"   # orders run to 2001-08: later dates count as "future" here
+
+
+def _fixed_orders(spark, d):
+    return QA.fix_quality(A.orders_posts(spark, d), QUALITY_AS_OF)
+
+
+@register("quality_metrics")
+def q_quality_metrics(spark, d):
+    return QA.quality_metrics(_fixed_orders(spark, d))
+
+
+@register("quality_issues")
+def q_quality_issues(spark, d):
+    return QA.quality_issues(_fixed_orders(spark, d))
+
+
+@register("quality_report")
+def q_quality_report(spark, d):
+    return QA.quality_report(_fixed_orders(spark, d), timestamp="fixed").drop("timestamp")
