@@ -36,3 +36,14 @@ def trunc_int(col) -> Column:
     """``str(int(x))``: truncation toward zero."""
     c = F.col(col) if isinstance(col, str) else col
     return c.cast("double").cast("bigint").cast("string")
+
+
+@F.pandas_udf(T.StringType())
+def _py_str(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None or pd.isna(v) else str(float(v)))
+
+
+def py_str(col) -> Column:
+    """``str(float(x))`` (Python's shortest repr, e.g. 0.00023 rather than 2.3E-4)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return _py_str(c.cast("double"))

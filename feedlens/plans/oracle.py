@@ -643,3 +643,23 @@ iss AS (
     CASE WHEN p > 70 THEN printf('Platform imbalance: %s = %.1f%% of dataset', platform, p)
          WHEN c < 10 THEN printf('Low sample: %s has only %d rows', platform, c) END FROM sh)
 SELECT row_number() OVER (ORDER BY rk, sub) AS issue_no, issue FROM iss WHERE issue IS NOT NULL""")
+
+
+# --- dashboard tables ----------------------------------------------------------------------
+_FILTERED = with_posts(ORDERS_POSTS) + """,
+fo AS (SELECT * FROM orders_posts WHERE parsed_date IS NULL OR
+        (CAST(parsed_date AS DATE) >= DATE '1996-01-01' AND CAST(parsed_date AS DATE) <= DATE '1998-12-31'))"""
+
+sql("kpi_filtered", f"""
+SELECT count(*) AS total_posts, count(parsed_date) AS with_date,
+  count(*) FILTER (WHERE trim(coalesce(url, '')) <> '') AS with_url, count(DISTINCT platform) AS platforms,
+  (SELECT count(*) FILTER (WHERE severity = 'high') FROM ({ALERTS_ALL})) AS high_alerts
+FROM ({_FILTERED} SELECT * FROM fo)""")
+
+sql("platform_breakdown_filtered", _FILTERED + """
+SELECT platform, count(*) AS rows, round(avg(engagement), 6) AS avg_engagement,
+  CAST(sum(engagement) AS BIGINT) AS total_engagement FROM fo GROUP BY platform""")
+
+sql("top_filtered", _FILTERED + """
+SELECT platform, content_type, engagement, likes, comments, left(text, 100) || '...' AS preview
+FROM fo ORDER BY engagement DESC, platform, seq LIMIT 10""")

@@ -394,3 +394,58 @@ def q_quality_issues(spark, d):
 @register("quality_report")
 def q_quality_report(spark, d):
     return QA.quality_report(_fixed_orders(spark, d), timestamp="fixed").drop("timestamp")
+
+
+# --- Phase 9a: dashboard and report tables ------------------------------------------------
+
+from feedlens.operators import dashboard as DB  # noqa: E402
+from feedlens.operators import report as RP  # noqa: E402
+
+DASH_START, DASH_END = "1996-01-01", "1998-12-31"
+
+
+def _filtered_orders(spark, d):
+    return DB.date_filter(A.orders_posts(spark, d), DASH_START, DASH_END)
+
+
+@register("kpi_filtered")
+def q_kpi_filtered(spark, d):
+    return DB.kpis(_filtered_orders(spark, d), _all_alerts(spark, d))
+
+
+@register("platform_breakdown_filtered")
+def q_platform_breakdown(spark, d):
+    return rounded(DB.platform_breakdown(_filtered_orders(spark, d)))
+
+
+@register("top_filtered")
+def q_top_filtered(spark, d):
+    return DB.top_filtered(_filtered_orders(spark, d))
+
+
+@register("dashboard_insights")
+def q_dashboard_insights(spark, d):
+    return DB.dynamic_insights(_scored_docs(spark, d))
+
+
+def _report_tables(spark, d):
+    posts = A.orders_posts(spark, d)
+    return dict(summary=SM.dataset_summary(posts), platforms=SM.platform_summary(posts),
+                content=SM.content_type_summary(posts), top=SM.top_posts(posts),
+                keywords=TXT.keyword_analysis(posts, ORDER_KEYWORDS), words=TXT.word_frequency(posts),
+                narratives=TXT.narrative_buckets(posts, DOC_BUCKETS),
+                crosstab=TXT.narrative_crosstab(posts, DOC_BUCKETS),
+                tests=ST.statistical_tests(posts),
+                quality=QA.quality_report(QA.fix_quality(posts, QUALITY_AS_OF), timestamp="fixed"),
+                alerts=_all_alerts(spark, d))
+
+
+@register("report_insights")
+def q_report_insights(spark, d):
+    t = _report_tables(spark, d)
+    return RP.report_insights(t["platforms"], t["content"], t["keywords"], t["narratives"], t["crosstab"], t["tests"])
+
+
+@register("report_lines")
+def q_report_lines(spark, d):
+    return RP.report_lines(spark, generated="fixed", **_report_tables(spark, d))
