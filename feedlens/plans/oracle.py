@@ -663,3 +663,98 @@ SELECT platform, count(*) AS rows, round(avg(engagement), 6) AS avg_engagement,
 sql("top_filtered", _FILTERED + """
 SELECT platform, content_type, engagement, likes, comments, left(text, 100) || '...' AS preview
 FROM fo ORDER BY engagement DESC, platform, seq LIMIT 10""")
+
+
+# --- sources: pages, feeds, comment trees --------------------------------------------------
+from feedlens.sources import pages as _PG  # noqa: E402
+from feedlens.sources.feeds import HTML_ENTITIES as _ENT  # noqa: E402
+
+
+def _re(p: str) -> str:
+    """Java pattern -> RE2 pattern inside a SQL literal."""
+    return p.replace('\\"', '"').replace("'", "''")
+
+
+def unescape(e: str) -> str:
+    for k, v in _ENT:
+        e = f"replace({e}, '{k}', '{v.replace(chr(39), chr(39) * 2)}')"
+    return e
+
+
+def _nz(e: str) -> str:
+    return f"nullif({e}, '')"
+
+
+sql("page_title", f"""
+WITH b AS (SELECT *, regexp_extract(html, '{_re(_PG.PLAYER_BLOB)}', 1) AS pb,
+                     regexp_extract(html, '{_re(_PG.DATA_BLOB)}', 1) AS db FROM pages),
+m AS (
+  SELECT page_id, url,
+    coalesce(_t0, {_nz(f"regexp_extract(html, '{_re(_PG.TITLE_META)}', 1)")},
+             {_nz(f"regexp_extract(html, '{_re(_PG.TITLE_TAG)}', 1)")}) AS title,
+    coalesce(CASE WHEN pb <> '' THEN json_extract_string(pb, '$.videoDetails.shortDescription') END, '') AS description,
+    coalesce(CASE WHEN pb <> '' THEN TRY_CAST(json_extract_string(pb, '$.videoDetails.viewCount') AS BIGINT) END, 0) AS views,
+    coalesce(CASE WHEN db <> '' THEN TRY_CAST(replace({_nz(f"regexp_extract(db, '{_re(_PG.LIKES_LABEL)}', 1)")}, ',', '') AS BIGINT) END,
+             TRY_CAST({_nz(f"regexp_extract(html, '{_re(_PG.LIKES_FALLBACK)}', 1)")} AS BIGINT), 0) AS likes,
+    coalesce(CASE WHEN db <> '' THEN TRY_CAST(replace({_nz(f"regexp_extract(db, '{_re(_PG.COMMENTS_SIMPLE)}', 1)")}, ',', '') AS BIGINT) END,
+             TRY_CAST({_nz(f"regexp_extract(html, '{_re(_PG.COMMENTS_FALLBACK)}', 1)")} AS BIGINT), 0) AS comments,
+    coalesce({", ".join(_nz(f"regexp_extract(html, '{_re(p)}', 1)") for p in _PG.DATE_PATTERNS)}, '') AS published
+  FROM (SELECT *, {_nz("CASE WHEN pb <> '' THEN json_extract_string(pb, '$.videoDetails.title') END")} AS _t0 FROM b))
+SELECT * FROM m WHERE title IS NOT NULL AND title <> ''""")
+
+_ANCH = f"""
+WITH a0 AS (SELECT page_id, regexp_extract_all(html, '{_re(_PG.ANCHOR)}', 0) AS arr FROM pages),
+a1 AS (SELECT page_id, unnest(arr) AS a, generate_subscripts(arr, 1) - 1 AS pos FROM a0),
+a2 AS (SELECT page_id, pos, {unescape(f"regexp_extract(a, '{_re(_PG.ANCHOR)}', 1)")} AS h,
+         regexp_extract(a, '{_re(_PG.ANCHOR)}', 2) AS t FROM a1),
+anchors AS (
+  SELECT page_id, pos,
+    CASE WHEN contains(h, 'uddg=') AND regexp_extract(h, 'uddg=([^&]+)', 1) <> ''
+           THEN url_decode(replace(regexp_extract(h, 'uddg=([^&]+)', 1), '+', '%2B'))
+         WHEN starts_with(h, '/url?') AND regexp_extract(h, '[?&]q=([^&]+)', 1) <> ''
+           THEN url_decode(regexp_extract(h, '[?&]q=([^&]+)', 1))
+         ELSE h END AS link,
+    {ustrip(f"regexp_replace({unescape(chr(39) * 0 + "regexp_replace(t, '<[^>]*>', '', 'g')")}, '{WS_CLASS}+', ' ', 'g')")} AS title
+  FROM a2)"""
+
+sql("page_anchors", _ANCH + "\nSELECT * FROM anchors")
+sql("page_links", _ANCH + """
+SELECT page_id, pos, link, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS rn FROM anchors
+  WHERE starts_with(link, 'http')) WHERE rn = 1""")
+
+_FEED = """
+WITH f AS (
+  SELECT event_id AS seq,
+    event_type || ' event by user ' || CAST(user_id AS VARCHAR) || ' with props ' || props AS t0,
+    TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS c,
+    user_id AS u, CAST(round(value) AS BIGINT) AS sh, ts FROM events),
+g AS (
+  SELECT seq, """ + ustrip("replace(t0, chr(10), ' ')") + """ AS text,
+    CASE WHEN k > 0 THEN k ELSE 0 END AS likes, CASE WHEN c > 0 THEN c ELSE 0 END AS comments,
+    CASE WHEN u > 0 THEN u ELSE 0 END AS views, CASE WHEN sh > 0 THEN sh ELSE 0 END AS shares,
+    strftime(ts, '%Y-%m-%d') AS date,
+    'https://www.tiktok.com/@user' || CAST(u AS VARCHAR) || '/video/' || CAST(seq AS VARCHAR) AS url FROM f),
+feed AS (
+  SELECT 'tiktok' AS platform, text, likes, comments, views, date, likes + comments + shares AS engagement,
+    'video' AS content_type, url, seq, CAST(length(text) AS INTEGER) AS text_length FROM g WHERE text <> '')"""
+
+sql("feed_items", _FEED + "\nSELECT * FROM feed")
+sql("feed_stats", _FEED + """
+SELECT platform, count(*) AS rows, count(*) FILTER (WHERE engagement > 0) AS with_engagement,
+  count(*) FILTER (WHERE trim(url) <> '') AS with_url, CAST(sum(engagement) AS BIGINT) AS total_engagement
+FROM feed GROUP BY platform""")
+
+sql("source_cap", with_posts(EVENTS_POSTS) + """
+SELECT platform, seq, engagement FROM (
+  SELECT *, row_number() OVER (PARTITION BY platform ORDER BY engagement DESC, seq) AS rn FROM events_posts)
+WHERE rn <= 300""")
+
+sql("tree_flatten", f"""
+WITH c AS (SELECT conv_id, turn, {ustrip(unescape("coalesce(text, '')"))} AS body FROM conversations)
+SELECT 'reddit' AS platform, body AS text, turn AS likes, CAST(0 AS BIGINT) AS comments, CAST(0 AS BIGINT) AS views,
+  strftime(to_timestamp(1704067200 + turn * 60), '%Y-%m-%d %H:%M:%S') AS date, turn AS engagement,
+  'comment' AS content_type,
+  'https://reddit.com/r/conv/' || CAST(conv_id AS VARCHAR) || '?comment=c' || CAST(conv_id AS VARCHAR) || '_'
+    || CAST(turn AS VARCHAR) AS url, conv_id AS seq
+FROM c WHERE body <> '' AND body NOT IN ('[removed]', '[deleted]')""")

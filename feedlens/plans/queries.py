@@ -449,3 +449,81 @@ def q_report_insights(spark, d):
 @register("report_lines")
 def q_report_lines(spark, d):
     return RP.report_lines(spark, generated="fixed", **_report_tables(spark, d))
+
+
+# --- Phase 8: sources (pages, feeds, comment trees) --------------------------------------
+
+from feedlens.sources import feeds as FD  # noqa: E402
+from feedlens.sources import pages as PG  # noqa: E402
+
+
+@register("page_title")
+def q_page_title(spark, d):
+    return PG.page_metrics(A.read_table(spark, d, "pages"))
+
+
+@register("page_anchors")
+def q_page_anchors(spark, d):
+    return PG.page_anchors(A.read_table(spark, d, "pages"))
+
+
+@register("page_links")
+def q_page_links(spark, d):
+    return PG.result_links(A.read_table(spark, d, "pages"))
+
+
+def events_as_items(spark, d):
+    """Events rendered as short-video collector items (JSON text), one per event."""
+    e = A.read_table(spark, d, "events")
+    item = F.struct(
+        F.concat(F.col("event_type"), F.lit(" event by user "), F.col("user_id").cast("string"),
+                 F.lit(" with props "), F.col("props")).alias("desc"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("diggCount"),
+        F.floor("value").alias("commentCount"),
+        F.col("user_id").alias("playCount"),
+        F.round("value").cast("bigint").alias("shareCount"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("createTime"),
+        F.col("event_id").alias("id"),
+        F.struct(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("name")).alias("authorMeta"))
+    return e.select(F.col("event_id").alias("seq"), F.to_json(item).alias("raw"))
+
+
+@register("feed_items")
+def q_feed_items(spark, d):
+    items = FD.parse_items(events_as_items(spark, d))
+    return FD.normalize_feed(items, "tiktok", as_of="2024-06-30")
+
+
+@register("feed_stats")
+def q_feed_stats(spark, d):
+    return FD.feed_stats(FD.normalize_feed(FD.parse_items(events_as_items(spark, d)), "tiktok", as_of="2024-06-30"))
+
+
+@register("source_cap")
+def q_source_cap(spark, d):
+    posts = A.events_posts(spark, d)
+    return FD.cap_per_source(posts, 300, [F.desc("engagement"), F.col("seq")]).select(
+        "platform", "seq", "engagement")
+
+
+def conversations_as_trees(spark, d):
+    """Each conversation rendered as a comment Listing in which turn i+1 replies to turn i."""
+    c = A.read_table(spark, d, "conversations")
+    node = F.struct(F.lit("t1").alias("kind"), F.struct(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("id"),
+        F.col("text").alias("body"), F.col("turn").alias("score"),
+        (F.lit(1704067200) + F.col("turn") * 60).alias("created_utc")).alias("data"))
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.to_json(node).alias("j"))),
+                                                  asc=False).alias("t"))
+    # Fold from the last turn upwards: each node gets the previous fold as its replies.
+    tree = F.aggregate("t", F.lit(""), lambda acc, x: F.when(acc == "", x["j"]).otherwise(
+        F.concat(F.regexp_replace(x["j"], r"\}\}$", ""),
+                 F.lit(',"replies":{"kind":"Listing","data":{"children":['), acc, F.lit("]}}}}"))))
+    listing = F.concat(F.lit('{"kind":"Listing","data":{"children":['), tree, F.lit("]}}"))
+    return turns.select(F.col("conv_id").alias("seq"), F.try_parse_json(listing).alias("v"),
+                        F.concat(F.lit("/r/conv/"), F.col("conv_id").cast("string")).alias("parent_permalink"))
+
+
+@register("tree_flatten")
+def q_tree_flatten(spark, d):
+    return FD.flatten_comments(spark, conversations_as_trees(spark, d)).drop("path")
