@@ -43,6 +43,11 @@ def _conform(df: DataFrame) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+def _capped(df: DataFrame, cap: int | None) -> DataFrame:
+    """The alert cap is the report feature (top-k); ``None`` keeps every alert."""
+    return df if cap is None else df.limit(cap)
+
+
 def _ranked(capped: DataFrame, order) -> DataFrame:
     """Position inside an already capped (bounded) alert list."""
     return capped.withColumn("alert_pos", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
@@ -59,7 +64,7 @@ def engagement_spikes(posts: DataFrame | None = None, daily: DataFrame | None =
     b = rolling_baseline(d.select("day", F.col("total_engagement").alias("cur")), "cur", days)
     cond = ((F.col("_pos") > days) & (F.col("_std") > 0) & (F.col("cur") > F.col("_mean") + sigmas * F.col("_std"))
             & (F.col("cur") > min_value) & (F.col("_prev") > 0) & (F.col("cur") / F.col("_prev") >= ratio))
-    top = _ranked(b.where(cond).orderBy(F.desc("cur"), "day").limit(cap), [F.desc("cur"), F.asc("day")])
+    top = _ranked(_capped(b.where(cond).orderBy(F.desc("cur"), "day"), cap), [F.desc("cur"), F.asc("day")])
     day = F.date_format("day", "yyyy-MM-dd")
     msg = F.concat(F.lit("Engagement spiked "), pyfmt.fixed(F.col("cur") / F.col("_prev"), 1), F.lit("x on "), day,
                    F.lit(" ("), pyfmt.trunc_int("_prev"), F.lit(" -> "), pyfmt.trunc_int("cur"),
@@ -78,7 +83,7 @@ def mention_spikes(posts: DataFrame | None = None, daily: DataFrame | None = Non
     b = rolling_baseline(d.select("day", F.col("rows").alias("cur")), "cur", days)
     cond = ((F.col("_pos") > days) & (F.col("_std") > 0) & (F.col("cur") > F.col("_mean") + sigmas * F.col("_std"))
             & (F.col("cur") >= min_value) & (F.col("_prev") > 0))
-    top = _ranked(b.where(cond).orderBy(F.desc("cur"), "day").limit(cap), [F.desc("cur"), F.asc("day")])
+    top = _ranked(_capped(b.where(cond).orderBy(F.desc("cur"), "day"), cap), [F.desc("cur"), F.asc("day")])
     day = F.date_format("day", "yyyy-MM-dd")
     msg = F.concat(F.lit("Mentions jumped "), pyfmt.fixed(F.col("cur") / F.col("_prev"), 1), F.lit("x on "), day,
                    F.lit(" ("), F.col("_prev").cast("string"), F.lit(" -> "), F.col("cur").cast("string"),

@@ -758,3 +758,21 @@ SELECT 'reddit' AS platform, body AS text, turn AS likes, CAST(0 AS BIGINT) AS c
   'https://reddit.com/r/conv/' || CAST(conv_id AS VARCHAR) || '?comment=c' || CAST(conv_id AS VARCHAR) || '_'
     || CAST(turn AS VARCHAR) AS url, conv_id AS seq
 FROM c WHERE body <> '' AND body NOT IN ('[removed]', '[deleted]')""")
+
+
+# --- streaming (final tables equal the batch aggregates) ------------------------------------
+sql("stream_daily_events", with_posts(EVENTS_POSTS) + """
+SELECT strftime(parsed_date, '%Y-%m-%d') AS period, count(*) AS rows, CAST(sum(engagement) AS BIGINT) AS total_engagement
+FROM events_posts WHERE parsed_date IS NOT NULL GROUP BY 1""")
+
+sql("stream_weekly_events", with_posts(EVENTS_POSTS) + """
+SELECT strftime(date_trunc('week', parsed_date), '%Y-%m-%d') AS period, count(*) AS rows,
+  CAST(sum(engagement) AS BIGINT) AS total_engagement
+FROM events_posts WHERE parsed_date IS NOT NULL GROUP BY 1""")
+
+sql("stream_merge_docs", ORACLE["merge_posts"])
+
+sql("stream_spike_alerts", f"""
+SELECT type, severity, date, message, value, previous FROM ({with_posts(ORDERS_POSTS) + E1_SQL})
+UNION ALL
+SELECT type, severity, date, message, value, previous FROM ({with_posts(ORDERS_POSTS) + E2_SQL})""")

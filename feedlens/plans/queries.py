@@ -527,3 +527,55 @@ def conversations_as_trees(spark, d):
 @register("tree_flatten")
 def q_tree_flatten(spark, d):
     return FD.flatten_comments(spark, conversations_as_trees(spark, d)).drop("path")
+
+
+# --- Phase 9b: streaming ---------------------------------------------------------------------
+
+from feedlens.streaming import incremental as ZS  # noqa: E402
+
+
+def _events_stream(spark, d):
+    static = A.read_table(spark, d, "events")
+    return A.events_to_posts(ZS.read_stream_table(spark, d, "events", static))
+
+
+def _run(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+@register("stream_daily_events")
+def q_stream_daily(spark, d):
+    out, ck = ZS.work_dir(spark, "daily"), ZS.work_dir(spark, "daily-ck")
+    _run(ZS.running_counts(_events_stream(spark, d), "parsed_date", out, ck, unit="day"))
+    return spark.read.parquet(out).select("period", "rows", "total_engagement")
+
+
+@register("stream_weekly_events")
+def q_stream_weekly(spark, d):
+    out, ck = ZS.work_dir(spark, "weekly"), ZS.work_dir(spark, "weekly-ck")
+    _run(ZS.running_counts(_events_stream(spark, d), "parsed_date", out, ck, unit="week"))
+    return spark.read.parquet(out).select("period", "rows", "total_engagement")
+
+
+@register("stream_merge_docs")
+def q_stream_merge(spark, d):
+    events = A.read_table(spark, d, "events")
+    docs = ZS.read_stream_table(spark, d, "documents", A.read_table(spark, d, "documents"))
+    posts = A.docs_to_posts(docs, events, events.count())
+    cleaned = posts.withColumn("text", S.clean_text("text")).withColumn("text_length", F.length("text"))
+    out, ck = ZS.work_dir(spark, "merge"), ZS.work_dir(spark, "merge-ck")
+    _run(ZS.incremental_merge(spark, cleaned, out, ck, lang_col="content_type"))
+    return spark.read.parquet(out).select("platform", "seq", "date", "engagement", "content_type", "text_length")
+
+
+@register("stream_spike_alerts")
+def q_stream_spikes(spark, d):
+    static = A.read_table(spark, d, "orders")
+    orders = A.orders_to_posts(ZS.read_stream_table(spark, d, "orders", static))
+    daily, ck1 = ZS.work_dir(spark, "odaily"), ZS.work_dir(spark, "odaily-ck")
+    _run(ZS.running_counts(orders, "parsed_date", daily, ck1, unit="day"))
+    alerts, ck2 = ZS.work_dir(spark, "alerts"), ZS.work_dir(spark, "alerts-ck")
+    _run(ZS.spike_alerts_stream(spark, daily, alerts, ck2))
+    return spark.read.parquet(alerts).select("type", "severity", "date", "message", "value", "previous")

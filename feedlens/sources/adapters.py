@@ -30,7 +30,11 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def orders_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
+    return orders_to_posts(read_table(spark, sf_dir, "orders"))
+
+
+def orders_to_posts(o: DataFrame) -> DataFrame:
+    """Row-wise projection (also usable on a stream of orders)."""
     text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"),
                     F.lit(" for customer "), F.col("o_custkey").cast("string"),
                     F.lit(": priority "), F.col("o_orderpriority"),
@@ -57,7 +61,11 @@ def _event_likes(props_col: str = "props"):
 
 
 def events_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events")
+    return events_to_posts(read_table(spark, sf_dir, "events"))
+
+
+def events_to_posts(e: DataFrame) -> DataFrame:
+    """Row-wise projection (also usable on a stream of events)."""
     text = F.concat(F.col("event_type"), F.lit(" event by user "), F.col("user_id").cast("string"),
                     F.lit(" with props "), F.col("props"))
     ctype = (F.when(F.col("event_type") == "view", "video")
@@ -81,7 +89,11 @@ def events_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     e = read_table(spark, sf_dir, "events")
-    n_events = e.select(F.count(F.lit(1))).scalar()
+    return docs_to_posts(d, e, e.select(F.count(F.lit(1))).scalar())
+
+
+def docs_to_posts(d: DataFrame, e: DataFrame, n_events) -> DataFrame:
+    """Documents (batch or stream) joined to the static events table."""
     d = d.withColumn("event_key", F.pmod(F.col("doc_id") * DOC_EVENT_STRIDE, n_events))
     j = d.join(e, d["event_key"] == e["event_id"], "inner")
     return _finish(j.select(
