@@ -7,9 +7,9 @@ distance), negations in the preceding three words, a contrastive "but",
 and '!'/'?' emphasis; the sum is normalised to (-1, 1).  Texts shorter than
 5 characters score 0.
 
-The whole computation is one column expression over the post's own token
-array (``transform`` / ``aggregate`` higher-order functions, JVM-side, no
-shuffle).  Lexicons up to ``MAX_MAP_ENTRIES`` are inlined as a map literal
+The whole computation is column expressions over the post's own token
+arrays (``transform`` / ``aggregate`` higher-order functions, JVM-side, no
+shuffle); context rules run only at lexicon-hit positions.  Lexicons up to ``MAX_MAP_ENTRIES`` are inlined as a map literal
 after a size check; larger lexicon tables are joined to the exploded tokens
 (broadcast only if small) and the valences regrouped per post.
 
@@ -83,7 +83,9 @@ DEFAULT_LEXICON = {
     "terrible": -2.1, "useless": -1.8, "worse": -2.1, "worst": -3.1, "wrong": -2.1,
 }
 
-MAX_MAP_ENTRIES = 50_000
+# Lexicons up to this size are inlined as a map literal (lookups scan the map,
+# so larger tables use the broadcast/shuffle join path instead).
+MAX_MAP_ENTRIES = 1_000
 
 # Punctuation characters stripped from token ends (Python's string.punctuation).
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -108,73 +110,63 @@ def _is_upper(t: Column) -> Column:
     return (F.upper(t) == t) & (F.lower(t) != t)
 
 
-def _shift(col: str, k: int, typ: str) -> Column:
-    """Array of the k-th predecessor of each element (null for the first k)."""
-    c = F.col(col)
-    pad = F.array_repeat(F.lit(None).cast(typ), k)
-    return F.concat(pad, F.slice(c, 1, F.greatest(F.size(c) - k, F.lit(0))))
-
-
-def _with_token_columns(df: DataFrame, text: Column, lex: Column | None, vals: Column | None,
-                        boost: Column, negs: Column) -> DataFrame:
-    """Per-row arrays (tokens, valences, booster deltas, negation and caps flags) and
-    their 1..3-step predecessor arrays, zipped so that the per-token lambda reads
-    only its own element: work stays linear in the text length."""
+def _with_token_columns(df: DataFrame, text: Column, lex: Column | None, vals: Column | None) -> DataFrame:
+    """Per-row arrays computed once: tokens ``_w``, lower-case ``_wl``, valences
+    ``_v`` (null = not in the lexicon), the lexicon-hit positions ``_hits`` and
+    the cap-differential flag.  Context rules are then evaluated only at the hit
+    positions by indexing these arrays (constant work per hit)."""
     df = df.withColumn("_w", words(text)) if "_w" not in df.columns else df
     df = df.withColumn("_wl", F.transform("_w", lambda t: F.lower(t)))
     if vals is None:
         df = df.withColumn("_v", F.transform("_wl", lambda t: F.try_element_at(lex, t)))
     else:
         df = df.withColumn("_v", vals)
-    df = (df.withColumn("_b", F.transform("_wl", lambda t: F.coalesce(F.try_element_at(boost, t), F.lit(0.0))))
-            .withColumn("_n", F.transform("_wl", lambda t: F.array_contains(negs, t) | t.contains("n't")))
-            .withColumn("_u", F.transform("_w", _is_upper)))
-    caps = F.size(F.filter("_u", lambda x: x))
+    caps = F.size(F.filter("_w", _is_upper))
     df = df.withColumn("_capdiff", (caps > 0) & (caps < F.size("_w")))
-    cols = ["_v", "_b", "_n", "_u"]
-    types = {"_v": "double", "_b": "double", "_n": "boolean", "_u": "boolean"}
-    for k in (1, 2, 3):
-        for c in ("_v", "_b", "_n", "_u"):
-            df = df.withColumn(f"{c}{k}", _shift(c, k, types[c]))
-            cols.append(f"{c}{k}")
-    return df.withColumn("_z", F.arrays_zip(*[F.col(c) for c in cols]))
+    idx = F.sequence(F.lit(0), F.size("_w") - 1)
+    hits = F.filter(F.when(F.size("_w") > 0, idx).otherwise(F.array().cast("array<int>")),
+                    lambda i: F.try_element_at(F.col("_v"), (i + 1).cast("int")).isNotNull())
+    return df.withColumn("_hits", hits).withColumn("_but", F.array_position("_wl", "but"))
 
 
-TOKEN_COLUMNS = ["_w", "_wl", "_v", "_b", "_n", "_u", "_capdiff", "_z"] + \
-    [f"{c}{k}" for k in (1, 2, 3) for c in ("_v", "_b", "_n", "_u")]
+TOKEN_COLUMNS = ["_w", "_wl", "_v", "_capdiff", "_hits", "_but"]
 
 
-def _score_expr(text: Column) -> Column:
-    """Compound score from the zipped token arrays of :func:`_with_token_columns`."""
-    capdiff = F.col("_capdiff")
+def _score_expr(text: Column, boost: Column, negs: Column) -> Column:
+    """Compound score from the per-row arrays of :func:`_with_token_columns`."""
+    w, wl, vals, capdiff = F.col("_w"), F.col("_wl"), F.col("_v"), F.col("_capdiff")
 
-    def token_valence(e: Column) -> Column:
-        v = e["_v"]
-        caps_adj = F.when(capdiff & e["_u"], F.when(v > 0, C_INCR).otherwise(-C_INCR)).otherwise(0.0)
+    def at(arr: Column, idx0: Column) -> Column:
+        # idx0 is 0-based; element_at is 1-based and counts from the end for negatives
+        return F.when(idx0 >= 0, F.try_element_at(arr, (idx0 + 1).cast("int")))
 
-        def pick(name: str, k: Column) -> Column:
-            return F.when(k == 1, e[f"{name}1"]).when(k == 2, e[f"{name}2"]).otherwise(e[f"{name}3"])
+    def negated(word: Column) -> Column:
+        return F.array_contains(negs, word) | word.contains("n't")
+
+    def hit_valence(i: Column) -> Column:
+        t, tl, v = at(w, i), at(wl, i), at(vals, i)
+        is_boost = F.coalesce(F.try_element_at(boost, tl), F.lit(0.0)) != 0
+        caps_adj = F.when(capdiff & _is_upper(t), F.when(v > 0, C_INCR).otherwise(-C_INCR)).otherwise(0.0)
 
         def step(acc: Column, k: Column) -> Column:
-            pv, pb, pn, pu = pick("_v", k), pick("_b", k), pick("_n", k), pick("_u", k)
-            applies = pb.isNotNull() & pv.isNull()   # predecessor exists and is not a lexicon word
+            j = i - k
+            pw, pwl = at(w, j), at(wl, j)
+            applies = (j >= 0) & at(vals, j).isNull()
+            pb = F.coalesce(F.try_element_at(boost, pwl), F.lit(0.0))
             b = F.when(acc < 0, -pb).otherwise(pb)
-            b = F.when((pb != 0) & pu & capdiff, b + F.when(acc > 0, C_INCR).otherwise(-C_INCR)).otherwise(b)
+            b = F.when((pb != 0) & _is_upper(pw) & capdiff, b + F.when(acc > 0, C_INCR).otherwise(-C_INCR)).otherwise(b)
             damp = F.when(k == 2, DISTANCE_DAMP[1]).when(k == 3, DISTANCE_DAMP[2]).otherwise(DISTANCE_DAMP[0])
             boosted = acc + F.when(pb != 0, b * damp).otherwise(0.0)
-            return F.when(applies, F.when(pn, boosted * N_SCALAR).otherwise(boosted)).otherwise(acc)
+            return F.when(applies, F.when(negated(pwl), boosted * N_SCALAR).otherwise(boosted)).otherwise(acc)
 
         acc = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), v + caps_adj, step)
-        return F.when((e["_b"] != 0) | v.isNull(), F.lit(0.0)).otherwise(acc)
-
-    sent = F.transform("_z", token_valence)
-    but = F.array_position("_wl", "but")
-    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    n = F.size(sent)
-    before = add(F.slice(sent, 1, F.greatest(but - 1, F.lit(0))))
-    at_but = F.coalesce(F.try_element_at(sent, F.greatest(but, F.lit(1)).cast("int")), F.lit(0.0))
-    after = add(F.slice(sent, F.greatest(but + 1, F.lit(1)).cast("int"), F.greatest(n - but, F.lit(0))))
-    total = F.when(but == 0, add(sent)).otherwise(before * BUT_BEFORE + at_but + after * BUT_AFTER)
+        val = F.when(is_boost, F.lit(0.0)).otherwise(acc)
+        return F.struct(i.alias("i"), val.alias("s"))
+
+    sent = F.transform("_hits", hit_valence)
+    but = F.col("_but")
+    mult = lambda i: F.when(but == 0, 1.0).when(i + 1 < but, BUT_BEFORE).when(i + 1 > but, BUT_AFTER).otherwise(1.0)
+    total = F.aggregate(sent, F.lit(0.0), lambda a, x: a + x["s"] * mult(x["i"]))
     ex = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(EXCLAIM_MAX))
     qm = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
     qamp = F.when(qm > 1, F.when(qm <= 3, qm * QUESTION_INCR).otherwise(QUESTION_MAX)).otherwise(0.0)
@@ -199,8 +191,8 @@ def lexicon_sentiment(posts: DataFrame, lexicon: dict | DataFrame | None = None,
     short = F.length(S.ustrip(text)) < MIN_CHARS
     if lexicon is None or isinstance(lexicon, dict):
         lex = _map_literal(lexicon if lexicon is not None else DEFAULT_LEXICON)
-        base = _with_token_columns(posts, text, lex, None, boost, negs)
-        score = F.when(short, F.lit(0.0)).otherwise(_score_expr(text))
+        base = _with_token_columns(posts, text, lex, None)
+        score = F.when(short, F.lit(0.0)).otherwise(_score_expr(text, boost, negs))
         out = base.withColumn("sentiment_score", score).drop(*TOKEN_COLUMNS)
     else:
         rows = lexicon.limit(MAX_MAP_ENTRIES + 1).count()
@@ -221,8 +213,8 @@ def _join_path(posts, lexicon, boost, negs, text_col, id_col, short):
     vals = valued.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "valence"))), lambda s: s["valence"]).alias("_vals"))
     j = base.join(vals, id_col, "left")
-    j = _with_token_columns(j, text, None, F.coalesce("_vals", F.array().cast("array<double>")), boost, negs)
-    return (j.withColumn("sentiment_score", F.when(short, F.lit(0.0)).otherwise(_score_expr(text)))
+    j = _with_token_columns(j, text, None, F.coalesce("_vals", F.array().cast("array<double>")))
+    return (j.withColumn("sentiment_score", F.when(short, F.lit(0.0)).otherwise(_score_expr(text, boost, negs)))
             .drop(*TOKEN_COLUMNS, "_vals"))
 
 
