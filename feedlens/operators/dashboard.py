@@ -91,3 +91,12 @@ def top_filtered(posts: DataFrame, n: int = 10, preview_chars: int = 100) -> Dat
     return (posts.orderBy(*order).limit(n)
             .select("platform", "content_type", "engagement", "likes", "comments",
                     S.preview("text", preview_chars).alias("preview")))
+
+
+# Heads shown by the dashboard tabs (T9), fixed values.
+DASHBOARD_HEADS = {"keywords": 15, "tfidf": 20, "emerging": 20, "words": 25}
+
+
+def head(table: DataFrame, n: int, order: list) -> DataFrame:
+    """The first ``n`` rows of a report table in its display order."""
+    return table.orderBy(*order).limit(n)

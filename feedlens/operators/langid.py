@@ -18,10 +18,11 @@ No profile truncation: grams absent from a class get that class's smoothed
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.operators.common import broadcast_if_small, small_values
+from feedlens.operators.common import broadcast_if_small
 
 MAX_CLASSES = 1000
 
@@ -39,8 +40,18 @@ def char_trigrams(text) -> Column:
     return F.filter(grams, lambda g: g != "   ")
 
 
-def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, count) over the labelled texts."""
+def doc_grams(posts: DataFrame, text_col: str = "text", id_col: str = "seq") -> DataFrame:
+    """(id, gram, cnt): trigram counts per text (partial aggregation map-side)."""
+    return (posts.select(id_col, F.explode(char_trigrams(text_col)).alias("gram"))
+            .groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                  grams: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(lang, gram, count) over the labelled texts (from precomputed ``grams`` if given)."""
+    if grams is not None:
+        labels = docs.where(F.col(lang_col).isNotNull()).select(id_col, F.col(lang_col).alias("lang"))
+        return grams.join(labels, id_col).groupBy("lang", "gram").agg(F.sum("cnt").alias("count"))
     return (docs.where(F.col(lang_col).isNotNull())
             .select(F.col(lang_col).alias("lang"), F.explode(char_trigrams(text_col)).alias("gram"))
             .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("count")))
@@ -57,31 +68,32 @@ def _classes(docs: DataFrame, profile: DataFrame, lang_col: str) -> DataFrame:
                     (-F.log(F.col("n_l") + vocab)).alias("unseen"), "n_l"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+        grams: DataFrame | None = None, id_col: str = "doc_id"):
     """Returns (grams: (gram, lang, delta), classes: (lang, prior, unseen)) where
-    log P(gram|lang) = unseen + delta for grams seen with the class."""
-    profile = train_profile(docs, text_col, lang_col)
-    classes = _classes(docs, profile, lang_col)
-    grams = (profile.join(F.broadcast(classes.select("lang", "n_l", "unseen")), "lang")
-             .select("gram", "lang", F.log1p(F.col("count")).alias("delta")))
+    log P(gram|lang) = unseen + delta for grams seen with the class.  The profile
+    and the class table are persisted: both feed several steps."""
+    profile = train_profile(docs, text_col, lang_col, grams, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+    classes = _classes(docs, profile, lang_col).persist(StorageLevel.MEMORY_AND_DISK)
+    model_grams = (profile.join(F.broadcast(classes.select("lang")), "lang")
+                   .select("gram", "lang", F.log1p(F.col("count")).alias("delta")))
     # log((c+1)/(N+V)) - log(1/(N+V)) = log(c+1)
-    return grams, classes.drop("n_l")
+    return model_grams, classes.drop("n_l")
 
 
 def detect(posts: DataFrame, model, text_col: str = "text", id_col: str = "seq",
-           out_col: str = "lang", min_len: int = 0) -> DataFrame:
+           out_col: str = "lang", min_len: int = 0, grams: DataFrame | None = None) -> DataFrame:
     """Adds ``out_col`` = most probable class; null for texts shorter than
-    ``min_len`` or without any trigram (caller decides: keep or drop)."""
-    grams, classes = model
-    cls = small_values(classes.select("lang").orderBy("lang"), "lang", MAX_CLASSES)
-    if cls is None:
+    ``min_len`` or without any trigram (caller decides: keep or drop).
+    ``grams`` = precomputed :func:`doc_grams` of ``posts`` (optional)."""
+    model_grams, classes = model
+    consts = {r.lang: (r.prior, r.unseen) for r in classes.limit(MAX_CLASSES + 1).collect()}  # one row per class
+    if len(consts) > MAX_CLASSES:
         raise ValueError("too many language classes")
-    consts = {r.lang: (r.prior, r.unseen) for r in classes.collect()}  # one row per class (bounded)
-    base = posts.select(id_col, F.col(text_col).alias("_t"))
-    dg = (base.select(id_col, F.explode(char_trigrams("_t")).alias("gram"))
-          .groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("cnt")))
+    cls = sorted(consts)
+    dg = grams if grams is not None else doc_grams(posts.select(id_col, text_col), text_col, id_col)
     n_doc = dg.groupBy(id_col).agg(F.sum("cnt").alias("_n"))
-    scored = (dg.join(broadcast_if_small(grams), "gram")
+    scored = (dg.join(broadcast_if_small(model_grams), "gram")
               .groupBy(id_col)
               .agg(*[F.sum(F.when(F.col("lang") == c, F.col("cnt") * F.col("delta")).otherwise(0.0)).alias(f"_s{i}")
                      for i, c in enumerate(cls)]))
@@ -101,3 +113,12 @@ def accuracy(pred: DataFrame, truth_col: str = "content_type", pred_col: str = "
     return (pred.groupBy(F.col(truth_col).alias("true_lang"))
             .agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col(truth_col) == F.col(pred_col)).alias("correct"))
             .withColumn("accuracy", F.col("correct") / F.col("docs")))
+
+
+def source_language_filter(posts: DataFrame, model, language: str = "en", min_len: int = 21,
+                           text_col: str = "text", id_col: str = "seq") -> DataFrame:
+    """Collector-side filter: only texts of at least ``min_len`` characters are
+    checked; a text the model cannot classify is kept (opposite of the merge rule)."""
+    d = detect(posts, model, text_col, id_col, out_col="_lang")
+    keep = (F.length(text_col) < min_len) | F.col("_lang").isNull() | (F.col("_lang") == language)
+    return d.where(keep).drop("_lang")

@@ -356,8 +356,12 @@ def q_lang_profile(spark, d):
 
 def _lang_predicted(spark, d):
     docs = _docs(spark, d)
+    # Trigram counts per document are computed once and shared by training and scoring.
+    from pyspark import StorageLevel
+    grams = LI.doc_grams(docs, "text", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    model = LI.fit(docs, grams=grams, id_col="doc_id")
     return LI.detect(docs.select("doc_id", "text", "lang").withColumnRenamed("lang", "true_lang"),
-                     LI.fit(docs), id_col="doc_id", out_col="lang")
+                     model, id_col="doc_id", out_col="lang", grams=grams)
 
 
 @register("lang_predict")

@@ -175,3 +175,24 @@ def parse_count(col) -> Column:
     suf = F.lower(F.regexp_extract(s, r"([\d.]+)\s*([kKmM]?)", 2))
     mult = F.when(suf == "k", 1000.0).when(suf == "m", 1000000.0).otherwise(1.0)
     return F.coalesce((num * mult).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def video_rows(metrics: DataFrame, platform: str = "youtube", min_len: int = 10) -> DataFrame:
+    """One post per video page: text = cleaned 'title. description' (X7),
+    engagement = likes + comments, date via X8; texts under ``min_len`` dropped."""
+    raw = F.when(F.col("description") != "", F.concat(F.col("title"), F.lit(". "), F.col("description"))) \
+        .otherwise(F.col("title"))
+    text = clean_long_text(raw)
+    keep = [c for c in metrics.columns if c in ("page_id", "seq")]
+    out = metrics.select(
+        F.lit(platform).alias("platform"), text.alias("text"), F.col("likes"), F.col("comments"),
+        F.col("views"), format_date("published").alias("date"),
+        (F.col("likes") + F.col("comments")).alias("engagement"), F.lit("video").alias("content_type"),
+        (F.coalesce(F.col("url"), F.lit("")) if "url" in metrics.columns else F.lit("")).alias("url"),
+        *keep)
+    return out.where(F.length("text") >= min_len).withColumn("text_length", F.length("text"))
+
+
+def all_video_ids(pages: DataFrame, html_col: str = "html", n: int = 30) -> DataFrame:
+    """Distinct video ids over many result pages (X3 per page, then ``distinct``)."""
+    return pages.select(F.explode(blob_video_ids(html_col, n)).alias("video_id")).distinct()
