@@ -553,14 +553,14 @@ def _run(query) -> None:
 def q_stream_daily(spark, d):
     out, ck = ZS.work_dir(spark, "daily"), ZS.work_dir(spark, "daily-ck")
     _run(ZS.running_counts(_events_stream(spark, d), "parsed_date", out, ck, unit="day"))
-    return spark.read.parquet(out).select("period", "rows", "total_engagement")
+    return ZS.read_period_table(spark, out)
 
 
 @register("stream_weekly_events")
 def q_stream_weekly(spark, d):
     out, ck = ZS.work_dir(spark, "weekly"), ZS.work_dir(spark, "weekly-ck")
     _run(ZS.running_counts(_events_stream(spark, d), "parsed_date", out, ck, unit="week"))
-    return spark.read.parquet(out).select("period", "rows", "total_engagement")
+    return ZS.read_period_table(spark, out)
 
 
 @register("stream_merge_docs")
@@ -582,4 +582,6 @@ def q_stream_spikes(spark, d):
     _run(ZS.running_counts(orders, "parsed_date", daily, ck1, unit="day"))
     alerts, ck2 = ZS.work_dir(spark, "alerts"), ZS.work_dir(spark, "alerts-ck")
     _run(ZS.spike_alerts_stream(spark, daily, alerts, ck2))
-    return spark.read.parquet(alerts).select("type", "severity", "date", "message", "value", "previous")
+    return (spark.read.parquet(alerts)
+            .select("type", "severity", F.date_format("date", "yyyy-MM-dd").alias("date"), "message", "value",
+                    "previous"))

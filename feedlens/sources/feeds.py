@@ -138,6 +138,12 @@ def first_positive_int(v: Column, keys: list[str], literal=(), fallback_roots=()
     return F.coalesce(*cands, F.lit(0).cast("bigint"))
 
 
+def _json_head(v: Column, key: str, literal=()) -> Column:
+    """First character of the value's JSON form: '"' string, '{' object, '[' array,
+    digit/'-' number, t/f boolean (cheaper than building the value's schema)."""
+    return F.substring(F.to_json(F.try_variant_get(v, _path(key, literal), "variant")), 1, 1)
+
+
 def first_str(v: Column, keys: list[str], literal=(), trimmed: bool = False, strict: bool = True) -> Column:
     """``a or b or c``: first non-empty *string* value (objects and numbers are
     skipped unless ``strict`` is False); N0c trims and skips blanks."""
@@ -145,8 +151,7 @@ def first_str(v: Column, keys: list[str], literal=(), trimmed: bool = False, str
     for k in keys:
         s = vget(v, k, "string", literal)
         if strict:
-            kind = F.schema_of_variant(F.try_variant_get(v, _path(k, literal), "variant"))
-            s = F.when(kind == "STRING", s)
+            s = F.when(_json_head(v, k, literal) == '"', s)
         if trimmed:
             s = F.trim(s)
         cands.append(F.nullif(s, F.lit("")))
@@ -154,8 +159,7 @@ def first_str(v: Column, keys: list[str], literal=(), trimmed: bool = False, str
 
 
 def _is_number(v: Column, key: str) -> Column:
-    t = F.schema_of_variant(F.try_variant_get(v, _path(key), "variant"))
-    return t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    return _json_head(v, key).rlike("^[-0-9]")
 
 
 def epoch_date(seconds: Column) -> Column:
@@ -298,8 +302,9 @@ def listing_posts(listings: DataFrame, terms: list[str] | None = None) -> DataFr
     """SRC6 + N1/N3/N11/U4: posts of listing pages (``v`` = VARIANT of a Listing).
     Keeps the first occurrence of a post id across pages (order: ``seq``, position)."""
     kids = listings.select(*[c for c in ("seq",) if c in listings.columns],
-                           F.variant_explode(F.try_variant_get("v", "$.data.children", "variant")))
-    kids = kids.select(*[c for c in ("seq",) if c in kids.columns], F.col("pos").alias("child_pos"),
+                           F.posexplode(F.try_variant_get("v", "$.data.children", "array<variant>"))
+                           .alias("child_pos", "value"))
+    kids = kids.select(*[c for c in ("seq",) if c in kids.columns], "child_pos",
                        F.try_variant_get("value", "$.data", "variant").alias("d"))
     d = F.col("d")
     rows = kids.select(

@@ -160,7 +160,7 @@ def format_date(col) -> Column:
     s = F.coalesce(_c(col).cast("string"), F.lit(""))
     iso = F.try_to_timestamp(F.regexp_replace(s, "Z$", "+00:00"))
     mon = F.regexp_extract(s, r"(\w{3})\s+(\d{1,2}),?\s+(\d{4})", 0)
-    mon_d = F.try_to_date(F.regexp_replace(F.regexp_replace(mon, ",", ""), r"\s+", " "), F.lit("MMM d yyyy"))
+    mon_d = F.try_to_date(F.regexp_replace(F.regexp_replace(mon, ",", ""), r"\s+", " "), "MMM d yyyy")
     return (F.when(s == "", F.lit(""))
              .when(s.rlike(r"^\d{4}-\d{2}-\d{2}") & iso.isNotNull(), F.date_format(iso, "yyyy-MM-dd"))
              .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s)

@@ -53,6 +53,7 @@ def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, posts_path
     b = language_flags(batch.where(F.col("text") != ""), lang_col).where("keep_lang")
     b = b.withColumn("_prank", platform_rank("platform", platform_order)).withColumn("dkey", dedup_key("text"))
     b = keep_first(b, "dkey", [F.col("_prank"), F.col("platform"), F.col("seq")])
+    keys = None
     if _table_exists(spark, posts_path):
         keys = b.select("dkey").persist()
         n = keys.count()
@@ -63,6 +64,8 @@ def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, posts_path
     (b.select(*cols, "dkey").withColumn("batch_id", F.lit(batch_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(posts_path))
+    if keys is not None:
+        keys.unpersist()
 
 
 def incremental_merge(spark: SparkSession, stream: DataFrame, posts_path: str, checkpoint: str,
@@ -106,8 +109,9 @@ def spike_alerts_stream(spark: SparkSession, daily_path: str, alerts_path: str,
     src = spark.readStream.schema("period string, rows long, total_engagement long").parquet(daily_path)
 
     def body(df, batch_id):
-        touched = df.select("period").distinct()
-        daily = spark.read.parquet(daily_path).select(F.to_date("period").alias("day"), "rows", "total_engagement")
+        touched = df.select(F.date_format("period", "yyyy-MM-dd").alias("period")).distinct()
+        daily = read_period_table(spark, daily_path).select(F.to_date("period").alias("day"), "rows",
+                                                             "total_engagement")
         alerts = AL.engagement_spikes(daily=daily).unionByName(AL.mention_spikes(daily=daily))
         hit = alerts.join(F.broadcast(touched.withColumnRenamed("period", "date")), "date", "left_semi")
         _upsert_by_partition(hit, alerts_path, "date")
@@ -117,6 +121,13 @@ def spike_alerts_stream(spark: SparkSession, daily_path: str, alerts_path: str,
     return w.start()
 
 
+def read_period_table(spark: SparkSession, path: str) -> DataFrame:
+    """The Z3 table with ``period`` as 'yyyy-MM-dd' text (partition values are
+    otherwise inferred as dates)."""
+    return spark.read.parquet(path).select(F.date_format("period", "yyyy-MM-dd").alias("period"),
+                                           "rows", "total_engagement")
+
+
 def read_stream_table(spark: SparkSession, sf_dir: str, table: str, schema_from: DataFrame,
                       max_files: int | None = None) -> DataFrame:
     """A file stream over one table of a directory (``pathGlobFilter``)."""

@@ -19,7 +19,7 @@ def test_stream_daily_equals_batch(spark):
     out, ck = ZS.work_dir(spark, "t-daily"), ZS.work_dir(spark, "t-daily-ck")
     q = ZS.running_counts(stream, "parsed_date", out, ck, unit="day")
     q.awaitTermination()
-    got = {(r.period, r.rows, r.total_engagement) for r in spark.read.parquet(out).collect()}
+    got = {(r.period, r.rows, r.total_engagement) for r in ZS.read_period_table(spark, out).collect()}
     batch = SR.daily_series(A.events_posts(spark, SF001))
     exp = {(str(r.day), r.rows, r.total_engagement) for r in batch.collect()}
     assert got == exp
