@@ -156,7 +156,7 @@ def run_alerts(posts: DataFrame, keywords: list[str] | None = None,
         ordered = p if ordered is None else ordered.unionByName(p)
     w = Window.partitionBy("message").orderBy("_type_rank", "_pos")
     first = ordered.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return (first.withColumn("alert_order", F.row_number().over(Window.orderBy("_type_rank", "_pos")))
+    return (first.withColumn("alert_order", F.row_number().over(Window.orderBy("_type_rank", "_pos")).cast("bigint"))
             .drop("_rn", "_type_rank", "_pos").orderBy("alert_order"))
 
 

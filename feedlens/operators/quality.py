@@ -86,7 +86,7 @@ def quality_issues(fixed: DataFrame, imbalance_pct: float = 70.0, low_sample: in
     out = rules[0]
     for r in rules[1:] + [plat.where(F.col("issue").isNotNull())]:
         out = out.unionByName(r)
-    return out.orderBy("rank", "sub").select(F.row_number().over(Window.orderBy("rank", "sub")).alias("issue_no"),
+    return out.orderBy("rank", "sub").select(F.row_number().over(Window.orderBy("rank", "sub")).cast("bigint").alias("issue_no"),
                                              "issue")
 
 

@@ -363,8 +363,9 @@ SELECT 'mention_spike' AS type, 'medium' AS severity, strftime(day, '%Y-%m-%d')
   CAST(NULL AS BIGINT) AS engagement, row_number() OVER (ORDER BY rows DESC, day) AS alert_pos
 FROM e2"""
 
-sql("daily_spikes_engagement", with_posts(ORDERS_POSTS) + E1_SQL)
-sql("daily_spikes_mentions", with_posts(ORDERS_POSTS) + E2_SQL)
+_SPIKE_COLS = "type, severity, date, message, value, previous, alert_pos"
+sql("daily_spikes_engagement", f"SELECT {_SPIKE_COLS} FROM ({with_posts(ORDERS_POSTS) + E1_SQL})")
+sql("daily_spikes_mentions", f"SELECT {_SPIKE_COLS} FROM ({with_posts(ORDERS_POSTS) + E2_SQL})")
 
 
 def viral_sql(src: str, mult: float) -> str:
@@ -381,7 +382,8 @@ SELECT 'viral_post' AS type, 'info' AS severity, CAST(NULL AS VARCHAR) AS date,
 FROM v"""
 
 
-sql("viral_posts", with_posts(EVENTS_POSTS) + viral_sql("events_posts", 5))
+sql("viral_posts", "SELECT type, severity, message, platform, engagement, alert_pos FROM ("
+    + with_posts(EVENTS_POSTS) + viral_sql("events_posts", 5) + ")")
 
 
 def keyword_trends_sql(src: str, kws) -> str:
@@ -409,7 +411,8 @@ SELECT 'keyword_new', 'low', NULL,
 FROM c WHERE old_count = 0 AND new_count >= 5"""
 
 
-sql("keyword_trends", with_posts(DOC_POSTS) + keyword_trends_sql("doc_posts", DOC_KEYWORDS))
+sql("keyword_trends", "SELECT type, severity, message, keyword, alert_pos FROM ("
+    + with_posts(DOC_POSTS) + keyword_trends_sql("doc_posts", DOC_KEYWORDS) + ")")
 
 
 _parts = [with_posts(ORDERS_POSTS) + E1_SQL, with_posts(ORDERS_POSTS) + E2_SQL,

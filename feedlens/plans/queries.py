@@ -215,24 +215,29 @@ def q_weekly_by_platform(spark, d):
     return SR.weekly_by_platform(A.orders_posts(spark, d))
 
 
+SPIKE_COLUMNS = ["type", "severity", "date", "message", "value", "previous", "alert_pos"]
+
+
 @register("daily_spikes_engagement")
 def q_spikes_engagement(spark, d):
-    return AL.engagement_spikes(A.orders_posts(spark, d))
+    return AL.engagement_spikes(A.orders_posts(spark, d)).select(*SPIKE_COLUMNS)
 
 
 @register("daily_spikes_mentions")
 def q_spikes_mentions(spark, d):
-    return AL.mention_spikes(A.orders_posts(spark, d))
+    return AL.mention_spikes(A.orders_posts(spark, d)).select(*SPIKE_COLUMNS)
 
 
 @register("viral_posts")
 def q_viral(spark, d):
-    return AL.viral_posts(A.events_posts(spark, d), multiplier=5)
+    return AL.viral_posts(A.events_posts(spark, d), multiplier=5).select(
+        "type", "severity", "message", "platform", "engagement", "alert_pos")
 
 
 @register("keyword_trends")
 def q_keyword_trends(spark, d):
-    return AL.keyword_trends(A.doc_posts(spark, d), DOC_KEYWORDS)
+    return AL.keyword_trends(A.doc_posts(spark, d), DOC_KEYWORDS).select(
+        "type", "severity", "message", "keyword", "alert_pos")
 
 
 def _all_alerts(spark, d):

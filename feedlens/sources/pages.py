@@ -105,7 +105,7 @@ def page_anchors(pages: DataFrame, html_col: str = "html", id_col: str = "page_i
     anchors = pages.select(id_col, F.posexplode(F.regexp_extract_all(h, F.lit(ANCHOR), 0)).alias("pos", "a"))
     href = F.regexp_extract("a", ANCHOR, 1)
     text = F.regexp_extract("a", ANCHOR, 2)
-    return anchors.select(id_col, "pos", unwrap_redirect(html_unescape(href)).alias("link"),
+    return anchors.select(id_col, F.col("pos").cast("bigint").alias("pos"), unwrap_redirect(html_unescape(href)).alias("link"),
                           _strip_tags(text).alias("title"))
 
 
