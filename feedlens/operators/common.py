@@ -33,9 +33,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 
     ``df`` is persisted first so the check does not recompute it later.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if cached.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def small_values(df: DataFrame, col: str, max_rows: int = BROADCAST_MAX_ROWS) -> list | None:

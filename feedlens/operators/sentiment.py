@@ -110,7 +110,8 @@ def _is_upper(t: Column) -> Column:
     return (F.upper(t) == t) & (F.lower(t) != t)
 
 
-def _with_token_columns(df: DataFrame, text: Column, lex: Column | None, vals: Column | None) -> DataFrame:
+def _with_token_columns(df: DataFrame, text: Column, lex: Column | None, vals: Column | None,
+                        boost: Column, negs: Column) -> DataFrame:
     """Per-row arrays computed once: tokens ``_w``, lower-case ``_wl``, valences
     ``_v`` (null = not in the lexicon), the lexicon-hit positions ``_hits`` and
     the cap-differential flag.  Context rules are then evaluated only at the hit
@@ -121,7 +122,10 @@ def _with_token_columns(df: DataFrame, text: Column, lex: Column | None, vals: C
         df = df.withColumn("_v", F.transform("_wl", lambda t: F.try_element_at(lex, t)))
     else:
         df = df.withColumn("_v", vals)
-    caps = F.size(F.filter("_w", _is_upper))
+    df = (df.withColumn("_b", F.transform("_wl", lambda t: F.coalesce(F.try_element_at(boost, t), F.lit(0.0))))
+            .withColumn("_n", F.transform("_wl", lambda t: F.array_contains(negs, t) | t.contains("n't")))
+            .withColumn("_u", F.transform("_w", _is_upper)))
+    caps = F.size(F.filter("_u", lambda x: x))
     df = df.withColumn("_capdiff", (caps > 0) & (caps < F.size("_w")))
     idx = F.sequence(F.lit(0), F.size("_w") - 1)
     hits = F.filter(F.when(F.size("_w") > 0, idx).otherwise(F.array().cast("array<int>")),
@@ -129,35 +133,32 @@ def _with_token_columns(df: DataFrame, text: Column, lex: Column | None, vals: C
     return df.withColumn("_hits", hits).withColumn("_but", F.array_position("_wl", "but"))
 
 
-TOKEN_COLUMNS = ["_w", "_wl", "_v", "_capdiff", "_hits", "_but"]
+TOKEN_COLUMNS = ["_w", "_wl", "_v", "_b", "_n", "_u", "_capdiff", "_hits", "_but"]
 
 
-def _score_expr(text: Column, boost: Column, negs: Column) -> Column:
+def _score_expr(text: Column) -> Column:
     """Compound score from the per-row arrays of :func:`_with_token_columns`."""
-    w, wl, vals, capdiff = F.col("_w"), F.col("_wl"), F.col("_v"), F.col("_capdiff")
+    vals, bst, neg, up, capdiff = F.col("_v"), F.col("_b"), F.col("_n"), F.col("_u"), F.col("_capdiff")
+    wl = F.col("_wl")
 
     def at(arr: Column, idx0: Column) -> Column:
         # idx0 is 0-based; element_at is 1-based and counts from the end for negatives
         return F.when(idx0 >= 0, F.try_element_at(arr, (idx0 + 1).cast("int")))
 
-    def negated(word: Column) -> Column:
-        return F.array_contains(negs, word) | word.contains("n't")
-
     def hit_valence(i: Column) -> Column:
-        t, tl, v = at(w, i), at(wl, i), at(vals, i)
-        is_boost = F.coalesce(F.try_element_at(boost, tl), F.lit(0.0)) != 0
-        caps_adj = F.when(capdiff & _is_upper(t), F.when(v > 0, C_INCR).otherwise(-C_INCR)).otherwise(0.0)
+        v = at(vals, i)
+        is_boost = at(bst, i) != 0
+        caps_adj = F.when(capdiff & at(up, i), F.when(v > 0, C_INCR).otherwise(-C_INCR)).otherwise(0.0)
 
         def step(acc: Column, k: Column) -> Column:
             j = i - k
-            pw, pwl = at(w, j), at(wl, j)
             applies = (j >= 0) & at(vals, j).isNull()
-            pb = F.coalesce(F.try_element_at(boost, pwl), F.lit(0.0))
+            pb = F.coalesce(at(bst, j), F.lit(0.0))
             b = F.when(acc < 0, -pb).otherwise(pb)
-            b = F.when((pb != 0) & _is_upper(pw) & capdiff, b + F.when(acc > 0, C_INCR).otherwise(-C_INCR)).otherwise(b)
+            b = F.when((pb != 0) & at(up, j) & capdiff, b + F.when(acc > 0, C_INCR).otherwise(-C_INCR)).otherwise(b)
             damp = F.when(k == 2, DISTANCE_DAMP[1]).when(k == 3, DISTANCE_DAMP[2]).otherwise(DISTANCE_DAMP[0])
             boosted = acc + F.when(pb != 0, b * damp).otherwise(0.0)
-            return F.when(applies, F.when(negated(pwl), boosted * N_SCALAR).otherwise(boosted)).otherwise(acc)
+            return F.when(applies, F.when(at(neg, j), boosted * N_SCALAR).otherwise(boosted)).otherwise(acc)
 
         acc = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), v + caps_adj, step)
         val = F.when(is_boost, F.lit(0.0)).otherwise(acc)
@@ -191,8 +192,8 @@ def lexicon_sentiment(posts: DataFrame, lexicon: dict | DataFrame | None = None,
     short = F.length(S.ustrip(text)) < MIN_CHARS
     if lexicon is None or isinstance(lexicon, dict):
         lex = _map_literal(lexicon if lexicon is not None else DEFAULT_LEXICON)
-        base = _with_token_columns(posts, text, lex, None)
-        score = F.when(short, F.lit(0.0)).otherwise(_score_expr(text, boost, negs))
+        base = _with_token_columns(posts, text, lex, None, boost, negs)
+        score = F.when(short, F.lit(0.0)).otherwise(_score_expr(text))
         out = base.withColumn("sentiment_score", score).drop(*TOKEN_COLUMNS)
     else:
         rows = lexicon.limit(MAX_MAP_ENTRIES + 1).count()
@@ -213,8 +214,8 @@ def _join_path(posts, lexicon, boost, negs, text_col, id_col, short):
     vals = valued.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "valence"))), lambda s: s["valence"]).alias("_vals"))
     j = base.join(vals, id_col, "left")
-    j = _with_token_columns(j, text, None, F.coalesce("_vals", F.array().cast("array<double>")))
-    return (j.withColumn("sentiment_score", F.when(short, F.lit(0.0)).otherwise(_score_expr(text, boost, negs)))
+    j = _with_token_columns(j, text, None, F.coalesce("_vals", F.array().cast("array<double>")), boost, negs)
+    return (j.withColumn("sentiment_score", F.when(short, F.lit(0.0)).otherwise(_score_expr(text)))
             .drop(*TOKEN_COLUMNS, "_vals"))
 
 
