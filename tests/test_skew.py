@@ -27,7 +27,7 @@ def test_dedup_with_hot_key(spark):
 
 def test_group_summary_with_hot_platform(spark):
     df = _skewed(spark)
-    got = {r.platform: (r.rows, r.total_engagement) for r in SM.platform_summary(df).collect()}
+    got = {r.platform: (r.rows, r.total_engagement) for r in SM.group_summary(df, "platform").collect()}
     exp = {}
     for r in df.collect():
         c, t = exp.get(r.platform, (0, 0))
