@@ -66,11 +66,30 @@ def normalize_date(col) -> Column:
 
 
 def clean_text(col) -> Column:
-    """S3: strip, collapse runs of spaces/tabs, at most two consecutive newlines, strip."""
+    """S3: strip, collapse runs of spaces/tabs, at most two consecutive newlines.
+    (A second strip would be a no-op: after the first one both ends are
+    non-space, and the replacements only rewrite inner runs.)"""
     t = ustrip(F.coalesce(_c(col).cast("string"), F.lit("")))
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return ustrip(t)
+    t = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")
+    return F.regexp_replace(t, r"\n{3,}", "\n\n")
+
+
+def lstrip(col) -> Column:
+    return F.regexp_replace(_c(col), rf"^{WS_CLASS}+", "")
+
+
+def rstrip(col) -> Column:
+    return F.regexp_replace(_c(col), rf"{WS_CLASS}+$", "")
+
+
+def stripped_prefix(col, n: int) -> Column:
+    """``text.strip()[:n]`` without rewriting the whole text: strip the start,
+    cut ``n`` code points, and strip the end of the cut only when everything
+    after it is white space."""
+    lt = lstrip(F.coalesce(_c(col), F.lit("")))
+    head = F.substring(lt, 1, n)
+    rest_blank = F.substring(lt, n + 1, 2147483647).rlike(rf"^{WS_CLASS}*$")
+    return F.when(rest_blank, rstrip(head)).otherwise(head)
 
 
 def content_type(platform, raw, defaults: dict | None = None,

@@ -19,9 +19,10 @@ DEDUP_PREFIX = 200
 
 
 def dedup_key(text_col="text", prefix: int = DEDUP_PREFIX) -> Column:
-    """U2 key: first ``prefix`` code points of lower(strip(text))."""
+    """U2 key: first ``prefix`` code points of lower(strip(text)).  Lower-casing
+    never shortens text, so it is applied to the stripped prefix only."""
     t = F.col(text_col) if isinstance(text_col, str) else text_col
-    return F.substring(F.lower(S.ustrip(F.coalesce(t, F.lit("")))), 1, prefix)
+    return F.substring(F.lower(S.stripped_prefix(t, prefix)), 1, prefix)
 
 
 def platform_rank(platform_col: str = "platform", order=None) -> Column:

@@ -9,6 +9,7 @@ joined to the table instead (broadcast only after a size check).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,7 +151,7 @@ def emerging_terms(posts: DataFrame, stopwords: list[str] | None = None,
     n_dated = h.select(F.count(F.lit(1))).scalar()
     toks = h.select("is_new", F.explode(TX.tokens("text", stop)).alias("term"))
     counts = toks.groupBy("term").agg(F.count_if(~F.col("is_new")).alias("old_count"),
-                                      F.count_if("is_new").alias("new_count"))
+                                      F.count_if("is_new").alias("new_count")).persist(StorageLevel.MEMORY_AND_DISK)
     ot = counts.select(F.greatest(F.sum("old_count"), F.lit(1))).scalar()
     nt = counts.select(F.greatest(F.sum("new_count"), F.lit(1))).scalar()
     c = counts.where(F.col("new_count") > 0).orderBy(F.desc("new_count"), "term").limit(candidates)

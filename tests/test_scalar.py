@@ -61,3 +61,11 @@ def test_preview_and_format(spark):
     nums = spark.createDataFrame([(1234.5, 12.34, 1234567)], "a double, b double, c long")
     r = nums.select(S.format_number("a", True), S.format_number("b", True), S.format_number("c", False)).first()
     assert tuple(r) == (f"{1234.5:,.0f}", "12.3", "1,234,567")
+
+
+def test_stripped_prefix_equals_python(spark):
+    cases = ["  abc  ", "a" * 199 + "   " + "b", "a" * 198 + "  ", "a" * 200 + "  \n", " x" + " " * 300,
+             "😀" * 150 + "  " + "😀" * 100, "", "   ", "a" * 199 + " " + " " * 50 + "z", "a" * 199 + " " + " " * 50]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r[0] for r in df.select(S.stripped_prefix("t", 200)).collect()]
+    assert got == [c.strip()[:200] for c in cases]
