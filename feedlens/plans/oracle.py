@@ -779,3 +779,52 @@ sql("stream_spike_alerts", f"""
 SELECT type, severity, date, message, value, previous FROM ({with_posts(ORDERS_POSTS) + E1_SQL})
 UNION ALL
 SELECT type, severity, date, message, value, previous FROM ({with_posts(ORDERS_POSTS) + E2_SQL})""")
+
+
+# --- more source operators -------------------------------------------------------------------
+def _py_clean_long(e: str) -> str:
+    t = f"replace(replace(replace({e}, chr(13) || chr(10), ' '), chr(13), ' '), chr(10), ' ')"
+    t = f"regexp_replace({t}, 'https?://\\S+', '', 'g')"
+    t = f"regexp_replace({t}, 'www\\.\\S+', '', 'g')"
+    t = f"regexp_replace({t}, '\\S+@\\S+\\.\\S+', '', 'g')"
+    t = f"regexp_replace({t}, '#([\\p{{L}}\\p{{N}}_]+)', '\\1', 'g')"
+    t = f"regexp_replace({t}, '{_re(_PG.EMOJI_RANGES)}', ' ', 'g')"
+    t = f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{N}}_])\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+    t = f"regexp_replace({t}, '[-=*_]{{3,}}', ' ', 'g')"
+    t = f"regexp_replace({t}, '{_re(_PG.CALL_TO_ACTION)}', '', 'g')"
+    t = f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+    return (f"CASE WHEN length({t}) > 500 THEN regexp_replace(left({t}, 500), ' [^ ]*$', '') || '...' "
+            f"ELSE {t} END")
+
+
+sql("video_rows", "WITH vm AS (" + ORACLE["page_title"] + f"""),
+v AS (SELECT page_id, url, likes, comments, views, published,
+        {_py_clean_long("CASE WHEN description <> '' THEN title || '. ' || description ELSE title END")} AS text
+      FROM vm)
+SELECT 'youtube' AS platform, text, likes, comments, views,
+  CASE WHEN published = '' THEN '' ELSE left(published, 10) END AS date, likes + comments AS engagement,
+  'video' AS content_type, coalesce(url, '') AS url, page_id, CAST(length(text) AS INTEGER) AS text_length
+FROM v WHERE length(text) >= 10""")
+
+sql("source_dedup_text", with_posts(DOC_POSTS) + """
+SELECT platform, seq, text_length FROM (
+  SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY seq) AS rn FROM doc_posts
+  WHERE lower(trim(text)) <> '') WHERE rn = 1""")
+
+sql("source_lang_filter", LANG_PRED + """
+SELECT p.doc_id, d.lang FROM pred p JOIN documents d USING (doc_id)
+WHERE length(d.text) < 21 OR p.lang IS NULL OR p.lang = 'en'""")
+
+from feedlens.plans.queries import LISTING_TERMS_DOCS  # noqa: E402
+
+_TERMS = " OR ".join(f"contains(lower(title || ' ' || coalesce(selftext, '')), '{t}')" for t in LISTING_TERMS_DOCS)
+sql("listing_posts", f"""
+WITH c AS (SELECT conv_id, turn, role || ' turn ' || CAST(turn AS VARCHAR) AS title, text AS selftext FROM conversations),
+r AS (SELECT *, {ustrip(unescape("coalesce(selftext, '')"))} AS body FROM c WHERE {_TERMS})
+SELECT 'reddit' AS platform,
+  CASE WHEN body <> '' AND body NOT IN ('[removed]', '[deleted]') THEN title || '. ' || body ELSE title END AS text,
+  CAST(turn * 2 AS BIGINT) AS likes, CAST(turn AS BIGINT) AS comments, CAST(0 AS BIGINT) AS views,
+  strftime(to_timestamp(1704067200 + conv_id * 3600 + turn * 60), '%Y-%m-%d %H:%M:%S') AS date,
+  CAST(turn * 3 AS BIGINT) AS engagement, 'post' AS content_type,
+  'https://reddit.com/r/conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS url
+FROM r""")

@@ -590,3 +590,55 @@ def q_stream_spikes(spark, d):
     return (spark.read.parquet(alerts)
             .select("type", "severity", F.date_format("date", "yyyy-MM-dd").alias("date"), "message", "value",
                     "previous"))
+
+
+# --- Phase 8b: more source operators over the given tables -------------------------------
+
+
+@register("video_rows")
+def q_video_rows(spark, d):
+    return PG.video_rows(PG.page_metrics(A.read_table(spark, d, "pages")))
+
+
+@register("source_dedup_text")
+def q_source_dedup_text(spark, d):
+    return FD.dedup_source(A.doc_posts(spark, d), "lower_text", [F.col("seq")]).select(
+        "platform", "seq", "text_length")
+
+
+@register("source_lang_filter")
+def q_source_lang_filter(spark, d):
+    from pyspark import StorageLevel
+    docs = _docs(spark, d)
+    grams = LI.doc_grams(docs, "text", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    model = LI.fit(docs, grams=grams, id_col="doc_id")
+    posts = docs.select("doc_id", "text", "lang")
+    return LI.source_language_filter(posts, model, id_col="doc_id").select("doc_id", "lang")
+
+
+LISTING_TERMS_DOCS = ["the", "und"]
+
+
+def conversations_as_listings(spark, d):
+    """Each conversation rendered as a forum listing page of its turns (t3 posts);
+    a second page repeats every conversation's first turn (same post id)."""
+    c = A.read_table(spark, d, "conversations")
+    post = F.struct(F.lit("t3").alias("kind"), F.struct(
+        F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("id"),
+        F.concat(F.col("role"), F.lit(" turn "), F.col("turn").cast("string")).alias("title"),
+        F.col("text").alias("selftext"), (F.col("turn") * 2).alias("score"), F.col("turn").alias("num_comments"),
+        (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_utc"),
+        F.concat(F.lit("/r/conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+         .alias("permalink")).alias("data"))
+    pages = c.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", F.to_json(post).alias("j")))).alias("t"))
+    listing = lambda arr: F.concat(F.lit('{"kind":"Listing","data":{"children":['),
+                                   F.array_join(F.transform(arr, lambda x: x["j"]), ","), F.lit("]}}"))
+    first = pages.select((F.col("conv_id") * 2 + 1).alias("seq"), listing(F.slice("t", 1, 1)).alias("raw"))
+    full = pages.select((F.col("conv_id") * 2).alias("seq"), listing(F.col("t")).alias("raw"))
+    return FD.parse_items(full.unionByName(first))
+
+
+@register("listing_posts")
+def q_listing_posts(spark, d):
+    return FD.listing_posts(conversations_as_listings(spark, d), LISTING_TERMS_DOCS).drop("permalink")
