@@ -77,7 +77,9 @@ def language_flags(posts: DataFrame, lang_col: str = "lang", language: str = sch
 
 def merge_posts(cleaned: DataFrame, lang_col: str = "lang", platform_order=None,
                 existing: DataFrame | None = None, with_stats: bool = False):
-    """U1 + S7 + S4 + U2 (+ J7): cleaned rows of all sources -> merged posts.
+    """U1 + S7 + S4 + U2 (+ J7): cleaned rows of all sources (text already through
+    :func:`feedlens.functions.scalar.clean_text`, as :func:`feedlens.sources.raw.clean_raw`
+    produces) -> merged posts.
 
     ``existing`` (append mode) is trusted as is and wins over incoming rows.
     Returns the merged frame, or ``(merged, stats)`` with A20 per-platform stats.
@@ -91,10 +93,14 @@ def merge_posts(cleaned: DataFrame, lang_col: str = "lang", platform_order=None,
         incoming = incoming.withColumn("platform_rank", platform_rank("platform", platform_order))
     inc = incoming.select(*cols, "platform_rank", "source_rank")
     if existing is not None:
-        ex = existing.select(*cols).withColumn("platform_rank", F.lit(-1)).withColumn("source_rank", F.lit(0))
+        # Existing rows are trusted as they are, except that an empty dedup key is dropped.
+        ex = (existing.select(*cols).where(dedup_key("text") != "")
+              .withColumn("platform_rank", F.lit(-1)).withColumn("source_rank", F.lit(0)))
         inc = ex.unionByName(inc)
+    # Incoming texts are cleaned and non-empty, so their keys are non-empty: no
+    # second emptiness filter (it would re-evaluate the cleaning expressions).
     merged = keep_first(inc, dedup_key("text"), [F.col("source_rank"), F.col("platform_rank"),
-                                                 F.col("platform"), F.col("seq")])
+                                                 F.col("platform"), F.col("seq")], drop_empty=False)
     merged = merged.drop("platform_rank", "source_rank")
     if not with_stats:
         return merged
