@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from feedlens import schema
 from feedlens.functions import pyfmt
+from feedlens.functions.template import fill
 from feedlens.operators.common import broadcast_if_small, median_col
 from feedlens.operators.ranks import with_half
 from feedlens.operators.series import daily_series, rolling_baseline
@@ -66,9 +67,8 @@ def engagement_spikes(posts: DataFrame | None = None, daily: DataFrame | None =
             & (F.col("cur") > min_value) & (F.col("_prev") > 0) & (F.col("cur") / F.col("_prev") >= ratio))
     top = _ranked(_capped(b.where(cond).orderBy(F.desc("cur"), "day"), cap), [F.desc("cur"), F.asc("day")])
     day = F.date_format("day", "yyyy-MM-dd")
-    msg = F.concat(F.lit("Engagement spiked "), pyfmt.fixed(F.col("cur") / F.col("_prev"), 1), F.lit("x on "), day,
-                   F.lit(" ("), pyfmt.trunc_int("_prev"), F.lit(" -> "), pyfmt.trunc_int("cur"),
-                   F.lit(", 7d avg: "), pyfmt.trunc_int("_mean"), F.lit(")"))
+    msg = fill(schema.MSG_ENGAGEMENT_SPIKE, ratio=pyfmt.fixed(F.col("cur") / F.col("_prev"), 1), date=day,
+               prev=pyfmt.trunc_int("_prev"), cur=pyfmt.trunc_int("cur"), avg=pyfmt.trunc_int("_mean"))
     return _conform(top.select(F.lit("engagement_spike").alias("type"), F.lit("high").alias("severity"),
                                day.alias("date"), msg.alias("message"),
                                F.col("cur").cast("bigint").alias("value"),
@@ -85,9 +85,8 @@ def mention_spikes(posts: DataFrame | None = None, daily: DataFrame | None = Non
             & (F.col("cur") >= min_value) & (F.col("_prev") > 0))
     top = _ranked(_capped(b.where(cond).orderBy(F.desc("cur"), "day"), cap), [F.desc("cur"), F.asc("day")])
     day = F.date_format("day", "yyyy-MM-dd")
-    msg = F.concat(F.lit("Mentions jumped "), pyfmt.fixed(F.col("cur") / F.col("_prev"), 1), F.lit("x on "), day,
-                   F.lit(" ("), F.col("_prev").cast("string"), F.lit(" -> "), F.col("cur").cast("string"),
-                   F.lit(" posts, 7d avg: "), pyfmt.fixed("_mean", 0), F.lit(")"))
+    msg = fill(schema.MSG_MENTION_SPIKE, ratio=pyfmt.fixed(F.col("cur") / F.col("_prev"), 1), date=day,
+               prev=F.col("_prev"), cur=F.col("cur"), avg=pyfmt.fixed("_mean", 0))
     return _conform(top.select(F.lit("mention_spike").alias("type"), F.lit("medium").alias("severity"),
                                day.alias("date"), msg.alias("message"),
                                F.col("cur").cast("bigint").alias("value"),
@@ -114,14 +113,11 @@ def keyword_trends(posts: DataFrame, keywords: list[str] | None = None,
     old_rate, new_rate = F.col("old_count") / n_old, F.col("new_count") / n_new
     trending = c.where((old_rate > 0) & (new_rate / old_rate >= ratio)).select(
         "kw_rank", F.lit(0).alias("_sub"), F.lit("keyword_trending").alias("type"), F.lit("medium").alias("severity"),
-        F.concat(F.lit('Keyword "'), F.col("keyword"), F.lit('" trending up — '),
-                 pyfmt.fixed(new_rate / old_rate, 1), F.lit("x more frequent in recent data ("),
-                 F.col("old_count").cast("string"), F.lit(" -> "), F.col("new_count").cast("string"),
-                 F.lit(")")).alias("message"), "keyword")
+        fill(schema.MSG_KEYWORD_TRENDING, keyword=F.col("keyword"), ratio=pyfmt.fixed(new_rate / old_rate, 1),
+             old=F.col("old_count"), new=F.col("new_count")).alias("message"), "keyword")
     new = c.where((F.col("old_count") == 0) & (F.col("new_count") >= new_min)).select(
         "kw_rank", F.lit(1).alias("_sub"), F.lit("keyword_new").alias("type"), F.lit("low").alias("severity"),
-        F.concat(F.lit('New keyword detected: "'), F.col("keyword"), F.lit('" appeared '),
-                 F.col("new_count").cast("string"), F.lit(" times in recent data")).alias("message"), "keyword")
+        fill(schema.MSG_KEYWORD_NEW, keyword=F.col("keyword"), new=F.col("new_count")).alias("message"), "keyword")
     both = trending.unionByName(new).withColumn("alert_pos", (F.col("kw_rank") * 2 + F.col("_sub") + 1).cast("bigint"))
     return _conform(both.orderBy("alert_pos").drop("kw_rank", "_sub"))
 
@@ -135,9 +131,8 @@ def viral_posts(posts: DataFrame, multiplier: float = schema.VIRAL_MULTIPLIER, c
     cond = (F.col("_med") > 0) & (F.col("engagement") > F.col("_med") * multiplier)
     order = [F.desc("engagement")] + [F.asc(c) for c in ("seq", "platform") if c in j.columns]
     top = _ranked(j.where(cond).orderBy(*order).limit(cap), order)
-    msg = F.concat(F.lit("Viral post on "), F.col("platform"), F.lit(": "), pyfmt.trunc_int("engagement"),
-                   F.lit(" engagement (median "), pyfmt.trunc_int("_med"), F.lit(") — "),
-                   F.substring(F.coalesce("text", F.lit("")), 1, 60), F.lit("..."))
+    msg = fill(schema.MSG_VIRAL, platform=F.col("platform"), engagement=pyfmt.trunc_int("engagement"),
+               median=pyfmt.trunc_int("_med"), preview=F.substring(F.coalesce("text", F.lit("")), 1, 60))
     return _conform(top.select(F.lit("viral_post").alias("type"), F.lit("info").alias("severity"),
                                msg.alias("message"), "platform", F.col("engagement").cast("bigint").alias("engagement"),
                                "alert_pos"))
@@ -181,7 +176,7 @@ def write_alerts(spark: SparkSession, alerts: DataFrame, json_path: str, summary
     ordered = alerts.orderBy("alert_order") if "alert_order" in alerts.columns else alerts
     ordered.coalesce(1).write.mode("overwrite").json(json_path)  # bounded by the alert caps
     lines = ordered.select(F.format_string("[%s] %s", F.upper("severity"), "message").alias("value"))
-    empty = spark.createDataFrame([("No alerts triggered.",)], "value string")
+    empty = spark.createDataFrame([(schema.MSG_NO_ALERTS,)], "value string")
     has_any = lines.select(F.count(F.lit(1))).scalar()
     out = lines.unionByName(empty.where(has_any == 0))
     out.coalesce(1).write.mode("overwrite").text(summary_path)

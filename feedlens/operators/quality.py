@@ -12,7 +12,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedlens import schema
 from feedlens.functions import pyfmt
+from feedlens.functions.template import fill
 from feedlens.functions import scalar as S
 from feedlens.operators.common import with_dates
 
@@ -62,27 +64,23 @@ def quality_issues(fixed: DataFrame, imbalance_pct: float = 70.0, low_sample: in
     rules = [
         m.where(F.col("negative_engagement_fixed") > 0).select(
             F.lit(0).alias("rank"), F.lit(0).alias("sub"),
-            F.format_string("Fixed %d rows with negative engagement (set to 0)", "negative_engagement_fixed")
-             .alias("issue")),
+            fill(schema.MSG_NEGATIVE_FIXED, n=F.col("negative_engagement_fixed")).alias("issue")),
         m.where(F.col("future_dates_cleared") > 0).select(
             F.lit(1).alias("rank"), F.lit(0).alias("sub"),
-            F.format_string("Cleared %d future timestamps", "future_dates_cleared").alias("issue")),
+            fill(schema.MSG_FUTURE_CLEARED, n=F.col("future_dates_cleared")).alias("issue")),
         m.where(F.col("urls_missing") > F.col("rows_before") * url_missing_share).select(
             F.lit(2).alias("rank"), F.lit(0).alias("sub"),
-            F.concat(F.lit("Low URL coverage: "), F.col("url_coverage_pct").cast("string"), F.lit("% ("),
-                     F.col("urls_present").cast("string"), F.lit("/"), F.col("rows_before").cast("string"),
-                     F.lit(")")).alias("issue")),
+            fill(schema.MSG_LOW_URL, pct=F.col("url_coverage_pct"), present=F.col("urls_present"),
+                 total=F.col("rows_before")).alias("issue")),
     ]
     shares = platform_shares(fixed)
     pos = F.row_number().over(Window.orderBy(F.desc("count"), "platform"))  # one row per platform
     plat = shares.withColumn("sub", pos).select(
         F.lit(3).alias("rank"), "sub",
         F.when(F.col("_pct") > imbalance_pct,
-               F.concat(F.lit("Platform imbalance: "), F.col("platform"), F.lit(" = "),
-                        pyfmt.fixed("_pct", 1), F.lit("% of dataset")))
+               fill(schema.MSG_IMBALANCE, platform=F.col("platform"), pct=pyfmt.fixed("_pct", 1)))
          .when(F.col("count") < low_sample,
-               F.concat(F.lit("Low sample: "), F.col("platform"), F.lit(" has only "),
-                        F.col("count").cast("string"), F.lit(" rows"))).alias("issue"))
+               fill(schema.MSG_LOW_SAMPLE, platform=F.col("platform"), n=F.col("count"))).alias("issue"))
     out = rules[0]
     for r in rules[1:] + [plat.where(F.col("issue").isNotNull())]:
         out = out.unionByName(r)

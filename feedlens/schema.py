@@ -105,6 +105,19 @@ SENTIMENT_NEGATIVE = -0.05
 # Content types counted as "visual" by the Mann-Whitney test.
 VISUAL_TYPES = ["video", "reel", "carousel_album"]
 
+# Message templates (fixed values; numbers are formatted before filling).
+MSG_ENGAGEMENT_SPIKE = "Engagement spiked {ratio}x on {date} ({prev} -> {cur}, 7d avg: {avg})"
+MSG_MENTION_SPIKE = "Mentions jumped {ratio}x on {date} ({prev} -> {cur} posts, 7d avg: {avg})"
+MSG_KEYWORD_TRENDING = 'Keyword "{keyword}" trending up — {ratio}x more frequent in recent data ({old} -> {new})'
+MSG_KEYWORD_NEW = 'New keyword detected: "{keyword}" appeared {new} times in recent data'
+MSG_VIRAL = "Viral post on {platform}: {engagement} engagement (median {median}) — {preview}..."
+MSG_NEGATIVE_FIXED = "Fixed {n} rows with negative engagement (set to 0)"
+MSG_FUTURE_CLEARED = "Cleared {n} future timestamps"
+MSG_LOW_URL = "Low URL coverage: {pct}% ({present}/{total})"
+MSG_IMBALANCE = "Platform imbalance: {platform} = {pct}% of dataset"
+MSG_LOW_SAMPLE = "Low sample: {platform} has only {n} rows"
+MSG_NO_ALERTS = "No alerts triggered."
+
 # ---------------------------------------------------------------------------
 # Spark schemas
 # ---------------------------------------------------------------------------
