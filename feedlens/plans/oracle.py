@@ -828,3 +828,26 @@ SELECT 'reddit' AS platform,
   CAST(turn * 3 AS BIGINT) AS engagement, 'post' AS content_type,
   'https://reddit.com/r/conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS url
 FROM r""")
+
+
+# --- raw CSV round trip ------------------------------------------------------------------------
+_RAW = f"""
+WITH r AS (
+  SELECT CASE o_orderstatus WHEN 'F' THEN 'reddit' WHEN 'O' THEN 'youtube' ELSE 'threads' END AS platform,
+    {clean("'  Order ' || CAST(o_orderkey AS VARCHAR) || chr(9) || chr(9) || 'for customer ' || CAST(o_custkey AS VARCHAR) || '  '")} AS text,
+    {safe_int("format('{:,.0f}', o_totalprice)")} AS likes,
+    CAST(o_custkey AS BIGINT) AS comments,
+    CASE WHEN o_orderstatus = 'P' THEN 0 ELSE CAST(o_orderkey AS BIGINT) END AS views,
+    strftime(o_orderdate, '%Y-%m-%d') AS date,
+    CASE WHEN o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED') THEN 0
+         ELSE {safe_int("CAST(round(o_totalprice) AS VARCHAR)")} END AS eng_raw,
+    CASE WHEN o_orderpriority = '1-URGENT'
+         THEN CASE o_orderstatus WHEN 'O' THEN 'video' WHEN 'P' THEN 'thread' ELSE 'post' END
+         ELSE lower(o_orderstatus) END AS content_type,
+    'https://shop.example/' || CAST(o_orderkey AS VARCHAR) AS url
+  FROM orders)
+SELECT platform, text, likes, comments, views, date,
+  CASE WHEN eng_raw > 0 THEN eng_raw ELSE likes + comments END AS engagement,
+  content_type, url, CAST(length(text) AS INTEGER) AS text_length
+FROM r"""
+sql("raw_csv_roundtrip", _RAW)

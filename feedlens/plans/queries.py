@@ -642,3 +642,45 @@ def conversations_as_listings(spark, d):
 @register("listing_posts")
 def q_listing_posts(spark, d):
     return FD.listing_posts(conversations_as_listings(spark, d), LISTING_TERMS_DOCS).drop("permalink")
+
+
+# --- raw CSV landing round trip (SNK7 -> SRC1/SRC8 -> S1-S8) -----------------------------
+
+from feedlens import sinks as SK  # noqa: E402
+from feedlens.sources import raw as R  # noqa: E402
+
+STATUS_SOURCES = {"F": "reddit", "O": "youtube", "P": "threads"}
+
+
+def orders_as_raw(o):
+    """Orders rendered as raw collector rows (all strings, deliberately messy)."""
+    text = F.concat(F.lit("  Order "), F.col("o_orderkey").cast("string"), F.lit("\t\tfor customer "),
+                    F.col("o_custkey").cast("string"), F.lit("  "))
+    date = (F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "M/d/yyyy"))
+             .when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "d.M.yyyy"))
+             .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
+    eng = (F.when(F.col("o_orderpriority") == "5-LOW", F.lit("nan"))
+            .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit(""))
+            .otherwise(F.round("o_totalprice").cast("string")))
+    ctype = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("")) \
+        .otherwise(F.concat(F.lit(" "), F.upper("o_orderstatus"), F.lit(" ")))
+    return o.select(
+        F.lit("raw").alias("platform"), text.alias("text"), F.format_number("o_totalprice", 0).alias("likes"),
+        F.col("o_custkey").cast("string").alias("comments"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.col("o_orderkey").cast("string")).alias("views"),
+        date.alias("date"), eng.alias("engagement"), ctype.alias("content_type"),
+        F.concat(F.lit(" https://shop.example/"), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("url"),
+        "o_orderstatus")
+
+
+@register("raw_csv_roundtrip")
+def q_raw_csv_roundtrip(spark, d):
+    raw = orders_as_raw(A.read_table(spark, d, "orders"))
+    base = ZS.work_dir(spark, "raw-csv")
+    paths = {}
+    for status, name in STATUS_SOURCES.items():
+        paths[name] = f"{base}/{name}"
+        SK.write_source_raw(raw.where(F.col("o_orderstatus") == status), paths[name])
+    cleaned = R.clean_raw(R.collect_raw(spark, paths, order=list(STATUS_SOURCES.values())))
+    return cleaned.select("platform", "text", "likes", "comments", "views", "date", "engagement",
+                          "content_type", "url", "text_length")
