@@ -6,6 +6,16 @@ The posts adapters are repeated here as SQL CTEs with the same mapping as
 
 from __future__ import annotations
 
+from feedlens import schema as _schema
+from feedlens.functions.scalar import WS_CLASS
+from feedlens.operators import sentiment as _SE
+from feedlens.plans.queries import DOC_BOOSTERS, DOC_LEXICON, DOC_NEGATIONS
+from feedlens.plans.queries import DOC_BUCKETS, DOC_KEYWORDS, DOC_PLATFORMS
+from feedlens.plans.queries import LISTING_TERMS_DOCS
+from feedlens.plans.queries import ORDER_KEYWORDS
+from feedlens.sources import pages as _PG
+from feedlens.sources.feeds import HTML_ENTITIES as _ENT
+
 ORDERS_POSTS = """
 orders_posts AS (
   SELECT *, CAST(length(text) AS INTEGER) AS text_length FROM (
@@ -214,8 +224,6 @@ SELECT platform, seq, date, engagement, content_type, text_length FROM (
 
 
 # --- text analytics ------------------------------------------------------------------
-from feedlens import schema as _schema  # noqa: E402
-from feedlens.plans.queries import DOC_BUCKETS, DOC_KEYWORDS, DOC_PLATFORMS  # noqa: E402
 
 NONWORD = r"[^\p{L}\p{N}_]+"
 
@@ -316,7 +324,6 @@ ORDER BY growth DESC, new_count DESC, term LIMIT 30""")
 
 
 # --- series and alerts ---------------------------------------------------------------
-from feedlens.plans.queries import ORDER_KEYWORDS  # noqa: E402
 
 sql("weekly_trend", with_posts(ORDERS_POSTS) + """,
 w AS (SELECT strftime(date_trunc('week', parsed_date), '%Y-%m-%d') AS week, count(*) AS mentions,
@@ -479,9 +486,6 @@ SELECT round(corr(rx, ry), 6) AS statistic, count(*) AS n FROM r HAVING count(*)
 
 
 # --- sentiment (relational form: tokens with positions, self-joined to predecessors) ------
-from feedlens.functions.scalar import WS_CLASS  # noqa: E402
-from feedlens.operators import sentiment as _SE  # noqa: E402
-from feedlens.plans.queries import DOC_BOOSTERS, DOC_LEXICON, DOC_NEGATIONS  # noqa: E402
 
 _P = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in _SE.PUNCT) + "]"
 _P = _P.replace("'", "''")
@@ -669,8 +673,6 @@ FROM fo ORDER BY engagement DESC, platform, seq LIMIT 10""")
 
 
 # --- sources: pages, feeds, comment trees --------------------------------------------------
-from feedlens.sources import pages as _PG  # noqa: E402
-from feedlens.sources.feeds import HTML_ENTITIES as _ENT  # noqa: E402
 
 
 def _re(p: str) -> str:
@@ -815,7 +817,6 @@ sql("source_lang_filter", LANG_PRED + """
 SELECT p.doc_id, d.lang FROM pred p JOIN documents d USING (doc_id)
 WHERE length(d.text) < 21 OR p.lang IS NULL OR p.lang = 'en'""")
 
-from feedlens.plans.queries import LISTING_TERMS_DOCS  # noqa: E402
 
 _TERMS = " OR ".join(f"contains(lower(title || ' ' || coalesce(selftext, '')), '{t}')" for t in LISTING_TERMS_DOCS)
 sql("listing_posts", f"""

@@ -12,8 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlens.sources import adapters as A
+from feedlens import sinks as SK
+from feedlens.functions import scalar as S
+from feedlens.operators import alerts as AL
+from feedlens.operators import dashboard as DB
+from feedlens.operators import langid as LI
+from feedlens.operators import merge as MG
+from feedlens.operators import quality as QA
+from feedlens.operators import report as RP
+from feedlens.operators import sentiment as SE
+from feedlens.operators import series as SR
+from feedlens.operators import stats as ST
 from feedlens.operators import summaries as SM
+from feedlens.operators import text as TXT
+from feedlens.sources import adapters as A
+from feedlens.sources import feeds as FD
+from feedlens.sources import pages as PG
+from feedlens.sources import raw as R
+from feedlens.streaming import incremental as ZS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -80,9 +96,6 @@ def q_platform_distribution(spark, d):
 
 # --- Phase 1: scalar rules over whole tables ----------------------------------------
 
-from feedlens.functions import scalar as S  # noqa: E402
-from feedlens.operators import merge as MG  # noqa: E402
-
 
 @register("clean_text")
 def q_clean_text(spark, d):
@@ -143,7 +156,6 @@ def q_append_merge(spark, d):
 
 # --- Phase 4: text analytics ---------------------------------------------------------
 
-from feedlens.operators import text as TXT  # noqa: E402
 
 # Keyword and bucket tables for the test corpus (the default social keywords do
 # not occur in ``documents``); one keyword and one bucket have no hits on purpose.
@@ -196,8 +208,6 @@ def q_emerging_terms(spark, d):
 
 # --- Phase 5: series and alerts -------------------------------------------------------
 
-from feedlens.operators import alerts as AL  # noqa: E402
-from feedlens.operators import series as SR  # noqa: E402
 
 ORDER_KEYWORDS = ["urgent", "high", "medium", "low", "specified", "order"]
 
@@ -256,8 +266,6 @@ def q_alert_severity_counts(spark, d):
 
 # --- Phase 6: statistics --------------------------------------------------------------
 
-from feedlens.operators import stats as ST  # noqa: E402
-
 
 @register("kruskal_stat")
 def q_kruskal_stat(spark, d):
@@ -301,7 +309,6 @@ def q_spearman(spark, d):
 
 # --- Phase 7: sentiment ---------------------------------------------------------------
 
-from feedlens.operators import sentiment as SE  # noqa: E402
 
 # A made-up lexicon over words that occur in the test corpus (the default English
 # lexicon has no hits in ``documents``), plus two boosters and two negations.
@@ -347,8 +354,6 @@ def q_chi2_sentiment(spark, d):
 
 # --- Phase 7b: language identification ---------------------------------------------
 
-from feedlens.operators import langid as LI  # noqa: E402
-
 
 def _docs(spark, d):
     return A.read_table(spark, d, "documents")
@@ -381,7 +386,6 @@ def q_lang_accuracy(spark, d):
 
 # --- Phase 3b: data quality -----------------------------------------------------------
 
-from feedlens.operators import quality as QA  # noqa: E402
 
 QUALITY_AS_OF = "2000-01-01"   # orders run to 2001-08: later dates count as "future" here
 
@@ -407,8 +411,6 @@ def q_quality_report(spark, d):
 
 # --- Phase 9a: dashboard and report tables ------------------------------------------------
 
-from feedlens.operators import dashboard as DB  # noqa: E402
-from feedlens.operators import report as RP  # noqa: E402
 
 DASH_START, DASH_END = "1996-01-01", "1998-12-31"
 
@@ -462,9 +464,6 @@ def q_report_lines(spark, d):
 
 # --- Phase 8: sources (pages, feeds, comment trees) --------------------------------------
 
-from feedlens.sources import feeds as FD  # noqa: E402
-from feedlens.sources import pages as PG  # noqa: E402
-
 
 @register("page_title")
 def q_page_title(spark, d):
@@ -540,8 +539,6 @@ def q_tree_flatten(spark, d):
 
 # --- Phase 9b: streaming ---------------------------------------------------------------------
 
-from feedlens.streaming import incremental as ZS  # noqa: E402
-
 
 def _events_stream(spark, d):
     static = A.read_table(spark, d, "events")
@@ -646,8 +643,6 @@ def q_listing_posts(spark, d):
 
 # --- raw CSV landing round trip (SNK7 -> SRC1/SRC8 -> S1-S8) -----------------------------
 
-from feedlens import sinks as SK  # noqa: E402
-from feedlens.sources import raw as R  # noqa: E402
 
 STATUS_SOURCES = {"F": "reddit", "O": "youtube", "P": "threads"}
 
