@@ -852,3 +852,23 @@ SELECT platform, text, likes, comments, views, date,
   content_type, url, CAST(length(text) AS INTEGER) AS text_length
 FROM r"""
 sql("raw_csv_roundtrip", _RAW)
+
+
+sql("url_fallback", r"""
+WITH res AS (
+  SELECT regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) || '/' || regexp_extract(url, '^https?://[^/]+/[a-z]{2}/(\d)', 1) AS query,
+    CASE regexp_extract(url, '^https?://[^/]+\.([a-z]+)(/|$)', 1) WHEN 'com' THEN 0 WHEN 'net' THEN 1 WHEN 'org' THEN 2 ELSE 3 END
+      AS priority,
+    page_id AS pos, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS link
+  FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY query, link ORDER BY priority, pos) = 1 AS first,
+             min(priority) OVER (PARTITION BY query, link) AS min_p FROM res),
+kept AS (SELECT * FROM r WHERE priority = 0 OR (first AND min_p = priority)),
+per AS (SELECT query, priority, count(*) AS n FROM kept GROUP BY query, priority),
+cum AS (SELECT query, priority, coalesce(sum(n) OVER (PARTITION BY query ORDER BY priority
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per),
+used AS (SELECT query, priority FROM cum WHERE priority = 0 OR before < 3),
+o AS (SELECT k.query, k.priority, k.pos, k.link,
+             row_number() OVER (PARTITION BY k.query ORDER BY k.priority, k.pos) AS rank
+      FROM kept k JOIN used USING (query, priority))
+SELECT query, priority, pos, link, rank FROM o WHERE rank <= 20""")

@@ -679,3 +679,26 @@ def q_raw_csv_roundtrip(spark, d):
     cleaned = R.clean_raw(R.collect_raw(spark, paths, order=list(STATUS_SOURCES.values())))
     return cleaned.select("platform", "text", "likes", "comments", "views", "date", "engagement",
                           "content_type", "url", "text_length")
+
+
+# --- search fallback chain (X5 / U9) over results derived from ``pages`` ----------------------
+
+SOURCE_PRIORITY = {"com": 0, "net": 1, "org": 2}
+
+
+def pages_as_results(spark, d):
+    """Result lists derived from page urls: query = language segment + first digit of
+    the page number, source = host suffix (fixed priority), link = url path."""
+    p = A.read_table(spark, d, "pages")
+    lang = F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1)
+    num = F.regexp_extract("url", r"^https?://[^/]+/[a-z]{2}/(\d)", 1)
+    tld = F.regexp_extract("url", r"^https?://[^/]+\.([a-z]+)(/|$)", 1)
+    prio = F.coalesce(*[F.when(tld == k, F.lit(v)) for k, v in SOURCE_PRIORITY.items()], F.lit(len(SOURCE_PRIORITY)))
+    return p.select(F.concat(lang, F.lit("/"), num).alias("query"), prio.alias("priority"),
+                    F.col("page_id").alias("pos"),
+                    F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("link"))
+
+
+@register("url_fallback")
+def q_url_fallback(spark, d):
+    return PG.fallback_results(pages_as_results(spark, d)).select("query", "priority", "pos", "link", "rank")

@@ -130,7 +130,7 @@ def fallback_results(results: DataFrame, min_results: int = 3, max_results: int
         Window.partitionBy("query").orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     used = per.where((F.col("priority") == 0) | (F.col("_before") < min_results)).select("query", "priority")
     out = kept.join(used, ["query", "priority"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("priority", "pos"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("priority", "pos")).cast("bigint")
     return out.withColumn("rank", rank).where(F.col("rank") <= max_results).drop("_first", "_min_p")
 
 
