@@ -872,3 +872,8 @@ o AS (SELECT k.query, k.priority, k.pos, k.link,
              row_number() OVER (PARTITION BY k.query ORDER BY k.priority, k.pos) AS rank
       FROM kept k JOIN used USING (query, priority))
 SELECT query, priority, pos, link, rank FROM o WHERE rank <= 20""")
+
+
+sql("posts_snapshot", with_posts(ORDERS_POSTS) + """
+SELECT platform, text, likes, comments, views, date, engagement, content_type, url, text_length, seq
+FROM orders_posts""")

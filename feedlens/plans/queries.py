@@ -702,3 +702,14 @@ def pages_as_results(spark, d):
 @register("url_fallback")
 def q_url_fallback(spark, d):
     return PG.fallback_results(pages_as_results(spark, d)).select("query", "priority", "pos", "link", "rank")
+
+
+@register("posts_snapshot")
+def q_posts_snapshot(spark, d):
+    """SNK1 + SNK8: write the posts table in canonical order, snapshot it (keeping the
+    newest five) and read the newest snapshot back."""
+    posts = A.orders_posts(spark, d)
+    base = ZS.work_dir(spark, "posts")
+    SK.write_posts(posts, f"{base}/current")
+    newest = SK.snapshot(spark, spark.read.parquet(f"{base}/current"), f"{base}/snapshots")
+    return spark.read.parquet(newest)
