@@ -877,3 +877,42 @@ SELECT query, priority, pos, link, rank FROM o WHERE rank <= 20""")
 sql("posts_snapshot", with_posts(ORDERS_POSTS) + """
 SELECT platform, text, likes, comments, views, date, engagement, content_type, url, text_length, seq
 FROM orders_posts""")
+
+
+# --- test report rows whose p-value has a closed form (chi-square with even dof) -------------
+def _chi2_p_even(x: str, dof: str) -> str:
+    """Upper tail of chi-square with an even number of degrees of freedom."""
+    return (f"(exp(-({x}) / 2.0) * list_sum(list_transform(range(0, CAST({dof} / 2 AS BIGINT)), "
+            f"lambda i: pow(({x}) / 2.0, i) / factorial(CAST(i AS INTEGER)))))")
+
+
+def _report_row(stat_sql: str, test: str, comparison: str, yes: str, no: str) -> str:
+    return f"""
+SELECT '{test}' AS test, '{comparison}' AS comparison, round_even(statistic, 2) AS statistic,
+  round_even(p, 6) AS p_value, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant,
+  CASE WHEN p < 0.05 THEN '{yes}' ELSE '{no}' END AS interpretation
+FROM (SELECT statistic, {_chi2_p_even('statistic', 'dof')} AS p FROM ({stat_sql}) WHERE dof % 2 = 0)"""
+
+
+_KW_STAT = ORACLE["kruskal_stat"].replace("round((12.0", "(12.0").replace(", 6)\n         AS statistic", "\n         AS statistic")
+sql("kruskal", _report_row(_KW_STAT, "Kruskal-Wallis H-test", "Engagement across platforms",
+                           "Platform engagement differences are statistically significant",
+                           "No significant difference across platforms"))
+
+_CHI_STAT = ORACLE["chi2_stat"].replace("SELECT round(sum(power(", "SELECT (sum(power(").replace("/ e), 6)\n         AS statistic", "/ e))\n         AS statistic")
+sql("chi2", _report_row(_CHI_STAT, "Chi-squared test", "Sentiment distribution across platforms",
+                        "Sentiment differs significantly across platforms", "No significant sentiment difference"))
+
+_CHI_SENT = SENT + """,
+obs AS (SELECT platform, sentiment_label, count(*) AS o FROM scored GROUP BY platform, sentiment_label),
+rt AS (SELECT platform, sum(o) AS r FROM obs GROUP BY platform),
+ct AS (SELECT sentiment_label, sum(o) AS c FROM obs GROUP BY sentiment_label),
+nn AS (SELECT CAST(sum(o) AS BIGINT) AS n, ((SELECT count(*) FROM rt) - 1) * ((SELECT count(*) FROM ct) - 1) AS dof,
+              (SELECT count(*) FROM rt) AS rk, (SELECT count(*) FROM ct) AS ck FROM obs),
+cells AS (SELECT coalesce(obs.o, 0) AS o, rt.r * ct.c / nn.n AS e, nn.dof
+          FROM rt CROSS JOIN ct CROSS JOIN nn LEFT JOIN obs USING (platform, sentiment_label))
+SELECT sum(power(CASE WHEN cells.dof = 1 THEN abs(e - o) - least(0.5, abs(e - o)) ELSE abs(e - o) END, 2) / e)
+         AS statistic, nn.dof
+FROM cells, nn WHERE nn.rk >= 2 AND nn.ck >= 2 GROUP BY nn.dof, nn.n"""
+sql("chi2_sentiment", _report_row(_CHI_SENT, "Chi-squared test", "Sentiment distribution across platforms",
+                                  "Sentiment differs significantly across platforms", "No significant sentiment difference"))
