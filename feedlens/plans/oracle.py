@@ -937,3 +937,28 @@ UNION ALL SELECT 3, 'Balanced dataset: ' || CAST(n_platforms AS VARCHAR) || ' pl
     || ' total rows — fair cross-platform comparison.' FROM h
 UNION ALL SELECT 4, 'Overall sentiment is ' || printf('%.0f', positive_pct) || '% positive — the brand has strong brand perception.' FROM h
 UNION ALL SELECT 5, 'Date coverage: ' || printf('%.0f', dated_pct) || '% of rows have valid timestamps for time-series analysis.' FROM h""")
+
+
+# --- Mann-Whitney report row: erfc by series (small arguments) or continued fraction ----------
+def _erfc_nonneg(y: str) -> str:
+    series = (f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: "
+              f"pow(-1, n) * pow({y}, 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1)))))")
+    cfrac = (f"(exp(-({y}) * ({y})) / sqrt(pi()) / list_reduce(list_reverse(range(1, 300)), "
+             f"lambda acc, k: ({y}) + (k / 2.0) / acc, CAST({y} AS DOUBLE)))")
+    return f"(CASE WHEN {y} < 2.5 THEN {series} ELSE {cfrac} END)"
+
+
+def _erfc(y: str) -> str:
+    return f"(CASE WHEN {y} >= 0 THEN {_erfc_nonneg(y)} ELSE 2 - {_erfc_nonneg('-(' + y + ')')} END)"
+
+
+_MW_STAT = (ORACLE["mannwhitney_stat"].replace("SELECT round(u1, 6) AS statistic,", "SELECT u1 AS statistic,")
+            .replace("round((greatest(u1, n1 * n2 - u1)", "((greatest(u1, n1 * n2 - u1)")
+            .replace("* (n - 1.0)))), 6) AS z", "* (n - 1.0))))) AS z"))
+sql("mannwhitney", f"""
+SELECT 'Mann-Whitney U test' AS test, 'Visual vs text content engagement' AS comparison,
+  round_even(statistic, 2) AS statistic, round_even(p, 6) AS p_value,
+  CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant,
+  CASE WHEN p < 0.05 THEN 'Visual content significantly outperforms text' ELSE 'No significant difference' END
+    AS interpretation
+FROM (SELECT statistic, least(1.0, {_erfc('z / sqrt(2.0)')}) AS p FROM ({_MW_STAT}))""")
