@@ -962,3 +962,32 @@ SELECT 'Mann-Whitney U test' AS test, 'Visual vs text content engagement' AS com
   CASE WHEN p < 0.05 THEN 'Visual content significantly outperforms text' ELSE 'No significant difference' END
     AS interpretation
 FROM (SELECT statistic, least(1.0, {_erfc('z / sqrt(2.0)')}) AS p FROM ({_MW_STAT}))""")
+
+
+# --- Spearman report row: two-sided t tail via the regularised incomplete beta ------------------
+def _betainc_cf(a: str, b: str, x: str) -> str:
+    """I_x(a, b) by the standard continued fraction, evaluated backwards (300 terms)."""
+    d = (f"CASE WHEN j % 2 = 0 THEN (j / 2) * (({b}) - j / 2) * ({x}) / ((({a}) + j - 1) * (({a}) + j)) "
+         f"ELSE -((({a}) + (j - 1) / 2) * (({a}) + ({b}) + (j - 1) / 2) * ({x})) / ((({a}) + j - 1) * (({a}) + j)) END")
+    cf = f"list_reduce(list_reverse(range(1, 301)), lambda acc, j: 1 + ({d}) / acc, 1.0::DOUBLE)"
+    front = (f"exp(({a}) * ln({x}) + ({b}) * ln(1 - ({x})) + lgamma(({a}) + ({b})) - lgamma({a}) - lgamma({b}))")
+    return f"({front} / (({a}) * {cf}))"
+
+
+def _betainc(a: str, b: str, x: str) -> str:
+    return (f"(CASE WHEN ({x}) <= 0 THEN 0.0 WHEN ({x}) >= 1 THEN 1.0 "
+            f"WHEN ({x}) < (({a}) + 1) / (({a}) + ({b}) + 2) THEN {_betainc_cf(a, b, x)} "
+            f"ELSE 1 - {_betainc_cf(b, a, '1 - (' + x + ')')} END)")
+
+
+_SP_STAT = ORACLE["spearman_stat"].replace("SELECT round(corr(rx, ry), 6) AS statistic,", "SELECT corr(rx, ry) AS statistic,")
+sql("spearman", f"""
+SELECT 'Spearman correlation' AS test, 'Text length vs engagement' AS comparison,
+  round_even(statistic, 4) AS statistic, round_even(p, 6) AS p_value,
+  CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant,
+  CASE WHEN p < 0.05 THEN (CASE WHEN statistic > 0 THEN 'Positive' ELSE 'Negative' END)
+         || ' correlation (r=' || printf('%.3f', statistic) || ')' ELSE 'No significant correlation' END AS interpretation
+FROM (SELECT statistic, {_betainc('df / 2.0', '0.5', 'df / (df + t * t)')} AS p
+      FROM (SELECT statistic, n - 2 AS df,
+                   statistic * sqrt((n - 2) / greatest(1 - statistic * statistic, 1e-300)) AS t
+            FROM ({_SP_STAT})))""")
