@@ -216,7 +216,10 @@ def normalize_feed(items: DataFrame, source: str, as_of: str | None = None, spec
     lit = spec.get("literal", ())
     v = F.col("v")
     roots = spec.get("stats_fallback", ())
-    text = S.ustrip(F.replace(first_str(v, spec["text"], lit, spec.get("strings") == "trimmed"),
+    # Only the professional feed's lookup skips non-string values; elsewhere a
+    # non-string text/url made the original collector fail, so no type check is paid.
+    strict = spec.get("strings") == "trimmed"
+    text = S.ustrip(F.replace(first_str(v, spec["text"], lit, strict, strict=strict),
                               F.lit("\n"), F.lit(" ")))
 
     def metric(name):
@@ -232,7 +235,7 @@ def normalize_feed(items: DataFrame, source: str, as_of: str | None = None, spec
         if nested:
             e = F.when(e > 0, e).otherwise(first_positive_int(v, nested[i]))
         extra = extra + e
-    url = first_str(v, spec["url"], lit, spec.get("strings") == "trimmed")
+    url = first_str(v, spec["url"], lit, strict, strict=strict)
     if spec.get("url_from"):
         fmt, a_keys, b_keys = spec["url_from"]
         a = first_str(v, a_keys, strict=False)
