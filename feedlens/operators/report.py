@@ -37,37 +37,43 @@ def _const(spark: SparkSession, section: int, texts: list[str], start: int = 0)
                                  "section int, line_no int, line string")
 
 
+def _best(value: Column, measure: str, name: str) -> Column:
+    """Row with the highest ``measure``; ties go to the smallest ``name`` (deterministic)."""
+    return F.min_by(value, F.struct(-F.col(measure), F.col(name))).alias("b")
+
+
 def report_insights(platforms: DataFrame | None = None, content: DataFrame | None = None,
                     keywords: DataFrame | None = None, narratives: DataFrame | None = None,
                     crosstab: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
     """(rank, insight) lines from the report tables (each argument optional)."""
     parts = []
     if platforms is not None:
-        best = platforms.agg(F.max_by(F.struct("platform", "avg_engagement"), F.col("avg_engagement")).alias("b"))
-        worst = platforms.agg(F.min_by(F.struct("platform", "avg_engagement"), F.col("avg_engagement")).alias("b"))
+        best = platforms.agg(_best(F.struct("platform", "avg_engagement"), "avg_engagement", "platform"))
+        worst = platforms.agg(F.min_by(F.struct("platform", "avg_engagement"),
+                                       F.struct("avg_engagement", F.col("platform"))).alias("b"))
         parts.append(best.select(F.lit(1).alias("rank"), F.concat(F.lit("- **"), F.col("b.platform"),
                      F.lit("** leads in avg engagement ("), fmt_float("b.avg_engagement"), F.lit(").")).alias("insight")))
         parts.append(worst.select(F.lit(2).alias("rank"), F.concat(F.lit("- **"), F.col("b.platform"),
                      F.lit("** has the lowest engagement ("), fmt_float("b.avg_engagement"), F.lit(").")).alias("insight")))
     if content is not None:
-        b = content.agg(F.max_by(F.struct("content_type", "avg_engagement"), F.col("avg_engagement")).alias("b"))
+        b = content.agg(_best(F.struct("content_type", "avg_engagement"), "avg_engagement", "content_type"))
         parts.append(b.select(F.lit(3).alias("rank"), F.concat(F.lit("- **"), F.col("b.content_type"),
                      F.lit("** is the highest-performing content format with avg engagement of "),
                      fmt_float("b.avg_engagement"), F.lit(".")).alias("insight")))
     if keywords is not None:
-        b = keywords.agg(F.max_by(F.struct("keyword", "rows", "avg_engagement"),
-                                  F.struct("rows", "avg_engagement")).alias("b"))
+        b = keywords.agg(F.min_by(F.struct("keyword", "rows", "avg_engagement"),
+                                  F.struct(-F.col("rows"), -F.col("avg_engagement"), F.col("keyword"))).alias("b"))
         parts.append(b.select(F.lit(4).alias("rank"), F.concat(F.lit("- Most mentioned keyword: **"), F.col("b.keyword"),
                      F.lit("** ("), fmt_int("b.rows"), F.lit(" posts, "), fmt_float("b.avg_engagement"),
                      F.lit(" avg eng).")).alias("insight")))
     if narratives is not None:
-        b = narratives.agg(F.max_by(F.struct("bucket", "avg_engagement"), F.col("avg_engagement")).alias("b"))
+        b = narratives.agg(_best(F.struct("bucket", "avg_engagement"), "avg_engagement", "bucket"))
         parts.append(b.select(F.lit(5).alias("rank"), F.concat(F.lit("- Strongest narrative bucket: **"),
                      F.col("b.bucket"), F.lit("** (avg engagement "), fmt_float("b.avg_engagement"),
                      F.lit(").")).alias("insight")))
     if crosstab is not None:
-        b = crosstab.agg(F.max_by(F.struct("narrative", "platform", "avg_engagement"),
-                                  F.col("avg_engagement")).alias("b"))
+        b = crosstab.agg(F.min_by(F.struct("narrative", "platform", "avg_engagement"),
+                                  F.struct(-F.col("avg_engagement"), F.col("narrative"), F.col("platform"))).alias("b"))
         parts.append(b.select(F.lit(6).alias("rank"), F.concat(F.lit("- Best narrative×platform combo: **"),
                      F.col("b.narrative"), F.lit("** on **"), F.col("b.platform"), F.lit("** (avg "),
                      fmt_float("b.avg_engagement"), F.lit(" engagement).")).alias("insight")))
