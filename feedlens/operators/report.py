@@ -85,7 +85,8 @@ def report_insights(platforms: DataFrame | None = None, content: DataFrame | Non
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where(F.col("insight").isNotNull()).orderBy("rank")
+    return out.where(F.col("insight").isNotNull()).select(F.col("rank").cast("bigint").alias("rank"),
+                                                           "insight").orderBy("rank")
 
 
 def report_lines(spark: SparkSession, summary: DataFrame | None = None, platforms: DataFrame | None = None,

@@ -991,3 +991,53 @@ FROM (SELECT statistic, {_betainc('df / 2.0', '0.5', 'df / (df + t * t)')} AS p
       FROM (SELECT statistic, n - 2 AS df,
                    statistic * sqrt((n - 2) / greatest(1 - statistic * statistic, 1e-300)) AS t
             FROM ({_SP_STAT})))""")
+
+
+# --- report insight lines (orders) ---------------------------------------------------------------
+def _fmtf(x: str) -> str:
+    return f"(CASE WHEN {x} > 1000 THEN format('{{:,.0f}}', {x}) ELSE printf('%.1f', {x}) END)"
+
+
+_KW_VALUES_ORDERS = _values([(i, k) for i, k in enumerate(ORDER_KEYWORDS)])
+_SP_ORDERS = with_posts(ORDERS_POSTS) + f""",
+r AS (SELECT {_avg_rank('text_length')} AS rx, {_avg_rank('engagement')} AS ry FROM orders_posts)
+SELECT corr(rx, ry) AS statistic, count(*) AS n FROM r HAVING count(*) >= 20"""
+_TESTS_ORDERS = f"""
+  SELECT 'Kruskal-Wallis H-test' AS test, p, 'Platform engagement differences are statistically significant' AS yes
+  FROM (SELECT {_chi2_p_even('statistic', 'dof')} AS p FROM ({_KW_STAT}) WHERE dof % 2 = 0)
+  UNION ALL
+  SELECT 'Spearman correlation', p,
+    (CASE WHEN statistic > 0 THEN 'Positive' ELSE 'Negative' END) || ' correlation (r=' || printf('%.3f', statistic) || ')'
+  FROM (SELECT statistic, {_betainc('df / 2.0', '0.5', 'df / (df + t * t)')} AS p
+        FROM (SELECT statistic, n - 2 AS df, statistic * sqrt((n - 2) / greatest(1 - statistic * statistic, 1e-300)) AS t
+              FROM ({_SP_ORDERS})))"""
+
+sql("report_insights", with_posts(ORDERS_POSTS) + f""",
+ps AS (SELECT platform, avg(engagement) AS a FROM orders_posts GROUP BY platform),
+cs AS (SELECT content_type, avg(engagement) AS a FROM orders_posts GROUP BY content_type),
+kw AS (SELECT * FROM (VALUES {_KW_VALUES_ORDERS}) t(kw_rank, keyword)),
+runs AS (SELECT engagement, list_distinct(regexp_split_to_array(lower(text), '{NONWORD}')) AS r FROM orders_posts),
+ka AS (SELECT k.keyword, count(r.r) AS rows, coalesce(avg(r.engagement), 0) AS a
+       FROM kw k LEFT JOIN runs r ON list_contains(r.r, k.keyword) GROUP BY k.keyword),
+b AS (SELECT * FROM (VALUES {BUCKET_VALUES}) t(bucket_rank, bucket, pat)),
+na AS (SELECT b.bucket, coalesce(avg(p.engagement), 0) AS a
+       FROM b LEFT JOIN orders_posts p ON regexp_matches(p.text, b.pat) GROUP BY b.bucket),
+ct AS (SELECT b.bucket AS narrative, p.platform, round_even(avg(p.engagement), 1) AS a
+       FROM orders_posts p JOIN b ON regexp_matches(p.text, b.pat) GROUP BY b.bucket, p.platform),
+tests AS ({_TESTS_ORDERS}),
+lines AS (
+  SELECT 1 AS rank, (SELECT '- **' || platform || '** leads in avg engagement (' || {_fmtf('a')} || ').'
+                     FROM ps ORDER BY a DESC, platform LIMIT 1) AS insight
+  UNION ALL SELECT 2, (SELECT '- **' || platform || '** has the lowest engagement (' || {_fmtf('a')} || ').'
+                       FROM ps ORDER BY a, platform LIMIT 1)
+  UNION ALL SELECT 3, (SELECT '- **' || content_type || '** is the highest-performing content format with avg engagement of '
+                       || {_fmtf('a')} || '.' FROM cs ORDER BY a DESC, content_type LIMIT 1)
+  UNION ALL SELECT 4, (SELECT '- Most mentioned keyword: **' || keyword || '** (' || format('{{:,}}', rows) || ' posts, '
+                       || {_fmtf('a')} || ' avg eng).' FROM ka ORDER BY rows DESC, a DESC, keyword LIMIT 1)
+  UNION ALL SELECT 5, (SELECT '- Strongest narrative bucket: **' || bucket || '** (avg engagement ' || {_fmtf('a')} || ').'
+                       FROM na ORDER BY a DESC, bucket LIMIT 1)
+  UNION ALL SELECT 6, (SELECT '- Best narrative×platform combo: **' || narrative || '** on **' || platform || '** (avg '
+                       || {_fmtf('a')} || ' engagement).' FROM ct ORDER BY a DESC, narrative, platform LIMIT 1)
+  UNION ALL SELECT 6 + row_number() OVER (ORDER BY test), '- ' || yes || ' (p=' || CAST(round_even(p, 6) AS VARCHAR) || ').'
+  FROM tests WHERE p < 0.05)
+SELECT rank, insight FROM lines WHERE insight IS NOT NULL""")
