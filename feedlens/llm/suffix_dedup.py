@@ -222,11 +222,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     elsewhere, for rows that have any; ``docs`` has doc_id, tkey, text."""
     anchors = stored(docs.select("doc_id", "tkey", "text").mapInArrow(
         _anchors(length), "doc_id long, tkey long, lo long, cnt long, key long, seg long"), "anchors")
-    twice = anchors.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # stored, so that the join's two exchanges stand alone and a hot anchor's partition can be split
+    twice = stored(anchors.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeated-keys")
     found = stored(anchors.join(twice, "key"), "repeated-anchors")
     distinct = stored(found.groupBy("key", "seg").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey", "lo", "cnt")).alias("at")), "segments")
-    mixed = distinct.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    mixed = stored(distinct.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "mixed-keys")
     todo = (distinct.join(mixed, "key").select("key", "seg", "n", "at.*")
             .groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "cnt", "key", "seg", "n")).alias("parts")))
     one = docs.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "text")
