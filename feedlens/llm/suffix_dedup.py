@@ -308,5 +308,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(text)
         return pd.Series(out)
 
-    rows = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit("")))).join(r, F.expr("doc_id <=> _d and _k = _t"), "left")
-    return rows.withColumn("text", rest("text", "_s", "_e")).select(*docs.columns)
+    names = docs.columns          # by position: other columns may clash with any name used here
+    c = [f"_c{i}" for i in range(len(names))]
+    doc_id, text = c[names.index("doc_id")], c[names.index("text")]
+    rows = docs.toDF(*c).withColumn("_k", F.xxhash64(F.coalesce(text, F.lit("")))).join(
+        r, F.expr(f"{doc_id} <=> _d and _k = _t"), "left")
+    return rows.withColumn(text, rest(text, "_s", "_e")).select(*c).toDF(*names)
