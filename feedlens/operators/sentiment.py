@@ -83,10 +83,6 @@ DEFAULT_LEXICON = {
     "terrible": -2.1, "useless": -1.8, "worse": -2.1, "worst": -3.1, "wrong": -2.1,
 }
 
-# Lexicons up to this size are inlined as a map literal (lookups scan the map,
-# so larger tables use the broadcast/shuffle join path instead).
-MAX_MAP_ENTRIES = 1_000
-
 # Punctuation characters stripped from token ends (Python's string.punctuation).
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -183,23 +179,20 @@ def lexicon_sentiment(posts: DataFrame, lexicon: dict | DataFrame | None = None,
                       text_col: str = "text", id_col: str = "seq") -> DataFrame:
     """L2 + S13: adds ``sentiment_score`` and ``sentiment_label``.
 
-    ``lexicon``: dict or DataFrame(token, valence).  A DataFrame above
-    ``MAX_MAP_ENTRIES`` rows is joined (tokens exploded with their position,
-    valences regrouped per post by ``id_col``) instead of inlined."""
+    ``lexicon``: dict (inlined) or DataFrame(token, valence), which is joined whatever
+    its size (tokens exploded with their position, valences regrouped per post by
+    ``id_col``).  Tokens are lower-cased; of tokens that then coincide the strongest
+    valence holds (the last one in a dict)."""
     boost = _map_literal(boosters if boosters is not None else BOOSTERS)
     negs = F.array(*[F.lit(x) for x in (negations if negations is not None else NEGATIONS)])
     text = F.coalesce(F.col(text_col), F.lit(""))
     short = F.length(S.ustrip(text)) < MIN_CHARS
     if lexicon is None or isinstance(lexicon, dict):
-        lex = _map_literal(lexicon if lexicon is not None else DEFAULT_LEXICON)
+        lex = _map_literal({k.lower(): v for k, v in (lexicon if lexicon is not None else DEFAULT_LEXICON).items()})
         base = _with_token_columns(posts, text, lex, None, boost, negs)
         score = F.when(short, F.lit(0.0)).otherwise(_score_expr(text))
         out = base.withColumn("sentiment_score", score).drop(*TOKEN_COLUMNS)
     else:
-        rows = lexicon.limit(MAX_MAP_ENTRIES + 1).count()
-        if rows <= MAX_MAP_ENTRIES:
-            d = {r[0]: float(r[1]) for r in lexicon.select("token", "valence").collect()}
-            return lexicon_sentiment(posts, d, boosters, negations, text_col, id_col)
         out = _join_path(posts, lexicon, boost, negs, text_col, id_col, short)
     return out.withColumn("sentiment_label", S.sentiment_label("sentiment_score"))
 
@@ -209,7 +202,9 @@ def _join_path(posts, lexicon, boost, negs, text_col, id_col, short):
     base = posts.withColumn("_w", words(text))
     toks = base.select(id_col, F.posexplode("_w").alias("_pos", "_tok")) \
         .withColumn("token", F.lower("_tok"))
-    lex = broadcast_if_small(lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double")))
+    v = F.col("valence").cast("double")
+    lex = broadcast_if_small(lexicon.groupBy(F.lower("token").alias("token")).agg(
+        F.max_by(v, F.struct(F.abs(v), v)).alias("valence")))
     valued = toks.join(lex, "token", "left")
     vals = valued.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "valence"))), lambda s: s["valence"]).alias("_vals"))

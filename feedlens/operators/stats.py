@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from feedlens import schema
 from feedlens.functions import pyfmt
 from feedlens.functions import special as SP
-from feedlens.operators.common import broadcast_if_small, small_values
+from feedlens.operators.common import broadcast_if_small
 from feedlens.operators.ranks import average_ranks
 
 ALPHA = 0.05
@@ -48,11 +48,12 @@ def kruskal_stat(posts: DataFrame, group: str = "platform", value: str = "engage
     ties = ranks.agg(F.sum(F.pow("c", 3) - F.col("c")).alias("t"), F.sum("c").alias("n"))
     parts = rsum.agg(F.sum(F.col("r_g") * F.col("r_g") / F.col("n_g")).alias("s"),
                      F.count(F.lit(1)).alias("k"))
-    n = ties.select("n").scalar()
+    n_rows = ties.select("n").scalar()
+    n = n_rows.cast("double")          # products of counts leave the range of long
     t = ties.select("t").scalar()
     h = (F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3.0 * (n + 1)) / (1.0 - t / (F.pow(n, 3) - n))
     return parts.where(F.col("k") >= 2).select(h.alias("statistic"), (F.col("k") - 1).alias("dof"),
-                                               n.alias("n"), "k")
+                                               n_rows.alias("n"), "k")
 
 
 def kruskal(posts: DataFrame, group: str = "platform", value: str = "engagement") -> DataFrame:
@@ -69,22 +70,20 @@ def chi2_stat(posts: DataFrame, row: str = "platform", col: str = "sentiment_lab
     obs = posts.groupBy(row, col).agg(F.count(F.lit(1)).alias("o"))
     rows_t = obs.groupBy(row).agg(F.sum("o").alias("r_tot"))
     cols_t = obs.groupBy(col).agg(F.sum("o").alias("c_tot"))
-    labels = small_values(cols_t, col)
-    if labels is None:
-        raise ValueError("chi2: too many column categories for a contingency table")
-    n = obs.select(F.sum("o")).scalar()
-    # Full grid: every row category x the (bounded) column categories.
-    grid = rows_t.select(row, "r_tot", F.explode(F.array(*[F.lit(v) for v in labels])).alias(col))
-    cells = (grid.join(broadcast_if_small(cols_t), col)
-             .join(obs, [row, col], "left")
-             .select(F.coalesce("o", F.lit(0)).alias("o"), (F.col("r_tot") * F.col("c_tot") / n).alias("e")))
-    r_k = rows_t.select(F.count(F.lit(1))).scalar()
-    c_k = F.lit(len(labels))
+    n = obs.select(F.sum("o").cast("double")).scalar()
+    per_row = rows_t.agg(F.count(F.lit(1)).alias("r_k"), F.sum(1 / F.col("r_tot").cast("double")).alias("r_inv"))
+    per_col = cols_t.agg(F.count(F.lit(1)).alias("c_k"), F.sum(1 / F.col("c_tot").cast("double")).alias("c_inv"))
+    r_k, r_inv = per_row.select("r_k").scalar(), per_row.select("r_inv").scalar()
+    c_k, c_inv = per_col.select("c_k").scalar(), per_col.select("c_inv").scalar()
+    # Only observed cells are visited: over all cells, sum((o - e)^2 / e) = n * (sum(o^2 / (r*c)) - 1).  In a
+    # 2 x 2 table |o - e| is the same in every cell, so Yates' correction needs the margins only.
+    o, rc = F.col("o").cast("double"), F.col("r_tot").cast("double") * F.col("c_tot")
+    cells = obs.join(rows_t, obs[row].eqNullSafe(rows_t[row])).join(cols_t, obs[col].eqNullSafe(cols_t[col]))
+    both = cells.agg(F.sum(o * o / rc).alias("s"), F.max(F.abs(o - rc / n)).alias("d"))
     dof = (r_k - 1) * (c_k - 1)
-    d = F.col("e") - F.col("o")
-    adj = F.when(dof == 1, F.abs(d) - F.least(F.lit(0.5), F.abs(d))).otherwise(F.abs(d))
-    stat = cells.agg(F.sum(adj * adj / F.col("e")).alias("statistic"))
-    return stat.where((r_k >= 2) & (c_k >= 2)).select("statistic", dof.alias("dof"), n.alias("n"))
+    adj = F.col("d") - F.least(F.lit(0.5), F.col("d"))
+    stat = both.select(F.when(dof == 1, adj * adj * n * r_inv * c_inv).otherwise(n * (F.col("s") - 1)).alias("statistic"))
+    return stat.where((r_k >= 2) & (c_k >= 2)).select("statistic", dof.alias("dof"), n.cast("long").alias("n"))
 
 
 def chi2(posts: DataFrame, row: str = "platform", col: str = "sentiment_label") -> DataFrame:
@@ -105,14 +104,14 @@ def mannwhitney_stat(posts: DataFrame, value: str = "engagement", type_col: str
                 F.sum(F.when(F.col("vis"), F.col("m"))).alias("n1"),
                 F.sum(F.when(~F.col("vis"), F.col("m"))).alias("n2")))
     t = ranks.select(F.sum(F.pow("c", 3) - F.col("c"))).scalar()
-    n1, n2 = F.coalesce("n1", F.lit(0)), F.coalesce("n2", F.lit(0))
+    n1, n2 = F.coalesce("n1", F.lit(0)).cast("double"), F.coalesce("n2", F.lit(0)).cast("double")
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
     u = F.greatest(u1, n1 * n2 - u1)
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - t / (n * (n - 1))))
     z = (u - n1 * n2 / 2.0 - 0.5) / sigma
     return agg.where((n1 >= min_size) & (n2 >= min_size)).select(
-        u1.alias("statistic"), z.alias("z"), n1.alias("n1"), n2.alias("n2"))
+        u1.alias("statistic"), z.alias("z"), n1.cast("long").alias("n1"), n2.cast("long").alias("n2"))
 
 
 def mannwhitney(posts: DataFrame, value: str = "engagement", type_col: str = "content_type",

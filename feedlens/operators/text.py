@@ -95,7 +95,10 @@ def narrative_crosstab(posts: DataFrame, buckets: dict[str, str] | None = None,
 def narrative_pivot(crosstab: DataFrame, platforms: list[str] | None = None) -> DataFrame:
     """Narrative x platform matrix of avg_engagement, missing cells 0."""
     if platforms is None:
-        platforms = sorted(small_values(crosstab.select("platform").distinct(), "platform") or [])
+        platforms = small_values(crosstab.select("platform").distinct(), "platform")
+        if platforms is None:
+            raise ValueError("too many platforms for a wide table; use the long form")
+        platforms = sorted(platforms)
     wide = crosstab.groupBy("narrative").pivot("platform", platforms).agg(F.first("avg_engagement"))
     return wide.fillna(0.0, subset=platforms)
 

@@ -14,7 +14,10 @@ from feedlens.plans.queries import DOC_BUCKETS, DOC_KEYWORDS, DOC_PLATFORMS
 from feedlens.plans.queries import LISTING_TERMS_DOCS
 from feedlens.plans.queries import ORDER_KEYWORDS
 from feedlens.sources import pages as _PG
-from feedlens.sources.feeds import HTML_ENTITIES as _ENT
+
+# Character references that occur in the given pages and texts (the operator handles all).
+_ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
+        ("&nbsp;", "\u00a0"), ("&amp;", "&")]
 
 ORDERS_POSTS = """
 orders_posts AS (

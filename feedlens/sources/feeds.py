@@ -10,12 +10,16 @@ projection is generated from the spec.
 from __future__ import annotations
 
 import datetime as dt
+import html
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlens.functions import scalar as S
 from feedlens.operators.merge import keep_first
+from feedlens.session import stored_table
 
 # ---------------------------------------------------------------------------
 # Per-source key lists, in lookup order.
@@ -274,17 +278,14 @@ def relevant(df: DataFrame, cols: list[str], terms: list[str] | None = None) ->
     return df.where(cond)
 
 
-# Named entities handled by the HTML unescape below (fixed values).
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-                 ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
 
 
 def html_unescape(col) -> Column:
-    """Common named/numeric entities; ``&amp;`` last so it is not expanded twice."""
-    c = F.col(col) if isinstance(col, str) else col
-    for k, val in HTML_ENTITIES:
-        c = F.replace(c, F.lit(k), F.lit(val))
-    return c
+    """All named and numeric character references (the HTML 5 table of the standard library)."""
+    return _unescape(F.col(col) if isinstance(col, str) else col)
 
 
 def forum_text(title, selftext) -> Column:
@@ -331,32 +332,54 @@ def listing_posts(listings: DataFrame, terms: list[str] | None = None) -> DataFr
         "permalink")
 
 
-def flatten_comments(spark: SparkSession, trees: DataFrame, max_depth: int = 100) -> DataFrame:
+def _replies(nodes: DataFrame) -> DataFrame:
+    """The next level of comment nodes."""
+    kids = F.try_variant_get("node", "$.data.replies.data.children", "variant")
+    return (nodes.where(kids.isNotNull()).select("seq", "parent_permalink", "path", kids.alias("_kids"))
+            .lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("_kids").outer()))
+            .select("seq", F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("node"), "parent_permalink")
+            .where(F.try_variant_get("node", "$.kind", "string") == "t1"))
+
+
+def flatten_comments(spark: SparkSession, trees: DataFrame, levels: int = 4) -> DataFrame:
     """X6 (+N2): comment rows of Listing/t1 trees (``v`` VARIANT, ``parent_permalink``).
 
-    A recursive CTE walks ``replies`` of every node; replies inherit the *post*
-    permalink (as the collector does); empty and removed bodies are dropped.
-    ``max_depth`` bounds the recursion (reply depth), not the number of rows."""
-    trees.select("v", F.coalesce("parent_permalink", F.lit("")).alias("parent_permalink"),
-                 *[c for c in ("seq",) if c in trees.columns]).createOrReplaceTempView("_feedlens_trees")
-    seq = "seq" if "seq" in trees.columns else "0"
-    q = f"""
-    WITH RECURSIVE nodes(seq, node, parent_permalink, path, depth) AS (
-      SELECT {seq}, c.value, t.parent_permalink, array(c.pos), 0
-      FROM _feedlens_trees t,
-           LATERAL variant_explode(CASE WHEN try_variant_get(t.v, '$.kind', 'string') = 'Listing'
-                                        THEN try_variant_get(t.v, '$.data.children', 'variant')
-                                        ELSE parse_json('[]') END) c
-      UNION ALL
-      SELECT n.seq, c.value, n.parent_permalink, concat(n.path, array(c.pos)), n.depth + 1
-      FROM nodes n,
-           LATERAL variant_explode(try_variant_get(n.node, '$.data.replies.data.children', 'variant')) c
-      WHERE n.depth < {int(max_depth)} AND try_variant_get(n.node, '$.kind', 'string') = 't1'
-    )
-    SELECT seq, path, node, parent_permalink FROM nodes
-    WHERE try_variant_get(node, '$.kind', 'string') = 't1'
-    """
-    n = spark.sql(q)
+    Walks ``replies`` level by level, ``levels`` at a time between tables in the
+    shared folder, until a level is empty: no limit on depth or rows.  Replies
+    inherit the *post* permalink (as the collector does); empty and removed
+    bodies are dropped; a root of kind t1 is a comment itself."""
+    root = trees.select("v", F.coalesce("parent_permalink", F.lit("")).alias("parent_permalink"),
+                        (F.col("seq") if "seq" in trees.columns else F.lit(0)).alias("seq"))
+    kind = F.try_variant_get("v", "$.kind", "string")
+    kids = F.when(kind == "Listing", F.try_variant_get("v", "$.data.children", "variant"))
+    top = (root.select("seq", "parent_permalink", kids.alias("_kids")).where("_kids IS NOT NULL")
+           .lateralJoin(spark.tvf.variant_explode(F.col("_kids").outer()))
+           .select("seq", F.array("pos").alias("path"), F.col("value").alias("node"), "parent_permalink")
+           .where(F.try_variant_get("node", "$.kind", "string") == "t1"))
+    single = root.where(kind == "t1").select("seq", F.array(F.lit(0)).alias("path"), F.col("v").alias("node"),
+                                             "parent_permalink")
+    level = stored_table(top.union(single), "comments")
+    parts = [level]
+    while True:
+        deeper = []
+        for _ in range(levels):
+            level = _replies(level)
+            deeper.append(level)
+        more = deeper[0]
+        for x in deeper[1:]:
+            more = more.union(x)
+        more = stored_table(more, "comments")
+        depth = F.size("path")
+        deepest = more.agg(F.max(depth)).first()[0]
+        if deepest is None:
+            break
+        parts.append(more)
+        if deepest < len(parts) * levels - levels + 1:
+            break
+        level = more.where(depth == deepest)
+    n = parts[0]
+    for x in parts[1:]:
+        n = n.union(x)
     d = F.try_variant_get("node", "$.data", "variant")
     body = S.ustrip(html_unescape(F.coalesce(F.try_variant_get(d, "$.body", "string"), F.lit(""))))
     cid = F.coalesce(F.try_variant_get(d, "$.id", "string"), F.lit(""))
@@ -392,6 +415,6 @@ def dedup_source(posts: DataFrame, how: str, order: list | None = None) -> DataF
     """U3-U6 source-side dedup: 'lower_text' (full text), 'post_id', 'lower_title',
     'prefix80' (first 80 characters, case-sensitive)."""
     order = order or [F.col("seq")]
-    keys = {"lower_text": F.lower(F.trim("text")), "post_id": F.col("post_id"),
+    keys = {"lower_text": F.lower(S.ustrip("text")), "post_id": F.col("post_id"),
             "lower_title": F.lower(F.col("title")), "prefix80": F.substring("text", 1, 80)}
     return keep_first(posts, keys[how], order)

@@ -9,9 +9,8 @@ DataFrame of the schema.  Keep-first order is carried explicitly in ``seq``.
 from __future__ import annotations
 
 import logging
-import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +21,22 @@ log = logging.getLogger("feedlens")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm  # Hadoop FileSystem check for remote paths
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Does the path, or anything the glob matches, exist on its (or the default) file system?"""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def _with_seq(df: DataFrame) -> DataFrame:
+    """``seq`` by (file path, row in the file), whatever the file sizes and task packing.
+
+    Files are read whole (``multiLine``), so ids grow by one within a file; the ids of a
+    file start at the smallest one.  One row per file is ranked."""
+    df = df.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("_id", F.monotonically_increasing_id())
+    files = df.groupBy("_file").agg(F.min("_id").alias("_lo"))
+    files = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
+    return (df.join(files, "_file").withColumn("seq", F.col("_rank") * F.lit(1 << 40) + F.col("_id") - F.col("_lo"))
+            .drop("_file", "_id", "_lo", "_rank"))
 
 
 def read_csv_strings(spark: SparkSession, path: str, sch: T.StructType) -> DataFrame:
@@ -45,8 +55,7 @@ def load_platform(spark: SparkSession, name: str, path: str) -> DataFrame:
         log.warning("File missing: %s", path)
         return spark.createDataFrame([], sch.add("seq", T.LongType()))
     df = read_csv_strings(spark, path, sch)
-    # multiLine CSV files are not split, so ids follow file order.
-    return df.withColumn("platform", F.lit(name)).withColumn("seq", F.monotonically_increasing_id())
+    return _with_seq(df).withColumn("platform", F.lit(name))
 
 
 def collect_raw(spark: SparkSession, paths: dict[str, str], order=None) -> DataFrame:
@@ -88,15 +97,15 @@ def load_posts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
     if fmt == "csv":
         sch = T.StructType([T.StructField(c, T.StringType()) for c in schema.FINAL_COLUMNS])
-        df = read_csv_strings(spark, path, sch)
+        df = _with_seq(read_csv_strings(spark, path, sch))
         df = df.select(
-            "platform", S.ustrip(F.coalesce("text", F.lit(""))).alias("text"),
+            "seq", "platform", S.ustrip(F.coalesce("text", F.lit(""))).alias("text"),
             *[S.coerce_int(c).alias(c) for c in ("likes", "comments", "views")],
             F.coalesce("date", F.lit("")).alias("date"), S.coerce_int("engagement").alias("engagement"),
             "content_type", F.coalesce("url", F.lit("")).alias("url"),
             F.coalesce(F.col("text_length").try_cast("int"), F.length(F.coalesce("text", F.lit(""))))
              .alias("text_length"),
-        ).withColumn("seq", F.monotonically_increasing_id())
+        )
     else:
         df = spark.read.parquet(path)
         if "seq" not in df.columns:

@@ -83,14 +83,19 @@ def _upsert_by_partition(df: DataFrame, path: str, part: str) -> None:
 
 
 def running_counts(stream: DataFrame, ts_col: str, out_path: str, checkpoint: str, unit: str = "day",
-                   lateness: str = "2 days", value_col: str = "engagement", available_now: bool = True):
-    """Z3: windowed counts and sums with a watermark; upserted by window start."""
+                   lateness: str | None = None, value_col: str = "engagement", available_now: bool = True):
+    """Z3: windowed counts and sums, upserted by window start.
+
+    By default no row is ever too late: the state is one row per period.  ``lateness``
+    sets a watermark that drops state (and later rows) beyond it."""
     if unit == "day":
         win = F.window(ts_col, "1 day")
     else:
         # 1970-01-01 is a Thursday: a 4-day offset aligns weekly windows on Mondays.
         win = F.window(ts_col, "7 days", "7 days", "4 days")
-    agg = (stream.withWatermark(ts_col, lateness).groupBy(win.alias("w"))
+    if lateness:
+        stream = stream.withWatermark(ts_col, lateness)
+    agg = (stream.groupBy(win.alias("w"))
            .agg(F.count(F.lit(1)).alias("rows"), F.sum(value_col).alias("total_engagement")))
     out = agg.select(F.date_format("w.start", "yyyy-MM-dd").alias("period"), "rows", "total_engagement")
 
@@ -104,17 +109,16 @@ def running_counts(stream: DataFrame, ts_col: str, out_path: str, checkpoint: st
 
 def spike_alerts_stream(spark: SparkSession, daily_path: str, alerts_path: str, checkpoint: str,
                         available_now: bool = True):
-    """After each batch of the daily table, recompute E1/E2 on the daily
-    aggregate and upsert the alerts of the touched days."""
+    """After each batch of the daily table, recompute E1/E2 on the daily aggregate and
+    replace the alert table (bounded by the alert caps), so alerts that no longer hold go."""
     src = spark.readStream.schema("period string, rows long, total_engagement long").parquet(daily_path)
 
     def body(df, batch_id):
-        touched = df.select(F.date_format("period", "yyyy-MM-dd").alias("period")).distinct()
         daily = read_period_table(spark, daily_path).select(F.to_date("period").alias("day"), "rows",
                                                              "total_engagement")
         alerts = AL.engagement_spikes(daily=daily).unionByName(AL.mention_spikes(daily=daily))
-        hit = alerts.join(F.broadcast(touched.withColumnRenamed("period", "date")), "date", "left_semi")
-        _upsert_by_partition(hit, alerts_path, "date")
+        (alerts.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date")
+         .parquet(alerts_path))
 
     w = src.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
