@@ -5,7 +5,7 @@ File format, a folder with two Parquet tables:
               canonical codes follow from the lengths (shorter first, then by id).
   ``blocks``  one row per independent block of whole documents, in ascending doc_id:
               file, block, start (ids before it in the file), doc_ids, sizes, checkpoints
-              (bit offset of every 1024th id, little-endian u64) and the coded bits.
+              (bit offset of every 256th id, little-endian u64) and the coded bits.
 Global counts are summed per task before the shuffle; the lengths come from
 package-merge over at most a vocabulary of counts.  A block is decoded by one table
 lookup per id, all stretches between checkpoints side by side.
@@ -27,7 +27,7 @@ from feedlens.llm.common import pick, prepare, stored
 from feedlens.llm.tokens import encoder
 from feedlens.session import ensure_checkpoint_dir
 
-MAX_BITS, STRETCH, BLOCK_IDS, END_ID = 16, 1024, 1 << 16, 2
+MAX_BITS, STRETCH, BLOCK_IDS, END_ID = 16, 256, 1 << 18, 2
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -109,14 +109,13 @@ def decode_block(raw: bytes, marks: np.ndarray, n: int, symbol: np.ndarray, bits
 
 
 def lookup(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and length for every 16-bit window."""
-    codes = canonical(lengths)
+    """Symbol and length for every 16-bit window: canonical codes fill the table in order."""
+    order = np.lexsort((np.arange(len(lengths)), lengths))
+    order = order[lengths[order] > 0]
+    span = 1 << (MAX_BITS - lengths[order].astype(np.int64))
     symbol, bits = np.zeros(1 << MAX_BITS, np.int32), np.ones(1 << MAX_BITS, np.int64)
-    for i in np.flatnonzero(lengths):
-        free = MAX_BITS - int(lengths[i])
-        lo = int(codes[i]) << free
-        symbol[lo:lo + (1 << free)] = i
-        bits[lo:lo + (1 << free)] = lengths[i]
+    symbol[:span.sum()] = np.repeat(order, span)
+    bits[:span.sum()] = np.repeat(lengths[order], span)
     return symbol, bits
 
 
