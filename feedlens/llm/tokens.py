@@ -15,7 +15,8 @@ import numpy as np
 
 from feedlens.llm.words import PIECE, span_hashes
 
-MEMO = 1_500_000        # pieces kept per worker; the memo starts anew beyond
+MEMO = 2_500_000        # pieces kept per worker (about 130 MB); the memo starts anew beyond
+BATCH = 2 * PIECE       # bytes of text handled together
 _CUT = re.compile(rb"[!-~][ \n]")
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -89,15 +90,15 @@ class Encoder:
         return ids, before
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order; texts are handled together up to PIECE bytes, longer ones in pieces."""
+        """Ids of each text, in order; texts are handled together up to BATCH bytes, longer ones in pieces."""
         raws = [(t or "").encode("utf-8", "replace") for t in texts]
         lo = 0
         while lo < len(raws):
             hi, size = lo, 0
-            while hi < len(raws) and (hi == lo or size + len(raws[hi]) <= PIECE):
+            while hi < len(raws) and (hi == lo or size + len(raws[hi]) <= BATCH):
                 size += len(raws[hi])
                 hi += 1
-            if hi == lo + 1 and size > PIECE:
+            if hi == lo + 1 and size > BATCH:
                 yield self._encode_long(raws[lo])
             else:
                 heads = np.cumsum([0] + [len(r) for r in raws[lo:hi]])
@@ -109,7 +110,7 @@ class Encoder:
     def _encode_long(self, raw: bytes) -> np.ndarray:
         out, at = [], 0
         while at < len(raw):
-            m = _CUT.search(raw, at + PIECE)
+            m = _CUT.search(raw, at + BATCH)
             end = m.start() + 1 if m else len(raw)
             out.append(self._encode_buffer(raw[at:end], np.zeros(1, np.int64))[0])
             at = end
