@@ -108,30 +108,27 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for size in (1, 2, 4):
         word = (word << np.uint64(8 * size)) | np.append(word[size:], np.zeros(size, np.uint64))
     word = word[:n]
-    sa = np.argsort(word, kind="stable")
+    sa = np.argsort(word)                        # the order of equal keys is of no matter
     w = word[sa]
-    start = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-    first = np.repeat(start, np.diff(np.r_[start, n]))
-    rank = np.empty(n, np.int64)
-    rank[sa] = first
-    group, h = start, 8
+    head = np.ones(n + 1, bool)                  # rows at which a group of equal prefixes begins
+    np.not_equal(w[1:], w[:-1], out=head[1:n])
+    start = np.flatnonzero(head[:n])
+    rank = np.empty(n + 1, np.int64)
+    rank[sa] = np.repeat(start, np.diff(np.r_[start, n]))
+    rank[n] = -1
+    h = 8
     while h < depth:
-        sizes = np.diff(np.r_[group, n])
-        mask = np.repeat(sizes > 1, sizes)       # groups still to be told apart
-        at = np.flatnonzero(mask)
+        at = np.flatnonzero(~(head[:-1] & head[1:]))   # groups still to be told apart
         if not len(at):
             break
         sub = sa[at]
-        nxt = np.zeros(len(sub), np.int64)
-        inside = sub + h < n
-        nxt[inside] = rank[sub[inside] + h] + 1
-        key = rank[sub] * (n + 2) + nxt
-        o = np.argsort(key, kind="stable")
+        key = rank[sub] * (n + 2) + rank[np.minimum(sub + h, n)] + 1
+        o = np.argsort(key)
         sub, key = sub[o], key[o]
         sa[at] = sub
         new = np.r_[True, key[1:] != key[:-1]]
         rank[sub] = at[np.maximum.accumulate(np.where(new, np.arange(len(sub)), 0))]
-        group = np.union1d(group, at[new])
+        head[at[new]] = True
         h *= 2
     return sa, start
 
