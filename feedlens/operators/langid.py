@@ -75,8 +75,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     and the class table are persisted: both feed several steps."""
     profile = train_profile(docs, text_col, lang_col, grams, id_col).persist(StorageLevel.MEMORY_AND_DISK)
     classes = _classes(docs, profile, lang_col).persist(StorageLevel.MEMORY_AND_DISK)
-    model_grams = (profile.join(F.broadcast(classes.select("lang")), "lang")
-                   .select("gram", "lang", F.log1p(F.col("count")).alias("delta")))
+    model_grams = profile.select("gram", "lang", F.log1p(F.col("count")).alias("delta"))
     # log((c+1)/(N+V)) - log(1/(N+V)) = log(c+1)
     return model_grams, classes.drop("n_l")
 

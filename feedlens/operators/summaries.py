@@ -74,13 +74,13 @@ def daily_activity(posts: DataFrame) -> DataFrame:
 def engagement_zscores(posts: DataFrame, key: str = "platform") -> DataFrame:
     """F1 (+J1): per-group z-score with sample std, std 0 -> 1, rounded to 3 dp.
 
-    The per-group mean/std table has one row per group, so it is broadcast
-    back instead of running a window partitioned by the (few, fat) groups.
+    The per-group mean/std table has one row per group; it is joined back (broadcast
+    only after a size check) instead of running a window partitioned by the (few, fat) groups.
     """
     stats = posts.groupBy(key).agg(F.avg("engagement").alias("_mean"),
                                    F.stddev_samp("engagement").alias("_std"))
     stats = stats.withColumn("_std", F.when(F.col("_std") == 0, F.lit(1.0)).otherwise(F.col("_std")))
-    joined = posts.join(F.broadcast(stats), key, "left")
+    joined = posts.join(broadcast_if_small(stats), key, "left")
     z = F.round((F.col("engagement") - F.col("_mean")) / F.col("_std"), 3)
     return joined.withColumn("engagement_zscore", z).drop("_mean", "_std")
 

@@ -3,8 +3,8 @@
 Matching happens inside each row (built-in array functions over the row's
 own tokens), so posts are never paired with a keyword table by a shuffle;
 only the hits are exploded and aggregated with map-side partial aggregation.
-For keyword tables too large for a literal array the tokens are exploded and
-joined to the table instead (broadcast only after a size check).
+Keyword tables given as DataFrames are joined to the exploded tokens instead
+(broadcast only after a size check).
 """
 
 from __future__ import annotations
@@ -19,23 +19,27 @@ from feedlens.operators.common import broadcast_if_small, median_col, small_valu
 from feedlens.operators.ranks import with_half
 
 
-def _keyword_list(keywords) -> list[str] | None:
-    if keywords is None:
-        return list(schema.KEYWORDS)
-    if isinstance(keywords, DataFrame):
-        return small_values(keywords, "keyword")
-    return list(keywords)
-
-
 def tag_keywords(posts: DataFrame, keywords=None, keep=("engagement",)) -> DataFrame:
-    """One row per (post, keyword hit), projecting only ``keep`` columns first."""
-    kws = _keyword_list(keywords)
+    """One row per (post, keyword hit), projecting only ``keep`` columns first.
+    A Python list is matched inside each row; a keyword table of any size is joined on the
+    first word run of the keyword (its first character if it has none), phrases then checked."""
     cols = [c for c in keep if c in posts.columns]
-    if kws is not None:
+    if not isinstance(keywords, DataFrame):
+        kws = list(schema.KEYWORDS if keywords is None else keywords)
         return posts.select(*cols, F.explode(TX.keyword_hits("text", kws)).alias("keyword"))
-    kw = keywords.select(F.lower("keyword").alias("keyword")).distinct()
-    runs = posts.select(*cols, F.explode(F.array_distinct(TX.word_runs("text"))).alias("keyword"))
-    return runs.join(broadcast_if_small(kw), "keyword", "left_semi")
+    kw = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
+    run = F.regexp_extract("keyword", TX.WORD + "+", 0)
+    kw = kw.select("keyword", F.when(run != "", run).otherwise(F.substring("keyword", 1, 1)).alias("_key"))
+    one_word = F.rlike("keyword", F.lit(rf"\A{TX.WORD}+\z"))
+    words = posts.select(*cols, F.explode(F.array_distinct(TX.word_runs("text"))).alias("keyword"))
+    single = words.join(broadcast_if_small(kw.where(one_word).select("keyword")), "keyword", "left_semi")
+    text = F.lower(F.coalesce("text", F.lit("")))
+    marks = F.array_distinct(F.concat(TX.word_runs("text"), F.regexp_extract_all(text, F.lit(TX.NON_WORD[:-1]), F.lit(0))))
+    phrases = kw.where(~one_word)
+    several = (posts.select(*cols, text.alias("_text"), F.explode(marks).alias("_key"))
+               .join(broadcast_if_small(phrases), "_key")
+               .where(F.rlike("_text", TX.phrase_pattern(F.col("keyword")))).select(*cols, "keyword"))
+    return single.select(*cols, "keyword").unionByName(several)
 
 
 def _measure_table(tagged: DataFrame, key: str, names: DataFrame, approx_median: bool) -> DataFrame:

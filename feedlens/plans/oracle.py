@@ -10,7 +10,7 @@ from feedlens import schema as _schema
 from feedlens.functions.scalar import WS_CLASS
 from feedlens.operators import sentiment as _SE
 from feedlens.plans.queries import DOC_BOOSTERS, DOC_LEXICON, DOC_NEGATIONS
-from feedlens.plans.queries import DOC_BUCKETS, DOC_KEYWORDS, DOC_PLATFORMS
+from feedlens.plans.queries import DOC_BUCKETS, DOC_KEYWORDS, DOC_PHRASES, DOC_PLATFORMS
 from feedlens.plans.queries import LISTING_TERMS_DOCS
 from feedlens.plans.queries import ORDER_KEYWORDS
 from feedlens.sources import pages as _PG
@@ -267,6 +267,27 @@ SELECT k.keyword, count(h.keyword) AS rows,
   CAST(coalesce(sum(h.engagement), 0) AS BIGINT) AS total_engagement
 FROM kw k LEFT JOIN hits h USING (keyword) GROUP BY k.keyword""")
 
+def phrase_match(text: str, k: str) -> str:
+    """Keyword between word boundaries; the keywords of the test lists begin and end with word characters."""
+    w = NONWORD[:-1]
+    return f"regexp_matches(lower({text}), '(^|{w})' || regexp_escape({k}) || '($|{w})')"
+
+
+sql("keyword_phrases", with_posts(DOC_POSTS) + f""",
+kw AS (SELECT * FROM (VALUES {_values([(i, k) for i, k in enumerate(DOC_PHRASES)])}) t(kw_rank, keyword)),
+hits AS (SELECT k.keyword, p.engagement FROM doc_posts p JOIN kw k ON {phrase_match('p.text', 'k.keyword')})
+SELECT k.keyword, count(h.keyword) AS rows,
+  round(coalesce(avg(h.engagement), 0), 6) AS avg_engagement,
+  round(coalesce(CAST(median(h.engagement) AS DOUBLE), 0), 6) AS median_engagement,
+  CAST(coalesce(sum(h.engagement), 0) AS BIGINT) AS total_engagement
+FROM kw k LEFT JOIN hits h USING (keyword) GROUP BY k.keyword""")
+
+sql("keyword_table", with_posts(DOC_POSTS) + f""",
+kw AS (SELECT keyword FROM (VALUES {_values([(k,) for k in DOC_PHRASES])}) t(keyword)
+       UNION SELECT lower(lang) FROM documents WHERE lang IS NOT NULL)
+SELECT k.keyword, count(*) AS rows, CAST(sum(p.engagement) AS BIGINT) AS total_engagement
+FROM doc_posts p JOIN kw k ON {phrase_match('p.text', 'k.keyword')} GROUP BY k.keyword""")
+
 sql("word_frequency", with_posts(DOC_POSTS) + f""",
 toks AS (SELECT unnest({tokens('text')}) AS word FROM doc_posts)
 SELECT word, count(*) AS count FROM toks GROUP BY word ORDER BY count DESC, word LIMIT 40""")
@@ -396,35 +417,40 @@ sql("viral_posts", "SELECT type, severity, message, platform, engagement, alert_
     + with_posts(EVENTS_POSTS) + viral_sql("events_posts", 5) + ")")
 
 
-def keyword_trends_sql(src: str, kws) -> str:
+def keyword_trends_sql(src: str, kws, ratio: float = 2.0, new_min: int = 5, phrases: bool = False) -> str:
     vals = _values([(i, k) for i, k in enumerate(kws)])
+    match = phrase_match("r.text", "k.keyword") if phrases else "list_contains(r.r, k.keyword)"
     return HALVES.format(src=src) + f""",
 kw AS (SELECT * FROM (VALUES {vals}) t(kw_rank, keyword)),
 sizes AS (SELECT greatest(count(*) FILTER (WHERE NOT is_new), 1) AS n_old,
                  greatest(count(*) FILTER (WHERE is_new), 1) AS n_new, count(*) AS n_all FROM h),
-runs AS (SELECT is_new, list_distinct(regexp_split_to_array(lower(text), '{NONWORD}')) AS r FROM h),
+runs AS (SELECT is_new, text, list_distinct(regexp_split_to_array(lower(text), '{NONWORD}')) AS r FROM h),
 cnt AS (SELECT k.kw_rank, k.keyword,
           count(r.r) FILTER (WHERE NOT r.is_new) AS old_count,
           count(r.r) FILTER (WHERE r.is_new) AS new_count
-        FROM kw k LEFT JOIN runs r ON list_contains(r.r, k.keyword) GROUP BY k.kw_rank, k.keyword),
+        FROM kw k LEFT JOIN runs r ON {match} GROUP BY k.kw_rank, k.keyword),
 c AS (SELECT cnt.*, old_count / n_old AS orate, new_count / n_new AS nrate FROM cnt, sizes WHERE n_all >= 20)
 SELECT 'keyword_trending' AS type, 'medium' AS severity, CAST(NULL AS VARCHAR) AS date,
   printf('Keyword "%s" trending up — %.1fx more frequent in recent data (%d -> %d)', keyword, nrate / orate,
          old_count, new_count) AS message,
   CAST(NULL AS BIGINT) AS value, CAST(NULL AS BIGINT) AS previous, keyword, CAST(NULL AS VARCHAR) AS platform,
   CAST(NULL AS BIGINT) AS engagement, CAST(kw_rank * 2 + 1 AS BIGINT) AS alert_pos
-FROM c WHERE orate > 0 AND nrate / orate >= 2.0
+FROM c WHERE orate > 0 AND nrate / orate >= {ratio}
 UNION ALL
 SELECT 'keyword_new', 'low', NULL,
   printf('New keyword detected: "%s" appeared %d times in recent data', keyword, new_count),
   NULL, NULL, keyword, NULL, NULL, CAST(kw_rank * 2 + 2 AS BIGINT)
-FROM c WHERE old_count = 0 AND new_count >= 5"""
+FROM c WHERE old_count = 0 AND new_count >= {new_min}"""
 
 
 sql("keyword_trends", "SELECT type, severity, message, keyword, alert_pos FROM ("
     + with_posts(DOC_POSTS) + keyword_trends_sql("doc_posts", DOC_KEYWORDS) + ")")
 
 
+sql("keyword_trends_both", "SELECT type, severity, message, keyword, alert_pos FROM ("
+    + with_posts(DOC_POSTS) + keyword_trends_sql("doc_posts", DOC_PHRASES, 0.5, 2, phrases=True) + ")")
+
+
 _parts = [with_posts(ORDERS_POSTS) + E1_SQL, with_posts(ORDERS_POSTS) + E2_SQL,
           with_posts(ORDERS_POSTS) + keyword_trends_sql("orders_posts", ORDER_KEYWORDS),
           with_posts(ORDERS_POSTS) + viral_sql("orders_posts", 3)]

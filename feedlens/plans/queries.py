@@ -175,6 +175,24 @@ def q_keyword_analysis(spark, d):
     return rounded(TXT.keyword_analysis(A.doc_posts(spark, d), DOC_KEYWORDS))
 
 
+# Phrases and punctuated keywords, with hits, without, and one that is new in the newer half.
+DOC_PHRASES = ["the the", "the and", "attion to", "by-nc", "the", "no such phrase", "ertist", "anwhst"]
+
+
+@register("keyword_phrases")
+def q_keyword_phrases(spark, d):
+    return rounded(TXT.keyword_analysis(A.doc_posts(spark, d), DOC_PHRASES))
+
+
+@register("keyword_table")
+def q_keyword_table(spark, d):
+    """Keywords from a table: the language codes next to the phrases."""
+    listed = spark.createDataFrame([(k,) for k in DOC_PHRASES], "keyword string")
+    known = A.read_table(spark, d, "documents").select(F.col("lang").alias("keyword")).where("keyword is not null")
+    return (TXT.tag_keywords(A.doc_posts(spark, d), listed.unionByName(known))
+            .groupBy("keyword").agg(F.count(F.lit(1)).alias("rows"), F.sum("engagement").alias("total_engagement")))
+
+
 @register("word_frequency")
 def q_word_frequency(spark, d):
     return TXT.word_frequency(A.doc_posts(spark, d))
@@ -250,6 +268,13 @@ def q_keyword_trends(spark, d):
         "type", "severity", "message", "keyword", "alert_pos")
 
 
+@register("keyword_trends_both")
+def q_keyword_trends_both(spark, d):
+    """Trending and new keywords, phrases among them, at a ratio that fires."""
+    return AL.keyword_trends(A.doc_posts(spark, d), DOC_PHRASES, ratio=0.5, new_min=2).select(
+        "type", "severity", "message", "keyword", "alert_pos")
+
+
 def _all_alerts(spark, d):
     return AL.run_alerts(A.orders_posts(spark, d), ORDER_KEYWORDS, viral_multiplier=3)
 

@@ -97,3 +97,16 @@ def test_keyword_analysis_zero_hits_kept(spark):
     out = {r.keyword: r for r in TXT.keyword_analysis(_df(spark), ["gpt", "zzzz"]).collect()}
     assert out["zzzz"].rows == 0 and out["zzzz"].avg_engagement == 0.0
     assert out["gpt"].rows == 3
+
+
+def test_phrase_and_punctuated_keywords(spark):
+    """Phrases and punctuated keywords match as Python's word boundaries do, from a list and from a table."""
+    texts = ["Time saved by GPT-4!", "overtime saved", "time  saved", "c++ code, a.b", "xc++y c++", "a!b", "!", "", None, "gpt-45"]
+    kws = ["time saved", "gpt-4", "c++", "a.b", "!", "code", "gpt"]
+    want = sorted((i, k) for i, t in enumerate(texts) for k in kws
+                  if t and re.search(rf"\b{re.escape(k)}\b", t, re.I))
+    posts = spark.createDataFrame(list(enumerate(texts)), "engagement int, text string")
+    table = spark.createDataFrame([(k,) for k in kws + ["GPT"]], "keyword string")
+    for given in (kws, table):
+        got = sorted((r.engagement, r.keyword) for r in TXT.tag_keywords(posts, given).collect())
+        assert got == want
