@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -47,15 +48,17 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        at, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        size, new = np.zeros(len(pieces), np.int64), []
         for lo in range(0, len(pieces), 2000):
-            for j, e in enumerate(self.tok.encode_batch(pieces[lo:lo + 2000], add_special_tokens=False), lo):
-                ids = e.ids
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
-                self.pool[self.used:self.used + len(ids)] = ids
-                at[j], size[j] = self.used, len(ids)
-                self.used += len(ids)
+            ids = [e.ids for e in self.tok.encode_batch_fast(pieces[lo:lo + 2000], add_special_tokens=False)]
+            size[lo:lo + len(ids)] = np.fromiter(map(len, ids), np.int64, len(ids))
+            new.append(np.fromiter(chain.from_iterable(ids), np.int32))
+        at = self.used + np.cumsum(size) - size
+        stop = self.used + int(size.sum())
+        if stop > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), stop - len(self.pool)), np.int32)])
+        self.pool[self.used:stop] = np.concatenate(new)
+        self.used = stop
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
         self.keys = all_keys[order]
@@ -68,8 +71,10 @@ class Encoder:
         buf = np.frombuffer(raw, np.uint8)
         seen = _VISIBLE[buf]
         seen[1:] |= (buf[:-1] >= 0xC3) & (buf[:-1] <= 0xC5)   # second byte of a two-byte letter
-        cut = np.flatnonzero(seen[:-1] & _GAP[buf[1:]]) + 1
-        starts = np.unique(np.concatenate([cut, heads[heads < len(buf)], [0]]))
+        head = np.zeros(len(buf), bool)
+        np.logical_and(seen[:-1], _GAP[buf[1:]], out=head[1:])
+        head[heads[heads < len(buf)]] = head[0] = True
+        starts = np.flatnonzero(head)
         ends = np.append(starts[1:], len(buf))
         h = span_hashes(buf, starts, ends)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
