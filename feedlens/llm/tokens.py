@@ -16,8 +16,8 @@ import numpy as np
 
 from feedlens.llm.words import PIECE, span_hashes
 
-MEMO = 2_500_000        # pieces kept per worker (about 130 MB); the memo starts anew beyond
-BATCH = 2 * PIECE       # bytes of text handled together
+MEMO = 1_500_000        # pieces kept per worker (about 70 MB); the memo starts anew beyond
+BATCH = PIECE           # bytes of text handled together
 _CUT = re.compile(rb"[!-~][ \n]")
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -43,8 +43,8 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.len = np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
@@ -59,10 +59,10 @@ class Encoder:
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), stop - len(self.pool)), np.int32)])
         self.pool[self.used:stop] = np.concatenate(new)
         self.used = stop
-        all_keys = np.concatenate([self.keys, keys])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys = all_keys[order]
-        self.at, self.len = np.concatenate([self.at, at])[order], np.concatenate([self.len, size])[order]
+        place = np.searchsorted(self.keys, keys)      # both ascending
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, at)
+        self.len = np.insert(self.len, place, size)
 
     def _encode_buffer(self, raw: bytes, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a buffer and the ids before each of its ``heads`` (starts of texts, ascending)."""
@@ -87,7 +87,7 @@ class Encoder:
             todo = first[~known]
             self._learn(uniq[~known], [raw[starts[j]:ends[j]].decode("utf-8", "replace") for j in todo])
             at = np.searchsorted(self.keys, uniq)
-        size = self.len[at][inverse]
+        size = self.len[at][inverse].astype(np.int64)
         stop = np.cumsum(size)
         begin = stop - size
         ids = self.pool[np.repeat(self.at[at][inverse] - begin, size) + np.arange(stop[-1])]
