@@ -16,7 +16,7 @@ import numpy as np
 
 from feedlens.llm.words import PIECE, span_hashes
 
-MEMO = 1_500_000        # pieces kept per worker (about 70 MB); the memo starts anew beyond
+MEMO = 2_500_000        # pieces kept per worker (about 120 MB); the memo starts anew beyond
 BATCH = PIECE           # bytes of text handled together
 _CUT = re.compile(rb"[!-~][ \n]")
 _VISIBLE = np.zeros(256, bool)
