@@ -53,11 +53,21 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: st
 
 def half_split_cutoff(posts: DataFrame, date_col: str = "parsed_date", tiebreak: str = "seq") -> Column:
     """the (date, tiebreak) key of the last row of the older half (first n//2
-    rows in date order) as a scalar-subquery Column; null when the older half is empty."""
-    dated = posts.where(F.col(date_col).isNotNull()).select(date_col, tiebreak)
-    n = dated.select(F.count(F.lit(1)).alias("n"))
-    pos = prefix_sum(dated.withColumn("_one", F.lit(1)), [date_col, tiebreak], "_one", "_pos")
-    cut = (pos.join(F.broadcast(n), F.col("_pos") == F.floor(F.col("n") / 2))
+    rows in date order) as a scalar-subquery Column; null when the older half is empty.
+
+    Days are counted first (a table of one row per calendar day); only the rows of the day
+    that holds the cut are ranked."""
+    dated = (posts.where(F.col(date_col).isNotNull()).select(date_col, tiebreak)
+             .withColumn("_day", F.to_date(date_col)))
+    whole = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = (dated.groupBy("_day").agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_cum", F.sum("_c").over(Window.orderBy("_day")))
+            .withColumn("_half", F.floor(F.sum("_c").over(whole) / 2)))
+    cut_day = (days.where("_cum - _c < _half and _half <= _cum")
+               .select("_day", (F.col("_half") - F.col("_cum") + F.col("_c")).alias("_nth")))   # at most one row
+    pos = prefix_sum(dated.join(F.broadcast(cut_day), "_day").withColumn("_one", F.lit(1)),
+                     [date_col, tiebreak], "_one", "_at")
+    cut = (pos.where("_at = _nth")
               .select(F.struct(F.col(date_col).alias("d"), F.col(tiebreak).alias("t")).alias("cut")))
     return cut.select(F.max("cut")).scalar()
 

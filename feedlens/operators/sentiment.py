@@ -7,11 +7,11 @@ distance), negations in the preceding three words, a contrastive "but",
 and '!'/'?' emphasis; the sum is normalised to (-1, 1).  Texts shorter than
 5 characters score 0.
 
-The whole computation is column expressions over the post's own token
-arrays (``transform`` / ``aggregate`` higher-order functions, JVM-side, no
-shuffle); context rules run only at lexicon-hit positions.  Lexicons up to ``MAX_MAP_ENTRIES`` are inlined as a map literal
-after a size check; larger lexicon tables are joined to the exploded tokens
-(broadcast only if small) and the valences regrouped per post.
+Texts are exploded to tokens and joined to one table of lexicon, booster and
+negation words; only tokens that matter (a word of the table, "n't", an
+all-caps word, "but") are kept and shuffled, by post, where the context rules
+look at the up to three kept tokens before each lexicon word.  One path serves
+every lexicon size; the table is broadcast only after a size check.
 
 Idiom, emoji and "kind of"/"least"/"never so" special cases of the
 published method are not modelled.
@@ -19,7 +19,7 @@ published method are not modelled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens import schema
@@ -87,91 +87,65 @@ DEFAULT_LEXICON = {
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _map_literal(d: dict) -> Column:
-    if not d:
-        return F.create_map().cast("map<string,double>")
-    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))])
-
-
-def words(text) -> Column:
-    """Whitespace tokens, end punctuation stripped when >2 characters remain."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s]+"), lambda t: t != "")
-    punct_re = "[" + "".join("\\" + c for c in PUNCT) + "]"
-    edge = f"^{punct_re}+|{punct_re}+$"
-    return F.transform(raw, lambda t: F.when(F.length(F.regexp_replace(t, edge, "")) <= 2, t)
-                       .otherwise(F.regexp_replace(t, edge, "")))
-
-
-def _is_upper(t: Column) -> Column:
-    return (F.upper(t) == t) & (F.lower(t) != t)
-
-
-def _with_token_columns(df: DataFrame, text: Column, lex: Column | None, vals: Column | None,
-                        boost: Column, negs: Column) -> DataFrame:
-    """Per-row arrays computed once: tokens ``_w``, lower-case ``_wl``, valences
-    ``_v`` (null = not in the lexicon), the lexicon-hit positions ``_hits`` and
-    the cap-differential flag.  Context rules are then evaluated only at the hit
-    positions by indexing these arrays (constant work per hit)."""
-    df = df.withColumn("_w", words(text)) if "_w" not in df.columns else df
-    df = df.withColumn("_wl", F.transform("_w", lambda t: F.lower(t)))
-    if vals is None:
-        df = df.withColumn("_v", F.transform("_wl", lambda t: F.try_element_at(lex, t)))
-    else:
-        df = df.withColumn("_v", vals)
-    df = (df.withColumn("_b", F.transform("_wl", lambda t: F.coalesce(F.try_element_at(boost, t), F.lit(0.0))))
-            .withColumn("_n", F.transform("_wl", lambda t: F.array_contains(negs, t) | t.contains("n't")))
-            .withColumn("_u", F.transform("_w", _is_upper)))
-    caps = F.size(F.filter("_u", lambda x: x))
-    df = df.withColumn("_capdiff", (caps > 0) & (caps < F.size("_w")))
-    idx = F.sequence(F.lit(0), F.size("_w") - 1)
-    hits = F.filter(F.when(F.size("_w") > 0, idx).otherwise(F.array().cast("array<int>")),
-                    lambda i: F.try_element_at(F.col("_v"), (i + 1).cast("int")).isNotNull())
-    return df.withColumn("_hits", hits).withColumn("_but", F.array_position("_wl", "but"))
-
-
-TOKEN_COLUMNS = ["_w", "_wl", "_v", "_b", "_n", "_u", "_capdiff", "_hits", "_but"]
-
-
-def _score_expr(text: Column) -> Column:
-    """Compound score from the per-row arrays of :func:`_with_token_columns`."""
-    vals, bst, neg, up, capdiff = F.col("_v"), F.col("_b"), F.col("_n"), F.col("_u"), F.col("_capdiff")
-    wl = F.col("_wl")
-
-    def at(arr: Column, idx0: Column) -> Column:
-        # idx0 is 0-based; element_at is 1-based and counts from the end for negatives
-        return F.when(idx0 >= 0, F.try_element_at(arr, (idx0 + 1).cast("int")))
-
-    def hit_valence(i: Column) -> Column:
-        v = at(vals, i)
-        is_boost = at(bst, i) != 0
-        caps_adj = F.when(capdiff & at(up, i), F.when(v > 0, C_INCR).otherwise(-C_INCR)).otherwise(0.0)
-
-        def step(acc: Column, k: Column) -> Column:
-            j = i - k
-            applies = (j >= 0) & at(vals, j).isNull()
-            pb = F.coalesce(at(bst, j), F.lit(0.0))
-            b = F.when(acc < 0, -pb).otherwise(pb)
-            b = F.when((pb != 0) & at(up, j) & capdiff, b + F.when(acc > 0, C_INCR).otherwise(-C_INCR)).otherwise(b)
-            damp = F.when(k == 2, DISTANCE_DAMP[1]).when(k == 3, DISTANCE_DAMP[2]).otherwise(DISTANCE_DAMP[0])
-            boosted = acc + F.when(pb != 0, b * damp).otherwise(0.0)
-            return F.when(applies, F.when(at(neg, j), boosted * N_SCALAR).otherwise(boosted)).otherwise(acc)
-
-        acc = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), v + caps_adj, step)
-        val = F.when(is_boost, F.lit(0.0)).otherwise(acc)
-        return F.struct(i.alias("i"), val.alias("s"))
-
-    sent = F.transform("_hits", hit_valence)
-    but = F.col("_but")
-    mult = lambda i: F.when(but == 0, 1.0).when(i + 1 < but, BUT_BEFORE).when(i + 1 > but, BUT_AFTER).otherwise(1.0)
-    total = F.aggregate(sent, F.lit(0.0), lambda a, x: a + x["s"] * mult(x["i"]))
-    ex = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(EXCLAIM_MAX))
-    qm = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
-    qamp = F.when(qm > 1, F.when(qm <= 3, qm * QUESTION_INCR).otherwise(QUESTION_MAX)).otherwise(0.0)
-    amp = ex * EXCLAIM_INCR + qamp
-    total = F.when(total > 0, total + amp).when(total < 0, total - amp).otherwise(total)
-    comp = total / F.sqrt(total * total + NORM_ALPHA)
-    comp = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), comp))
-    return F.bround(comp, 4)
+def _word_table(posts: DataFrame, lexicon: dict | DataFrame, boosters: dict, negations: list) -> DataFrame:
+    """One row per lower-case token: ``_v`` (valence), ``_delta`` (booster), ``_neg``."""
+    spark = posts.sparkSession
+    boost, neg = {k.lower(): float(v) for k, v in boosters.items()}, {x.lower() for x in negations}
+    rules = spark.createDataFrame([(w, boost.get(w, 0.0), w in neg) for w in sorted(boost.keys() | neg)],
+                                  "token string, _delta double, _neg boolean")
+    if isinstance(lexicon, dict):
+        lex = spark.createDataFrame(sorted({k.lower(): float(v) for k, v in lexicon.items()}.items()),
+                                    "token string, _v double")
+        return F.broadcast(lex.join(F.broadcast(rules), "token", "full"))
+    v = F.col("valence").cast("double")
+    lex = lexicon.groupBy(F.lower("token").alias("token")).agg(F.max_by(v, F.struct(F.abs(v), v)).alias("_v"))
+    return broadcast_if_small(lex.join(rules, "token", "full"))
+
+
+def _kept_tokens(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(_id, _n, _pos, _up, _but, _v, _delta, _neg) of the tokens of ``texts`` (_id, _t) that matter;
+    ``_n`` is the post's number of tokens."""
+    w = F.col("_w")
+    edges = (F.element_at(w, 1) == "").cast("int") + ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
+    raw = (texts.select("_id", F.split("_t", r"\s+").alias("_w"))
+           .select("_id", (F.size(w) - edges).alias("_n"), F.posexplode(w).alias("_pos", "_raw")))
+    bare = F.btrim("_raw", F.lit(PUNCT))
+    word = F.when(F.length(bare) <= 2, F.col("_raw")).otherwise(bare)
+    tokens = (raw.select("_id", "_n", "_pos", word.alias("_word"))
+              .select("_id", "_n", "_pos", "_word", F.lower("_word").alias("token"))
+              .withColumn("_up", (F.upper("_word") == F.col("_word")) & (F.col("token") != F.col("_word"))))
+    valued = tokens.join(words, "token", "left").select(
+        "_id", "_n", "_pos", "_up", (F.col("token") == "but").alias("_but"), "_v",
+        F.coalesce("_delta", F.lit(0.0)).alias("_delta"),
+        (F.coalesce("_neg", F.lit(False)) | F.col("token").contains("n't")).alias("_neg"))
+    return valued.where("_v is not null or _delta != 0 or _neg or _up or _but")
+
+
+def _totals(kept: DataFrame) -> DataFrame:
+    """Sum of the adjusted valences per post (_id, _total)."""
+    post = Window.partitionBy("_id")
+    near = F.struct("_pos", "_v", "_delta", "_neg", "_up")
+    caps = F.count_if("_up").over(post)
+    hits = (kept.withColumn("_capdiff", (caps > 0) & (caps < F.col("_n")))
+            .withColumn("_but_pos", F.min(F.when(F.col("_but"), F.col("_pos"))).over(post))
+            .withColumns({f"_p{k}": F.lag(near, k).over(post.orderBy("_pos")) for k in (1, 2, 3)})
+            .where("_v is not null"))
+    shout = lambda sign: F.when(sign > 0, C_INCR).otherwise(-C_INCR)
+    acc, capdiff = F.col("_acc"), F.col("_capdiff")
+    hits = hits.withColumn("_acc", F.col("_v") + F.when(capdiff & F.col("_up"), shout(F.col("_v"))).otherwise(0.0))
+    for k in (1, 2, 3):      # kept tokens before the hit, nearest first
+        p = F.col(f"_p{k}")
+        far = F.col("_pos") - p["_pos"]
+        b = (F.when(acc < 0, -p["_delta"]).otherwise(p["_delta"])
+             + F.when(p["_up"] & capdiff, shout(acc)).otherwise(0.0))
+        damp = F.when(far == 1, DISTANCE_DAMP[0]).when(far == 2, DISTANCE_DAMP[1]).otherwise(DISTANCE_DAMP[2])
+        boosted = acc + F.when(p["_delta"] != 0, b * damp).otherwise(0.0)
+        hits = hits.withColumn("_acc", F.when(
+            (far <= 3) & p["_v"].isNull(), boosted * F.when(p["_neg"], N_SCALAR).otherwise(1.0)).otherwise(acc))
+    but, pos = F.col("_but_pos"), F.col("_pos")
+    weight = F.when(pos < but, BUT_BEFORE).when(pos > but, BUT_AFTER).otherwise(1.0)
+    return (hits.groupBy("_id")
+            .agg(F.sum(F.when(F.col("_delta") != 0, 0.0).otherwise(acc) * weight).alias("_total")))
 
 
 def lexicon_sentiment(posts: DataFrame, lexicon: dict | DataFrame | None = None,
@@ -179,39 +153,28 @@ def lexicon_sentiment(posts: DataFrame, lexicon: dict | DataFrame | None = None,
                       text_col: str = "text", id_col: str = "seq") -> DataFrame:
     """L2 + S13: adds ``sentiment_score`` and ``sentiment_label``.
 
-    ``lexicon``: dict (inlined) or DataFrame(token, valence), which is joined whatever
-    its size (tokens exploded with their position, valences regrouped per post by
-    ``id_col``).  Tokens are lower-cased; of tokens that then coincide the strongest
-    valence holds (the last one in a dict)."""
-    boost = _map_literal(boosters if boosters is not None else BOOSTERS)
-    negs = F.array(*[F.lit(x) for x in (negations if negations is not None else NEGATIONS)])
+    ``lexicon``: dict or DataFrame(token, valence) of any size.  ``id_col`` tells the posts
+    apart.  Tokens are lower-cased; of tokens that then coincide the strongest valence holds
+    (the last one in a dict)."""
+    words = _word_table(posts, DEFAULT_LEXICON if lexicon is None else lexicon,
+                        BOOSTERS if boosters is None else boosters, NEGATIONS if negations is None else negations)
     text = F.coalesce(F.col(text_col), F.lit(""))
     short = F.length(S.ustrip(text)) < MIN_CHARS
-    if lexicon is None or isinstance(lexicon, dict):
-        lex = _map_literal({k.lower(): v for k, v in (lexicon if lexicon is not None else DEFAULT_LEXICON).items()})
-        base = _with_token_columns(posts, text, lex, None, boost, negs)
-        score = F.when(short, F.lit(0.0)).otherwise(_score_expr(text))
-        out = base.withColumn("sentiment_score", score).drop(*TOKEN_COLUMNS)
-    else:
-        out = _join_path(posts, lexicon, boost, negs, text_col, id_col, short)
-    return out.withColumn("sentiment_label", S.sentiment_label("sentiment_score"))
-
-
-def _join_path(posts, lexicon, boost, negs, text_col, id_col, short):
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = posts.withColumn("_w", words(text))
-    toks = base.select(id_col, F.posexplode("_w").alias("_pos", "_tok")) \
-        .withColumn("token", F.lower("_tok"))
-    v = F.col("valence").cast("double")
-    lex = broadcast_if_small(lexicon.groupBy(F.lower("token").alias("token")).agg(
-        F.max_by(v, F.struct(F.abs(v), v)).alias("valence")))
-    valued = toks.join(lex, "token", "left")
-    vals = valued.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "valence"))), lambda s: s["valence"]).alias("_vals"))
-    j = base.join(vals, id_col, "left")
-    j = _with_token_columns(j, text, None, F.coalesce("_vals", F.array().cast("array<double>")), boost, negs)
-    return (j.withColumn("sentiment_score", F.when(short, F.lit(0.0)).otherwise(_score_expr(text)))
-            .drop(*TOKEN_COLUMNS, "_vals"))
+    texts = posts.select(F.col(id_col).alias("_id"), text.alias("_t"))
+    totals = _totals(_kept_tokens(texts, words))
+    marks = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    asked = F.when(marks("?") > 1, F.when(marks("?") <= 3, marks("?") * QUESTION_INCR).otherwise(QUESTION_MAX))
+    amp = F.least(marks("!"), F.lit(EXCLAIM_MAX)) * EXCLAIM_INCR + F.coalesce(asked, F.lit(0.0))
+    # amplifier of the punctuation, null where the text is too short: computed before the join, so
+    # that the text need not travel
+    base = posts.withColumn("_amp", F.when(short, F.lit(None)).otherwise(amp))
+    total = F.coalesce("_total", F.lit(0.0))
+    total = total + F.signum(total) * F.col("_amp")
+    comp = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.sqrt(total * total + NORM_ALPHA)))
+    score = F.when(F.col("_amp").isNull(), 0.0).otherwise(F.bround(comp, 4))
+    return (base.join(totals, F.col(id_col) == F.col("_id"), "left")
+            .withColumn("sentiment_score", score).drop("_id", "_amp", "_total")
+            .withColumn("sentiment_label", S.sentiment_label("sentiment_score")))
 
 
 def sentiment_by_platform(scored: DataFrame, digits: int = 1) -> DataFrame:

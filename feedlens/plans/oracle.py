@@ -516,7 +516,7 @@ SELECT round(corr(rx, ry), 6) AS statistic, count(*) AS n FROM r HAVING count(*)
 
 # --- sentiment (relational form: tokens with positions, self-joined to predecessors) ------
 
-_P = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in _SE.PUNCT) + "]"
+_P = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + "]"
 _P = _P.replace("'", "''")
 
 
@@ -524,7 +524,7 @@ def sentiment_sql(src: str) -> str:
     lex = _values(sorted(DOC_LEXICON.items()))
     boo = _values(sorted(DOC_BOOSTERS.items()))
     neg = _list(DOC_NEGATIONS)
-    ci = _SE.C_INCR
+    ci = 0.733
 
     def step(k: int, prev: str, cur: str, damp: float) -> str:
         return f"""
@@ -545,16 +545,17 @@ r1 AS (SELECT seq, pos, CASE WHEN length(regexp_replace(tok, '^{_P}+|{_P}+$', ''
                         ELSE regexp_replace(tok, '^{_P}+|{_P}+$', '', 'g') END AS w FROM r0),
 lex AS (SELECT * FROM (VALUES {lex}) x(token, valence)),
 boo AS (SELECT * FROM (VALUES {boo}) x(token, delta)),
-t AS (SELECT r1.seq, r1.pos, lower(w) AS wl, (upper(w) = w AND lower(w) <> w) AS isup,
+toks AS MATERIALIZED (SELECT r1.seq, r1.pos, lower(w) AS wl, (upper(w) = w AND lower(w) <> w) AS isup,
              lex.valence AS v, boo.delta AS bd,
              (list_contains({neg}, lower(w)) OR contains(lower(w), 'n''t')) AS neg
       FROM r1 LEFT JOIN lex ON lex.token = lower(w) LEFT JOIN boo ON boo.token = lower(w)),
 pp AS (SELECT seq, count(*) FILTER (WHERE isup) AS caps, count(*) AS n,
-              min(pos) FILTER (WHERE wl = 'but') AS but_pos FROM t GROUP BY seq),
+              min(pos) FILTER (WHERE wl = 'but') AS but_pos FROM toks GROUP BY seq),
+t AS MATERIALIZED (SELECT * FROM toks WHERE v IS NOT NULL OR bd IS NOT NULL OR neg),
 s0 AS (SELECT t.*, (pp.caps > 0 AND pp.caps < pp.n) AS capdiff, pp.but_pos,
               t.v + CASE WHEN (pp.caps > 0 AND pp.caps < pp.n) AND t.isup
                          THEN (CASE WHEN t.v > 0 THEN {ci} ELSE -{ci} END) ELSE 0.0 END AS a0
-       FROM t JOIN pp USING (seq)),
+       FROM t JOIN pp USING (seq) WHERE t.v IS NOT NULL),
 {step(1, 'a0', 'a1', 1.0)},
 {step(2, 'a1', 'a2', 0.95)},
 {step(3, 'a2', 'a3', 0.9)},
@@ -582,6 +583,7 @@ scored AS (
 SENT = with_posts(DOC_POSTS) + sentiment_sql("doc_posts")
 
 sql("lexicon_sentiment", SENT + "\nSELECT seq, sentiment_score, sentiment_label FROM scored")
+sql("lexicon_table_sentiment", SENT + "\nSELECT seq, sentiment_score, sentiment_label FROM scored")
 
 _BY_PLATFORM = """,
 bp AS (SELECT platform, avg(sentiment_score) AS avg_sentiment,

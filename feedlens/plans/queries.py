@@ -352,6 +352,13 @@ def q_lexicon_sentiment(spark, d):
     return _scored_docs(spark, d).select("seq", "sentiment_score", "sentiment_label")
 
 
+@register("lexicon_table_sentiment")
+def q_lexicon_table_sentiment(spark, d):
+    lexicon = spark.createDataFrame(list(DOC_LEXICON.items()), "token string, valence double")
+    return (SE.lexicon_sentiment(A.doc_posts(spark, d), lexicon, DOC_BOOSTERS, DOC_NEGATIONS)
+            .select("seq", "sentiment_score", "sentiment_label"))
+
+
 @register("sentiment_by_platform")
 def q_sentiment_by_platform(spark, d):
     return rounded(SE.sentiment_by_platform(_scored_docs(spark, d), digits=6))

@@ -105,3 +105,15 @@ def test_spearman_against_brute_force(spark):
     cov = sum((a - mx) * (b - my) for a, b in zip(xs, ys))
     r = cov / math.sqrt(sum((a - mx) ** 2 for a in xs) * sum((b - my) ** 2 for b in ys))
     assert abs(got - r) < 1e-9
+
+
+def test_half_split_ranks_the_cut_day_only(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(3)
+    for n in (0, 1, 2, 7, 60):
+        rows = [(i, dt.datetime(2024, 1, 1 + rnd.randrange(3), rnd.randrange(2))) for i in range(n)] + [(1000, None)]
+        df = spark.createDataFrame(rows, "seq long, parsed_date timestamp")
+        old = sorted(((d, i) for i, d in rows if d is not None))[:n // 2]
+        got = {(r.parsed_date, r.seq) for r in RK.with_half(df).where("not is_new").collect()}
+        assert got == set(old) and RK.with_half(df).count() == n
