@@ -1,6 +1,6 @@
 """op10: licence notices by sentence rules, in DataFrame functions only.
 
-Texts are cut into sentences, each normalised (lower case, everything but letters, digits,
+Texts are cut into sentences (also at blank lines and links), each normalised (lower case, everything but letters, digits,
 dots, plus and minus signs to single spaces).  Known licence sentences become identifiers; the identifiers
 of a text, in order, are matched against ordered rules, longest first; a rule inside the
 match of an earlier one says nothing new and is left out.  All in one row: no shuffle, so
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from feedlens.llm.common import pick
 
-# Opening sentences of public licence notices, normalised; identifiers in reading order.
+# Opening sentences of public licence notices, normalised and cut as the splitter cuts (also at
+# ":" and ";"); G7 and G8 are G2 G3 and G5 G6 of notices without those signs.
 SENTENCES = {
     "A1": "licensed under the apache license version 2.0",
     "A2": "licensed under the apache license version 2.0 the license",
@@ -27,8 +28,12 @@ SENTENCES = {
     "M3": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "M4": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "G1": "this work is licensed under the gnu general public license version 3",
-    "G2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "G3": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "G2": "this program is free software",
+    "G3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "G5": "this program is distributed in the hope that it will be useful but without any warranty",
+    "G6": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "G7": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "G8": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "G4": "you should have received a copy of the gnu general public license along with this program",
     "C1": "licensed under cc by-nc 4.0",
     "C2": "licensed under cc by 4.0",
@@ -40,19 +45,22 @@ SENTENCES = {
 }
 # Ordered rules: (name, licence, identifiers that must follow each other).
 RULES = [
-    ("apache-header", "Apache-2.0", "A2 A3 A4 A5 A6"), ("mit-text", "MIT", "M2 M3 M4"), ("gpl-header", "GPL-3.0-or-later", "G2 G3 G4"),
-    ("bsd-text", "BSD", "B1 B2"), ("apache-usage", "Apache-2.0", "A1 A3"), ("apache-line", "Apache-2.0", "A1"),
+    ("apache-header", "Apache-2.0", "A2 A3 A4 A5 A6"), ("mit-text", "MIT", "M2 M3 M4"), ("gpl-header", "GPL-3.0-or-later", "G2 G3 G5 G6 G4"),
+    ("gpl-header", "GPL-3.0-or-later", "G7 G8 G4"), ("bsd-text", "BSD", "B1 B2"), ("apache-usage", "Apache-2.0", "A1 A3"), ("apache-line", "Apache-2.0", "A1"),
     ("apache-terms", "Apache-2.0", "A2"), ("mit-line", "MIT", "M1"), ("mit-grant", "MIT", "M2"), ("gpl-line", "GPL-3.0", "G1"),
-    ("gpl-terms", "GPL-3.0-or-later", "G2"), ("cc-by-nc", "CC-BY-NC-4.0", "C1"), ("cc-by", "CC-BY-4.0", "C2"),
+    ("gpl-terms", "GPL-3.0-or-later", "G3"), ("gpl-terms", "GPL-3.0-or-later", "G7"),
+    ("cc-by-nc", "CC-BY-NC-4.0", "C1"), ("cc-by", "CC-BY-4.0", "C2"),
     ("cc-by-work", "CC-BY-4.0", "C3"), ("mpl-line", "MPL-2.0", "P1"), ("reserved", "Proprietary", "R1"),
 ]
 # Every known sentence holds one of these; a text with none has no notice.
-HINTS = ["licen", "copyright", "permission", "redistribut", "warranty", "reserved"]
+HINTS = ["licen", "free software", "copyright", "permission", "redistribut", "warranty", "reserved"]
 
 
 def identifiers(text: Column) -> Column:
     """Array of the known sentences' identifiers in a text, in order.  Sentences end at a line
-    break, or lines are joined first (wrapped notices): the reading with more of them counts."""
+    break, or lines are joined first (wrapped notices), as a whole or up to blank lines (without
+    a letter or digit: comment signs may stand there) and links: the reading with most of them
+    counts, the first of equals."""
     ends = r"[.!?:;]+(\s|$)"
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
 
@@ -60,9 +68,11 @@ def identifiers(text: Column) -> Column:
         plain = F.transform(F.split(marked, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9.+-]+", " ")))
         return F.transform(F.filter(plain, lambda s: s.isin(*SENTENCES.values())), lambda s: F.element_at(known, s))
 
-    by_line = read(F.regexp_replace(F.lower(text), ends, "\n"))
-    wrapped = read(F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), ends, "\n"))
-    return F.when(F.size(wrapped) > F.size(by_line), wrapped).otherwise(by_line)
+    low = F.lower(text)
+    blocks = F.regexp_replace(F.regexp_replace(low, r"\n[^\p{L}\p{N}\n]*\n", ". "), r"https?://\S+", ". ")
+    readings = [low, *[F.regexp_replace(t, r"\s+", " ") for t in (low, blocks)]]
+    return F.reduce(F.array(*[read(F.regexp_replace(t, ends, "\n")) for t in readings]), F.array().cast("array<string>"),
+                    lambda a, b: F.when(F.size(b) > F.size(a), b).otherwise(a))
 
 
 def scan(docs: DataFrame) -> DataFrame:

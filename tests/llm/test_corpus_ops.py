@@ -353,6 +353,85 @@ def test_op10_licenses(spark, docs, empty):
     assert licenses.scan(empty).collect() == []
 
 
+APACHE = """Copyright 2024 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """Copyright (C) 2024  The Authors
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+MIT = """MIT License
+
+Copyright (c) 2024 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD = """BSD 2-Clause License
+
+Copyright (c) 2024, The Authors
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_op10_verbatim_notices(spark):
+    want = [(APACHE, "A2 A3 A4 A5 A6", "apache-header", "Apache-2.0"), (GPL, "G2 G3 G5 G6 G4", "gpl-header", "GPL-3.0-or-later"),
+            (MIT, "M2 M3 M4", "mit-text", "MIT"), (BSD, "B1 B2", "bsd-text", "BSD")]
+    rows, expect = [], {}
+    for sign in ("", "# ", " * ", "// "):
+        for text, *out in want:
+            expect[len(rows)] = out
+            rows.append((len(rows), "\n".join(sign + line for line in text.split("\n"))))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [r.sentence_ids, r.rules, r.licenses] for r in got} == expect
+    one = licenses.scan(spark.createDataFrame([(1, "This program is free software.")], "doc_id long, text string")).first()
+    assert one.sentence_ids == "G2" and all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES.values())
+
+
 def test_components_and_numbers(spark):
     chain = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (7, 7), (60, 50)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
