@@ -3,7 +3,7 @@
 Rotations are learned on a bounded sample (principal directions, then alternating signs
 and orthogonal Procrustes) and turn a vector into balanced binary codes.  Each code is
 cut into substrings, one hash table per substring and label: near vectors share at least
-one substring with high probability.  What a table returns is reranked with the original
+one substring with high probability, measured on pairs planted around the sampled vectors.  What a table returns is reranked with the original
 vectors in double precision, in blocks, so links are exact and pairs are never listed:
 a block yields link counts and a spanning forest.  Equal vectors are one row with a weight.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from feedlens.llm.common import components, pick, prepare, stored
 
 SAMPLE, ROUNDS, MISS, BLOCK_ROWS = 8192, 30, 1e-4, 2048
+PLANTED, MISSED, MOST = 4096, 1e-3, 64  # vectors with planted pairs, share that may be missed, rotations before substrings get shorter
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -48,12 +49,54 @@ def table_plan(rows: int, bits: int, least: float) -> tuple[int, int, int]:
     return sub, per, max(1, math.ceil(math.log(MISS) / math.log(1 - same) / per)) if same < 1 else 1
 
 
+def planted(x: np.ndarray, least: float, seed: int) -> list[np.ndarray]:
+    """Partners of unit vectors at a cosine of ``least``: turned in any direction, and in the direction
+    of the difference of two of the vectors (where the data varies)."""
+    r = np.random.default_rng(seed)
+    out = []
+    for step in (r.normal(size=x.shape), x[r.permutation(len(x))] - x[r.permutation(len(x))] + 1e-9 * r.normal(size=x.shape)):
+        step = step - (step * x).sum(axis=1, keepdims=True) * x
+        step /= np.maximum(np.sqrt((step * step).sum(axis=1, keepdims=True)), 1e-300)
+        out.append(least * x + math.sqrt(max(0.0, 1 - least * least)) * step)
+    return out
+
+
+def substrings(x: np.ndarray, mean: np.ndarray, proj: np.ndarray, sub: int) -> list[np.ndarray]:
+    """The code's substrings as numbers, one array per table of the rotation (no bits: all rows meet)."""
+    bit = (x - mean) @ proj >= 0
+    return [part @ (1 << np.arange(part.shape[1], dtype=np.int64))
+            for part in (bit[:, j * sub:(j + 1) * sub] for j in range(max(1, bit.shape[1] // max(1, sub))))]
+
+
+def planned(x: np.ndarray, sub: int, count: int, least: float) -> tuple[int, list]:
+    """(substring bits, rotations) for unit vectors like ``x``: at least ``count`` rotations, and more
+    until pairs planted at the threshold share a substring, of either kind all but MISSED of them.
+
+    Signs are taken after the mean, where such pairs lie further apart the longer the mean is; so
+    the share is measured on the codes.  Where MOST rotations don't do, substrings get shorter."""
+    base, models = x[:PLANTED], []
+    pairs = planted(base, least, len(x))
+    while True:
+        missed, used = [np.ones(len(base), bool) for _ in pairs], 0
+        while used < max(count, MOST):
+            if used == len(models):
+                models.append(learn_rotation(x, 100 + used))
+            own = substrings(base, *models[used], sub)
+            for lost, y in zip(missed, pairs):
+                for a, b in zip(own, substrings(y, *models[used], sub)):
+                    lost &= a != b
+            used += 1
+            if used >= count and max(m.mean() for m in missed) <= MISSED:
+                return sub, models[:used]
+        sub, count = sub - 1, 1
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codes(models: dict, sub: int, per: int):
+def _codes(models: dict, sub: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vecs = batch.column(1).to_pylist()
@@ -62,12 +105,8 @@ def _codes(models: dict, sub: int, per: int):
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = unit(np.array([vecs[i] for i in at], float))
-                keys = []
-                for mean, proj in models.get(int(dim)) or _plain_models(int(dim), models[0]):
-                    bit = ((x - mean) @ proj >= 0)
-                    for j in range(per):
-                        part = bit[:, j * sub:(j + 1) * sub]
-                        keys.append(part @ (1 << np.arange(part.shape[1], dtype=np.int64)))
+                own, rotations = models.get(int(dim)) or (sub, _plain_models(int(dim), models[0]))
+                keys = [k for mean, proj in rotations for k in substrings(x, mean, proj, own)]
                 for i, row in zip(at, np.stack(keys, axis=1).tolist()):
                     out[i] = row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "codes"])
@@ -151,13 +190,13 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     size = cls.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     sample = [r[0] for r in cls.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").collect()]
     bits = min([64, *map(len, sample)])
-    sub, per, count = table_plan(size, bits, least)
+    sub, _, count = table_plan(size, bits, least)
     models: dict = {0: count}
     for dim in {len(v) for v in sample}:
         x = unit(np.array([v for v in sample if len(v) == dim], float))
         if len(x) >= 2 * dim:
-            models[dim] = [learn_rotation(x, 100 + k) for k in range(count)]
-    codes = cls.select("node", "embedding").mapInArrow(_codes(models, sub, per), "node long, codes array<long>")
+            models[dim] = planned(x, sub, count, least)
+    codes = cls.select("node", "embedding").mapInArrow(_codes(models, sub), "node long, codes array<long>")
     codes = stored(codes, "codes")
     keys = (codes.join(cls.select("node", "label", F.size("embedding").alias("dim")), "node")
             .select("node", F.posexplode("codes").alias("t", "code"), "label", "dim")

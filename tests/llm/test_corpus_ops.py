@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -217,6 +218,19 @@ def test_op5_links_equal_brute_force(spark):
     assert itq.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_op5_finds_pairs_beside_a_long_mean(spark):
+    """Vectors around a common direction (mean of length 0.95): pairs planted just above the threshold."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2500, 32))
+    x = itq.unit(0.95 * itq.unit(rng.normal(size=(1, 32))) + math.sqrt(1 - 0.95 ** 2) * itq.unit(x))
+    step = rng.normal(size=(500, 32))
+    step = itq.unit(step - (step * x[:500]).sum(axis=1, keepdims=True) * x[:500])
+    x = np.concatenate([x, 0.9805 * x[:500] + math.sqrt(1 - 0.9805 ** 2) * step])
+    want = np.triu(itq.unit(x) @ itq.unit(x).T >= 0.98, 1).sum()
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    assert want >= 500 and itq.near_duplicates(df).agg(F.sum("n_links")).first()[0] >= 2 * 0.99 * want
+
+
 def test_op6_packing(docs, empty):
     path = vocabulary("word_bpe_49k.json")
     got = packing.pack(docs, path, capacity=64).collect()
