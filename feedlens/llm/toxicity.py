@@ -5,18 +5,19 @@ toxic text.  The toxic one holds the segments that are distinctive of toxic text
 n-grams found in clearly more toxic than ordinary texts, joined to runs) in front of the
 same ordinary content, so a window's two compressed lengths differ only where a
 distinctive segment occurs.  Whole texts are cut into overlapping windows; the saving of
-the toxic dictionary over the ordinary one, against a threshold calibrated on training
-texts, gives the features of a logistic score.
+the toxic dictionary over the ordinary one, against the shares of ordinary windows that
+save as much, gives the features of a logistic score: how unlikely the counted windows are
+in an ordinary text of that length, so long texts are not toxic for their length.
 
-Training uses a bounded sample of labelled rows (``SAMPLE`` per class, by id hash);
-scoring covers every byte of every text.
+Training uses whole texts of a bounded sample of labelled rows (``SAMPLE`` per class, by id
+hash), read in Spark tasks; scoring covers every byte of every text.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import pick, prepare
+from feedlens.llm.common import pick, prepare, stored
 from feedlens.llm.words import minima, permutations, shingles, word_hashes
 
-SAMPLE, SAMPLE_CHARS = {1: 1000, 0: 3000}, 20_000   # texts per class (toxic, ordinary) and code points of each used to fit
+SAMPLE = {1: 1000, 0: 3000}     # texts per class (toxic, ordinary) used to fit
+CUTS = 60_000                   # windows the ordinary dictionary is trained on, spread over its texts
+LEVELS = 12                     # savings told apart, in bytes
+TOGETHER = (10, 100)            # calibration texts read as one, so that long texts are calibrated too
 WINDOW, STRIDE = 64, 48
 GRAM = 5
 DICT_BYTES, DISTINCT_BYTES = 16_384, 8_192
@@ -45,7 +49,8 @@ class Model:
     ordinary: bytes
     toxic: bytes
     least: int              # saving in bytes from which a window counts
-    weights: tuple          # bias, largest saving, log of counted windows
+    weights: tuple          # bias, surprise at the most telling saving, log of that at counted windows
+    rates: tuple = (1.0,) * LEVELS      # share of ordinary windows with a saving of at least 1, 2, ...
 
     def compressors(self):
         params = zstandard.ZstdCompressionParameters(
@@ -84,21 +89,10 @@ def _document_counts(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True)
 
 
-def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Byte runs of n-grams that occur in clearly more toxic than ordinary texts, most frequent first."""
-    kt, nt = _document_counts(toxic)
-    ko, no = _document_counts(ordinary)
-    other = np.zeros(len(kt))
-    at = np.searchsorted(ko, kt)
-    ok = at < len(ko)
-    ok[ok] = ko[at[ok]] == kt[ok]
-    other[ok] = no[at[ok]]
-    pt, po = nt / max(1, len(toxic)), other / max(1, len(ordinary))
-    p = (nt + other + 1) / (len(toxic) + len(ordinary) + 2)
-    z = (pt - po) / np.sqrt(p * (1 - p) * (1 / max(1, len(toxic)) + 1 / max(1, len(ordinary))))
-    keys = np.sort(kt[(z > 5) & (pt > 8 * po) & (nt >= 5)])
+def _runs(raws: list[bytes], keys: np.ndarray) -> Counter:
+    """Byte runs covered by the n-grams ``keys`` (sorted), with their number."""
     runs: Counter[bytes] = Counter()
-    for raw in toxic:
+    for raw in raws:
         if not len(keys) or len(raw) < GRAM:
             continue
         g = _grams(raw)
@@ -107,65 +101,155 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
         edge = np.flatnonzero(hit[1:] != hit[:-1])
         for s, e in zip(edge[::2], edge[1::2]):
             runs[raw[s:e + GRAM - 1].strip()] += 1
-    return [r for r, c in sorted(runs.items(), key=lambda x: (-x[1], x[0])) if c >= 5 and len(r) >= 4]
+    return runs
+
+
+def _each(rows: DataFrame, schema: str, make: Callable) -> DataFrame:
+    """Rows of ``schema``: the columns make(doc_ids, raws, roles) of each batch of (doc_id, text, role)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, roles = (batch.column(i).to_pylist() for i in range(3))
+            out = make(ids, [t.encode("utf-8", "replace").lower() for t in texts], roles)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[f"c{i}" for i in range(len(out))])
+    return rows.mapInArrow(run, schema)
+
+
+def _gram_counts(ids: list, raws: list[bytes], roles: list):
+    kt, nt = _document_counts([r for r, y in zip(raws, roles) if y == 1])
+    ko, no = _document_counts([r for r, y in zip(raws, roles) if y == 0])
+    return (np.concatenate([kt, ko]).view(np.int64), np.concatenate([nt, 0 * no]).astype(np.int64),
+            np.concatenate([0 * nt, no]).astype(np.int64))
+
+
+def distinctive(rows: DataFrame, n_toxic: int, n_ordinary: int) -> list[bytes]:
+    """Byte runs of n-grams that occur in clearly more toxic than ordinary texts, most frequent first."""
+    n = _each(rows, "c0 long, c1 long, c2 long", _gram_counts).groupBy("c0").agg(F.sum("c1").alias("t"), F.sum("c2").alias("o"))
+    pt, po = F.col("t") / n_toxic, F.col("o") / n_ordinary
+    p = (F.col("t") + F.col("o") + 1) / (n_toxic + n_ordinary + 2)
+    z = (pt - po) / F.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_ordinary))
+    found = n.where("t >= 5").where((z > 5) & (pt > 8 * po)).select("c0").collect()
+    keys = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
+    def make(ids: list, raws: list[bytes], roles: list):
+        runs = _runs(raws, keys)
+        return pa.array(list(runs), pa.binary()), pa.array(list(runs.values()), pa.int64())
 
-def different(raws: list[bytes]) -> list[bytes]:
-    """Without near copies of earlier texts, whose shared segments would pass for distinctive ones."""
+    runs = _each(rows.where("role = 1"), "c0 binary, c1 long", make).groupBy("c0").agg(F.sum("c1").alias("n"))
+    top = runs.where("n >= 5 and length(c0) >= 4").orderBy(F.desc("n"), "c0").limit(DISTINCT_BYTES // 5 + 1)
+    return [bytes(r[0]) for r in top.collect()]
+
+
+def _marks(ids: list, raws: list[bytes], roles: list):
     a, b = permutations(8, 7)
-    kept, seen = [], set()
     m = minima([shingles(word_hashes(r), 3) for r in raws], a, b)
-    for raw, row in zip(raws, m.tolist()):
-        marks = {(j, v) for j, v in enumerate(row)}
-        if len(marks & seen) < 2:
-            kept.append(raw)
-            seen |= marks
+    return pa.array(ids, pa.int64()), pa.array([[str(v) for v in row] for row in m.tolist()], pa.list_(pa.string()))
+
+
+def different(marks: list[tuple]) -> list:
+    """Ids of (id, minima) without near copies of earlier ones, whose shared segments would pass for distinctive ones."""
+    kept, seen = [], set()
+    for i, row in marks:
+        own = set(enumerate(row))
+        if len(own & seen) < 2:
+            kept.append(i)
+            seen |= own
     return kept
 
 
-def train(rows: list[tuple[str, int]]) -> Model:
-    """Fit on (text, toxic) rows.  Two thirds make the dictionaries, the rest calibrates.
+def _spread(per: int):
+    """At most ``per`` windows of each text, from its start to its end."""
+    def make(ids: list, raws: list[bytes], roles: list):
+        out = []
+        for raw in raws:
+            n = -(-len(raw) // WINDOW)
+            out += [raw[i * WINDOW:(i + 1) * WINDOW] for i in (range(n) if n <= per else np.linspace(0, n - 1, per).astype(int))]
+        return (pa.array(out, pa.binary()),)
+    return make
+
+
+def _levels(model: Model):
+    def make(ids: list, raws: list[bytes], roles: list):
+        comp = model.compressors()
+        return pa.array(ids, pa.int64()), pa.array([counts(savings(r.decode("utf-8", "replace"), comp)).tolist() for r in raws],
+                                                   pa.list_(pa.int64()))
+    return make
+
+
+def counts(saved: np.ndarray) -> np.ndarray:
+    """Windows in all, and with savings of at least 1, 2, ... LEVELS bytes."""
+    return np.array([len(saved), *[(saved >= c).sum() for c in range(1, LEVELS + 1)]], np.int64)
+
+
+def surprise(n: np.ndarray, rates: tuple) -> np.ndarray:
+    """Per saving: exponent (base 10) of the chance of so many windows in an ordinary text of that length (Chernoff's
+    bound), 0 for no more than expected."""
+    k, want = n[1:].astype(float), n[0] * np.array(rates)
+    return np.where(k > want, k * np.log(np.maximum(k, 1e-9) / want) - k + want, 0.0) / math.log(10)
+
+
+def _calibrate(model: Model, toxic: list[np.ndarray], plain: list[np.ndarray]) -> Model:
+    whole = np.sum(plain, axis=0)
+    rates = tuple(((whole[1:] + 0.5) / (whole[0] + 1.0)).tolist())
+    both = [(n, y) for x, y in ((toxic, 1.0), (plain, 0.0)) for n in x]
+    y = np.array([t for _, t in both])
+    seen = np.array([surprise(n, rates) for n, _ in both])
+    best, least = -1.0, 1
+    for cut in range(1, LEVELS + 1):          # the saving that best tells the classes apart
+        hit = seen[:, cut - 1] >= 1
+        j = hit[y == 1].mean() - hit[y == 0].mean()
+        if j > best + 1e-9:
+            best, least = j, cut
+    for x, t in ((toxic, 1.0), (plain, 0.0)):     # long texts: several read as one
+        for g in TOGETHER:
+            both += [(np.sum(x[i:i + g], axis=0), t) for i in range(0, len(x) - g + 1, g)]
+    x = np.array([features(n, least, rates) for n, _ in both])
+    w = _logistic(x, np.array([t for _, t in both]))
+    return Model(model.ordinary, model.toxic, least, tuple(w.tolist()), rates)
+
+
+def train(rows: DataFrame) -> Model:
+    """Fit on stored (doc_id, toxic, text) rows, a doc_id once.  Two thirds make the dictionaries, the rest
+    calibrates.  Texts stay in Spark tasks; the driver gets minima, chosen windows and counts.
     Without rows of both classes every text gets the share of toxic rows (0 if none)."""
-    tox = [r[0].encode("utf-8", "replace").lower() for r in rows if r[1] == 1]
-    plain = [r[0].encode("utf-8", "replace").lower() for r in rows if r[1] == 0]
-    share = len(tox) / max(1, len(tox) + len(plain))
-    bias = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
-    flat = Model(b"\0" * 16, b"\0" * 16, 1, (bias, 0.0, 0.0))
-    tox, plain = different(tox), different(plain)
+    rows = rows.select("doc_id", "text", F.col("toxic").alias("role"))
+    order = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    classes = dict(rows.select("doc_id", "role").collect())
+    share = sum(classes.values()) / max(1, len(classes))
+    flat = Model(b"\0" * 16, b"\0" * 16, 1, (math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0))
+    marks = dict(_each(rows, "c0 long, c1 array<string>", _marks).collect())
+    tox, plain = (different([(i, marks[i]) for i in order if classes[i] == t]) for t in (1, 0))
     if len(tox) < 3 or len(plain) < 3:
         return flat
-    fit = lambda x: [t for i, t in enumerate(x) if i % 3 != 2]
-    cuts = [t[i:i + WINDOW] for t in fit(plain) for i in range(0, len(t), WINDOW)]
+    fit = {i for x in (tox, plain) for k, i in enumerate(x) if k % 3 != 2}
+    rest = [i for x in (tox, plain) for k, i in enumerate(x) if k % 3 == 2]
+    n_tox, n_plain = (len(fit & set(x)) for x in (tox, plain))
+    used = rows.where(F.col("doc_id").isin(*fit))
+    cuts = [bytes(r[0]) for r in _each(used.where("role = 0"), "c0 binary", _spread(max(1, CUTS // n_plain)))
+            .orderBy(F.xxhash64("c0"), "c0").collect()]
     try:
-        base = zstandard.train_dictionary(DICT_BYTES, cuts[:60_000]).as_bytes()
+        base = zstandard.train_dictionary(DICT_BYTES, cuts).as_bytes()
     except zstandard.ZstdError:       # too little text to train on
         base = b"".join(cuts)[:DICT_BYTES]
     own, size = [], 0
-    for run in distinctive(fit(tox), fit(plain)):
+    for run in distinctive(used, n_tox, n_plain):
         if size + len(run) + 1 > DISTINCT_BYTES:
             break
         own.append(run)
         size += len(run) + 1
     # the most frequent segment last among them: nearest, hence cheapest
     model = Model(base.rjust(16, b"\0"), b" ".join([*own[::-1], b""]) + base.rjust(16, b"\0"), 1, (0.0, 0.0, 0.0))
-    comp = model.compressors()
-    rest = [(savings(t.decode("utf-8", "replace"), comp), y) for x, y in ((tox, 1), (plain, 0))
-            for i, t in enumerate(x) if i % 3 == 2]
-    y = np.array([r[1] for r in rest], float)
-    top = np.array([r[0].max() for r in rest])
-    best, least = -1.0, 1
-    for cut in range(1, 13):          # the saving that best tells the classes apart
-        hit = top >= cut
-        j = hit[y == 1].mean() - hit[y == 0].mean()
-        if j > best + 1e-9:
-            best, least = j, cut
-    x = np.array([features(r[0], least) for r in rest])
-    return Model(model.ordinary, model.toxic, least, tuple(_logistic(x, y)))
+    seen = dict(_each(rows.where(F.col("doc_id").isin(*rest)), "c0 long, c1 array<long>", _levels(model)).collect())
+    return _calibrate(model, *[[np.array(seen[i]) for i in rest if classes[i] == t] for t in (1, 0)])
+
 
+def features(n: np.ndarray, least: int, rates: tuple) -> tuple[float, float, float]:
+    s = surprise(n, rates)
+    return 1.0, float(min(s[least - 1:].max(), 8)), math.log1p(s[least - 1])
 
-def features(saved: np.ndarray, least: int) -> tuple[float, float, float]:
-    hits = int((saved >= least).sum())
-    return 1.0, float(min(max(saved.max() - least + 1, 0), 8)), math.log1p(hits)
+
+def evidence(text: str | None, comp: list, model: Model) -> float:
+    """Log odds of a whole text."""
+    return float(np.dot(model.weights, features(counts(savings(text, comp)), model.least, model.rates)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,9 +264,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """At most SAMPLE[1] toxic and SAMPLE[0] ordinary labelled texts outside the held-out third, chosen by
-    id hash, at most SAMPLE_CHARS code points of each: a bound on what reaches the driver."""
+    id hash: (doc_id, toxic, text), whole texts, stored."""
     lab = (pick(labels, doc_id="long", toxic="int").where("toxic in (0, 1) and doc_id is not null")
            .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
     lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -190,21 +274,21 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     chosen = [lab.where(F.col("toxic") == t).orderBy(*order).limit(SAMPLE[t]) for t in (1, 0)]
     few = chosen[0].union(chosen[1])
     d = pick(docs, doc_id="long", text="string").where("text is not null")
-    return [(r["text"], r["toxic"]) for r in d.join(F.broadcast(few), "doc_id")
-            .groupBy("doc_id").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"),
-                                   F.max("toxic").alias("toxic")).orderBy(*order).collect()]
+    rows = d.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return stored(rows.repartition(32, "doc_id"), "training")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    prepare(docs.sparkSession)
     return train(training_rows(docs, labels))
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp, w = model.compressors(), np.array(model.weights)
+        comp = model.compressors()
         for batch in batches:
-            z = np.array([features(savings(t, comp), model.least) for t in batch.column(1).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(z.reshape(-1, 3) @ w, -30, 30)))
+            z = np.array([evidence(t, comp, model) for t in batch.column(1).to_pylist()], float)
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(p)],
                                              names=[*[n for n in batch.schema.names if n != "text"], "score"])
     return run
@@ -226,7 +310,7 @@ def rejected(model: Model, limit: float = REJECT):
     """Column function: is a text's score at least ``limit``?  (null counts as empty)"""
     @F.pandas_udf("boolean")
     def test(texts: pd.Series) -> pd.Series:
-        comp, w = model.compressors(), np.array(model.weights)
-        return pd.Series([float(np.dot(w, features(savings(t, comp), model.least))) for t in texts]).map(
+        comp = model.compressors()
+        return pd.Series([evidence(t, comp, model) for t in texts], dtype=float).map(
             lambda z: 1 / (1 + math.exp(-min(max(z, -30), 30))) >= limit)
     return test

@@ -296,6 +296,28 @@ def test_op7_toxicity(spark, docs, empty):
     assert toxicity.fit(empty, lab).weights == toxicity.fit(d, lab.limit(0)).weights
 
 
+def test_op7_long_texts(spark):
+    """Long clean texts stay, and toxic passages behind 20,000 code points are learned."""
+    rng = random.Random(8)
+    bad = ["grumblewort", "snarkfiend", "vilebeast"]
+    near = ["grumblebee", "snarkless", "vilemost"]        # ordinary words that share a part with toxic ones
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        w = _text(rng, 150).split(" ")
+        for _ in range(4):
+            if toxic or rng.random() < 0.03:
+                w[rng.randrange(len(w))] = rng.choice(bad if toxic else near)
+        rows.append((i, (_text(rng, 5200) + " " if toxic else "") + " ".join(w * (8 if toxic else 1))))
+        labels.append((i, int(toxic)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert min(len(t) for i, t in rows if i % 3 == 0) > 20_000 and b"grumblewort" in model.toxic
+    clean = [t for i, t in rows if i % 3]
+    long = [(i, " ".join(rng.sample(clean, 150))) for i in range(6)]
+    assert spark.createDataFrame(long, "doc_id long, text string").where(toxicity.rejected(model)("text")).count() == 0
+
+
 def test_op8_round_trip(docs, empty):
     path = vocabulary("byte_bpe_50k.json")
     got = sorted(huffman.round_trip(docs, path).collect(), key=lambda r: r.start)
