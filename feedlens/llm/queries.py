@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import fingerprints, hilbert, huffman, itq, licenses, minhash_bbit, mixing, packing, suffix_dedup, toxicity
+from feedlens.llm import (curve_packing, fingerprints, hilbert, huffman, itq, licenses, merkle, minhash_bbit, mixing, packing,
+                          suffix_dedup, toxicity, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,19 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = curve_packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -69,7 +83,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_minhash_fingerprints, op3_hilbert_shards, op4_low_discrepancy_mix, op5_itq_near_dedup,
-    op6_best_fit_packing, op7_compression_toxicity, op8_huffman_ids, op9_bbit_minhash, op10_license_sentences, pipeline)}
+    op6_best_fit_packing, op7_compression_toxicity, op8_huffman_ids, op9_bbit_minhash, op10_license_sentences,
+    op11_merkle_levels, op12_cholesky_whitening, op13_curve_packing, pipeline)}
 
 
 def _license_sql() -> str:
@@ -106,4 +121,68 @@ SELECT doc_id, n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce
 FROM named"""
 
 
-ORACLE = {"op10_license_sentences": _license_sql()}
+# crc32 of a decimal number bit by bit: a byte is xored in, eight shifts follow.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))"""
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in (
+        "CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_MERKLE = f"""
+WITH RECURSIVE rows_ AS MATERIALIZED (
+  SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bad
+  FROM documents),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM rows_),
+nodes AS (
+  SELECT 0 AS lvl, source, pos, leaf AS digest, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT lvl, source, run, digest, count(*) OVER (PARTITION BY source) FROM (
+    SELECT lvl + 1 AS lvl, source, pos // 16 AS run, sha256(string_agg(digest, '' ORDER BY pos)) AS digest
+    FROM nodes WHERE n > 1 GROUP BY lvl, source, pos // 16)),
+kept AS MATERIALIZED (SELECT * FROM nodes),
+subroots AS MATERIALIZED (SELECT source, lvl AS height, digest AS subroot,
+    row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM kept WHERE n = 1),
+upper_ AS (
+  SELECT 0 AS lvl, place AS pos, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT lvl, run, digest, count(*) OVER () FROM (
+    SELECT lvl + 1 AS lvl, pos // 16 AS run, sha256(string_agg(digest, '' ORDER BY pos)) AS digest
+    FROM upper_ WHERE n > 1 GROUP BY lvl, pos // 16)),
+tops AS MATERIALIZED (SELECT * FROM upper_),
+steps AS (
+  SELECT l.source, l.pos AS leaf_pos, k.lvl AS step,
+    coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos < l.pos // pow(16, k.lvl)::BIGINT), '') AS lhs,
+    coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos > l.pos // pow(16, k.lvl)::BIGINT), '') AS rhs
+  FROM leaves l JOIN kept k ON l.source IS NOT DISTINCT FROM k.source AND k.n > 1
+    AND k.pos // 16 = l.pos // pow(16, k.lvl + 1)::BIGINT
+  GROUP BY ALL
+  UNION ALL
+  SELECT l.source, l.pos, s.height + t.lvl,
+    coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos < s.place // pow(16, t.lvl)::BIGINT), ''),
+    coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos > s.place // pow(16, t.lvl)::BIGINT), '')
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+  JOIN tops t ON t.n > 1 AND t.pos // 16 = s.place // pow(16, t.lvl + 1)::BIGINT
+  GROUP BY ALL),
+path AS MATERIALIZED (SELECT * FROM steps),
+fold AS (
+  SELECT source, pos, 0 AS step, coalesce(bad, leaf) AS digest FROM leaves
+  UNION ALL
+  SELECT f.source, f.pos, f.step + 1, sha256(p.lhs || f.digest || p.rhs) FROM fold f
+  JOIN path p ON p.source IS NOT DISTINCT FROM f.source AND p.leaf_pos = f.pos AND p.step = f.step),
+folded AS (SELECT source, pos, max_by(digest, step) AS folded_root FROM fold GROUP BY ALL),
+proof AS (SELECT source, leaf_pos, sha256(string_agg(lhs || rhs, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY ALL)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root,
+  f.folded_root = r.digest AS verified
+FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+JOIN folded f ON f.source IS NOT DISTINCT FROM l.source AND f.pos = l.pos
+LEFT JOIN proof p ON p.source IS NOT DISTINCT FROM l.source AND p.leaf_pos = l.pos
+CROSS JOIN (SELECT digest FROM tops WHERE n = 1) r"""
+
+ORACLE = {"op10_license_sentences": _license_sql(), "op11_merkle_levels": _MERKLE}
