@@ -22,10 +22,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def raw_runs(text) -> Column:
+    """Maximal word-character runs of lower(text), with an empty string at an end that has none."""
+    return F.split(F.lower(F.coalesce(_c(text), F.lit(""))), NON_WORD)
+
+
 def word_runs(text) -> Column:
-    """Maximal word-character runs of lower(text) (empty strings removed)."""
-    parts = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), NON_WORD)
-    return F.filter(parts, lambda t: t != "")
+    """Maximal word-character runs of lower(text)."""
+    return F.filter(raw_runs(text), lambda t: t != "")
 
 
 def tokens(text, stopwords: list[str] | None = None, pattern: str = ASCII_TOKEN) -> Column:
@@ -38,29 +42,12 @@ def tokens(text, stopwords: list[str] | None = None, pattern: str = ASCII_TOKEN)
     return toks
 
 
-WORD = r"[\p{L}\p{N}_]"
-
-
-def phrase_pattern(keyword: Column) -> Column:
-    """Java regex for a literal ``keyword`` between Python word boundaries (``\\b`` at a
-    non-word character asks for a word character beyond it)."""
-    left = F.when(F.rlike(F.substring(keyword, 1, 1), F.lit(WORD)), F.lit(f"(?<!{WORD})")).otherwise(F.lit(f"(?<={WORD})"))
-    right = F.when(F.rlike(keyword, F.lit(WORD + r"\z")), F.lit(f"(?!{WORD})")).otherwise(F.lit(f"(?={WORD})"))
-    quoted = F.replace(keyword, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
-    return F.concat(left, F.lit(r"\Q"), quoted, F.lit(r"\E"), right)
-
-
 def keyword_hits(text, keywords: list[str]) -> Column:
-    """Distinct keywords occurring between word boundaries (case-insensitive): single
-    words against the word runs, phrases and punctuated keywords by pattern."""
+    """Distinct single-word keywords among the word runs (case-insensitive)."""
     kws = sorted({k.lower() for k in keywords})
-    words = [F.lit(k) for k in kws if is_word_keyword(k)]
-    t = F.lower(F.coalesce(_c(text), F.lit("")))
-    found = [F.when(F.rlike(t, phrase_pattern(F.lit(k))), F.lit(k)) for k in kws if not is_word_keyword(k)]
-    parts = [F.array_intersect(F.array_distinct(word_runs(text)), F.array(*words))] if words else []
-    if found:
-        parts.append(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return F.concat(*parts) if parts else F.array().cast("array<string>")
+    if not kws:
+        return F.array().cast("array<string>")
+    return F.array_intersect(F.array_distinct(raw_runs(text)), F.array(*[F.lit(k) for k in kws]))
 
 
 # Java regex flags matching Python's re.IGNORECASE on str patterns:

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from feedlens import schema
 from feedlens.functions import pyfmt
 from feedlens.functions.template import fill
-from feedlens.operators.common import broadcast_if_small, median_col
-from feedlens.operators.ranks import with_half
+from feedlens.operators.common import broadcast_if_small
+from feedlens.operators.ranks import grouped_measures, with_half
 from feedlens.operators.series import daily_series, rolling_baseline
 from feedlens.operators.text import tag_keywords
 
@@ -122,10 +122,9 @@ def keyword_trends(posts: DataFrame, keywords: list[str] | None = None,
     return _conform(both.orderBy("alert_pos").drop("kw_rank", "_sub"))
 
 
-def viral_posts(posts: DataFrame, multiplier: float = schema.VIRAL_MULTIPLIER, cap: int = schema.VIRAL_CAP,
-                approx_median: bool = False) -> DataFrame:
+def viral_posts(posts: DataFrame, multiplier: float = schema.VIRAL_MULTIPLIER, cap: int = schema.VIRAL_CAP) -> DataFrame:
     """E4 (J2 + A16): engagement > multiplier x the platform median (median > 0)."""
-    med = posts.groupBy("platform").agg(median_col("engagement", approx_median).alias("_med"))
+    med = grouped_measures(posts, ["platform"]).select("platform", F.col("median").alias("_med"))
     j = posts.select("platform", "engagement", "text", *[c for c in ("seq",) if c in posts.columns]) \
         .join(broadcast_if_small(med), "platform", "left")
     cond = (F.col("_med") > 0) & (F.col("engagement") > F.col("_med") * multiplier)

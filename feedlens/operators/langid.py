@@ -8,9 +8,12 @@ A multinomial naive-Bayes model over character trigrams of the whole text:
 * training = ``groupBy(lang, gram).count`` over labelled texts (map-side
   combined), Laplace smoothing over the joint gram vocabulary, document
   priors;
-* scoring = the text's (gram, count) rows joined to the profile (broadcast
-  only after a size check, otherwise a shuffle join), one conditional
-  aggregation per text giving every class score, argmax.
+* the model is one row per gram with an array of class weights; a text's
+  grams are exploded, looked up and summed class by class.  A text's rows lie
+  in one task, so the partial aggregate leaves one row per text to shuffle:
+  no (text, gram) table exists.  Beyond the broadcast limit the grams are
+  counted per text first and joined on (gram, salt), so a gram of every text
+  is dealt over many tasks.
 
 No profile truncation: grams absent from a class get that class's smoothed
 "unseen" log-probability, which is exact for the model.
@@ -18,13 +21,29 @@ No profile truncation: grams absent from a class get that class's smoothed
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.operators.common import broadcast_if_small
+from feedlens.session import stored_table
+
+BROADCAST_BYTES = 64 << 20      # estimated size of the weights up to which they are broadcast
+SALTS = 16
+CLASS_BLOCK = 64                # classes of one array; more classes are scored block by block
+
+
+@dataclass
+class Model:
+    """``profile`` (lang, gram, count) as a stored table; ``classes``: (lang, prior, unseen); ``grams``: vocabulary size."""
+    profile: DataFrame
+    classes: list[tuple[str, float, float]]
+    grams: int
 
-MAX_CLASSES = 1000
+    def weights(self, classes: list[str]) -> DataFrame:
+        """(gram, w): log P(gram|lang) - unseen(lang) for each of ``classes``, 0 where a class has no such gram."""
+        return self.profile.groupBy("gram").agg(F.array(*[
+            F.coalesce(F.max(F.when(F.col("lang") == c, F.log1p(F.col("count")))), F.lit(0.0)) for c in classes]).alias("w"))
 
 
 def normalized(text) -> Column:
@@ -36,77 +55,77 @@ def normalized(text) -> Column:
 def char_trigrams(text) -> Column:
     """All 3-character windows of the normalised text (empty for blank text), in
     one linear JVM regex pass: a zero-width lookahead captures each window."""
-    grams = F.regexp_extract_all(normalized(text), F.lit("(?=(.{3}))"), 1)
-    return F.filter(grams, lambda g: g != "   ")
+    return F.regexp_extract_all(normalized(text), F.lit("(?=(.{3}))"), 1)
 
 
-def doc_grams(posts: DataFrame, text_col: str = "text", id_col: str = "seq") -> DataFrame:
-    """(id, gram, cnt): trigram counts per text (partial aggregation map-side)."""
-    return (posts.select(id_col, F.explode(char_trigrams(text_col)).alias("gram"))
-            .groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("cnt")))
-
-
-def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                  grams: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(lang, gram, count) over the labelled texts (from precomputed ``grams`` if given)."""
-    if grams is not None:
-        labels = docs.where(F.col(lang_col).isNotNull()).select(id_col, F.col(lang_col).alias("lang"))
-        return grams.join(labels, id_col).groupBy("lang", "gram").agg(F.sum("cnt").alias("count"))
+def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, gram, count) over the labelled texts."""
     return (docs.where(F.col(lang_col).isNotNull())
             .select(F.col(lang_col).alias("lang"), F.explode(char_trigrams(text_col)).alias("gram"))
             .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("count")))
 
 
-def _classes(docs: DataFrame, profile: DataFrame, lang_col: str) -> DataFrame:
-    vocab = profile.select(F.count_distinct("gram")).scalar()
-    n_docs = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")) \
-        .agg(F.count(F.lit(1)).alias("d"))
-    total_docs = n_docs.select(F.sum("d")).scalar()
-    totals = profile.groupBy("lang").agg(F.sum("count").alias("n_l"))
-    return (totals.join(n_docs, "lang")
-            .select("lang", F.log(F.col("d") / total_docs).alias("prior"),
-                    (-F.log(F.col("n_l") + vocab)).alias("unseen"), "n_l"))
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-        grams: DataFrame | None = None, id_col: str = "doc_id"):
-    """Returns (grams: (gram, lang, delta), classes: (lang, prior, unseen)) where
-    log P(gram|lang) = unseen + delta for grams seen with the class.  The profile
-    and the class table are persisted: both feed several steps."""
-    profile = train_profile(docs, text_col, lang_col, grams, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-    classes = _classes(docs, profile, lang_col).persist(StorageLevel.MEMORY_AND_DISK)
-    model_grams = profile.select("gram", "lang", F.log1p(F.col("count")).alias("delta"))
-    # log((c+1)/(N+V)) - log(1/(N+V)) = log(c+1)
-    return model_grams, classes.drop("n_l")
-
-
-def detect(posts: DataFrame, model, text_col: str = "text", id_col: str = "seq",
-           out_col: str = "lang", min_len: int = 0, grams: DataFrame | None = None) -> DataFrame:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Train on the rows of ``docs`` with a label.  The driver sees one row per class."""
+    profile = stored_table(train_profile(docs, text_col, lang_col), "lang-profile")
+    vocab = profile.select(F.count_distinct("gram")).first()[0]
+    n_docs = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
+    total = n_docs.select(F.sum("d")).scalar()
+    classes = (profile.groupBy("lang").agg(F.sum("count").alias("n")).join(n_docs, "lang")
+               .select("lang", F.log(F.col("d") / total).alias("prior"), (-F.log(F.col("n") + vocab)).alias("unseen")))
+    return Model(profile, sorted((r.lang, r.prior, r.unseen) for r in classes.collect()), vocab)
+
+
+def _scores(posts: DataFrame, model: Model, classes: list[tuple[str, float, float]], text_col: str, id_col: str,
+            limit: int) -> DataFrame:
+    """(id, best): the best (score, lang) among ``classes`` of every text with a trigram."""
+    w = model.weights([c for c, _, _ in classes])
+    grams = posts.select(id_col, F.explode(char_trigrams(text_col)).alias("gram"))
+    if model.grams * (8 * len(classes) + 48) <= limit:
+        rows, times = grams.join(F.broadcast(w), "gram", "left"), F.lit(1)
+    else:
+        counted = grams.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+        counted = counted.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+        w = w.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        rows, times = counted.join(w, ["gram", "salt"], "left"), F.col("cnt")
+    sums = rows.groupBy(id_col).agg(F.sum(times).alias("n"), *[
+        F.coalesce(F.sum(times * F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(len(classes))])
+    found = [F.struct((F.col(f"s{i}") + F.col("n") * unseen + prior).alias("score"), F.lit(c).alias("lang"))
+             for i, (c, prior, unseen) in enumerate(classes)]
+    return sums.select(id_col, (F.greatest(*found) if len(found) > 1 else found[0]).alias("best"))
+
+
+def detect(posts: DataFrame, model: Model, text_col: str = "text", id_col: str = "seq",
+           out_col: str = "lang", min_len: int = 0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Adds ``out_col`` = most probable class; null for texts shorter than
-    ``min_len`` or without any trigram (caller decides: keep or drop).
-    ``grams`` = precomputed :func:`doc_grams` of ``posts`` (optional)."""
-    model_grams, classes = model
-    consts = {r.lang: (r.prior, r.unseen) for r in classes.limit(MAX_CLASSES + 1).collect()}  # one row per class
-    if len(consts) > MAX_CLASSES:
-        raise ValueError("too many language classes")
-    cls = sorted(consts)
-    dg = grams if grams is not None else doc_grams(posts.select(id_col, text_col), text_col, id_col)
-    n_doc = dg.groupBy(id_col).agg(F.sum("cnt").alias("_n"))
-    scored = (dg.join(broadcast_if_small(model_grams), "gram")
-              .groupBy(id_col)
-              .agg(*[F.sum(F.when(F.col("lang") == c, F.col("cnt") * F.col("delta")).otherwise(0.0)).alias(f"_s{i}")
-                     for i, c in enumerate(cls)]))
-    s = n_doc.join(scored, id_col, "left")
-    cand = [F.struct((F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) + F.col("_n") * consts[c][1] + consts[c][0])
-                     .alias("score"), F.lit(c).alias("lang")) for i, c in enumerate(cls)]
-    best = s.select(id_col, F.greatest(*cand)["lang"].alias(out_col)) if len(cand) > 1 else \
-        s.select(id_col, cand[0]["lang"].alias(out_col))
-    out = posts.join(best, id_col, "left")
+    ``min_len`` or without any trigram (caller decides: keep or drop) and where the
+    model has no class.  Any number of classes and grams."""
+    blocks = [model.classes[i:i + CLASS_BLOCK] for i in range(0, len(model.classes), CLASS_BLOCK)]
+    if not blocks:
+        return posts.withColumn(out_col, F.lit(None).cast("string"))
+    best = _scores(posts, model, blocks[0], text_col, id_col, broadcast_bytes)
+    for b in blocks[1:]:
+        best = best.unionByName(_scores(posts, model, b, text_col, id_col, broadcast_bytes))
+    if len(blocks) > 1:
+        best = best.groupBy(id_col).agg(F.max("best").alias("best"))
+    out = posts.join(best.select(id_col, F.col("best.lang").alias(out_col)), id_col, "left")
     if min_len:
         out = out.withColumn(out_col, F.when(F.length(text_col) < min_len, F.lit(None)).otherwise(F.col(out_col)))
     return out
 
 
+def cross_validated(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
+                    out_col: str = "pred", folds: int = 2) -> DataFrame:
+    """Every row scored by a model that has not seen its fold (id modulo ``folds``; a null id is fold 0)."""
+    fold = F.coalesce(F.pmod(F.col(id_col), F.lit(folds)), F.lit(0))
+    parts = [detect(docs.where(fold == k), fit(docs.where(fold != k), text_col, lang_col), text_col, id_col, out_col)
+             for k in range(folds)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def accuracy(pred: DataFrame, truth_col: str = "content_type", pred_col: str = "lang") -> DataFrame:
     """Per true class: documents, correctly predicted, accuracy."""
     return (pred.groupBy(F.col(truth_col).alias("true_lang"))

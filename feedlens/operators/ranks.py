@@ -1,4 +1,4 @@
-"""Order statistics without a single-partition window.
+"""Order statistics without a single-partition window (P1, F4, F5, exact medians).
 
 P1 ``prefix_sum``: range-partition by the order key, sort within partitions,
 checkpoint (reliable, into ``spark.checkpoint.dir``) so the partitioning is
@@ -89,3 +89,45 @@ def average_ranks(values: DataFrame, value_col: str, weight_col: str | None = No
     counts = values.groupBy(value_col).agg(F.sum(w).cast("bigint").alias("c"))
     ps = prefix_sum(counts, [value_col], "c", "_cum")
     return ps.select(value_col, "c", (F.col("_cum") - F.col("c") + (F.col("c") + 1) / 2.0).alias("rank"))
+
+
+def grouped_measures(df: DataFrame, keys: list[str], value: str = "engagement", means: tuple[str, ...] = ()) -> DataFrame:
+    """Per group of ``keys``: rows, total, avg and exact interpolated median of ``value``, and ``avg_<c>`` for each of ``means``.
+
+    A segmented prefix scan: rows become (group, value, count) by a partial aggregate, the counts are
+    range-partitioned by group and value (so a hot group spans many tasks), every partition hands on one
+    row per group it holds, running sums over these rows say which partition holds a group's middle
+    positions, and only there a running count picks them.  Null values count as rows, not in the median;
+    a null key is a group."""
+    v = F.col(value)
+    counts = df.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(means)],
+        *[F.count(c).alias(f"_n{i}") for i, c in enumerate(means)])
+    counts = cut_lineage(counts.repartitionByRange(*[F.col(k).asc_nulls_first() for k in (*keys, value)])
+                         .withColumn("_pid", F.spark_partition_id()))
+    known = F.when(v.isNotNull(), F.col("_c"))
+    parts = counts.groupBy(*keys, "_pid").agg(
+        F.sum("_c").alias("_rows"), F.coalesce(F.sum(known), F.lit(0)).alias("_t"), F.sum(v * F.col("_c")).alias("_total"),
+        *[F.sum(f"_{x}{i}").alias(f"_{x}{i}") for i in range(len(means)) for x in "sn"])
+    group = Window.partitionBy(*keys)                       # one row per partition that holds the group
+    ahead = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("_t").over(group)
+    before = F.coalesce(F.sum("_t").over(ahead), F.lit(0))
+    at = parts.select(*keys, "_pid", "_t", (F.floor((n + 1) / 2) - before).alias("_lo"), (F.floor(n / 2) + 1 - before).alias("_hi"))
+    at = at.where("_lo between 1 and _t or _hi between 1 and _t").select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_p"), "_lo", "_hi")
+    same = F.col("_pid") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    run = F.sum("_c").over(Window.partitionBy(*keys, "_pid").orderBy(value))
+    middle = counts.where(v.isNotNull()).join(at, same).withColumn("_run", run)
+    pick = lambda x: F.max(F.when((F.col("_run") - F.col("_c") < F.col(x)) & (F.col(x) <= F.col("_run")), v))
+    middle = middle.groupBy(*keys).agg(((pick("_lo") + pick("_hi")) / 2).cast("double").alias("median"))
+    totals = parts.groupBy(*keys).agg(
+        F.sum("_rows").alias("rows"), F.sum("_total").alias("total"), F.try_divide(F.sum("_total"), F.sum("_t")).alias("avg"),
+        *[F.try_divide(F.sum(f"_s{i}"), F.sum(f"_n{i}")).alias(f"avg_{c}") for i, c in enumerate(means)])
+    middle = middle.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "median")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return totals.join(middle, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])

@@ -1,6 +1,6 @@
 """Descriptive report tables.
 
-Grouped measures use map-side partial aggregation; per-group statistics that
+Grouped measures come from one segmented prefix scan (``ranks.grouped_measures``); per-group statistics that
 are needed row-wise (z-scores) are aggregated first and broadcast back, since
 the group table is bounded by the number of groups, never partitioned windows
 over the posts (a handful of platforms would put a whole platform in one task).
@@ -8,12 +8,13 @@ over the posts (a handful of platforms would put a whole platform in one task).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema
 from feedlens.functions import scalar as S
-from feedlens.operators.common import broadcast_if_small, median_col, with_dates
+from feedlens.operators.common import broadcast_if_small, with_dates
+from feedlens.operators.ranks import grouped_measures
 
 
 def dataset_summary(posts: DataFrame) -> DataFrame:
@@ -27,28 +28,21 @@ def dataset_summary(posts: DataFrame) -> DataFrame:
     return one.unpivot([], ["total_rows", "rows_with_date", "rows_with_url"], "metric", "value")
 
 
-def group_summary(posts: DataFrame, key: str, extra: bool = False, approx_median: bool = False,
-                  order: bool = True) -> DataFrame:
+def group_summary(posts: DataFrame, key: str, extra: bool = False, order: bool = True) -> DataFrame:
     """A2/A3: rows, mean/median/total engagement per ``key`` (A2 adds likes/comments/views/length means)."""
-    aggs: list[Column] = [
-        F.count(F.lit(1)).alias("rows"),
-        F.avg("engagement").alias("avg_engagement"),
-        median_col("engagement", approx_median).alias("median_engagement"),
-        F.sum("engagement").alias("total_engagement"),
-    ]
-    if extra:
-        aggs += [F.avg("likes").alias("avg_likes"), F.avg("comments").alias("avg_comments"),
-                 F.avg("views").alias("avg_views"), F.avg("text_length").alias("avg_text_length")]
-    out = posts.groupBy(key).agg(*aggs)
+    more = ("likes", "comments", "views", "text_length") if extra else ()
+    m = grouped_measures(posts, [key], "engagement", more)
+    out = m.select(key, "rows", F.col("avg").alias("avg_engagement"), F.col("median").alias("median_engagement"),
+                   F.col("total").alias("total_engagement"), *[f"avg_{c}" for c in more])
     return out.orderBy(F.desc("avg_engagement"), F.asc(key)) if order else out
 
 
-def platform_summary(posts: DataFrame, approx_median: bool = False) -> DataFrame:
-    return group_summary(posts, "platform", extra=True, approx_median=approx_median)
+def platform_summary(posts: DataFrame) -> DataFrame:
+    return group_summary(posts, "platform", extra=True)
 
 
-def content_type_summary(posts: DataFrame, approx_median: bool = False) -> DataFrame:
-    return group_summary(posts, "content_type", approx_median=approx_median)
+def content_type_summary(posts: DataFrame) -> DataFrame:
+    return group_summary(posts, "content_type")
 
 
 TOP_POST_COLUMNS = ["platform", "content_type", "engagement", "likes", "comments", "views", "date", "url", "text"]
@@ -95,13 +89,11 @@ def top_posts_normalized(posts: DataFrame, n: int = schema.TOP_N_POSTS, preview_
                     F.substring("text", 1, preview_chars).alias("text")))
 
 
-def platform_normalized(posts: DataFrame, approx_median: bool = False) -> DataFrame:
+def platform_normalized(posts: DataFrame) -> DataFrame:
     """Mean / median of the (rounded) z-score and row count per platform."""
     z = posts if "engagement_zscore" in posts.columns else engagement_zscores(posts)
-    return (z.groupBy("platform")
-            .agg(F.avg("engagement_zscore").alias("avg_zscore"),
-                 median_col("engagement_zscore", approx_median).alias("median_zscore"),
-                 F.count(F.lit(1)).alias("rows"))
+    m = grouped_measures(z, ["platform"], "engagement_zscore")
+    return (m.select("platform", F.col("avg").alias("avg_zscore"), F.col("median").alias("median_zscore"), "rows")
             .orderBy(F.desc("avg_zscore"), "platform"))
 
 

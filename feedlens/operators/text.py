@@ -1,68 +1,54 @@
 """Text analytics.
 
-Matching happens inside each row (built-in array functions over the row's
-own tokens), so posts are never paired with a keyword table by a shuffle;
-only the hits are exploded and aggregated with map-side partial aggregation.
-Keyword tables given as DataFrames are joined to the exploded tokens instead
-(broadcast only after a size check).
+Posts are never paired with a keyword table by a shuffle: a few words are matched
+against the row's own tokens, anything larger by one automaton over Arrow batches
+(``phrases``); only the hits are aggregated, with map-side partial aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens import schema
 from feedlens.functions import text as TX
-from feedlens.operators.common import broadcast_if_small, median_col, small_values
-from feedlens.operators.ranks import with_half
+from feedlens.operators import phrases
+from feedlens.operators.common import small_values
+from feedlens.operators.ranks import grouped_measures, with_half
+from feedlens.session import stored_table
+
+WORD_LIST = 200         # single words matched inside the row; longer lists go through the automaton
 
 
 def tag_keywords(posts: DataFrame, keywords=None, keep=("engagement",)) -> DataFrame:
     """One row per (post, keyword hit), projecting only ``keep`` columns first.
-    A Python list is matched inside each row; a keyword table of any size is joined on the
-    first word run of the keyword (its first character if it has none), phrases then checked."""
+    A short list of single words is matched against the word runs of each row; phrases, punctuated
+    keywords, long lists and tables go through one automaton (``phrases.tag``)."""
     cols = [c for c in keep if c in posts.columns]
-    if not isinstance(keywords, DataFrame):
-        kws = list(schema.KEYWORDS if keywords is None else keywords)
-        return posts.select(*cols, F.explode(TX.keyword_hits("text", kws)).alias("keyword"))
-    kw = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
-    run = F.regexp_extract("keyword", TX.WORD + "+", 0)
-    kw = kw.select("keyword", F.when(run != "", run).otherwise(F.substring("keyword", 1, 1)).alias("_key"))
-    one_word = F.rlike("keyword", F.lit(rf"\A{TX.WORD}+\z"))
-    words = posts.select(*cols, F.explode(F.array_distinct(TX.word_runs("text"))).alias("keyword"))
-    single = words.join(broadcast_if_small(kw.where(one_word).select("keyword")), "keyword", "left_semi")
-    text = F.lower(F.coalesce("text", F.lit("")))
-    marks = F.array_distinct(F.concat(TX.word_runs("text"), F.regexp_extract_all(text, F.lit(TX.NON_WORD[:-1]), F.lit(0))))
-    phrases = kw.where(~one_word)
-    several = (posts.select(*cols, text.alias("_text"), F.explode(marks).alias("_key"))
-               .join(broadcast_if_small(phrases), "_key")
-               .where(F.rlike("_text", TX.phrase_pattern(F.col("keyword")))).select(*cols, "keyword"))
-    return single.select(*cols, "keyword").unionByName(several)
-
-
-def _measure_table(tagged: DataFrame, key: str, names: DataFrame, approx_median: bool) -> DataFrame:
-    agg = tagged.groupBy(key).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg("engagement").alias("avg_engagement"),
-        median_col("engagement", approx_median).alias("median_engagement"),
-        F.sum("engagement").alias("total_engagement"))
-    out = names.join(agg, key, "left")
+    if keywords is None:
+        keywords = schema.KEYWORDS
+    if isinstance(keywords, DataFrame) or len(keywords) > WORD_LIST or not all(map(TX.is_word_keyword, keywords)):
+        return phrases.tag(posts, keywords, cols)
+    return posts.select(*cols, F.explode(TX.keyword_hits("text", list(keywords))).alias("keyword"))
+
+
+def _measure_table(tagged: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    m = grouped_measures(tagged, [key], "engagement")
+    out = names.join(m, key, "left")
     return out.select(
         *[c for c in names.columns],
         F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"),
-        F.coalesce("avg_engagement", F.lit(0.0)).alias("avg_engagement"),
-        F.coalesce("median_engagement", F.lit(0.0)).alias("median_engagement"),
-        F.coalesce("total_engagement", F.lit(0).cast("bigint")).alias("total_engagement"))
+        F.coalesce("avg", F.lit(0.0)).alias("avg_engagement"),
+        F.coalesce("median", F.lit(0.0)).alias("median_engagement"),
+        F.coalesce("total", F.lit(0).cast("bigint")).alias("total_engagement"))
 
 
-def keyword_analysis(posts: DataFrame, keywords: list[str] | None = None, approx_median: bool = False) -> DataFrame:
+def keyword_analysis(posts: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """A4: rows / mean / median / total engagement per keyword; zero-hit keywords stay (0)."""
     kws = list(keywords if keywords is not None else schema.KEYWORDS)
     spark = posts.sparkSession
     names = spark.createDataFrame([(i, k.lower()) for i, k in enumerate(kws)], "kw_rank int, keyword string")
-    out = _measure_table(tag_keywords(posts, kws), "keyword", names, approx_median)
+    out = _measure_table(tag_keywords(posts, kws), "keyword", names)
     return out.orderBy(F.desc("rows"), F.desc("avg_engagement"), "kw_rank").drop("kw_rank")
 
 
@@ -74,25 +60,24 @@ def tag_buckets(posts: DataFrame, buckets: dict[str, str] | None = None, keep=("
 
 
 def narrative_buckets(posts: DataFrame, buckets: dict[str, str] | None = None,
-                      approx_median: bool = False, tagged: DataFrame | None = None) -> DataFrame:
+                      tagged: DataFrame | None = None) -> DataFrame:
     """Measures per bucket, zero-hit buckets kept; mean desc."""
     buckets = buckets if buckets is not None else schema.NARRATIVE_BUCKETS
     spark = posts.sparkSession
     names = spark.createDataFrame([(i, b) for i, b in enumerate(buckets)], "bucket_rank int, bucket string")
     t = tagged if tagged is not None else tag_buckets(posts, buckets)
-    out = _measure_table(t, "bucket", names, approx_median)
+    out = _measure_table(t, "bucket", names)
     return out.orderBy(F.desc("avg_engagement"), "bucket_rank").drop("bucket_rank")
 
 
 def narrative_crosstab(posts: DataFrame, buckets: dict[str, str] | None = None, digits: int = 1,
-                       approx_median: bool = False, tagged: DataFrame | None = None) -> DataFrame:
+                       tagged: DataFrame | None = None) -> DataFrame:
     """Bucket x platform (hits only); mean/median rounded half-even to ``digits``."""
     t = tagged if tagged is not None else tag_buckets(posts, buckets)
-    out = (t.groupBy(F.col("bucket").alias("narrative"), "platform")
-           .agg(F.count(F.lit(1)).alias("posts"),
-                F.bround(F.avg("engagement"), digits).alias("avg_engagement"),
-                F.bround(median_col("engagement", approx_median), digits).alias("median_engagement"),
-                F.sum("engagement").cast("bigint").alias("total_engagement")))
+    m = grouped_measures(t, ["bucket", "platform"], "engagement")
+    out = m.select(F.col("bucket").alias("narrative"), "platform", F.col("rows").alias("posts"),
+                   F.bround("avg", digits).alias("avg_engagement"), F.bround("median", digits).alias("median_engagement"),
+                   F.col("total").cast("bigint").alias("total_engagement"))
     return out.orderBy("narrative", F.desc("avg_engagement"), "platform")
 
 
@@ -112,10 +97,16 @@ def contingency(posts: DataFrame, row: str = "platform", col: str = "sentiment_l
     return posts.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _terms(df: DataFrame, stopwords: list[str], *cols: str, name: str = "term") -> DataFrame:
+    """S12/J5 as rows: the runs are exploded first, so the token filter is compiled."""
+    rows = df.select(*cols, F.explode(TX.raw_runs("text")).alias(name))
+    return rows.where(F.rlike(name, F.lit(TX.ASCII_TOKEN)) & ~F.col(name).isin(sorted(set(stopwords))))
+
+
 def word_frequency(posts: DataFrame, n: int = schema.TOP_N_WORDS, stopwords: list[str] | None = None) -> DataFrame:
     """A5/T5: top ``n`` tokens (count desc, word asc)."""
     stop = stopwords if stopwords is not None else schema.STOPWORDS
-    toks = posts.select(F.explode(TX.tokens("text", stop)).alias("word"))
+    toks = _terms(posts, stop, name="word")
     return toks.groupBy("word").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "word").limit(n)
 
 
@@ -133,14 +124,20 @@ def tfidf_top_terms(posts: DataFrame, stopwords: list[str] | None = None,
     stop = stopwords if stopwords is not None else schema.STOPWORDS
     docs = posts.where(F.length("text") >= min_chars).select(F.col(doc_id).alias("doc"), "text")
     n = docs.select(F.count(F.lit(1))).scalar()
-    tf = (docs.select("doc", F.explode(TX.tokens("text", stop)).alias("term"))
-          .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    # Every document gives its runs and its distinct runs: cf and df in one aggregate per term, no (doc, term) table.
+    runs = TX.raw_runs("text")
+    both = docs.select(F.inline(F.array(F.struct(runs.alias("_r"), F.lit(0).alias("_once")),
+                                        F.struct(F.array_distinct(runs).alias("_r"), F.lit(1).alias("_once")))))
+    found = both.select("_once", F.explode("_r").alias("term")).where(
+        F.rlike("term", F.lit(TX.ASCII_TOKEN)) & ~F.col("term").isin(sorted(set(stop))))
+    dfs = found.groupBy("term").agg(F.sum("_once").alias("df"), F.sum(1 - F.col("_once")).alias("cf"))
     vocab = (dfs.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
              .orderBy(F.desc("cf"), "term").limit(max_features)
              .select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
     # The vocabulary is capped at ``max_features`` rows, so broadcasting it is bounded.
-    w = tf.join(F.broadcast(vocab), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    tf = (docs.select("doc", F.explode(runs).alias("term")).join(F.broadcast(vocab), "term")
+          .groupBy("doc", "term", "idf").agg(F.count(F.lit(1)).alias("tf")))
+    w = tf.select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
     w = w.withColumn("_norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc"))))
     scores = w.groupBy("term").agg((F.sum(F.col("w") / F.col("_norm")) / n).alias("tfidf_score"))
     out = scores.where(n >= min_docs).orderBy(F.desc("tfidf_score"), "term").limit(top)
@@ -156,9 +153,9 @@ def emerging_terms(posts: DataFrame, stopwords: list[str] | None = None,
     stop = stopwords if stopwords is not None else schema.STOPWORDS
     h = halves if halves is not None else with_half(posts)
     n_dated = h.select(F.count(F.lit(1))).scalar()
-    toks = h.select("is_new", F.explode(TX.tokens("text", stop)).alias("term"))
-    counts = toks.groupBy("term").agg(F.count_if(~F.col("is_new")).alias("old_count"),
-                                      F.count_if("is_new").alias("new_count")).persist(StorageLevel.MEMORY_AND_DISK)
+    toks = _terms(h, stop, "is_new")
+    counts = stored_table(toks.groupBy("term").agg(F.count_if(~F.col("is_new")).alias("old_count"),
+                                                   F.count_if("is_new").alias("new_count")), "term-counts")
     ot = counts.select(F.greatest(F.sum("old_count"), F.lit(1))).scalar()
     nt = counts.select(F.greatest(F.sum("new_count"), F.lit(1))).scalar()
     c = counts.where(F.col("new_count") > 0).orderBy(F.desc("new_count"), "term").limit(candidates)

@@ -187,16 +187,55 @@ FROM (SELECT o_orderkey,
                            ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS raw
       FROM orders)""")
 
+# --- language identification ----------------------------------------------------------
+_NORM = ("' ' || regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g'), "
+         "'^ +| +$', '', 'g') || ' '")
+_GRAMS = f"""
+nt AS (SELECT doc_id, lang, {_NORM} AS t FROM documents),
+grams AS MATERIALIZED (SELECT doc_id, lang, substring(t, i, 3) AS gram
+          FROM nt, LATERAL (SELECT unnest(range(1, length(t) - 1)) AS i)
+          WHERE substring(t, i, 3) <> '   ')"""
+
+
+def _language(train: str, test: str, tag: str = "") -> str:
+    """CTEs: ``pred`` (doc_id, true_lang, lang) of the documents where ``test``, by a model of those where ``train``."""
+    return f""",
+prof{tag} AS MATERIALIZED (SELECT lang, gram, count(*) AS count FROM grams WHERE lang IS NOT NULL AND {train} GROUP BY lang, gram),
+vocab{tag} AS (SELECT count(DISTINCT gram) AS v FROM prof{tag}),
+labelled{tag} AS (SELECT lang, count(*) AS d FROM documents WHERE lang IS NOT NULL AND {train} GROUP BY lang),
+cls{tag} AS MATERIALIZED (SELECT p.lang, ln(l.d / (SELECT sum(d) FROM labelled{tag})) AS prior, -ln(sum(p.count) + v) AS unseen
+        FROM prof{tag} p JOIN labelled{tag} l USING (lang), vocab{tag} GROUP BY p.lang, l.d, v),
+dg{tag} AS MATERIALIZED (SELECT doc_id, gram, count(*) AS cnt FROM grams WHERE {test} GROUP BY doc_id, gram),
+nd{tag} AS (SELECT doc_id, sum(cnt) AS n FROM dg{tag} GROUP BY doc_id),
+sc{tag} AS (SELECT g.doc_id, p.lang, sum(g.cnt * ln(1 + p.count)) AS s FROM dg{tag} g JOIN prof{tag} p USING (gram)
+       GROUP BY g.doc_id, p.lang),
+allc{tag} AS (SELECT n.doc_id, c.lang, coalesce(s.s, 0) + n.n * c.unseen + c.prior AS score
+         FROM nd{tag} n CROSS JOIN cls{tag} c LEFT JOIN sc{tag} s ON s.doc_id = n.doc_id AND s.lang = c.lang),
+best{tag} AS (SELECT doc_id, arg_max(lang, score) AS lang FROM allc{tag} GROUP BY doc_id),
+pred{tag} AS MATERIALIZED (SELECT d.doc_id, d.lang AS true_lang, b.lang
+        FROM (SELECT doc_id, lang FROM documents WHERE {test}) d LEFT JOIN best{tag} b USING (doc_id))"""
+
+
+LANG_PRED = "WITH " + _GRAMS + _language("true", "true")
+
+sql("lang_profile", "WITH " + _GRAMS + _language("true", "true") + "\nSELECT * FROM prof")
+sql("lang_predict", LANG_PRED + "\nSELECT doc_id, lang FROM pred")
+sql("lang_accuracy", "WITH " + _GRAMS + _language("doc_id % 2 = 1", "doc_id % 2 = 0", "0")
+    + _language("doc_id % 2 = 0", "doc_id % 2 = 1", "1") + """,
+scored AS (SELECT * FROM pred0 UNION ALL SELECT * FROM pred1)
+SELECT true_lang, count(*) AS docs, count(*) FILTER (WHERE true_lang = lang) AS correct,
+  round(count(*) FILTER (WHERE true_lang = lang) / count(*), 6) AS accuracy FROM scored GROUP BY true_lang""")
+
 # --- merge / dedup -------------------------------------------------------------------
 DEDUP_KEY = "left(lower(" + ustrip("coalesce(text, '')") + "), 200)"
 
-CLEANED_DOCS = DOC_POSTS + f""",
+CLEANED_DOCS = _GRAMS + _language("true", "true") + "," + DOC_POSTS + f""",
 cleaned AS (
-  SELECT * REPLACE ({clean('text')} AS text) FROM doc_posts),
+  SELECT p.* REPLACE ({clean('p.text')} AS text), pred.lang AS detected FROM doc_posts p JOIN pred ON pred.doc_id = p.seq),
 flagged AS (
   SELECT *, CAST(length(text) AS INTEGER) AS text_length2,
-         CASE WHEN length(text) < 20 THEN true WHEN content_type IS NULL THEN false
-              ELSE content_type = 'en' END AS keep_lang
+         CASE WHEN length(text) < 20 THEN true WHEN detected IS NULL THEN false
+              ELSE detected = 'en' END AS keep_lang
   FROM cleaned WHERE text <> '')"""
 
 sql("dedup_keep_first", with_posts(DOC_POSTS) + f"""
@@ -612,38 +651,6 @@ SELECT platform, sentiment, round(pct, 6) AS pct FROM (
   UNION ALL SELECT platform, 'neutral', neutral_pct FROM bp)""")
 
 
-# --- language identification ----------------------------------------------------------
-_NORM = ("' ' || regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g'), "
-         "'^ +| +$', '', 'g') || ' '")
-LANG_GRAMS = f"""
-WITH nt AS (SELECT doc_id, lang, {_NORM} AS t FROM documents),
-grams AS (SELECT doc_id, lang, substring(t, i, 3) AS gram
-          FROM nt, LATERAL (SELECT unnest(range(1, length(t) - 1)) AS i)
-          WHERE substring(t, i, 3) <> '   '),
-prof AS (SELECT lang, gram, count(*) AS count FROM grams WHERE lang IS NOT NULL GROUP BY lang, gram)"""
-
-sql("lang_profile", LANG_GRAMS + "\nSELECT * FROM prof")
-
-LANG_PRED = LANG_GRAMS + """,
-vocab AS (SELECT count(DISTINCT gram) AS v FROM prof),
-nd_docs AS (SELECT lang, count(*) AS d FROM documents WHERE lang IS NOT NULL GROUP BY lang),
-cls AS (SELECT p.lang, ln(nd_docs.d / (SELECT sum(d) FROM nd_docs)) AS prior, -ln(sum(p.count) + v) AS unseen
-        FROM prof p JOIN nd_docs USING (lang), vocab GROUP BY p.lang, nd_docs.d, v),
-dg AS (SELECT doc_id, gram, count(*) AS cnt FROM grams GROUP BY doc_id, gram),
-nd AS (SELECT doc_id, sum(cnt) AS n FROM dg GROUP BY doc_id),
-sc AS (SELECT dg.doc_id, p.lang, sum(dg.cnt * ln(1 + p.count)) AS s FROM dg JOIN prof p USING (gram)
-       GROUP BY dg.doc_id, p.lang),
-allc AS (SELECT nd.doc_id, cls.lang, coalesce(sc.s, 0) + nd.n * cls.unseen + cls.prior AS score
-         FROM nd CROSS JOIN cls LEFT JOIN sc ON sc.doc_id = nd.doc_id AND sc.lang = cls.lang),
-best AS (SELECT doc_id, arg_max(lang, score) AS lang FROM allc GROUP BY doc_id),
-pred AS (SELECT d.doc_id, d.lang AS true_lang, best.lang FROM documents d LEFT JOIN best USING (doc_id))"""
-
-sql("lang_predict", LANG_PRED + "\nSELECT doc_id, lang FROM pred")
-sql("lang_accuracy", LANG_PRED + """
-SELECT true_lang, count(*) AS docs, count(*) FILTER (WHERE true_lang = lang) AS correct,
-  round(count(*) FILTER (WHERE true_lang = lang) / count(*), 6) AS accuracy FROM pred GROUP BY true_lang""")
-
-
 # --- data quality --------------------------------------------------------------------
 _FIXED = with_posts(ORDERS_POSTS) + """,
 fixed AS (
@@ -738,11 +745,13 @@ m AS (
   FROM (SELECT *, {_nz("CASE WHEN pb <> '' THEN json_extract_string(pb, '$.videoDetails.title') END")} AS _t0 FROM b))
 SELECT * FROM m WHERE title IS NOT NULL AND title <> ''""")
 
+# Anchors with a link in double, single or no quotes (RE2 syntax).
+_A = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*?)</a>"""
 _ANCH = f"""
-WITH a0 AS (SELECT page_id, regexp_extract_all(html, '{_re(_PG.ANCHOR)}', 0) AS arr FROM pages),
+WITH a0 AS (SELECT page_id, regexp_extract_all(html, '{_A}', 0) AS arr FROM pages),
 a1 AS (SELECT page_id, unnest(arr) AS a, generate_subscripts(arr, 1) - 1 AS pos FROM a0),
-a2 AS (SELECT page_id, pos, {unescape(f"regexp_extract(a, '{_re(_PG.ANCHOR)}', 1)")} AS h,
-         regexp_extract(a, '{_re(_PG.ANCHOR)}', 2) AS t FROM a1),
+a2 AS (SELECT page_id, pos, {unescape(f"regexp_extract(a, '{_A}', 1) || regexp_extract(a, '{_A}', 2) || regexp_extract(a, '{_A}', 3)")} AS h,
+         regexp_extract(a, '{_A}', 4) AS t FROM a1),
 anchors AS (
   SELECT page_id, pos,
     CASE WHEN contains(h, 'uddg=') AND regexp_extract(h, 'uddg=([^&]+)', 1) <> ''
@@ -754,10 +763,31 @@ anchors AS (
   FROM a2)"""
 
 sql("page_anchors", _ANCH + "\nSELECT * FROM anchors")
-sql("page_links", _ANCH + """
-SELECT page_id, pos, link, title FROM (
-  SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS rn FROM anchors
-  WHERE starts_with(link, 'http')) WHERE rn = 1""")
+# The rendered result pages hold one hit per page; text and links are those of the pages themselves.
+_HITS = f"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+\\.([a-z]+)(/|$)', 1) AS tld,
+    regexp_extract(url, '^https?://[^/]+/([a-z]{{2}})/', 1) || '/' || regexp_extract(url, '^https?://[^/]+/[a-z]{{2}}/(\\d)', 1) AS query,
+    {ustrip(unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title,
+    {ustrip(unescape("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)"))} AS note FROM pages),
+l AS (SELECT *, CASE tld WHEN 'com' THEN 0 WHEN 'net' THEN 1 ELSE 2 END AS priority FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY query, priority, url ORDER BY page_id) AS nth FROM l WHERE starts_with(url, 'http')),
+hits AS (SELECT query, priority, (['result', 'b_algo', 'g'])[priority + 1] AS layout, url AS link, title,
+    CASE WHEN priority = 2 THEN left(note, 500) ELSE note END AS snippet,
+    row_number() OVER (PARTITION BY query, priority ORDER BY page_id) - 1 AS pos FROM k WHERE priority = 0 OR nth = 1)"""
+
+sql("result_blocks", _HITS + "\nSELECT query, layout, pos, link, title, snippet FROM hits")
+sql("result_fallback", _HITS + """,
+m AS (SELECT *, min(priority) OVER (PARTITION BY query, link) AS lowest,
+        row_number() OVER (PARTITION BY query, link ORDER BY priority, pos) AS nth FROM hits),
+kept AS (SELECT * FROM m WHERE priority = 0 OR (nth = 1 AND lowest > 0)),
+used AS (SELECT h.query, h.priority FROM (SELECT DISTINCT query, priority FROM kept) h
+  WHERE h.priority = 0 OR (SELECT count(*) FROM kept b WHERE b.query = h.query AND b.priority < h.priority) < 3),
+ranked AS (SELECT kept.*, row_number() OVER (PARTITION BY kept.query ORDER BY kept.priority, kept.pos) AS rank
+  FROM kept JOIN used USING (query, priority))
+SELECT query, priority, pos, link, title, snippet, rank FROM ranked WHERE rank <= 20""")
+sql("page_links", _HITS + """
+SELECT query, link, regexp_replace(title, '\\s+', ' ', 'g') AS title FROM (
+  SELECT query, url AS link, title, row_number() OVER (PARTITION BY query, url ORDER BY page_id) AS rn FROM k) WHERE rn = 1""")
 
 _FEED = """
 WITH f AS (

@@ -29,6 +29,7 @@ from feedlens.sources import adapters as A
 from feedlens.sources import feeds as FD
 from feedlens.sources import pages as PG
 from feedlens.sources import raw as R
+from feedlens.sources import results as RS
 from feedlens.streaming import incremental as ZS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +129,11 @@ def _cleaned_docs(spark, d):
     return p.withColumn("text", S.clean_text("text")).withColumn("text_length", F.length("text"))
 
 
+def _detected_docs(spark, d):
+    """Cleaned documents with the language that the trained detector gives them."""
+    return LI.detect(_cleaned_docs(spark, d), LI.fit(A.read_table(spark, d, "documents")))
+
+
 @register("dedup_keep_first")
 def q_dedup(spark, d):
     return MG.deduplicate(A.doc_posts(spark, d)).select(
@@ -136,21 +142,19 @@ def q_dedup(spark, d):
 
 @register("merge_stats")
 def q_merge_stats(spark, d):
-    flagged = MG.language_flags(_cleaned_docs(spark, d).where(F.col("text") != ""), "content_type")
-    return MG.merge_stats(flagged)
+    return MG.merge_stats(MG.language_flags(_detected_docs(spark, d).where(F.col("text") != "")))
 
 
 @register("merge_posts")
 def q_merge_posts(spark, d):
-    merged = MG.merge_posts(_cleaned_docs(spark, d), lang_col="content_type")
-    return merged.select("platform", "seq", "date", "engagement", "content_type", "text_length")
+    return MG.merge_posts(_detected_docs(spark, d)).select(
+        "platform", "seq", "date", "engagement", "content_type", "text_length")
 
 
 @register("append_merge")
 def q_append_merge(spark, d):
-    cleaned = _cleaned_docs(spark, d)
     existing = A.doc_posts(spark, d).where(F.col("date") < "2024-01-16")
-    merged = MG.merge_posts(cleaned, lang_col="content_type", existing=existing)
+    merged = MG.merge_posts(_detected_docs(spark, d), existing=existing)
     return merged.select("platform", "seq", "date", "engagement", "content_type", "text_length")
 
 
@@ -396,24 +400,16 @@ def q_lang_profile(spark, d):
     return LI.train_profile(_docs(spark, d))
 
 
-def _lang_predicted(spark, d):
-    docs = _docs(spark, d)
-    # Trigram counts per document are computed once and shared by training and scoring.
-    from pyspark import StorageLevel
-    grams = LI.doc_grams(docs, "text", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-    model = LI.fit(docs, grams=grams, id_col="doc_id")
-    return LI.detect(docs.select("doc_id", "text", "lang").withColumnRenamed("lang", "true_lang"),
-                     model, id_col="doc_id", out_col="lang", grams=grams)
-
-
 @register("lang_predict")
 def q_lang_predict(spark, d):
-    return _lang_predicted(spark, d).select("doc_id", "lang")
+    docs = _docs(spark, d)
+    return LI.detect(docs.select("doc_id", "text"), LI.fit(docs), id_col="doc_id").select("doc_id", "lang")
 
 
 @register("lang_accuracy")
 def q_lang_accuracy(spark, d):
-    return rounded(LI.accuracy(_lang_predicted(spark, d), truth_col="true_lang", pred_col="lang"))
+    """Accuracy on held-out rows: two folds, each scored by the model of the other."""
+    return rounded(LI.accuracy(LI.cross_validated(_docs(spark, d)), truth_col="lang", pred_col="pred"))
 
 
 # --- Phase 3b: data quality -----------------------------------------------------------
@@ -507,9 +503,42 @@ def q_page_anchors(spark, d):
     return PG.page_anchors(A.read_table(spark, d, "pages"))
 
 
+def pages_as_result_pages(spark, d):
+    """``pages`` rendered as search-result pages: one per query (language and first digit of the page's number),
+    the layout of a hit by its host's suffix, each with its own quoting and redirect."""
+    p = A.read_table(spark, d, "pages")
+    tld = F.regexp_extract("url", r"^https?://[^/]+\.([a-z]+)(/|$)", 1)
+    title, note = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1)
+    to = F.url_encode("url")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    block = (F.when(tld == "com", text('<div class="web result"><h2 class="result__title"><a class="a" href="//r.example/l/?uddg=', to,
+                                       '&amp;rut=1"> ', title, '</a></h2><a class="result__snippet" href="#">', note, "</a></div>"))
+             .when(tld == "net", text("<li class='b_algo'><h2><a href='", F.col("url"), "'>", title,
+                                      "</a></h2><div class='x b_caption'><p>", note, "<p>more</div>"))
+             .otherwise(text("<div class=g><a href=/url?sa=U&q=", to, "&x=1><br><h3>", title, "</h3></a><span> ", note, " </span></div>")))
+    pages = p.select(F.concat(F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1), F.lit("/"),
+                              F.regexp_extract("url", r"^https?://[^/]+/[a-z]{2}/(\d)", 1)).alias("query"), "page_id", block.alias("b"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "b"))), lambda x: x["b"]), "\n")
+    return pages.groupBy("query").agg(F.concat(F.lit("<html><body><ul>"), body, F.lit("</ul></body></html>")).alias("html"))
+
+
+@register("result_blocks")
+def q_result_blocks(spark, d):
+    return PG.result_blocks(pages_as_result_pages(spark, d), id_col="query")
+
+
+@register("result_fallback")
+def q_result_fallback(spark, d):
+    """X4 into X5: the blocks of a query's pages as sources in the order of the layouts."""
+    hits = PG.result_blocks(pages_as_result_pages(spark, d), id_col="query")
+    layouts = F.array(*[F.lit(x) for x in RS.LAYOUTS])
+    return PG.fallback_results(hits.withColumn("priority", F.array_position(layouts, F.col("layout")) - 1)).select(
+        "query", "priority", "pos", "link", "title", "snippet", "rank")
+
+
 @register("page_links")
 def q_page_links(spark, d):
-    return PG.result_links(A.read_table(spark, d, "pages"))
+    return PG.result_links(pages_as_result_pages(spark, d), id_col="query").select("query", "link", "title")
 
 
 def events_as_items(spark, d):
@@ -560,13 +589,13 @@ def conversations_as_trees(spark, d):
         F.concat(F.regexp_replace(x["j"], r"\}\}$", ""),
                  F.lit(',"replies":{"kind":"Listing","data":{"children":['), acc, F.lit("]}}}}"))))
     listing = F.concat(F.lit('{"kind":"Listing","data":{"children":['), tree, F.lit("]}}"))
-    return turns.select(F.col("conv_id").alias("seq"), F.try_parse_json(listing).alias("v"),
+    return turns.select(F.col("conv_id").alias("seq"), listing.alias("raw"),
                         F.concat(F.lit("/r/conv/"), F.col("conv_id").cast("string")).alias("parent_permalink"))
 
 
 @register("tree_flatten")
 def q_tree_flatten(spark, d):
-    return FD.flatten_comments(spark, conversations_as_trees(spark, d)).drop("path")
+    return FD.flatten_comments(spark, conversations_as_trees(spark, d)).drop("pos", "depth")
 
 
 # --- Phase 9b: streaming ---------------------------------------------------------------------
@@ -604,7 +633,7 @@ def q_stream_merge(spark, d):
     posts = A.docs_to_posts(docs, events, events.count())
     cleaned = posts.withColumn("text", S.clean_text("text")).withColumn("text_length", F.length("text"))
     out, ck = ZS.work_dir(spark, "merge"), ZS.work_dir(spark, "merge-ck")
-    _run(ZS.incremental_merge(spark, cleaned, out, ck, lang_col="content_type"))
+    _run(ZS.incremental_merge(spark, cleaned, out, ck, detector=LI.fit(A.read_table(spark, d, "documents"))))
     return spark.read.parquet(out).select("platform", "seq", "date", "engagement", "content_type", "text_length")
 
 
@@ -637,12 +666,8 @@ def q_source_dedup_text(spark, d):
 
 @register("source_lang_filter")
 def q_source_lang_filter(spark, d):
-    from pyspark import StorageLevel
     docs = _docs(spark, d)
-    grams = LI.doc_grams(docs, "text", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-    model = LI.fit(docs, grams=grams, id_col="doc_id")
-    posts = docs.select("doc_id", "text", "lang")
-    return LI.source_language_filter(posts, model, id_col="doc_id").select("doc_id", "lang")
+    return LI.source_language_filter(docs.select("doc_id", "text", "lang"), LI.fit(docs), id_col="doc_id").select("doc_id", "lang")
 
 
 LISTING_TERMS_DOCS = ["the", "und"]

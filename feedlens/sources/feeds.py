@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from feedlens.functions import scalar as S
 from feedlens.operators.merge import keep_first
-from feedlens.session import stored_table
+from feedlens.session import ship_package
+from feedlens.sources import trees
 
 # ---------------------------------------------------------------------------
 # Per-source key lists, in lookup order.
@@ -332,68 +333,28 @@ def listing_posts(listings: DataFrame, terms: list[str] | None = None) -> DataFr
         "permalink")
 
 
-def _replies(nodes: DataFrame) -> DataFrame:
-    """The next level of comment nodes."""
-    kids = F.try_variant_get("node", "$.data.replies.data.children", "variant")
-    return (nodes.where(kids.isNotNull()).select("seq", "parent_permalink", "path", kids.alias("_kids"))
-            .lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("_kids").outer()))
-            .select("seq", F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("node"), "parent_permalink")
-            .where(F.try_variant_get("node", "$.kind", "string") == "t1"))
-
-
-def flatten_comments(spark: SparkSession, trees: DataFrame, levels: int = 4) -> DataFrame:
-    """X6 (+N2): comment rows of Listing/t1 trees (``v`` VARIANT, ``parent_permalink``).
-
-    Walks ``replies`` level by level, ``levels`` at a time between tables in the
-    shared folder, until a level is empty: no limit on depth or rows.  Replies
-    inherit the *post* permalink (as the collector does); empty and removed
-    bodies are dropped; a root of kind t1 is a comment itself."""
-    root = trees.select("v", F.coalesce("parent_permalink", F.lit("")).alias("parent_permalink"),
-                        (F.col("seq") if "seq" in trees.columns else F.lit(0)).alias("seq"))
-    kind = F.try_variant_get("v", "$.kind", "string")
-    kids = F.when(kind == "Listing", F.try_variant_get("v", "$.data.children", "variant"))
-    top = (root.select("seq", "parent_permalink", kids.alias("_kids")).where("_kids IS NOT NULL")
-           .lateralJoin(spark.tvf.variant_explode(F.col("_kids").outer()))
-           .select("seq", F.array("pos").alias("path"), F.col("value").alias("node"), "parent_permalink")
-           .where(F.try_variant_get("node", "$.kind", "string") == "t1"))
-    single = root.where(kind == "t1").select("seq", F.array(F.lit(0)).alias("path"), F.col("v").alias("node"),
-                                             "parent_permalink")
-    level = stored_table(top.union(single), "comments")
-    parts = [level]
-    while True:
-        deeper = []
-        for _ in range(levels):
-            level = _replies(level)
-            deeper.append(level)
-        more = deeper[0]
-        for x in deeper[1:]:
-            more = more.union(x)
-        more = stored_table(more, "comments")
-        depth = F.size("path")
-        deepest = more.agg(F.max(depth)).first()[0]
-        if deepest is None:
-            break
-        parts.append(more)
-        if deepest < len(parts) * levels - levels + 1:
-            break
-        level = more.where(depth == deepest)
-    n = parts[0]
-    for x in parts[1:]:
-        n = n.union(x)
-    d = F.try_variant_get("node", "$.data", "variant")
-    body = S.ustrip(html_unescape(F.coalesce(F.try_variant_get(d, "$.body", "string"), F.lit(""))))
-    cid = F.coalesce(F.try_variant_get(d, "$.id", "string"), F.lit(""))
-    perma = F.coalesce(F.nullif(F.try_variant_get(d, "$.permalink", "string"), F.lit("")), F.col("parent_permalink"))
+def flatten_comments(spark: SparkSession, trees_of: DataFrame) -> DataFrame:
+    """X6 (+N2): comment rows of Listing/t1 trees (``raw`` JSON text or ``v`` VARIANT, ``parent_permalink``).
+
+    One pass over each tree (``trees.walk``): any depth, any number of comments, no table in between;
+    ``pos`` is the preorder position, ``depth`` the level.  Replies inherit the *post* permalink (as the
+    collector does); empty and removed bodies are dropped; a root of kind t1 is a comment itself.  A
+    VARIANT holds at most the nesting its parser allows; ``raw`` has no limit."""
+    ship_package(spark)
+    has = trees_of.columns
+    raw = F.col("raw") if "raw" in has else F.to_json("v")
+    seq = F.col("seq") if "seq" in has else F.lit(0)
+    root = trees_of.select(raw.alias("_raw"), F.coalesce("parent_permalink", F.lit("")).alias("parent_permalink"), seq.alias("seq"))
+    n = root.mapInArrow(trees.walk, f"parent_permalink string, seq {root.schema['seq'].dataType.simpleString()}, {trees.ROW}")
+    perma = F.coalesce(F.nullif("permalink", F.lit("")), "parent_permalink")
     url = F.when(perma != "", F.concat(F.lit("https://reddit.com"), perma,
-                                       F.when(cid != "", F.concat(F.lit("?comment="), cid)).otherwise(F.lit(""))))
-    likes = F.coalesce(F.try_variant_get(d, "$.score", "bigint"), F.lit(0))
-    return (n.select("seq", "path", body.alias("text"), likes.alias("likes"),
-                     F.try_variant_get(d, "$.created_utc", "double").alias("created"), url.alias("url"))
+                                       F.when(F.col("id") != "", F.concat(F.lit("?comment="), "id")).otherwise(F.lit(""))))
+    return (n.select("seq", "pos", "depth", S.ustrip("body").alias("text"), F.col("score").alias("likes"), "created", url.alias("url"))
             .where((F.col("text") != "") & ~F.col("text").isin(*REMOVED))
             .select(F.lit("reddit").alias("platform"), "text", "likes", F.lit(0).cast("bigint").alias("comments"),
                     F.lit(0).cast("bigint").alias("views"), _utc_datetime(F.col("created")).alias("date"),
                     F.col("likes").alias("engagement"), F.lit("comment").alias("content_type"),
-                    F.coalesce("url", F.lit("")).alias("url"), "seq", "path"))
+                    F.coalesce("url", F.lit("")).alias("url"), "seq", "pos", "depth"))
 
 
 def cap_per_source(posts: DataFrame, n: int = 300, order: list | None = None) -> DataFrame:

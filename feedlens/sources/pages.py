@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import scalar as S
 from feedlens.operators.merge import keep_first
+from feedlens.session import ship_package
+from feedlens.sources import results
 from feedlens.sources.feeds import html_unescape
 
 # ---------------------------------------------------------------------------
@@ -28,7 +30,7 @@ DATE_PATTERNS = [r"\"publishDate\"\s*:\s*\"([^\"]+)\"", r"\"uploadDate\"\s*:\s*\
 TITLE_META = r"<meta\s+name=\"title\"\s+content=\"([^\"]+)\""
 TITLE_TAG = r"<title>(.+?)(?:\s*-\s*YouTube)?\s*</title>"
 VIDEO_ID_IN_BLOB = r"\"videoId\"\s*:\s*\"([a-zA-Z0-9_-]{11})\""
-ANCHOR = r"(?is)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a>"
 EMOJI_RANGES = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
                 r"\x{2702}-\x{27B0}\x{FE00}-\x{FE0F}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}"
                 r"\x{1FA70}-\x{1FAFF}\x{2600}-\x{26FF}\x{200D}\x{2B50}\x{2B55}\x{23E9}-\x{23F3}"
@@ -103,8 +105,8 @@ def page_anchors(pages: DataFrame, html_col: str = "html", id_col: str = "page_i
     """X4 (first half): every anchor as (id, position, link unwrapped, title text)."""
     h = F.coalesce(F.col(html_col), F.lit(""))
     anchors = pages.select(id_col, F.posexplode(F.regexp_extract_all(h, F.lit(ANCHOR), 0)).alias("pos", "a"))
-    href = F.regexp_extract("a", ANCHOR, 1)
-    text = F.regexp_extract("a", ANCHOR, 2)
+    href = F.concat(*[F.regexp_extract("a", ANCHOR, i) for i in (1, 2, 3)])       # one of them matched
+    text = F.regexp_extract("a", ANCHOR, 4)
     return anchors.select(id_col, F.col("pos").cast("bigint").alias("pos"), unwrap_redirect(html_unescape(href)).alias("link"),
                           _strip_tags(text).alias("title"))
 
@@ -115,23 +117,32 @@ def result_links(pages: DataFrame, html_col: str = "html", id_col: str = "page_i
     return keep_first(a, F.concat_ws("\u0001", F.col(id_col).cast("string"), F.col("link")), [F.col("pos")])
 
 
-def fallback_results(results: DataFrame, min_results: int = 3, max_results: int = 20) -> DataFrame:
-    """``results(query, priority, pos, link, ...)`` from ordered sources.
+def result_blocks(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
+    """(id, layout, pos, link, title, snippet) of the result blocks of the three page layouts; ``pos`` counts
+    the kept blocks of a layout.  A null or broken page has none."""
+    ship_package(pages.sparkSession)
+    kind = pages.schema[id_col].dataType.simpleString()
+    return pages.select(html_col, id_col).mapInArrow(results.blocks, f"`{id_col}` {kind}, {results.ROW}")
+
+
+def fallback_results(found: DataFrame, min_results: int = 3, max_results: int = 20) -> DataFrame:
+    """``found(query, priority, pos, link, ...)`` from ordered sources.
     Source p is used only while fewer than ``min_results`` rows were kept from the
     sources before it; from the second source on, only unseen links are appended;
-    the list is cut at ``max_results``.  Windows are per query over at most
-    (sources x results) rows."""
-    w_link = Window.partitionBy("query", "link").orderBy("priority", "pos")
-    r = results.withColumn("_first", F.row_number().over(w_link) == 1) \
-               .withColumn("_min_p", F.min("priority").over(Window.partitionBy("query", "link")))
-    kept = r.where((F.col("priority") == 0) | (F.col("_first") & (F.col("_min_p") == F.col("priority"))))
+    the list is cut at ``max_results``.  First occurrences are minima per (query, link),
+    combined before the shuffle; only the cut ranks rows (group limit)."""
+    names = found.columns
+    row = F.struct("priority", "pos", *[c for c in names if c not in ("priority", "pos")])
+    later = (found.groupBy("query", "link").agg(F.min(row).alias("_m")).where(F.col("_m.priority") > 0)
+             .select(*[F.col(f"_m.{c}").alias(c) for c in names]))
+    kept = found.where("priority = 0").unionByName(later)
     per = kept.groupBy("query", "priority").agg(F.count(F.lit(1)).alias("_n"))
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(      # one row per source
         Window.partitionBy("query").orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     used = per.where((F.col("priority") == 0) | (F.col("_before") < min_results)).select("query", "priority")
     out = kept.join(used, ["query", "priority"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("priority", "pos")).cast("bigint")
-    return out.withColumn("rank", rank).where(F.col("rank") <= max_results).drop("_first", "_min_p")
+    return out.withColumn("rank", rank).where(F.col("rank") <= max_results)
 
 
 def clean_long_text(col) -> Column:

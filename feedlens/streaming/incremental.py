@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from feedlens import schema
 from feedlens.operators import alerts as AL
+from feedlens.operators import langid
 from feedlens.operators.common import BROADCAST_MAX_ROWS
 from feedlens.operators.merge import dedup_key, keep_first, language_flags, platform_rank
 from feedlens.session import ensure_checkpoint_dir
@@ -47,10 +48,13 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, posts_path: str,
-                lang_col: str = "lang", platform_order=None) -> None:
-    """Z1 body for one micro-batch (``batch`` has cleaned posts columns + seq)."""
+                lang_col: str = "lang", platform_order=None, detector: langid.Model | None = None) -> None:
+    """Z1 body for one micro-batch (``batch`` has cleaned posts columns + seq); ``detector`` adds ``lang_col``."""
     cols = schema.FINAL_COLUMNS + [c for c in ("seq", "parsed_date") if c in batch.columns]
-    b = language_flags(batch.where(F.col("text") != ""), lang_col).where("keep_lang")
+    b = batch.where(F.col("text") != "")
+    if detector is not None:
+        b = langid.detect(b, detector, out_col=lang_col)
+    b = language_flags(b, lang_col).where("keep_lang")
     b = b.withColumn("_prank", platform_rank("platform", platform_order)).withColumn("dkey", dedup_key("text"))
     b = keep_first(b, "dkey", [F.col("_prank"), F.col("platform"), F.col("seq")])
     keys = None
@@ -69,10 +73,10 @@ def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, posts_path
 
 
 def incremental_merge(spark: SparkSession, stream: DataFrame, posts_path: str, checkpoint: str,
-                      lang_col: str = "lang", available_now: bool = True):
+                      lang_col: str = "lang", available_now: bool = True, detector: langid.Model | None = None):
     """Z1 + Z2: run the merge over a stream of cleaned posts; returns the query."""
     def body(df, batch_id):
-        merge_batch(spark, df, batch_id, posts_path, lang_col)
+        merge_batch(spark, df, batch_id, posts_path, lang_col, detector=detector)
     w = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

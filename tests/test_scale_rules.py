@@ -26,7 +26,7 @@ def test_deep_trees_and_comment_roots(spark):
              (3, json.dumps({"kind": "Listing", "data": {"children": []}})), (4, None)]
     trees = spark.createDataFrame(roots, "seq long, j string").select(
         "seq", F.try_parse_json("j").alias("v"), F.lit("/p").alias("parent_permalink"))
-    got = FD.flatten_comments(spark, trees, levels=16).groupBy("seq").count().collect()
+    got = FD.flatten_comments(spark, trees).groupBy("seq").count().collect()
     assert {r.seq: r["count"] for r in got} == {1: 152, 2: 3}
 
 

@@ -110,3 +110,26 @@ def test_phrase_and_punctuated_keywords(spark):
     for given in (kws, table):
         got = sorted((r.engagement, r.keyword) for r in TXT.tag_keywords(posts, given).collect())
         assert got == want
+
+
+def test_ten_thousand_phrases_in_one_pass(spark):
+    """A large table equals the patterns, phrase by phrase; also in blocks, where the table exceeds one automaton."""
+    import random
+
+    from feedlens.operators import phrases
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "naïve", "c++", "x-ray", "über", "a.b", "42", "_id", "ß"]
+    kws = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(30_000)}
+    assert len(kws) > 10_000
+    kws |= {"+", "++", "-", " "}
+    texts = [None, "", " "] + ["".join(rng.choice([" ", " ", " ", "-", ", ", "", ".", "_"]) + (w.upper() if rng.random() < 0.2 else w)
+                               for w in rng.choices(words, k=rng.randint(1, 25))) for _ in range(40)]
+    posts = spark.createDataFrame(list(enumerate(texts)), "engagement int, text string")
+    table = spark.createDataFrame([(k,) for k in kws] + [(None,), ("",), ("ALPHA",)], "keyword string").repartition(4)
+    boundary = lambda k: rf"\b{re.escape(k)}\b"
+    want = sorted((i, k) for i, t in enumerate(texts) if t for k in kws if k in t.lower() and re.search(boundary(k), t.lower()))
+    one = TXT.tag_keywords(posts, table)
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, one.collect())) == want and len(want) > 100
+    assert sorted(map(tuple, phrases.tag(posts, table, ["engagement"], block_chars=100_000).collect())) == want
+    assert phrases.tag(posts, [], ["engagement"]).collect() == [] and TXT.tag_keywords(posts.limit(0), table).collect() == []
