@@ -2,18 +2,16 @@
 
 A multinomial naive-Bayes model over character trigrams of the whole text:
 
-* text normalisation: lower case, every run of non-letters -> one space,
-  padded with a space at both ends; grams = all 3-code-point windows
-  (one regex pass with a capturing lookahead: linear in the text);
-* training = ``groupBy(lang, gram).count`` over labelled texts (map-side
-  combined), Laplace smoothing over the joint gram vocabulary, document
-  priors;
+* text normalisation (JVM): lower case, every run of non-letters -> one space,
+  padded with a space at both ends; grams = all 3-code-point windows, packed
+  into one long each and counted per text or class in numpy (Arrow batches);
+* training = counts per (lang, gram) over labelled texts, Laplace smoothing
+  over the joint gram vocabulary, document priors;
 * the model is one row per gram with an array of class weights; a text's
-  grams are exploded, looked up and summed class by class.  A text's rows lie
-  in one task, so the partial aggregate leaves one row per text to shuffle:
-  no (text, gram) table exists.  Beyond the broadcast limit the grams are
-  counted per text first and joined on (gram, salt), so a gram of every text
-  is dealt over many tasks.
+  distinct grams are looked up and summed class by class.  They lie in one
+  task, so the partial aggregate leaves one row per text to shuffle.  Beyond
+  the broadcast limit they are joined on (gram, salt), so a gram of every
+  text is dealt over many tasks.
 
 No profile truncation: grams absent from a class get that class's smoothed
 "unseen" log-probability, which is exact for the model.
@@ -21,12 +19,15 @@ No profile truncation: grams absent from a class get that class's smoothed
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.session import stored_table
+from feedlens.session import ship_package, stored_table
 
 BROADCAST_BYTES = 64 << 20      # estimated size of the weights up to which they are broadcast
 SALTS = 16
@@ -35,14 +36,14 @@ CLASS_BLOCK = 64                # classes of one array; more classes are scored
 
 @dataclass
 class Model:
-    """``profile`` (lang, gram, count) as a stored table; ``classes``: (lang, prior, unseen); ``grams``: vocabulary size."""
+    """``profile`` (lang, code, gram, count) as a stored table; ``classes``: (lang, prior, unseen); ``grams``: vocabulary size."""
     profile: DataFrame
     classes: list[tuple[str, float, float]]
     grams: int
 
     def weights(self, classes: list[str]) -> DataFrame:
-        """(gram, w): log P(gram|lang) - unseen(lang) for each of ``classes``, 0 where a class has no such gram."""
-        return self.profile.groupBy("gram").agg(F.array(*[
+        """(code, w): log P(gram|lang) - unseen(lang) for each of ``classes``, 0 where a class has no such gram."""
+        return self.profile.groupBy("code").agg(F.array(*[
             F.coalesce(F.max(F.when(F.col("lang") == c, F.log1p(F.col("count")))), F.lit(0.0)) for c in classes]).alias("w"))
 
 
@@ -52,23 +53,64 @@ def normalized(text) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(t, r"^ +| +$", ""), F.lit(" "))
 
 
-def char_trigrams(text) -> Column:
-    """All 3-character windows of the normalised text (empty for blank text), in
-    one linear JVM regex pass: a zero-width lookahead captures each window."""
-    return F.regexp_extract_all(normalized(text), F.lit("(?=(.{3}))"), 1)
+def gram_codes(text: str) -> np.ndarray:
+    """All 3-character windows of a normalised text, 21 bits a character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def _gram(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
+def _count_by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts: dict[str, list[np.ndarray]] = {}
+        for lang, text in zip(*[c.to_pylist() for c in batch.columns]):
+            texts.setdefault(lang, []).append(gram_codes(text))
+        for lang, parts in texts.items():
+            codes, counts = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(codes)), pa.array(codes), pa.array([_gram(c) for c in codes.tolist()]), pa.array(counts)],
+                names=["lang", "code", "gram", "count"])
+
+
+def _count_by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, codes, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            rows = np.repeat(np.array([i for i, _ in at], np.int64), np.array([n for _, n in at], np.int64))
+            return pa.RecordBatch.from_arrays(
+                [batch.column(1).take(pa.array(rows)), pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts))],
+                names=[batch.schema.names[1], "code", "cnt"])
+
+        for i, text in enumerate(batch.column(0).to_pylist()):
+            u, n = np.unique(gram_codes(text), return_counts=True)
+            at.append((i, len(u)))
+            codes.append(u)
+            counts.append(n)
+            held += len(u)
+            if held > 1 << 18:
+                yield out()
+                at, codes, counts, held = [], [], [], 0
+        if at:
+            yield out()
 
 
 def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, count) over the labelled texts."""
-    return (docs.where(F.col(lang_col).isNotNull())
-            .select(F.col(lang_col).alias("lang"), F.explode(char_trigrams(text_col)).alias("gram"))
-            .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("count")))
+    """(lang, code, gram, count) over the labelled texts: counted per batch, summed over all tasks."""
+    ship_package(docs.sparkSession)
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), normalized(text_col).alias("t"))
+    return (rows.mapInArrow(_count_by_class, "lang string, code long, gram string, count long")
+            .groupBy("lang", "code", "gram").agg(F.sum("count").alias("count")))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on the rows of ``docs`` with a label.  The driver sees one row per class."""
     profile = stored_table(train_profile(docs, text_col, lang_col), "lang-profile")
-    vocab = profile.select(F.count_distinct("gram")).first()[0]
+    vocab = profile.select(F.count_distinct("code")).first()[0]
     n_docs = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
     total = n_docs.select(F.sum("d")).scalar()
     classes = (profile.groupBy("lang").agg(F.sum("count").alias("n")).join(n_docs, "lang")
@@ -80,14 +122,15 @@ def _scores(posts: DataFrame, model: Model, classes: list[tuple[str, float, floa
             limit: int) -> DataFrame:
     """(id, best): the best (score, lang) among ``classes`` of every text with a trigram."""
     w = model.weights([c for c, _, _ in classes])
-    grams = posts.select(id_col, F.explode(char_trigrams(text_col)).alias("gram"))
+    kind = posts.schema[id_col].dataType.simpleString()
+    counted = posts.select(normalized(text_col).alias("t"), id_col).mapInArrow(_count_by_text, f"`{id_col}` {kind}, code long, cnt long")
     if model.grams * (8 * len(classes) + 48) <= limit:
-        rows, times = grams.join(F.broadcast(w), "gram", "left"), F.lit(1)
+        rows = counted.join(F.broadcast(w), "code", "left")
     else:
-        counted = grams.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("cnt"))
         counted = counted.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
         w = w.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        rows, times = counted.join(w, ["gram", "salt"], "left"), F.col("cnt")
+        rows = counted.join(w, ["code", "salt"], "left")
+    times = F.col("cnt")
     sums = rows.groupBy(id_col).agg(F.sum(times).alias("n"), *[
         F.coalesce(F.sum(times * F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(len(classes))])
     found = [F.struct((F.col(f"s{i}") + F.col("n") * unseen + prior).alias("score"), F.lit(c).alias("lang"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlens.session import cut_lineage
+from feedlens.session import cut_lineage, stored_table
 
 
 def _local_running_sum(value_col: str, out_col: str):
@@ -103,8 +103,8 @@ def grouped_measures(df: DataFrame, keys: list[str], value: str = "engagement",
     counts = df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(means)],
         *[F.count(c).alias(f"_n{i}") for i, c in enumerate(means)])
-    counts = cut_lineage(counts.repartitionByRange(*[F.col(k).asc_nulls_first() for k in (*keys, value)])
-                         .withColumn("_pid", F.spark_partition_id()))
+    counts = stored_table(counts.repartitionByRange(*[F.col(k).asc_nulls_first() for k in (*keys, value)])
+                          .withColumn("_pid", F.spark_partition_id()), "value-counts")
     known = F.when(v.isNotNull(), F.col("_c"))
     parts = counts.groupBy(*keys, "_pid").agg(
         F.sum("_c").alias("_rows"), F.coalesce(F.sum(known), F.lit(0)).alias("_t"), F.sum(v * F.col("_c")).alias("_total"),

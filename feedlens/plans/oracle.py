@@ -192,9 +192,9 @@ _NORM = ("' ' || regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p
          "'^ +| +$', '', 'g') || ' '")
 _GRAMS = f"""
 nt AS (SELECT doc_id, lang, {_NORM} AS t FROM documents),
-grams AS MATERIALIZED (SELECT doc_id, lang, substring(t, i, 3) AS gram
-          FROM nt, LATERAL (SELECT unnest(range(1, length(t) - 1)) AS i)
-          WHERE substring(t, i, 3) <> '   ')"""
+letters AS (SELECT doc_id, lang, string_split(t, '') AS c FROM nt),
+grams AS MATERIALIZED (SELECT doc_id, lang, z[1] || z[2] || z[3] AS gram
+          FROM (SELECT doc_id, lang, unnest(list_zip(c, c[2:], c[3:], true)) AS z FROM letters))"""
 
 
 def _language(train: str, test: str, tag: str = "") -> str:
@@ -309,7 +309,7 @@ FROM kw k LEFT JOIN hits h USING (keyword) GROUP BY k.keyword""")
 def phrase_match(text: str, k: str) -> str:
     """Keyword between word boundaries; the keywords of the test lists begin and end with word characters."""
     w = NONWORD[:-1]
-    return f"regexp_matches(lower({text}), '(^|{w})' || regexp_escape({k}) || '($|{w})')"
+    return f"(contains(lower({text}), {k}) AND regexp_matches(lower({text}), '(^|{w})' || regexp_escape({k}) || '($|{w})'))"
 
 
 sql("keyword_phrases", with_posts(DOC_POSTS) + f""",

@@ -397,7 +397,7 @@ def _docs(spark, d):
 
 @register("lang_profile")
 def q_lang_profile(spark, d):
-    return LI.train_profile(_docs(spark, d))
+    return LI.train_profile(_docs(spark, d)).drop("code")
 
 
 @register("lang_predict")

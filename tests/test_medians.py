@@ -54,13 +54,13 @@ def test_hot_group_is_spread(spark):
     assert got == {k: statistics.median(v) for k, v in local.items()}
     seen = []
     conf = "spark.sql.adaptive.coalescePartitions.enabled"      # so little data would be put in one task
-    was, cut = spark.conf.get(conf), RK.cut_lineage
-    RK.cut_lineage = lambda df: seen.append(cut(df)) or seen[-1]
+    was, keep = spark.conf.get(conf), RK.stored_table
+    RK.stored_table = lambda df, name: seen.append(keep(df, name)) or seen[-1]
     spark.conf.set(conf, "false")
     try:
         RK.grouped_measures(posts, ["platform"]).collect()
     finally:
-        RK.cut_lineage = cut
+        RK.stored_table = keep
         spark.conf.set(conf, was)
     hot = [r["count"] for r in seen[0].where("platform = 'hot'").groupBy("_pid").count().collect()]
     assert len(hot) >= 6 and max(hot) < 0.4 * sum(hot)
