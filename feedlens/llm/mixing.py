@@ -4,11 +4,16 @@ Golden-ratio points u_i = frac(i * 0.618...) mapped through the cumulative targe
 the source of slot i; slots are ranked per source; each source's documents, shuffled by
 id hash and laid end to end, are cut into blocks of equal token counts; slot k of a
 source takes its block k, starting over after the last (up to three passes).  The block
-that reaches the target is cut short, so each source takes its target to the token.
+that reaches the target is cut short, so each source takes its target to the token;
+blocks without a slot are not taken.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,42 +49,59 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
                     F.least("cap", F.col("weight") * F.coalesce("level", F.lit(float("inf")))).alias("target"))
 
 
-def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source, rank, slot): slot i of the mix and its rank among the slots of its source, for as
-    many slots as blocks are wanted in all; ``goals`` has one row per source (source, goal).
+def schedule(goals: DataFrame, block: int = BLOCK, factor: int = 4) -> DataFrame:
+    """(source, rank, slot): point ``slot`` of the sequence gives its source the block of that rank; every
+    source gets exactly the blocks its goal needs.  ``goals`` has one row per source (source, goal).
 
-    A source draws its share of the slots up to the discrepancy of the sequence (a few slots,
-    growing with the logarithm of their number)."""
-    live = goals.where("goal > 0")
+    The sources' bands of [0, 1) are their shares of the blocks, so the first as many points as
+    blocks serve nearly all of them; the few left are served by further points (a band of a
+    share p is met again within some 2.6 / p points, hence ``factor``; doubled if ever too few)."""
+    live = goals.where("goal > 0").select("source", F.ceil(F.col("goal") / block).alias("need"))
     by = Window.orderBy(F.col("source").asc_nulls_last())
-    share = F.sum("goal").over(by) / F.sum("goal").over(Window.partitionBy())
-    bands = (live.select("source", share.alias("hi")).select(
-        "source", F.lag("hi", 1, 0.0).over(by).alias("lo"), F.when(F.lead("hi").over(by).isNull(), 2.0).otherwise(F.col("hi")).alias("hi"))
-        .withColumn("cell", F.explode(F.expr(f"sequence(cast(lo * {CELLS} as int), cast(least(hi, 1D) * {CELLS} as int))"))))
-    n = live.agg(F.sum(F.ceil(F.col("goal") / block)).alias("n")).first()["n"] or 0
-    u = (F.col("id") * F.lit(GOLDEN)) % 1.0
-    ids = goals.sparkSession.range(1, int(n) + 1).select(F.col("id").alias("slot"), u.alias("u"),
-                                                         (u * CELLS).cast("int").alias("cell"))
-    named = ids.join(bands, "cell").where("lo <= u and u < hi").select(
-        "slot", "source", (F.col("slot") / CHUNK).cast("long").alias("chunk"))
-    named = stored(named, "slots")
-    per = named.groupBy("source", "chunk").agg(F.count("*").alias("n"))
-    before = per.select("source", "chunk", F.coalesce(F.sum("n").over(
+    share = F.sum("need").over(by) / F.sum("need").over(Window.partitionBy())
+    bands = stored(live.select("source", "need", share.alias("hi")).select(
+        "source", "need", F.lag("hi", 1, 0.0).over(by).alias("lo"),
+        F.when(F.lead("hi").over(by).isNull(), 2.0).otherwise(F.col("hi")).alias("hi")), "bands")
+    n = bands.agg(F.sum("need")).first()[0] or 0
+    cells = bands.withColumn("cell", F.explode(F.expr(f"sequence(cast(lo * {CELLS} as int), cast(least(hi, 1D) * {CELLS} as int))")))
+    while True:
+        u = (F.col("id") * F.lit(GOLDEN)) % 1.0
+        ids = goals.sparkSession.range(1, int(n) * factor + 1).select(F.col("id").alias("slot"), u.alias("u"),
+                                                                      (u * CELLS).cast("int").alias("cell"))
+        named = ids.join(cells, "cell").where("lo <= u and u < hi").select(
+            "slot", "source", "need", (F.col("slot") / CHUNK).cast("long").alias("chunk"))
+        named = stored(named, "slots")
+        per = named.groupBy("source", "need", "chunk").agg(F.count("*").alias("n"))
+        met = per.groupBy("source", "need").agg(F.sum("n").alias("n")).where("n >= need").agg(F.sum("need")).first()[0] or 0
+        if met == n:
+            break
+        factor *= 2
+    before = per.select(F.col("source").alias("s2"), F.col("chunk").alias("c2"), F.coalesce(F.sum("n").over(
         Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
     here = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
-    ranked = named.withColumn("r", here).join(
-        before.withColumnRenamed("source", "s2").withColumnRenamed("chunk", "c2"),
-        F.expr("source <=> s2 and chunk = c2"))
-    return ranked.select("source", (F.col("r") + F.col("o")).alias("rank"), "slot")
+    ranked = named.withColumn("r", here).join(before, F.expr("source <=> s2 and chunk = c2"))
+    return ranked.where("r + o < need").select("source", (F.col("r") + F.col("o")).alias("rank"), "slot")
+
+
+def first_words():
+    """UDF (text, n): the text up to the end of its n-th word."""
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for t, n in zip(texts, counts):
+            last = next(islice(re.finditer(WORD, t), int(n) - 1, None), None)
+            out.append(t if last is None else t[:last.end()])
+        return pd.Series(out, dtype=object)
+    return cut
 
 
 def mix(docs: DataFrame, block: int = BLOCK, passes: int = 3) -> DataFrame:
-    """One row per input row: doc_id, tkey, size (words), source_size, target, taken, first_slot.
+    """One row per input row: doc_id, source, tkey, size (words), source_size, target, taken, first_slot.
 
-    ``taken`` counts the words the mix takes of the row, repeats included (at most ``passes``
-    times its size); ``first_slot`` is the first slot that takes it, null if none does.  The few
-    blocks that a source wants beyond its slots come after the last slot (first_slot null).
-    Null text has size 0; null source is a source of its own, last; repeated rows have their
+    A block is taken only where a slot of the schedule names it: ``taken`` counts the words that the
+    mix takes of the row through its slots, repeats included (at most ``passes`` times its size);
+    ``first_slot`` is the first slot that takes it, null if none does; in slot order the rows are mixed.
+    A row that the goal cuts gives its first words.  Null text has size 0; null source is a source of its own, last; repeated rows have their
     own place; an empty table gives an empty result; extra columns are ignored.  Shuffling
     is by id hash, so reruns agree."""
     prepare(docs.sparkSession)
@@ -103,8 +125,8 @@ def mix(docs: DataFrame, block: int = BLOCK, passes: int = 3) -> DataFrame:
             .withColumn("rank", F.explode(F.expr(f"sequence(a div {block}, (z - 1) div {block})")))
             .withColumn("words", F.expr(f"least(z, (rank + 1) * {block}) - greatest(a, rank * {block})")))
     s = slots.withColumnRenamed("source", "s2").withColumnRenamed("rank", "r2")
-    took = (runs.select("row", "source", "rank", "words").join(s, F.expr("source <=> s2 and rank = r2"), "left")
+    took = (runs.select("row", "source", "rank", "words").join(s, F.expr("source <=> s2 and rank = r2"))
             .groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")))
     return (at.join(took, "row", "left")
-            .select("doc_id", "tkey", "size", "source_size", "target",
+            .select("doc_id", "source", "tkey", "size", "source_size", "target",
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"))

@@ -32,7 +32,7 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("tkey", "first_slot")
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "tkey", "first_slot")
 
 
 def op5_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

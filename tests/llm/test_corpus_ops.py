@@ -181,6 +181,7 @@ def test_op4_targets_and_taken(docs, empty):
         capped |= new
     target = {n: 3 * sizes[n] if n in capped else w[n] * level for n in names}
     source = {x[0]: x[3] for x in ROWS}
+    assert all((r.taken > 0) == (r.first_slot is not None) for r in got)
     taken = Counter()
     for r in got:
         assert abs(r.target - target[source[r.doc_id]]) < 1e-6 * total and r.source_size == sizes[source[r.doc_id]]
@@ -190,6 +191,22 @@ def test_op4_targets_and_taken(docs, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_op4_takes_only_scheduled_blocks(spark, docs, monkeypatch):
+    """Every source has exactly its blocks' slots, spread evenly; without a schedule nothing is taken."""
+    goals = spark.createDataFrame([("big", 40_000), ("mid", 9_000), ("tiny", 3), (None, 700), ("none", 0)], "source string, goal long")
+    got = sorted((r.slot, r.source, r.rank) for r in mixing.schedule(goals, 16).collect())
+    need = {"big": 2500, "mid": 563, "tiny": 1, None: 44}
+    assert Counter(s for _, s, _ in got) == need and len({i for i, _, _ in got}) == len(got)
+    for s, n in need.items():
+        assert [r for _, x, r in got if x == s] == list(range(n))
+    head = [s for _, s, _ in got[:1000]]
+    assert all(abs(head.count(s) - 1000 * n / 3108) <= 8 for s, n in need.items())
+    assert {r.slot for r in mixing.schedule(goals, 16, factor=1).collect()} == {i for i, _, _ in got}
+    nothing = spark.createDataFrame([], "source string, rank long, slot long")
+    monkeypatch.setattr(mixing, "schedule", lambda *a: nothing)
+    assert all(r.taken == 0 and r.first_slot is None for r in mixing.mix(docs, block=16).collect())
+
+
 def test_op5_links_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(6, 16))

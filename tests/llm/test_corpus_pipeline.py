@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as C
+from feedlens.llm import mixing
 from feedlens.llm.common import stored
 
 
@@ -55,6 +56,22 @@ def test_stages(spark, folder):
     assert len(C.run(spark, path).collect()) == len(seen["packing"])
 
 
+def test_mix_keeps_every_source(spark):
+    """A source of one long document, cut by its target, keeps the words it is due."""
+    text = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(1, text("a", 9000) + " tail\t\n", "en", "a", 1)] + [(10 + i, f" {text('b', 300)}", "en", "b", 1) for i in range(10)]
+    rows += [(100 + i, text("c", 300), "en", "c", 1) for i in range(20)] + [(100, text("c", 300), "en", "c", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = C.mix_sources(spark, docs, "").collect()
+    words = Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+    took = {r.source: r.target for r in mixing.mix(docs).collect()}
+    assert set(words) == {"a", "b", "c"} and all(abs(words[s] - t) <= 1 for s, t in took.items())
+    a = [r for r in out if r.source == "a"]
+    assert len(a) == 1 and rows[0][1].startswith(a[0].text) and a[0].n_chars == len(a[0].text) < len(rows[0][1])
+
+
 def test_empty_tables(spark, folder, tmp_path):
     path, _, _ = folder
     spark.read.parquet(f"{path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
