@@ -56,13 +56,20 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """op4: each document as often as the mix takes it (0 to 3 times, taken words over size, rounded);
-    documents without words are not taken.  Repeated rows share what the mix takes of them."""
+    """op4: each document as the mix takes it, 0 to 3 times; the one document that its source's target cuts
+    is emitted with its first words as far as they are taken (n_chars follows), so a source of one long
+    document keeps its share.  Documents without words are not taken; repeated rows share what the mix
+    takes of them; very long texts are cut in one task each; an empty table gives an empty result."""
     docs = _documents(docs)
-    took = (mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"))
-            .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0"))
-    rows = docs.withColumn("_k", _key()).join(took, F.expr("doc_id <=> _d and _k = _t"))
-    return rows.withColumn("_pass", F.explode(F.expr("sequence(1, _times)"))).select(*COLUMNS)
+    took = (mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), F.col("source").alias("_s"))
+            .agg(F.sum("taken").alias("_sum"), F.first("size").alias("_size")))
+    one = Window.partitionBy("doc_id", "_k", "source").orderBy(F.lit(1))
+    rows = (docs.withColumn("_k", _key()).join(took, F.expr("doc_id <=> _d and _k = _t and source <=> _s"))
+            .withColumn("_n", F.row_number().over(one)).where("_n = 1"))
+    whole = rows.where("_sum >= _size").withColumn("_pass", F.explode(F.expr("sequence(1, _sum div _size)")))
+    part = (rows.where("_sum % _size > 0").withColumn("text", mixing.first_words()("text", F.expr("_sum % _size")))
+            .withColumn("n_chars", F.length("text").cast("long")))
+    return whole.select(*COLUMNS).unionByName(part.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
