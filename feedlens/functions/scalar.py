@@ -107,25 +107,50 @@ def engagement_fallback(eng_raw, likes, comments) -> Column:
 
 
 # Formats tried in order by the mixed-format date parser.
-DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-    "yyyy/MM/dd",
-    "M/d/yyyy",
-    "d.M.yyyy",
+# ---------------------------------------------------------------------------
+# Month names and the shapes of dates that are read (groups: year, month, day).
+# ---------------------------------------------------------------------------
+MONTHS = ["jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?",
+          "sept?(?:ember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?"]
+_MONTH = "(" + "|".join(MONTHS) + r")\.?"
+_NTH = r"(\d{1,2})(?:st|nd|rd|th)?"
+DATE_SHAPES = [
+    (r"(\d{4})([-/])(\d{1,2})\2(\d{1,2})", 1, 3, 4),
+    (r"(\d{1,2})()/(\d{1,2})/(\d{4})", 4, 1, 3),
+    (r"(\d{1,2})()\.(\d{1,2})\.(\d{4})", 4, 3, 1),
+    (_MONTH + r"()\s+" + _NTH + r",?\s+(\d{4})", 4, 1, 3),
+    (_NTH + r"()[\s-]+" + _MONTH + r",?[\s-]+(\d{4})", 4, 3, 1),
+    (r"(\d{4})()(\d{2})(\d{2})", 1, 3, 4),
 ]
-
-
-def parse_date(col, formats=None) -> Column:
-    """First format that parses; anything else (including impossible dates) -> null."""
-    s = ustrip(_c(col).cast("string"))
-    s = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T.*Z$"), F.regexp_replace(s, "Z$", "+00:00")).otherwise(s)
-    fmts = formats or DATE_FORMATS
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts])
+_WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+)?"
+_TIME = r"(?:(?:t|,?\s+(?:at\s+)?)(\d{1,2}):(\d{2})(?::(\d{2}(?:[.,]\d{1,9})?))?\s*([ap]m)?)?"
+_ZONE = r"\s*(z|utc|gmt|[+-]\d{2}:?\d{2})?"
+
+
+def parse_date(col) -> Column:
+    """Mixed date layouts: a date shape, then an optional time (minutes, seconds, fraction, am/pm) and zone.
+
+    The shape of a value decides how it is read; anything else, and impossible dates or times, -> null."""
+    s = F.lower(ustrip(_c(col).cast("string")))
+    out = []
+    for date, y, m, d in DATE_SHAPES:
+        shape = "^" + _WEEKDAY + date + _TIME + _ZONE + "$"
+        g = lambda i, shape=shape: F.nullif(F.regexp_extract(s, shape, i), F.lit(""))
+        num = lambda x: x.try_cast("int")
+        month = num(g(m)) if "jan" not in date else F.ceil(F.position(
+            F.substring(g(m), 1, 3), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) / 3).cast("int")
+        hour = num(F.coalesce(g(5), F.lit("0")))
+        hour = F.when(g(8).isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(g(8) == "pm", 12).otherwise(0))
+        second = F.replace(F.coalesce(g(7), F.lit("0")), F.lit(","), F.lit(".")).try_cast("decimal(8,6)")
+        ts = F.try_make_timestamp(num(g(y)), month, num(g(d)), hour, num(F.coalesce(g(6), F.lit("0"))), second)
+        zone = F.regexp_replace(F.when(g(9).rlike("^[+-]"), g(9)), ":", "")
+        sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
+        minutes = F.coalesce(sign * (num(F.substring(zone, 2, 2)) * 60 + num(F.substring(zone, 4, 2))), F.lit(0))
+        out.append((s.rlike(shape), ts - F.make_dt_interval(mins=minutes)))
+    c = F.when(*out[0])
+    for cond, ts in out[1:]:
+        c = c.when(cond, ts)
+    return c
 
 
 def week_start(ts) -> Column:

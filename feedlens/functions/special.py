@@ -9,7 +9,9 @@ Lentz continued fraction otherwise) and regularised incomplete beta
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,3 +147,32 @@ def norm_p_two_sided(z) -> Column:
 
 def t_p_two_sided(t, dof) -> Column:
     return t_two_sided_udf(t, dof)
+
+
+EXACT_PAIRS = 10_000_000     # n1 * n2 up to which the exact distribution of U is counted
+
+
+def _u_counts(n: int, m: int) -> np.ndarray:
+    """How many of the arrangements of ``n`` and ``m`` values give U = 0, 1, ...: coefficients of the Gaussian
+    binomial, one factor (1 - q^(m+i)) / (1 - q^i) at a time, in whole numbers."""
+    c = np.zeros(n * m + 1, object)
+    c[0] = 1
+    for i in range(1, n + 1):
+        c[m + i:] = c[m + i:] - c[:-(m + i)] if m + i < len(c) else c[m + i:]
+        for r in range(min(i, len(c))):
+            c[r::i] = np.cumsum(c[r::i])
+    return c
+
+
+def mannwhitney_exact(n1: int, n2: int, u: float) -> float | None:
+    """Two-sided p of U (the larger of the two) from its exact distribution."""
+    n, m = sorted((int(n1), int(n2)))
+    if n == 0 or n * m > EXACT_PAIRS:
+        return None
+    c = _u_counts(n, m)
+    return float(min(1.0, 2 * Fraction(int(sum(c[int(u):])), int(sum(c)))))
+
+
+@F.pandas_udf(T.DoubleType())
+def mannwhitney_exact_udf(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    return pd.Series([mannwhitney_exact(a, b, x) for a, b, x in zip(n1, n2, u)], dtype="float64")

@@ -124,8 +124,9 @@ def report_lines(spark: SparkSession, summary: DataFrame | None = None, platform
     # 3. top posts (head 10)
     parts.append(_const(spark, 4, ["", "## 3. Top Posts by Engagement", ""]))
     if top is not None:
-        t = top.orderBy(F.desc("engagement")).limit(10)
-        rn = F.row_number().over(Window.orderBy(F.desc("engagement")))
+        order = [F.desc("engagement"), F.asc("platform"), F.asc("url"), F.asc("text")]
+        t = top.orderBy(*order).limit(10)
+        rn = F.row_number().over(Window.orderBy(*order))
         parts.append(t.select(F.lit(4).alias("section"), (rn + 3).alias("line_no"),
                               F.concat(rn.cast("string"), F.lit(". **"), F.col("platform"), F.lit("** ("),
                                        fmt_int("engagement"), F.lit(" eng) — "),

@@ -23,6 +23,9 @@ from feedlens.operators.ranks import average_ranks
 ALPHA = 0.05
 
 
+EXACT_SIZE = 8
+
+
 def _report(one_row: DataFrame, test: str, comparison: str, stat_digits: int, yes: str, no,
             alpha: float = ALPHA) -> DataFrame:
     sig = F.col("p_value") < alpha
@@ -92,9 +95,7 @@ def chi2(posts: DataFrame, row: str = "platform", col: str = "sentiment_label")
                    "Sentiment differs significantly across platforms", "No significant sentiment difference")
 
 
-def mannwhitney_stat(posts: DataFrame, value: str = "engagement", type_col: str = "content_type",
-                     visual_types=None, min_size: int = 5) -> DataFrame:
-    """Q3 core: U of the visual sample, tie-corrected z (continuity 0.5, two-sided)."""
+def _mannwhitney(posts: DataFrame, value: str, type_col: str, visual_types, min_size: int) -> DataFrame:
     vt = list(visual_types if visual_types is not None else schema.VISUAL_TYPES)
     pre = (posts.select(F.coalesce(F.col(type_col).isin(vt), F.lit(False)).alias("vis"), value)
            .groupBy("vis", value).agg(F.count(F.lit(1)).alias("m")))
@@ -111,12 +112,23 @@ def mannwhitney_stat(posts: DataFrame, value: str = "engagement", type_col: str
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - t / (n * (n - 1))))
     z = (u - n1 * n2 / 2.0 - 0.5) / sigma
     return agg.where((n1 >= min_size) & (n2 >= min_size)).select(
-        u1.alias("statistic"), z.alias("z"), n1.cast("long").alias("n1"), n2.cast("long").alias("n2"))
+        u1.alias("statistic"), z.alias("z"), n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("u"), t.alias("ties"))
+
+
+def mannwhitney_stat(posts: DataFrame, value: str = "engagement", type_col: str = "content_type",
+                     visual_types=None, min_size: int = 5) -> DataFrame:
+    """Q3 core: U of the visual sample, tie-corrected z (continuity 0.5, two-sided)."""
+    return _mannwhitney(posts, value, type_col, visual_types, min_size).drop("u", "ties")
 
 
 def mannwhitney(posts: DataFrame, value: str = "engagement", type_col: str = "content_type",
                 visual_types=None) -> DataFrame:
-    s = mannwhitney_stat(posts, value, type_col, visual_types).withColumn("p_value", SP.norm_p_two_sided(F.col("z")))
+    """Q3: p from the exact distribution of U when a sample has at most EXACT_SIZE values and none are tied
+    (and n1 * n2 is countable), else from the normal approximation."""
+    s = _mannwhitney(posts, value, type_col, visual_types, 5)
+    small = (F.least("n1", "n2") <= EXACT_SIZE) & (F.col("ties") == 0)
+    exact = SP.mannwhitney_exact_udf(*[F.when(small, F.col(c)).otherwise(0) for c in ("n1", "n2", "u")])
+    s = s.withColumn("p_value", F.coalesce(F.nanvl(exact, F.lit(None)), SP.norm_p_two_sided(F.col("z")))).drop("u", "ties")
     return _report(s, "Mann-Whitney U test", "Visual vs text content engagement", 2,
                    "Visual content significantly outperforms text", "No significant difference")
 

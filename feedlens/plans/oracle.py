@@ -567,7 +567,7 @@ def sentiment_sql(src: str) -> str:
 
     def step(k: int, prev: str, cur: str, damp: float) -> str:
         return f"""
-s{k} AS (
+s{k} AS MATERIALIZED (
   SELECT s.*, CASE WHEN p.seq IS NOT NULL AND p.v IS NULL THEN
       (CASE WHEN p.neg THEN -0.74 ELSE 1.0 END) *
       ({prev} + {damp} * (CASE WHEN coalesce(p.bd, 0) = 0 THEN 0.0 ELSE
@@ -577,10 +577,10 @@ s{k} AS (
   FROM s{k - 1} s LEFT JOIN t p ON p.seq = s.seq AND p.pos = s.pos - {k})"""
 
     return f""",
-src AS (SELECT seq, platform, parsed_date, coalesce(text, '') AS text FROM {src}),
+src AS MATERIALIZED (SELECT seq, platform, parsed_date, coalesce(text, '') AS text FROM {src}),
 arr AS (SELECT seq, list_filter(regexp_split_to_array(text, '{WS_CLASS}+'), lambda x: x <> '') AS a FROM src),
 r0 AS (SELECT seq, unnest(a) AS tok, generate_subscripts(a, 1) AS pos FROM arr),
-r1 AS (SELECT seq, pos, CASE WHEN length(regexp_replace(tok, '^{_P}+|{_P}+$', '', 'g')) <= 2 THEN tok
+r1 AS MATERIALIZED (SELECT seq, pos, CASE WHEN length(regexp_replace(tok, '^{_P}+|{_P}+$', '', 'g')) <= 2 THEN tok
                         ELSE regexp_replace(tok, '^{_P}+|{_P}+$', '', 'g') END AS w FROM r0),
 lex AS (SELECT * FROM (VALUES {lex}) x(token, valence)),
 boo AS (SELECT * FROM (VALUES {boo}) x(token, delta)),
@@ -588,10 +588,10 @@ toks AS MATERIALIZED (SELECT r1.seq, r1.pos, lower(w) AS wl, (upper(w) = w AND l
              lex.valence AS v, boo.delta AS bd,
              (list_contains({neg}, lower(w)) OR contains(lower(w), 'n''t')) AS neg
       FROM r1 LEFT JOIN lex ON lex.token = lower(w) LEFT JOIN boo ON boo.token = lower(w)),
-pp AS (SELECT seq, count(*) FILTER (WHERE isup) AS caps, count(*) AS n,
+pp AS MATERIALIZED (SELECT seq, count(*) FILTER (WHERE isup) AS caps, count(*) AS n,
               min(pos) FILTER (WHERE wl = 'but') AS but_pos FROM toks GROUP BY seq),
 t AS MATERIALIZED (SELECT * FROM toks WHERE v IS NOT NULL OR bd IS NOT NULL OR neg),
-s0 AS (SELECT t.*, (pp.caps > 0 AND pp.caps < pp.n) AS capdiff, pp.but_pos,
+s0 AS MATERIALIZED (SELECT t.*, (pp.caps > 0 AND pp.caps < pp.n) AS capdiff, pp.but_pos,
               t.v + CASE WHEN (pp.caps > 0 AND pp.caps < pp.n) AND t.isup
                          THEN (CASE WHEN t.v > 0 THEN {ci} ELSE -{ci} END) ELSE 0.0 END AS a0
        FROM t JOIN pp USING (seq) WHERE t.v IS NOT NULL),
@@ -601,7 +601,7 @@ s0 AS (SELECT t.*, (pp.caps > 0 AND pp.caps < pp.n) AS capdiff, pp.but_pos,
 tokv AS (SELECT seq, CASE WHEN (bd IS NOT NULL AND bd <> 0) OR v IS NULL THEN 0.0 ELSE a3 END
                      * CASE WHEN but_pos IS NULL THEN 1.0 WHEN pos < but_pos THEN 0.5
                             WHEN pos > but_pos THEN 1.5 ELSE 1.0 END AS sv FROM s3),
-tot AS (SELECT seq, sum(sv) AS total FROM tokv GROUP BY seq),
+tot AS MATERIALIZED (SELECT seq, sum(sv) AS total FROM tokv GROUP BY seq),
 amp AS (SELECT seq, text, least(length(text) - length(replace(text, '!', '')), 4) * 0.292
           + CASE WHEN length(text) - length(replace(text, '?', '')) > 1 THEN
               (CASE WHEN length(text) - length(replace(text, '?', '')) <= 3
@@ -610,7 +610,7 @@ amp AS (SELECT seq, text, least(length(text) - length(replace(text, '!', '')), 4
 adj AS (SELECT amp.seq, amp.text, CASE WHEN coalesce(total, 0) > 0 THEN total + amp
                                       WHEN coalesce(total, 0) < 0 THEN total - amp ELSE 0.0 END AS s
         FROM amp LEFT JOIN tot USING (seq)),
-scored AS (
+scored AS MATERIALIZED (
   SELECT s2.*, CASE WHEN sentiment_score >= 0.05 THEN 'positive' WHEN sentiment_score <= -0.05 THEN 'negative'
                     ELSE 'neutral' END AS sentiment_label
   FROM (SELECT src.seq, src.platform, src.parsed_date,
@@ -1102,3 +1102,18 @@ lines AS (
   UNION ALL SELECT 6 + row_number() OVER (ORDER BY test), '- ' || yes || ' (p=' || CAST(round_even(p, 6) AS VARCHAR) || ').'
   FROM tests WHERE p < 0.05)
 SELECT rank, insight FROM lines WHERE insight IS NOT NULL""")
+
+
+# --- dates in mixed layouts, tables written and read back -----------------------------------
+sql("dates_mixed", """
+WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 13 AS INTEGER) AS layout, CAST(o_orderdate AS DATE) AS day, o_custkey * 7919 % 86400 AS sec FROM orders)
+SELECT o_orderkey, layout, strftime(day + to_seconds(CASE
+    WHEN layout IN (0, 4, 7, 10, 11) THEN 0 WHEN layout IN (1, 5, 6, 8) THEN sec - sec % 60
+    WHEN layout = 9 THEN sec - 7200 WHEN layout = 12 THEN NULL ELSE sec END), '%Y-%m-%d %H:%M:%S') AS parsed FROM o""")
+
+sql("report_table_roundtrip", with_posts(DOC_POSTS) + """
+SELECT platform, content_type, engagement, likes, comments, views, date, url, text
+FROM doc_posts ORDER BY engagement DESC, platform, seq LIMIT 200""")
+
+sql("posts_csv_roundtrip", with_posts(DOC_POSTS) + f"""
+SELECT platform, {ustrip("coalesce(text, '')")} AS text, likes, comments, views, engagement, content_type, url, text_length, date FROM doc_posts""")

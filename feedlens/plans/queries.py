@@ -122,6 +122,26 @@ def q_normalize_date(spark, d):
     return o.select("o_orderkey", raw.alias("raw"), S.normalize_date(raw).alias("date"))
 
 
+MIXED_DATES = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy/MM/dd HH:mm:ss", "M/d/yyyy", "M/d/yyyy h:mm a",
+               "d.M.yyyy HH:mm", "MMM d, yyyy", "MMMM d, yyyy 'at' h:mm a", "EEE, d MMM yyyy HH:mm:ss '+0200'",
+               "d-MMM-yyyy", "yyyyMMdd", "MMM d, yyyy 25:00"]
+
+
+def orders_as_dates(spark, d):
+    """Orders with a time of day, rendered in twelve layouts and a thirteenth that is none."""
+    o = A.read_table(spark, d, "orders")
+    at = F.timestamp_seconds(F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * 86400 + F.col("o_custkey") * 7919 % 86400)
+    layout = (F.col("o_orderkey") % len(MIXED_DATES)).cast("int")
+    raw = F.coalesce(*[F.when(layout == i, F.date_format(at, f)) for i, f in enumerate(MIXED_DATES)])
+    return o.select("o_orderkey", layout.alias("layout"), raw.alias("raw"))
+
+
+@register("dates_mixed")
+def q_dates_mixed(spark, d):
+    return orders_as_dates(spark, d).select(
+        "o_orderkey", "layout", F.date_format(S.parse_date("raw"), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
 # --- Phase 2: merge / dedup ---------------------------------------------------------
 
 def _cleaned_docs(spark, d):
@@ -761,6 +781,23 @@ def q_url_fallback(spark, d):
     return PG.fallback_results(pages_as_results(spark, d)).select("query", "priority", "pos", "link", "rank")
 
 
+@register("report_table_roundtrip")
+def q_report_table_roundtrip(spark, d):
+    """SNK3 -> SRC3: a report table with free text (quotes, line breaks) written and read back."""
+    top, path = SM.top_posts(A.doc_posts(spark, d), n=200), ZS.work_dir(spark, "report-table")
+    SK.write_report_table(top, path)
+    return R.read_report(spark, path, top.schema)
+
+
+@register("posts_csv_roundtrip")
+def q_posts_csv_roundtrip(spark, d):
+    """SNK1 -> SRC2: the posts table as CSV, read with numeric coercion and date parsing."""
+    path = ZS.work_dir(spark, "posts") + ".csv"
+    SK.write_posts(A.doc_posts(spark, d).drop("seq"), path, fmt="csv")
+    return R.load_posts(spark, path).select("platform", "text", "likes", "comments", "views", "engagement", "content_type", "url",
+                                            "text_length", F.date_format("parsed_date", "yyyy-MM-dd").alias("date"))
+
+
 @register("posts_snapshot")
 def q_posts_snapshot(spark, d):
     """SNK1 + SNK8: write the posts table in canonical order, snapshot it (keeping the

@@ -17,6 +17,12 @@ from feedlens import schema
 SNAPSHOT_KEEP = 5
 
 
+def _csv(writer):
+    """Header, doubled quotes, white space kept: what ``sources.raw`` reads back unchanged."""
+    return (writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False))
+
+
 def write_posts(posts: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None) -> None:
     """SNK1: the merged dataset in the canonical column order (plus ``seq``)."""
     cols = schema.FINAL_COLUMNS + [c for c in ("seq",) if c in posts.columns]
@@ -24,7 +30,7 @@ def write_posts(posts: DataFrame, path: str, fmt: str = "parquet", partition_by:
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        _csv(w).csv(path)
     else:
         w.parquet(path)
 
@@ -39,7 +45,7 @@ def write_report_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """SNK3: one small report table as a single file with a header."""
     w = df.coalesce(1).write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        _csv(w).csv(path)
     else:
         w.parquet(path)
 
@@ -49,7 +55,7 @@ def write_source_raw(df: DataFrame, path: str) -> None:
     still writes its header/schema."""
     cols = [F.col(c).cast("string").alias(c) if c in df.columns else F.lit("").alias(c)
             for c in schema.RAW_COLUMNS]
-    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _csv(df.select(*cols).write.mode("overwrite")).csv(path)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -39,6 +39,14 @@ def _with_seq(df: DataFrame) -> DataFrame:
             .drop("_file", "_id", "_lo", "_rank"))
 
 
+def _with_row_seq(df: DataFrame) -> DataFrame:
+    """``seq`` of a Parquet table by (file path, row in the file): the same however the files are split.  One row per
+    file is ranked."""
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = df.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
+    return df.join(files, "_file").withColumn("seq", F.col("_rank") * F.lit(1 << 40) + F.col("_row")).drop("_file", "_row", "_rank")
+
+
 def read_csv_strings(spark: SparkSession, path: str, sch: T.StructType) -> DataFrame:
     return (spark.read.schema(sch)
             .option("header", True).option("multiLine", True)
@@ -109,7 +117,7 @@ def load_posts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     else:
         df = spark.read.parquet(path)
         if "seq" not in df.columns:
-            df = df.withColumn("seq", F.monotonically_increasing_id())
+            df = _with_row_seq(df)
     if "parsed_date" not in df.columns:
         df = df.withColumn("parsed_date", S.parse_date("date"))
     return df
@@ -120,7 +128,7 @@ def read_report(spark: SparkSession, path: str, sch: T.StructType, fmt: str = "c
     if not _exists(spark, path):
         return spark.createDataFrame([], sch)
     if fmt == "csv":
-        return spark.read.schema(sch).option("header", True).option("multiLine", True).csv(path)
+        return read_csv_strings(spark, path, sch)
     return spark.read.schema(sch).parquet(path)
 
 
