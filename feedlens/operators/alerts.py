@@ -21,6 +21,7 @@ from feedlens.operators.common import broadcast_if_small
 from feedlens.operators.ranks import grouped_measures, with_half
 from feedlens.operators.series import daily_series, rolling_baseline
 from feedlens.operators.text import tag_keywords
+from feedlens.session import stored_table
 
 ALERT_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
@@ -138,11 +139,15 @@ def viral_posts(posts: DataFrame, multiplier: float = schema.VIRAL_MULTIPLIER, c
 
 
 def run_alerts(posts: DataFrame, keywords: list[str] | None = None,
-               viral_multiplier: float = schema.VIRAL_MULTIPLIER) -> DataFrame:
+               viral_multiplier: float = schema.VIRAL_MULTIPLIER, spike_ratio: float = schema.ENGAGEMENT_SPIKE_MULTIPLIER,
+               spike_sigmas: tuple[float, float] = (schema.ENGAGEMENT_SPIKE_SIGMAS, schema.MENTION_SPIKE_SIGMAS),
+               keyword_ratio: float = schema.KEYWORD_TREND_RATIO, keyword_new: int = schema.KEYWORD_NEW_MIN) -> DataFrame:
     """E5 + U8: all alert kinds in order, deduplicated by message (first kept);
-    ``alert_order`` gives the output order."""
-    parts = [engagement_spikes(posts), mention_spikes(posts), keyword_trends(posts, keywords),
-             viral_posts(posts, viral_multiplier)]
+    ``alert_order`` gives the output order.  Both spike kinds share one daily table."""
+    daily = stored_table(daily_series(posts), "daily")
+    parts = [engagement_spikes(daily=daily, ratio=spike_ratio, sigmas=spike_sigmas[0]),
+             mention_spikes(daily=daily, sigmas=spike_sigmas[1]),
+             keyword_trends(posts, keywords, ratio=keyword_ratio, new_min=keyword_new), viral_posts(posts, viral_multiplier)]
     ordered = None
     for i, p in enumerate(parts):
         # Each part is capped (<= 15/10/2k/5 rows), so a global window over it is bounded.

@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 from feedlens.functions import pyfmt
 from feedlens.functions import scalar as S
 from feedlens.operators.common import with_dates
+from feedlens.sinks import MONTH, UNDATED
 
 
 def date_filter(posts: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    """Rows inside [start, end] by calendar day, plus every undated row."""
+    """Rows inside [start, end] by calendar day, plus every undated row.  Posts stored by month
+    (``sinks.write_posts_by_month``) are pruned to the months of the range and the undated partition."""
     p = with_dates(posts)
+    if MONTH in p.columns:
+        month = F.col(MONTH)
+        inside = F.lit(True)
+        if start:
+            inside = inside & (month >= start[:7])
+        if end:
+            inside = inside & (month <= end[:7])
+        p = p.where((month == UNDATED) | inside)
     day = F.to_date("parsed_date")
     cond = F.lit(True)
     if start:

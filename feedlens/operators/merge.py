@@ -34,11 +34,14 @@ def platform_rank(platform_col: str = "platform", order=None) -> Column:
 
 
 def keep_first(df: DataFrame, key: Column | str, order: list, drop_empty: bool = True) -> DataFrame:
-    """one row per key, the first by ``order`` (explicit, deterministic)."""
+    """one row per key, the first by ``order`` (explicit, deterministic).
+
+    The shuffle carries the key's SHA-256 instead of the key, and of the other columns only those that
+    are read afterwards: a result without texts moves none."""
     k = F.col(key) if isinstance(key, str) else key
-    df = df.withColumn("_k", k)
     if drop_empty:
-        df = df.where(F.col("_k").isNotNull() & (F.col("_k") != ""))
+        df = df.where(k.isNotNull() & (k != ""))
+    df = df.withColumn("_k", F.unhex(F.sha2(k.cast("string"), 256)))
     w = Window.partitionBy("_k").orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_k")
 

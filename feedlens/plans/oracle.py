@@ -501,6 +501,22 @@ SELECT * EXCLUDE (type_rank, _pos, alert_pos), row_number() OVER (ORDER BY type_
     SELECT *, row_number() OVER (PARTITION BY message ORDER BY type_rank, _pos) AS rn FROM ({ALERTS_ALL}))
   WHERE rn = 1)"""
 sql("alerts_all", ALERTS_ALL)
+
+
+def _loosened(e: str, sigmas: str) -> str:
+    return e.replace("orders_posts", "doc_posts").replace(sigmas, "0.5 * s").replace("eng / prev >= 3.0", "eng / prev >= 1.1")
+
+
+_four = [with_posts(DOC_POSTS) + _loosened(E1_SQL, "3 * s"), with_posts(DOC_POSTS) + _loosened(E2_SQL, "2.5 * s"),
+         with_posts(DOC_POSTS) + keyword_trends_sql("doc_posts", DOC_PHRASES, 0.5, 2, phrases=True),
+         with_posts(DOC_POSTS) + viral_sql("doc_posts", 1.5)]
+_four = "\nUNION ALL\n".join(f"SELECT *, {i} AS type_rank, alert_pos AS _pos FROM ({p})" for i, p in enumerate(_four))
+sql("alerts_four_kinds", f"""
+SELECT * EXCLUDE (type_rank, _pos, alert_pos) REPLACE (CAST(value AS VARCHAR) AS value, CAST(previous AS VARCHAR) AS previous,
+  CAST(engagement AS VARCHAR) AS engagement), row_number() OVER (ORDER BY type_rank, _pos) AS alert_order FROM (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY message ORDER BY type_rank, _pos) AS rn FROM ({_four}))
+  WHERE rn = 1)""")
 sql("alert_severity_counts", f"""
 SELECT count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
   count(*) FILTER (WHERE severity IN ('info', 'low')) AS info, count(*) AS total FROM ({ALERTS_ALL})""")
@@ -1117,3 +1133,23 @@ FROM doc_posts ORDER BY engagement DESC, platform, seq LIMIT 200""")
 
 sql("posts_csv_roundtrip", with_posts(DOC_POSTS) + f"""
 SELECT platform, {ustrip("coalesce(text, '')")} AS text, likes, comments, views, engagement, content_type, url, text_length, date FROM doc_posts""")
+
+sql("feed_sources", """
+WITH f AS (
+  SELECT event_id AS i, user_id AS u, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS c,
+    CAST(round(value) AS BIGINT) AS r, strftime(ts, '%Y-%m-%d') AS date, 'u' || user_id AS name,
+    CASE WHEN event_id % 10 = 0 THEN 'short' ELSE event_type || ' seen by user u' || user_id END AS text FROM events),
+g AS (SELECT *, greatest(coalesce(k, 0), 0) AS l, greatest(c, 0) AS m, greatest(r, 0) AS x, greatest(u, 0) AS v FROM f WHERE length(text) >= 10),
+s AS (
+  SELECT 'twitter' AS platform, text, l AS likes, m AS comments, CASE WHEN i % 2 = 0 THEN 0 ELSE v END AS views, date,
+    l + m + x + CASE WHEN i % 2 = 0 THEN u % 7 ELSE 0 END AS engagement, 'tweet' AS content_type,
+    CASE WHEN i % 2 = 0 THEN 'https://x.com/' || name || '/status/' || i ELSE 'https://t.example/x' END AS url, i AS seq FROM g
+  UNION ALL
+  SELECT 'instagram', text, l, m, v, date, l + m + x,
+    CASE WHEN i % 3 = 0 THEN 'carousel_album' WHEN i % 3 = 1 OR i % 6 = 5 THEN 'reel' ELSE 'post' END,
+    'https://www.instagram.com/p/' || name || '/', i FROM g
+  UNION ALL
+  SELECT 'threads', text, l, m, v, date, l + m + x, 'thread', 'https://th.example/' || name, i FROM g
+  UNION ALL
+  SELECT 'linkedin', text, l, m, v, date, l + m + x, CASE WHEN i % 4 = 0 THEN 'article' ELSE 'post' END, 'https://li.example/' || name, i FROM g)
+SELECT *, CAST(length(text) AS INTEGER) AS text_length FROM s""")

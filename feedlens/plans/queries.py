@@ -308,6 +308,14 @@ def q_alerts_all(spark, d):
     return _all_alerts(spark, d)
 
 
+@register("alerts_four_kinds")
+def q_alerts_four_kinds(spark, d):
+    """A combined run in which every kind of alert fires."""
+    a = AL.run_alerts(A.doc_posts(spark, d), DOC_PHRASES, viral_multiplier=1.5, spike_ratio=1.1, spike_sigmas=(0.5, 0.5),
+                      keyword_ratio=0.5, keyword_new=2)
+    return a.select(*[F.col(c).cast("string") if c in ("value", "previous", "engagement") else c for c in a.columns])
+
+
 @register("alert_severity_counts")
 def q_alert_severity_counts(spark, d):
     return AL.severity_counts(_all_alerts(spark, d))
@@ -463,8 +471,14 @@ def q_quality_report(spark, d):
 DASH_START, DASH_END = "1996-01-01", "1998-12-31"
 
 
+def _orders_by_month(spark, d):
+    path = ZS.work_dir(spark, "by-month")
+    SK.write_posts_by_month(A.orders_posts(spark, d), path)
+    return SK.read_posts_by_month(spark, path)
+
+
 def _filtered_orders(spark, d):
-    return DB.date_filter(A.orders_posts(spark, d), DASH_START, DASH_END)
+    return DB.date_filter(_orders_by_month(spark, d), DASH_START, DASH_END).drop(SK.MONTH)
 
 
 @register("kpi_filtered")
@@ -588,6 +602,46 @@ def q_feed_stats(spark, d):
     return FD.feed_stats(FD.normalize_feed(FD.parse_items(events_as_items(spark, d)), "tiktok", as_of="2024-06-30"))
 
 
+def events_as_source_items(spark, d):
+    """Events rendered as items of the four other collectors, with nested, misspelt, missing and short parts."""
+    e = A.read_table(spark, d, "events")
+    i, u = F.col("event_id"), F.col("user_id")
+    k, c, r = F.get_json_object("props", "$.k").try_cast("bigint"), F.floor("value"), F.round("value").cast("bigint")
+    at = F.col("ts").cast("timestamp")
+    name = F.concat(F.lit("u"), u.cast("string"))
+    text = F.when(i % 10 == 0, F.lit(" short\n")).otherwise(F.concat("event_type", F.lit(" seen by\nuser "), name, F.lit("  ")))
+    tweet = F.struct(text.alias("full_text"), k.alias("favorite_count"), c.alias("reply_count"), r.alias("retweets"),
+                     F.concat(F.date_format(at, "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format(at, "yyyy")).alias("created_at"),
+                     i.cast("string").alias("id_str"))
+    micro = F.when(i % 2 == 0, F.to_json(F.struct(tweet.alias("tweet"), name.alias("username"), (u % 7).alias("bookmarks")))).otherwise(
+        F.to_json(F.struct(text.alias("text"), F.lit(0).alias("favorite_count"), k.alias("likes"), c.alias("replies"), r.alias("shareCount"),
+                           u.alias("views"), F.date_format(at, "yyyy-MM-dd HH:mm").alias("date"), F.lit("https://t.example/x").alias("url"))))
+    photo = F.to_json(F.struct(
+        text.alias("caption"), k.alias("likesCount"), c.alias("commentsCount"), r.alias("saves"), u.alias("playCount"),
+        F.when(i % 3 == 0, "Sidecar").when(i % 3 == 1, "Video").otherwise("Image").alias("type"), (i % 6 == 5).alias("isVideo"),
+        (F.unix_seconds(at) * 1000).alias("takenAt"), name.alias("shortCode")))
+    thread = F.to_json(F.struct(text.alias("content"), k.alias("heart_count"), c.alias("comment_count"), r.alias("quote_count"),
+                                u.alias("reach"), F.unix_seconds(at).alias("timestamp"), F.concat(F.lit("https://th.example/"), name).alias("link")))
+    work = F.to_json(F.struct(
+        F.struct(F.struct(text.alias("text")).alias("text")).alias("commentary"), F.struct(k.alias("numLikes"), c.alias("numComments"),
+                                                                                           r.alias("numShares")).alias("socialActivity"),
+        F.lit("  ").alias("postedAt"), (F.unix_seconds(at) * 1000).alias("postedTimestamp"), u.alias("views"),
+        F.when(i % 4 == 0, F.lit("https://a.example")).otherwise(F.lit(" ")).alias("articleLink"), F.concat(F.lit(" https://li.example/"), name).alias("postUrl")))
+    return e.select(i.alias("seq"), F.inline(F.array(*[F.struct(F.lit(s).alias("source"), x.alias("raw")) for s, x in (
+        ("twitter", micro), ("instagram", photo), ("threads", thread), ("linkedin", work))])))
+
+
+@register("feed_sources")
+def q_feed_sources(spark, d):
+    """N5-N8 with N0b, N0c, N12: the four other collectors' mappings."""
+    items = FD.parse_items(events_as_source_items(spark, d))
+    out = None
+    for s in ("twitter", "instagram", "threads", "linkedin"):
+        rows = FD.normalize_feed(items.where(F.col("source") == s), s, as_of="2024-06-30")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("source_cap")
 def q_source_cap(spark, d):
     posts = A.events_posts(spark, d)

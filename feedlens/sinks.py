@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from feedlens import schema
 
 SNAPSHOT_KEEP = 5
+MONTH, UNDATED = "post_month", "undated"       # partition column of the posts by month, and its value without a date
 
 
 def _csv(writer):
@@ -35,6 +36,20 @@ def write_posts(posts: DataFrame, path: str, fmt: str = "parquet", partition_by:
         w.parquet(path)
 
 
+def write_posts_by_month(posts: DataFrame, path: str) -> None:
+    """SNK1 for the dashboard: one partition per calendar month, one for rows without a date."""
+    month = F.coalesce(F.date_format("parsed_date", "yyyy-MM"), F.lit(UNDATED))
+    # Rebalanced by month: one file for a small month, several tasks for a large one.
+    posts.withColumn(MONTH, month).hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+
+
+def read_posts_by_month(spark: SparkSession, path: str) -> DataFrame:
+    """The posts by month, the partition column as text."""
+    names = spark.read.parquet(path).schema
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == MONTH else f.dataType.simpleString()}" for f in names)
+    return spark.read.schema(kinds).parquet(path)
+
+
 def write_enriched(posts: DataFrame, path: str) -> None:
     """SNK2: the table with quality/sentiment/z-score columns, written beside the
     base table (never over its own input)."""

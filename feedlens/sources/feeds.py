@@ -257,16 +257,15 @@ def normalize_feed(items: DataFrame, source: str, as_of: str | None = None, spec
         ctype = F.when(first_str(v, spec["article"], trimmed=True) != "", "article").otherwise(spec["content_type"])
     else:
         ctype = F.lit(spec["content_type"])
-    likes, comments = metric("likes"), metric("comments")
     keep = [c for c in items.columns if c in ("seq", "item_id")]
-    out = items.select(
-        F.lit(source).alias("platform"), text.alias("text"), likes.alias("likes"), comments.alias("comments"),
-        metric("views").alias("views"), _date(v, spec, as_of).alias("date"),
-        (likes + comments + extra).alias("engagement"), ctype.alias("content_type"), url.alias("url"), *keep)
-    out = out.where(F.col("text") != "")
-    if spec.get("min_len"):
-        out = out.where(F.length("text") >= spec["min_len"])
-    return out.withColumn("text_length", F.length("text"))
+    # Two steps: every lookup is evaluated once, the sums and filters use its column.
+    found = items.select(text.alias("text"), metric("likes").alias("likes"), metric("comments").alias("comments"),
+                         metric("views").alias("views"), extra.alias("_extra"), _date(v, spec, as_of).alias("date"),
+                         ctype.alias("content_type"), url.alias("url"), *keep)
+    found = found.where((F.length("text") >= spec["min_len"]) & (F.col("text") != ""))
+    return found.select(F.lit(source).alias("platform"), "text", "likes", "comments", "views", "date",
+                        (F.col("likes") + F.col("comments") + F.col("_extra")).alias("engagement"), "content_type", "url", *keep,
+                        F.length("text").alias("text_length"))
 
 
 def relevant(df: DataFrame, cols: list[str], terms: list[str] | None = None) -> DataFrame:
