@@ -1,13 +1,13 @@
 """op7: toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: one on ordinary text, one on
-toxic text.  The toxic one holds the segments that are distinctive of toxic texts (byte
-n-grams found in clearly more toxic than ordinary texts, joined to runs) in front of the
-same ordinary content, so a window's two compressed lengths differ only where a
-distinctive segment occurs.  Whole texts are cut into overlapping windows; the saving of
-the toxic dictionary over the ordinary one, against the shares of ordinary windows that
-save as much, gives the features of a logistic score: how unlikely the counted windows are
-in an ordinary text of that length, so long texts are not toxic for their length.
+Two dictionaries are trained by zstandard on windows of labelled texts, one of ordinary and
+one of toxic text.  Windows of toxic texts that ordinary texts share are removed before, so
+the toxic dictionary is trained on what is left; it stands in front of the ordinary one, so a
+window's two compressed lengths differ only where toxic content helps.  Whole texts are cut
+into overlapping windows; the saving of the toxic dictionary over the ordinary one, against
+the shares of ordinary windows that save as much, gives the features of a logistic score: how
+unlikely the counted windows are in an ordinary text of that length, so long texts are not
+toxic for their length.
 
 Training uses whole texts of a bounded sample of labelled rows (``SAMPLE`` per class, by id
 hash), read in Spark tasks; scoring covers every byte of every text.
@@ -16,7 +16,6 @@ hash), read in Spark tasks; scoring covers every byte of every text.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,8 +34,10 @@ CUTS = 60_000                   # windows the ordinary dictionary is trained on,
 LEVELS = 12                     # savings told apart, in bytes
 TOGETHER = (10, 100)            # calibration texts read as one, so that long texts are calibrated too
 WINDOW, STRIDE = 64, 48
-GRAM = 5
-DICT_BYTES, DISTINCT_BYTES = 16_384, 8_192
+SHARED = 7                      # bytes of the windows that are looked up in the other class
+KEYS, LEFT = 200_000, 250_000   # such windows kept as toxic, the clearest first; windows the toxic dictionary is trained on
+DICT_BYTES, TOXIC_BYTES = 16_384, 4_096
+SEGMENT = dict(k=32, d=6, split_point=1.0)      # zstandard's segment and match lengths for the toxic dictionary
 # a full search with equal tables for both dictionaries: equal content then gives equal lengths
 SEARCH = dict(window_log=17, hash_log=17, chain_log=17, search_log=7, min_match=4, target_length=64,
               strategy=zstandard.STRATEGY_BTLAZY2)
@@ -75,33 +76,25 @@ def savings(text: str | None, comp: list) -> np.ndarray:
     return np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(text)])
 
 
-def _grams(raw: bytes) -> np.ndarray:
+def _short_windows(raw: bytes) -> np.ndarray:
+    """The SHARED bytes at every place, as a number."""
     b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
+    n = len(b) - SHARED + 1
     h = np.zeros(max(n, 0), np.uint64)
-    for j in range(GRAM if n > 0 else 0):
+    for j in range(SHARED if n > 0 else 0):
         h = (h << np.uint64(8)) | b[j:n + j]
     return h
 
 
-def _document_counts(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.unique(_grams(r)) for r in raws] or [np.zeros(0, np.uint64)]
-    return np.unique(np.concatenate(parts), return_counts=True)
-
-
-def _runs(raws: list[bytes], keys: np.ndarray) -> Counter:
-    """Byte runs covered by the n-grams ``keys`` (sorted), with their number."""
-    runs: Counter[bytes] = Counter()
-    for raw in raws:
-        if not len(keys) or len(raw) < GRAM:
-            continue
-        g = _grams(raw)
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        hit = np.r_[False, keys[at] == g, False]
-        edge = np.flatnonzero(hit[1:] != hit[:-1])
-        for s, e in zip(edge[::2], edge[1::2]):
-            runs[raw[s:e + GRAM - 1].strip()] += 1
-    return runs
+def _unshared(raw: bytes, keys: np.ndarray) -> list[bytes]:
+    """What is left of a text when every place not covered by the windows ``keys`` (sorted) is removed, in windows."""
+    if not len(keys) or len(raw) < SHARED:
+        return []
+    g = _short_windows(raw)
+    hit = np.r_[False, keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g, False]
+    edge = np.flatnonzero(hit[1:] != hit[:-1])
+    return [raw[i:min(i + WINDOW, e + SHARED - 1)] for s, e in zip(edge[::2], edge[1::2])
+            for i in range(s, e + SHARED - 1, WINDOW)]
 
 
 def _each(rows: DataFrame, schema: str, make: Callable) -> DataFrame:
@@ -114,29 +107,49 @@ def _each(rows: DataFrame, schema: str, make: Callable) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _gram_counts(ids: list, raws: list[bytes], roles: list):
-    kt, nt = _document_counts([r for r, y in zip(raws, roles) if y == 1])
-    ko, no = _document_counts([r for r, y in zip(raws, roles) if y == 0])
-    return (np.concatenate([kt, ko]).view(np.int64), np.concatenate([nt, 0 * no]).astype(np.int64),
-            np.concatenate([0 * nt, no]).astype(np.int64))
-
-
-def distinctive(rows: DataFrame, n_toxic: int, n_ordinary: int) -> list[bytes]:
-    """Byte runs of n-grams that occur in clearly more toxic than ordinary texts, most frequent first."""
-    n = _each(rows, "c0 long, c1 long, c2 long", _gram_counts).groupBy("c0").agg(F.sum("c1").alias("t"), F.sum("c2").alias("o"))
-    pt, po = F.col("t") / n_toxic, F.col("o") / n_ordinary
-    p = (F.col("t") + F.col("o") + 1) / (n_toxic + n_ordinary + 2)
+def _window_counts(ids: list, raws: list[bytes], roles: list):
+    """Per short window: texts that hold it and places, of toxic and of ordinary texts."""
+    none, out = np.zeros(0, np.uint64), []
+    for at, role in ((1, 1), (3, 0)):
+        each = [np.unique(_short_windows(r), return_counts=True) for r, y in zip(raws, roles) if y == role]
+        key, where = np.unique(np.concatenate([none, *[k for k, _ in each]]), return_inverse=True)
+        row = np.zeros((5, len(key)), np.int64)
+        row[0], row[at] = key.view(np.int64), np.bincount(where, minlength=len(key))
+        row[at + 1] = np.bincount(where, np.concatenate([none, *[n for _, n in each]]), len(key))
+        out.append(row)
+    return tuple(np.concatenate(out, axis=1))
+
+
+def contrasted(rows: DataFrame, n_toxic: int, n_ordinary: int) -> list[bytes]:
+    """At most LEFT windows of the toxic texts, without what ordinary texts share: a short window counts as
+    shared unless clearly more toxic texts hold it (z above 5) and it is over 8 times as frequent in them,
+    by bytes, so windows of long toxic texts don't count for their length.  The counting, the comparison
+    and the removal run in Spark; the driver gets the KEYS clearest short windows."""
+    size = dict(rows.groupBy("role").agg(F.sum(F.octet_length("text"))).collect())
+    n = _each(rows, ", ".join(f"c{i} long" for i in range(5)), _window_counts).groupBy("c0").agg(
+        *[F.sum(f"c{i}").alias(f"c{i}") for i in range(1, 5)])
+    pt, po = F.col("c1") / n_toxic, F.col("c3") / n_ordinary
+    p = (F.col("c1") + F.col("c3") + 1) / (n_toxic + n_ordinary + 2)
     z = (pt - po) / F.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_ordinary))
-    found = n.where("t >= 5").where((z > 5) & (pt > 8 * po)).select("c0").collect()
+    often = F.col("c2") / max(1, size.get(1, 0)) > 8 * (F.col("c4") + 1) / max(1, size.get(0, 0))
+    found = n.where((z > 5) & often).orderBy(z.desc(), "c0").limit(KEYS).select("c0").collect()
     keys = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
     def make(ids: list, raws: list[bytes], roles: list):
-        runs = _runs(raws, keys)
-        return pa.array(list(runs), pa.binary()), pa.array(list(runs.values()), pa.int64())
+        left = [(i, k, w) for i, raw in zip(ids, raws) for k, w in enumerate(_unshared(raw, keys))]
+        return tuple(pa.array([x[c] for x in left], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary())))
 
-    runs = _each(rows.where("role = 1"), "c0 binary, c1 long", make).groupBy("c0").agg(F.sum("c1").alias("n"))
-    top = runs.where("n >= 5 and length(c0) >= 4").orderBy(F.desc("n"), "c0").limit(DISTINCT_BYTES // 5 + 1)
-    return [bytes(r[0]) for r in top.collect()]
+    left = _each(rows.where("role = 1"), "c0 long, c1 long, c2 binary", make)
+    chosen = left.orderBy(F.xxhash64("c0", "c1"), "c0", "c1").limit(LEFT).select("c2").collect()
+    return [bytes(r[0]).ljust(8) for r in chosen]
+
+
+def _dictionary(size: int, cuts: list[bytes], **how) -> bytes:
+    """Trained by zstandard; the windows themselves where there is too little to train on."""
+    try:
+        return zstandard.train_dictionary(size, cuts, **how).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(cuts)[:size]
 
 
 def _marks(ids: list, raws: list[bytes], roles: list):
@@ -146,7 +159,7 @@ def _marks(ids: list, raws: list[bytes], roles: list):
 
 
 def different(marks: list[tuple]) -> list:
-    """Ids of (id, minima) without near copies of earlier ones, whose shared segments would pass for distinctive ones."""
+    """Ids of (id, minima) without near copies of earlier ones, whose shared windows would pass for toxic ones."""
     kept, seen = [], set()
     for i, row in marks:
         own = set(enumerate(row))
@@ -208,7 +221,7 @@ def _calibrate(model: Model, toxic: list[np.ndarray], plain: list[np.ndarray]) -
 
 
 def train(rows: DataFrame) -> Model:
-    """Fit on stored (doc_id, toxic, text) rows, a doc_id once.  Two thirds make the dictionaries, the rest
+    """Fit on stored (doc_id, toxic, text) rows, a doc_id once (of repeated ids the label 1 and the least text).  Two thirds make the dictionaries, the rest
     calibrates.  Texts stay in Spark tasks; the driver gets minima, chosen windows and counts.
     Without rows of both classes every text gets the share of toxic rows (0 if none)."""
     rows = rows.select("doc_id", "text", F.col("toxic").alias("role"))
@@ -226,18 +239,9 @@ def train(rows: DataFrame) -> Model:
     used = rows.where(F.col("doc_id").isin(*fit))
     cuts = [bytes(r[0]) for r in _each(used.where("role = 0"), "c0 binary", _spread(max(1, CUTS // n_plain)))
             .orderBy(F.xxhash64("c0"), "c0").collect()]
-    try:
-        base = zstandard.train_dictionary(DICT_BYTES, cuts).as_bytes()
-    except zstandard.ZstdError:       # too little text to train on
-        base = b"".join(cuts)[:DICT_BYTES]
-    own, size = [], 0
-    for run in distinctive(used, n_tox, n_plain):
-        if size + len(run) + 1 > DISTINCT_BYTES:
-            break
-        own.append(run)
-        size += len(run) + 1
-    # the most frequent segment last among them: nearest, hence cheapest
-    model = Model(base.rjust(16, b"\0"), b" ".join([*own[::-1], b""]) + base.rjust(16, b"\0"), 1, (0.0, 0.0, 0.0))
+    base = _dictionary(DICT_BYTES, cuts).rjust(16, b"\0")
+    own = _dictionary(TOXIC_BYTES, contrasted(used, n_tox, n_plain), **SEGMENT)
+    model = Model(base, own + base, 1, (0.0, 0.0, 0.0))
     seen = dict(_each(rows.where(F.col("doc_id").isin(*rest)), "c0 long, c1 array<long>", _levels(model)).collect())
     return _calibrate(model, *[[np.array(seen[i]) for i in rest if classes[i] == t] for t in (1, 0)])
 
@@ -297,7 +301,8 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model, with_key: bool = False) -> DataFrame:
     """(doc_id, score) per row, with ``tkey`` (text hash) on request; no shuffle.
 
-    The score depends on the text alone.  Null counts as empty; repeated rows get equal
+    The score depends on the text alone, whole however long (a very long one is cut into windows in one
+    task).  Null counts as empty; repeated rows get equal
     scores; an empty table gives an empty result; extra columns are ignored."""
     prepare(docs.sparkSession)
     d = pick(docs, doc_id="long", text="string")
