@@ -12,6 +12,10 @@ Which ``length``-byte strings of the corpus start at more than one place?
    backward to cw; the right end of a new interval is a position with common prefix l,
    and is queued once.  Values come out by increasing size and the search stops at
    ``length``: positions not reached by then have a common prefix of at least that.
+   An anchor with more than ``HOT_BYTES`` of distinct segments (a line in very many contexts)
+   is dealt again first: its windows by their ``m`` smallest gram hashes, which equal windows
+   share, for growing ``DEPTHS`` until every group fits; step 2 applies to the parts as well,
+   so most of them, seen once, drop out before any text is gathered.
 4. The windows found are carried back to every place of their segment and merged.
 """
 
@@ -32,7 +36,9 @@ from feedlens.llm.words import _BYTE, mix
 
 LENGTH, GRAM = 200, 32
 CHUNK = 1 << 19          # window starts handled together
-BLOCK_BYTES = 1 << 21    # text of a BWT block (a larger anchor group is a block of its own)
+BLOCK_BYTES = 1 << 21    # text of a BWT block (closed at the next anchor beyond it)
+HOT_BYTES = 1 << 20      # text of an anchor group that is dealt again
+DEPTHS = (2, 8, 32, LENGTH)     # smallest gram hashes by which windows are dealt (the last: all of them)
 SEPARATOR = 0xFF         # occurs in no UTF-8 text
 
 
@@ -214,6 +220,73 @@ def _blocks(length: int):
     return run
 
 
+def deal(raw: bytes, m: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, key) of the runs of neighbouring windows of ``raw`` that share
+    their ``m`` smallest gram hashes."""
+    near = np.lib.stride_tricks.sliding_window_view(gram_hashes(np.frombuffer(raw, np.uint8)), length - GRAM + 1)
+    m = min(m, near.shape[1])
+    low = np.sort(np.partition(near, m - 1, axis=1)[:, :m] if m < near.shape[1] else near, axis=1)
+    key = np.full(len(low), m, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(m):
+            key = mix((key ^ low[:, j]) * np.uint64(0x9E3779B97F4A7C15))
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return first, np.diff(np.r_[first, len(key)]), key[first]
+
+
+def _deal_again(length: int, m: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, texts, parts = (batch.column(i).to_pylist() for i in range(4))
+            for i, t, text, own in zip(ids, keys, texts, parts):
+                raw, out = (text or "").encode("utf-8", "replace"), []
+                for p in own:
+                    piece = raw[p["lo"]:p["lo"] + p["cnt"] + length - 1]
+                    for off, cnt, sub in zip(*[x.tolist() for x in deal(piece, m, length)]):
+                        seg = xxhash.xxh3_64_intdigest(piece[off:off + cnt + length - 1])
+                        out.append((i, t, p["lo"] + off, cnt, p["key"], p["seg"], p["n"], off, sub, seg))
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(c, pa.int64()) for c in cols[:8]],
+                     *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[8:]]], names=_DEALT)
+    return run
+
+
+_DEALT = ["doc_id", "tkey", "lo", "cnt", "key", "seg", "n", "off", "sub", "part"]
+
+
+def _held(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, tkey, text, parts): every document with the segments of ``chosen`` that are read from it."""
+    todo = chosen.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "cnt", "key", "seg", "n")).alias("parts"))
+    one = docs.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "text")
+    return todo.join(one, F.expr("doc_id <=> d and tkey = t")).select("doc_id", "tkey", "text", "parts")
+
+
+def repeated_windows(distinct: DataFrame, docs: DataFrame, length: int, depths: tuple = DEPTHS) -> DataFrame:
+    """(key, seg, off, len): the windows of the segments ``distinct`` (key, seg, n, at) that repeat, all of
+    them where n > 1; ``distinct`` is a stored table."""
+    sizes = stored(distinct.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.col("at.cnt") + length - 1).alias("b"))
+                   .where("k > 1").select("key", "b"), "mixed-keys")
+    flat = distinct.select("key", "seg", "n", "at.*")
+    small = F.lit(True) if not depths else F.col("b") <= HOT_BYTES
+    texts = _held(flat.join(sizes.where(small).select("key"), "key"), docs).select("text", "parts").mapInArrow(
+        _cut_out(length), "key long, seg long, n long, raw binary")
+    out = (texts.repartition("key").sortWithinPartitions("key", "seg")
+           .mapInArrow(_blocks(length), "key long, seg long, off long, len long"))
+    out = out.union(distinct.where("n > 1").select("key", "seg", F.lit(0).cast("long").alias("off"), F.col("at.cnt").alias("len")))
+    hot = sizes.where(~small).select("key")
+    if hot.isEmpty():
+        return out
+    parts = stored(_held(flat.join(hot, "key"), docs).mapInArrow(
+        _deal_again(length, depths[0]), ", ".join(f"{c} long" for c in _DEALT)), "parts")
+    again = stored(parts.groupBy(F.col("sub").alias("key"), F.col("part").alias("seg")).agg(
+        F.sum("n").alias("n"), F.min(F.struct("doc_id", "tkey", "lo", "cnt")).alias("at")), "segments")
+    found = repeated_windows(again, docs, length, depths[1:]).select(
+        F.col("key").alias("sub"), F.col("seg").alias("part"), F.col("off").alias("o"), "len")
+    inner = parts.where("n = 1").join(found, ["sub", "part"]).select("key", "seg", (F.col("off") + F.col("o")).alias("off"), "len")
+    return out.union(inner)
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tkey, ranges): ranges of window starts [s, e) whose ``length`` bytes also start
     elsewhere, for rows that have any; ``docs`` has doc_id, tkey, text."""
@@ -224,16 +297,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(anchors.join(twice, "key"), "repeated-anchors")
     distinct = stored(found.groupBy("key", "seg").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey", "lo", "cnt")).alias("at")), "segments")
-    mixed = stored(distinct.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "mixed-keys")
-    todo = (distinct.join(mixed, "key").select("key", "seg", "n", "at.*")
-            .groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "cnt", "key", "seg", "n")).alias("parts")))
-    one = docs.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "text")
-    texts = (todo.join(one, F.expr("doc_id <=> d and tkey = t")).select("text", "parts")
-             .mapInArrow(_cut_out(length), "key long, seg long, n long, raw binary"))
-    hits = (texts.repartition("key").sortWithinPartitions("key", "seg")
-            .mapInArrow(_blocks(length), "key long, seg long, off long, len long"))
-    whole = distinct.where("n > 1").select("key", "seg", F.lit(0).cast("long").alias("off"), F.col("at.cnt").alias("len"))
-    where = stored(hits.union(whole), "windows")
+    where = stored(repeated_windows(distinct, docs, length), "windows")
     spans = found.join(where, ["key", "seg"]).select(
         "doc_id", "tkey", F.struct((F.col("lo") + F.col("off")).alias("s"),
                                    (F.col("lo") + F.col("off") + F.col("len")).alias("e")).alias("r"))

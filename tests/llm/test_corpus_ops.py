@@ -107,6 +107,32 @@ def test_op1_backward_extension_equals_counting():
         assert [seen[t[i:i + length].tobytes()] > 1 for i in range(n)] == suffix_dedup.repeated(t, length)[:n].tolist()
 
 
+def test_op1_hot_anchor_is_dealt_again(spark, monkeypatch):
+    """A line in very many contexts, some of them repeated further: equal to brute force at every depth, and the
+    blocks hold only what is left of the line's group."""
+    rng = random.Random(12)
+    line = _text(rng, 20)[:60]
+    tails = [_text(rng, 60) for _ in range(6)]
+    texts = [_text(rng, 45) + line + (tails[i % 6][:rng.randint(20, 200)] if i % 5 == 0 else "") + _text(rng, 45)
+             for i in range(150)]
+    texts += [texts[3][30:] + "x", texts[3], "é" + texts[7], "ab" * 400, "ba" * 390]
+    n, seen = 200, Counter()
+    raws = [t.encode() for t in texts]
+    for r in raws:
+        seen.update(r[i:i + n] for i in range(len(r) - n + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, r in enumerate(raws):
+        gone = set()
+        for j in range(len(r) - n + 1):
+            if seen[r[j:j + n]] > 1:
+                gone.update(range(j, j + n))
+        want[i] = hashlib.sha256(bytes(b for j, b in enumerate(r) if j not in gone)).hexdigest()
+    for limit in (1 << 20, 5000, 0):
+        monkeypatch.setattr(suffix_dedup, "HOT_BYTES", limit)
+        assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.remove_repeats(df).collect()} == want
+
+
 def test_op1_cut_keeps_other_columns(docs):
     cut = suffix_dedup.cut_repeats(docs)
     out = {r[0]: r for r in cut.collect()}
