@@ -96,7 +96,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codes(models: dict, sub: int):
+def plans(sample: list, rows: int, least: float) -> dict[int, tuple[int, list]]:
+    """(substring bits, rotations) per length of the sampled vectors that has enough of them; each length has
+    its own plan, so short vectors don't shorten the substrings of long ones."""
+    out = {}
+    for dim in sorted({len(v) for v in sample}):
+        x = unit(np.array([v for v in sample if len(v) == dim], float))
+        if len(x) >= 2 * dim:
+            sub, _, count = table_plan(rows, min(64, dim), least)
+            out[dim] = planned(x, sub, count, least)
+    return out
+
+
+def _codes(models: dict, rows: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vecs = batch.column(1).to_pylist()
@@ -105,7 +117,7 @@ def _codes(models: dict, sub: int):
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = unit(np.array([vecs[i] for i in at], float))
-                own, rotations = models.get(int(dim)) or (sub, _plain_models(int(dim), models[0]))
+                own, rotations = models.get(int(dim)) or _plain_models(int(dim), rows, least)
                 keys = [k for mean, proj in rotations for k in substrings(x, mean, proj, own)]
                 for i, row in zip(at, np.stack(keys, axis=1).tolist()):
                     out[i] = row
@@ -113,10 +125,11 @@ def _codes(models: dict, sub: int):
     return run
 
 
-def _plain_models(dim: int, count: int) -> list:
-    """Random rotations, for dimensions that the sample does not hold."""
+def _plain_models(dim: int, rows: int, least: float) -> tuple[int, list]:
+    """Random rotations, for lengths that the sample does not hold often enough."""
+    sub, _, count = table_plan(rows, min(64, dim), least)
     r = np.random.default_rng(dim)
-    return [(np.zeros(dim), np.linalg.qr(r.normal(size=(dim, dim)))[0][:, :64]) for _ in range(count)]
+    return sub, [(np.zeros(dim), np.linalg.qr(r.normal(size=(dim, dim)))[0][:, :64]) for _ in range(count)]
 
 
 def _links(least: float):
@@ -189,14 +202,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     cls = stored(cls.withColumn("node", F.coalesce("low", -F.abs(F.xxhash64("label", "embedding")))), "vectors")
     size = cls.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     sample = [r[0] for r in cls.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").collect()]
-    bits = min([64, *map(len, sample)])
-    sub, _, count = table_plan(size, bits, least)
-    models: dict = {0: count}
-    for dim in {len(v) for v in sample}:
-        x = unit(np.array([v for v in sample if len(v) == dim], float))
-        if len(x) >= 2 * dim:
-            models[dim] = planned(x, sub, count, least)
-    codes = cls.select("node", "embedding").mapInArrow(_codes(models, sub), "node long, codes array<long>")
+    codes = cls.select("node", "embedding").mapInArrow(
+        _codes(plans(sample, size, least), size, least), "node long, codes array<long>")
     codes = stored(codes, "codes")
     keys = (codes.join(cls.select("node", "label", F.size("embedding").alias("dim")), "node")
             .select("node", F.posexplode("codes").alias("t", "code"), "label", "dim")

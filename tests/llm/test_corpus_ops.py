@@ -261,6 +261,18 @@ def test_op5_links_equal_brute_force(spark):
     assert itq.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_op5_plans_each_length(spark):
+    """One short vector in the sample leaves the plan of the long ones as it is."""
+    rng = np.random.default_rng(9)
+    long = rng.normal(size=(200, 32)).tolist()
+    alone, beside = itq.plans(long, 16_000_000, 0.98), itq.plans([*long, [1.0, 2.0]], 16_000_000, 0.98)
+    assert alone[32][0] == beside[32][0] > 2 and len(alone[32][1]) == len(beside[32][1]) and list(beside) == [32]
+    rows = [(i, v, "a") for i, v in enumerate(long)] + [(300, [1.0, 2.0], "a"), (301, [2.0, 4.0], "a"), (302, [0.5] * 90, "a")]
+    got = {r.vec_id: r.component_id for r in itq.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {i: 300 if i == 301 else i for i, _, _ in rows}
+
+
 def test_op5_finds_pairs_beside_a_long_mean(spark):
     """Vectors around a common direction (mean of length 0.95): pairs planted just above the threshold."""
     rng = np.random.default_rng(6)
