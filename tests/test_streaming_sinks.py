@@ -57,3 +57,21 @@ def test_write_posts_and_source_raw(spark):
     sinks.write_source_raw(empty, os.path.join(d, "raw"))
     assert spark.read.option("header", True).csv(os.path.join(d, "raw")).columns == \
         ["platform", "text", "likes", "comments", "views", "date", "engagement", "content_type", "url"]
+
+
+def test_stream_table_is_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.range(100).withColumn("x", F.col("id") * 2)
+    rows.coalesce(1).write.parquet(str(tmp_path / "tmp"))
+    for name, parts in (("one", None), ("many", 4)):
+        (tmp_path / name).mkdir()
+        spark.range(7).write.parquet(str(tmp_path / name / "others.parquet"))
+        at = tmp_path / name / "rows.parquet"
+        if parts:
+            rows.repartition(parts).write.parquet(str(at))
+        else:
+            next((tmp_path / "tmp").glob("part-*")).rename(at)
+        out = str(tmp_path / f"{name}-out")
+        q = (ZS.read_stream_table(spark, str(tmp_path / name), "rows", rows).writeStream.format("parquet")
+             .option("checkpointLocation", str(tmp_path / f"{name}-ck")).trigger(availableNow=True).start(out))
+        q.awaitTermination()
+        assert sorted(spark.read.parquet(out).collect()) == sorted(rows.collect())
