@@ -41,3 +41,18 @@ def test_text_length_is_made_before_the_join(spark, tmp_path):
     narrow = posts.select("text_length", "engagement")
     assert not _moved(narrow) and "Join" in narrow._jdf.queryExecution().optimizedPlan().toString()
     assert ST.spearman_stat(posts).first().n == 60
+
+
+def _peak(run, batch):
+    tracemalloc.start()
+    out = [b for b in run(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak / 1e6
+
+
+def test_keyword_matcher_holds_few_texts():
+    texts = ["the " + "x" * 10_000] * 2000
+    run = PH._matcher("few", SimpleNamespace(value=["the"]))
+    out, mb = _peak(run, pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(2000))], names=["_text", "n"]))
+    assert sum(b.num_rows for b in out) == 2000 and mb < 8
