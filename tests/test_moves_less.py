@@ -51,6 +51,34 @@ def _peak(run, batch):
     return out, peak / 1e6
 
 
+def test_training_holds_few_windows():
+    texts = [f" {'abc' * 600} {i % 3} " for i in range(4000)]
+    out, mb = _peak(LI._count_by_class, pa.RecordBatch.from_arrays([pa.array(["a", "b"] * 2000), pa.array(texts)], names=["lang", "t"]))
+    got = Counter()
+    for b in out:
+        for r in b.to_pylist():
+            got[r["lang"], r["gram"]] += r["count"]
+    want = Counter()
+    for i, t in enumerate(texts[:6]):
+        want.update({("ab"[i % 2], t[j:j + 3]): 0 for j in range(len(t) - 2)})
+    assert set(got) == set(want) and sum(got.values()) == sum(len(t) - 2 for t in texts)
+    assert got["a", "abc"] == 2000 * 600
+    assert mb < 80
+
+
+def test_training_flushes_wide_vocabularies(monkeypatch):
+    monkeypatch.setattr(LI, "COUNT_CODES", 50)
+    texts = ["".join(chr(97 + (i * j) % 26) for j in range(40)) for i in range(30)] + ["", "ab", "abc"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], names=["lang", "t"])
+    got, want = Counter(), Counter()
+    for b in LI._count_by_class(iter([batch, batch])):
+        for r in b.to_pylist():
+            got[r["gram"]] += r["count"]
+    for t in texts * 2:
+        want.update(t[j:j + 3] for j in range(len(t) - 2))
+    assert got == want
+
+
 def test_keyword_matcher_holds_few_texts():
     texts = ["the " + "x" * 10_000] * 2000
     run = PH._matcher("few", SimpleNamespace(value=["the"]))
