@@ -43,6 +43,20 @@ def test_text_length_is_made_before_the_join(spark, tmp_path):
     assert ST.spearman_stat(posts).first().n == 60
 
 
+def test_merge_by_keys_equals_merge_by_texts(spark, tmp_path):
+    _docs(spark).write.parquet(str(tmp_path / "d"))
+    docs, events = spark.read.parquet(str(tmp_path / "d")), _events(spark)
+    keyed = A.docs_to_posts(MG.with_keys(docs), events, 60, MG.KEYS).withColumn("lang", F.lit("en"))
+    plain = keyed.drop(*MG.KEYS)
+    out = ["platform", "seq", "date", "text_length"]
+    for old in (None, "2024-01-16"):
+        a = MG.merge_posts(keyed, existing=old and keyed.where(F.col("date") < old)).select(*out)
+        b = MG.merge_posts(plain, existing=old and plain.where(F.col("date") < old)).select(*out)
+        assert sorted(a.collect()) == sorted(b.collect())
+        assert not _moved(a) and _moved(b)
+    assert MG.merge_stats(MG.language_flags(keyed)).collect() == MG.merge_stats(MG.language_flags(plain)).collect()
+
+
 def _peak(run, batch):
     tracemalloc.start()
     out = [b for b in run(iter([batch]))]
