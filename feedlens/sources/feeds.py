@@ -127,26 +127,49 @@ def _path(key: str, literal=()) -> str:
     return "$." + key
 
 
-def vget(v: Column, key: str, typ: str, literal=()) -> Column:
-    return F.try_variant_get(v, _path(key, literal), typ)
+def vget(v: Column | Lookups, key: str, typ: str, literal=()) -> Column:
+    return v.get(key, typ, literal) if isinstance(v, Lookups) else F.try_variant_get(v, _path(key, literal), typ)
+
+
+class Lookups:
+    """The keys that a projection looks up in a VARIANT column: the keys of one object and type are read by one cast
+    of the object to a struct (a column of :meth:`read`), not by a search and cast per key and use."""
+
+    def __init__(self):
+        self.asked: dict[tuple, dict[str, int]] = {}
+
+    def get(self, key: str, typ: str, literal=()) -> Column:
+        *parents, name = [key] if key in literal else key.split(".")
+        names = self.asked.setdefault((typ, *parents), {})
+        at = names.setdefault(name, len(names))
+        return F.col(f"_look{list(self.asked).index((typ, *parents))}")[f"f{at}"]
+
+    def read(self, v: Column) -> list[Column]:
+        out = []
+        for i, ((typ, *parents), names) in enumerate(self.asked.items()):
+            found = F.try_variant_get(v, ".".join(["$", *parents]), "struct<" + ", ".join(f"`{k}`: {typ}" for k in names) + ">")
+            # By position: names may differ in case only.
+            out.append(found.cast("struct<" + ", ".join(f"f{j}: {typ}" for j in range(len(names))) + ">").alias(f"_look{i}"))
+        return out
+
+
+def _first(values: list[Column], good, default: Column) -> Column:
+    """The first of ``values`` that is ``good``.  One filter over an array: a branch per value made the generated
+    method of a feed's projection too long for the JVM to compile."""
+    return F.coalesce(F.get(F.filter(F.array(*values), good), F.lit(0)), default) if values else default
 
 
 def first_positive_int(v: Column, keys: list[str], literal=(), fallback_roots=()) -> Column:
     """First key whose integer value is > 0 (then inside the fallback
     sub-objects), else 0."""
-    cands = []
-    for root in [None] + list(fallback_roots):
-        for k in keys:
-            key = k if root is None else f"{root}.{k}"
-            n = vget(v, key, "bigint", literal)
-            cands.append(F.when(n > 0, n))
-    return F.coalesce(*cands, F.lit(0).cast("bigint"))
+    all_keys = [k if root is None else f"{root}.{k}" for root in [None] + list(fallback_roots) for k in keys]
+    return _first([vget(v, k, "bigint", literal) for k in all_keys], lambda n: n > 0, F.lit(0).cast("bigint"))
 
 
 def _json_head(v: Column, key: str, literal=()) -> Column:
     """First character of the value's JSON form: '"' string, '{' object, '[' array,
     digit/'-' number, t/f boolean (cheaper than building the value's schema)."""
-    return F.substring(F.to_json(F.try_variant_get(v, _path(key, literal), "variant")), 1, 1)
+    return F.substring(F.to_json(vget(v, key, "variant", literal)), 1, 1)
 
 
 def first_str(v: Column, keys: list[str], literal=(), trimmed: bool = False, strict: bool = True) -> Column:
@@ -159,8 +182,8 @@ def first_str(v: Column, keys: list[str], literal=(), trimmed: bool = False, str
             s = F.when(_json_head(v, k, literal) == '"', s)
         if trimmed:
             s = F.trim(s)
-        cands.append(F.nullif(s, F.lit("")))
-    return F.coalesce(*cands, F.lit(""))
+        cands.append(s)
+    return _first(cands, lambda s: s != "", F.lit(""))
 
 
 def _is_number(v: Column, key: str) -> Column:
@@ -219,7 +242,7 @@ def normalize_feed(items: DataFrame, source: str, as_of: str | None = None, spec
     spec = spec or FEEDS[source]
     as_of = str(as_of or dt.date.today())
     lit = spec.get("literal", ())
-    v = F.col("v")
+    v = Lookups()
     roots = spec.get("stats_fallback", ())
     # Only the professional feed's lookup skips non-string values; elsewhere a
     # non-string text/url made the original collector fail, so no type check is paid.
@@ -258,10 +281,13 @@ def normalize_feed(items: DataFrame, source: str, as_of: str | None = None, spec
     else:
         ctype = F.lit(spec["content_type"])
     keep = [c for c in items.columns if c in ("seq", "item_id")]
-    # Two steps: every lookup is evaluated once, the sums and filters use its column.
-    found = items.select(text.alias("text"), metric("likes").alias("likes"), metric("comments").alias("comments"),
-                         metric("views").alias("views"), extra.alias("_extra"), _date(v, spec, as_of).alias("date"),
-                         ctype.alias("content_type"), url.alias("url"), *keep)
+    picks = [text.alias("text"), metric("likes").alias("likes"), metric("comments").alias("comments"),
+             metric("views").alias("views"), extra.alias("_extra"), _date(v, spec, as_of).alias("date"),
+             ctype.alias("content_type"), url.alias("url")]
+    # Three steps: every object is read once, every choice among its values made once, the sums and filters use its
+    # column.  The read rows are generated, as the filters would otherwise be pushed below and read the objects again.
+    read = items.select(F.inline(F.array(F.struct(*v.read(F.col("v"))))), *keep)
+    found = read.select(*picks, *keep)
     found = found.where((F.length("text") >= spec["min_len"]) & (F.col("text") != ""))
     return found.select(F.lit(source).alias("platform"), "text", "likes", "comments", "views", "date",
                         (F.col("likes") + F.col("comments") + F.col("_extra")).alias("engagement"), "content_type", "url", *keep,

@@ -98,3 +98,16 @@ def test_keyword_matcher_holds_few_texts():
     run = PH._matcher("few", SimpleNamespace(value=["the"]))
     out, mb = _peak(run, pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(2000))], names=["_text", "n"]))
     assert sum(b.num_rows for b in out) == 2000 and mb < 8
+
+
+def test_feed_lookups_read_objects_once(spark):
+    objs = [{"a": "7", "A": 3, "b": {"c": 2.5, "d": None, "x.y": 1}, "x.y": 4}, {"a": {"c": 1}, "b": "s"}, [1], "t", None,
+            {"a": -1, "b": {"c": "9" * 30}}]
+    df = FD.parse_items(spark.createDataFrame([(i, json.dumps(o)) for i, o in enumerate(objs)], "seq long, raw string"))
+    keys, look, v = ["a", "A", "b", "b.c", "b.d", "a.c", "x.y", "q.r"], FD.Lookups(), F.col("v")
+    asked = [(k, t) for k in keys for t in ("bigint", "string", "double")]
+    new = [FD.vget(look, k, t, ["x.y"]).alias(f"{k} {t}") for k, t in asked]
+    got = df.select("seq", *look.read(v)).select("seq", *new).orderBy("seq").collect()
+    assert got == df.select("seq", *[FD.vget(v, k, t, ["x.y"]).alias(f"{k} {t}") for k, t in asked]).orderBy("seq").collect()
+    plan = FD.normalize_feed(df, "linkedin", as_of="2024-01-01")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") < 40
