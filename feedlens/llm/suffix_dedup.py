@@ -15,7 +15,8 @@ Which ``length``-byte strings of the corpus start at more than one place?
    An anchor with more than ``HOT_BYTES`` of distinct segments (a line in very many contexts)
    is dealt again first: its windows by their ``m`` smallest gram hashes, which equal windows
    share, for growing ``DEPTHS`` until every group fits; step 2 applies to the parts as well,
-   so most of them, seen once, drop out before any text is gathered.
+   so most of them, seen once, drop out before any text is gathered.  The texts of these anchors
+   come from the one pass over the documents that feeds the blocks, deeper ones from the level above.
 4. The windows found are carried back to every place of their segment and merged.
 """
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,15 +185,20 @@ def _cut_out(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = (text or "").encode("utf-8", "replace")
+                raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p[c] for p in parts], pa.int64()) for c in ("key", "seg", "n")]
-                    + [pa.array([raw[p["lo"]:p["lo"] + p["cnt"] + length - 1] for p in parts], pa.binary())],
-                    names=["key", "seg", "n", "raw"])
+                    + [pa.array([raw[p["lo"]:p["lo"] + p["cnt"] + length - 1] for p in parts], pa.binary()),
+                       pa.array([p["hot"] for p in parts], pa.bool_())],
+                    names=["key", "seg", "n", "raw", "hot"])
     return run
 
 
+_SOLVED = ["key", "seg", "off", "len", "n", "raw"]
+
+
 def _blocks(length: int):
+    """Repeated windows of the segments (key, seg, off, len); those of a hot anchor pass as they are (key, seg, n, raw)."""
     def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         sep = bytes([SEPARATOR])
         dup = repeated(np.frombuffer(sep.join(r[3] for r in rows) + sep, np.uint8), length)
@@ -202,12 +209,18 @@ def _blocks(length: int):
                 edge = np.flatnonzero(hit[1:] != hit[:-1])
                 out += [(key, seg, int(s), int(e - s)) for s, e in zip(edge[::2], edge[1::2])]
             at += len(raw) + 1
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)],
-                                          names=["key", "seg", "off", "len"])
+        return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], pa.int64()) for i in range(4)],
+                                           pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.binary())], names=_SOLVED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
         for batch in batches:
+            hot = batch.filter(batch.column(4))
+            if hot.num_rows:
+                none = pa.nulls(hot.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([hot.column(0), hot.column(1), none, none, hot.column(2), hot.column(3)],
+                                                 names=_SOLVED)
+            batch = batch.filter(pc.invert(batch.column(4)))
             for row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if size > BLOCK_BYTES and row[0] != last:
                     yield solve(rows)
@@ -235,56 +248,61 @@ def deal(raw: bytes, m: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
 
 
 def _deal_again(length: int, m: int):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]],
+                                           *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[5:]]], names=_DEALT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, texts, parts = (batch.column(i).to_pylist() for i in range(4))
-            for i, t, text, own in zip(ids, keys, texts, parts):
-                raw, out = (text or "").encode("utf-8", "replace"), []
-                for p in own:
-                    piece = raw[p["lo"]:p["lo"] + p["cnt"] + length - 1]
-                    for off, cnt, sub in zip(*[x.tolist() for x in deal(piece, m, length)]):
-                        seg = xxhash.xxh3_64_intdigest(piece[off:off + cnt + length - 1])
-                        out.append((i, t, p["lo"] + off, cnt, p["key"], p["seg"], p["n"], off, sub, seg))
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, pa.int64()) for c in cols[:8]],
-                     *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[8:]]], names=_DEALT)
+            out = []
+            for key, seg, n, raw in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                for off, cnt, sub in zip(*[x.tolist() for x in deal(raw, m, length)]):
+                    out.append((key, seg, n, off, cnt, sub, xxhash.xxh3_64_intdigest(raw[off:off + cnt + length - 1])))
+                if len(out) > 50_000:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
     return run
 
 
-_DEALT = ["doc_id", "tkey", "lo", "cnt", "key", "seg", "n", "off", "sub", "part"]
+_DEALT = ["key", "seg", "n", "off", "cnt", "sub", "part"]
 
 
-def _held(chosen: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, text, parts): every document with the segments of ``chosen`` that are read from it."""
-    todo = chosen.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "cnt", "key", "seg", "n")).alias("parts"))
-    one = docs.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "text")
-    return todo.join(one, F.expr("doc_id <=> d and tkey = t")).select("doc_id", "tkey", "text", "parts")
+def _held(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text, parts): every text of ``texts`` (a, b, text) with the segments of ``chosen`` that are read from it."""
+    todo = chosen.groupBy("a", "b").agg(F.collect_list(F.struct("lo", "cnt", "key", "seg", "n", "hot")).alias("parts"))
+    one = texts.select(F.col("a").alias("d"), F.col("b").alias("t"), "text")
+    return todo.join(one, F.expr("a <=> d and b = t")).select("text", "parts")
 
 
-def repeated_windows(distinct: DataFrame, docs: DataFrame, length: int, depths: tuple = DEPTHS) -> DataFrame:
+def repeated_windows(distinct: DataFrame, texts: DataFrame, length: int, depths: tuple = DEPTHS) -> DataFrame:
     """(key, seg, off, len): the windows of the segments ``distinct`` (key, seg, n, at) that repeat, all of
-    them where n > 1; ``distinct`` is a stored table."""
-    sizes = stored(distinct.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.col("at.cnt") + length - 1).alias("b"))
-                   .where("k > 1").select("key", "b"), "mixed-keys")
-    flat = distinct.select("key", "seg", "n", "at.*")
-    small = F.lit(True) if not depths else F.col("b") <= HOT_BYTES
-    texts = _held(flat.join(sizes.where(small).select("key"), "key"), docs).select("text", "parts").mapInArrow(
-        _cut_out(length), "key long, seg long, n long, raw binary")
-    out = (texts.repartition("key").sortWithinPartitions("key", "seg")
-           .mapInArrow(_blocks(length), "key long, seg long, off long, len long"))
-    out = out.union(distinct.where("n > 1").select("key", "seg", F.lit(0).cast("long").alias("off"), F.col("at.cnt").alias("len")))
-    hot = sizes.where(~small).select("key")
-    if hot.isEmpty():
-        return out
-    parts = stored(_held(flat.join(hot, "key"), docs).mapInArrow(
+    them where n > 1; ``distinct`` is a stored table, its ``at`` (a, b, lo, cnt) a place in ``texts`` (a, b, text)."""
+    sizes = stored(distinct.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.col("at.cnt") + length - 1).alias("size"))
+                   .where("k > 1").select("key", (F.col("size") > HOT_BYTES if depths else F.lit(False)).alias("hot")), "mixed-keys")
+    held = _held(distinct.select("key", "seg", "n", "at.*").join(sizes, "key"), texts).mapInArrow(
+        _cut_out(length), "key long, seg long, n long, raw binary, hot boolean")
+    # a hot anchor's segments are dealt on their own: they need not meet here
+    out = (held.repartition("key", F.when(F.col("hot"), F.col("seg"))).sortWithinPartitions("key", "seg")
+           .mapInArrow(_blocks(length), "key long, seg long, off long, len long, n long, raw binary"))
+    whole = distinct.where("n > 1").select("key", "seg", F.lit(0).cast("long").alias("off"), F.col("at.cnt").alias("len"))
+    if sizes.where("hot").isEmpty():
+        return out.select("key", "seg", "off", "len").union(whole)
+    out = stored(out, "blocks")
+    hot = out.where("raw is not null")
+    n_tasks = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))    # by rows: few bytes are much work here
+    parts = stored(hot.select("key", "seg", "n", "raw").repartition(n_tasks, "key", "seg").mapInArrow(
         _deal_again(length, depths[0]), ", ".join(f"{c} long" for c in _DEALT)), "parts")
     again = stored(parts.groupBy(F.col("sub").alias("key"), F.col("part").alias("seg")).agg(
-        F.sum("n").alias("n"), F.min(F.struct("doc_id", "tkey", "lo", "cnt")).alias("at")), "segments")
-    found = repeated_windows(again, docs, length, depths[1:]).select(
+        F.sum("n").alias("n"), F.min(F.struct(F.col("key").alias("a"), F.col("seg").alias("b"), F.col("off").alias("lo"), "cnt")).alias("at")),
+        "segments")
+    found = repeated_windows(again, hot.select(F.col("key").alias("a"), F.col("seg").alias("b"), F.col("raw").alias("text")),
+                             length, depths[1:]).select(
         F.col("key").alias("sub"), F.col("seg").alias("part"), F.col("off").alias("o"), "len")
     inner = parts.where("n = 1").join(found, ["sub", "part"]).select("key", "seg", (F.col("off") + F.col("o")).alias("off"), "len")
-    return out.union(inner)
+    return out.where("raw is null").select("key", "seg", "off", "len").union(whole).union(inner)
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -296,8 +314,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = stored(anchors.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeated-keys")
     found = stored(anchors.join(twice, "key"), "repeated-anchors")
     distinct = stored(found.groupBy("key", "seg").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey", "lo", "cnt")).alias("at")), "segments")
-    where = stored(repeated_windows(distinct, docs, length), "windows")
+        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").alias("a"), F.col("tkey").alias("b"), "lo", "cnt")).alias("at")),
+        "segments")
+    texts = docs.select(F.col("doc_id").alias("a"), F.col("tkey").alias("b"), "text")
+    where = stored(repeated_windows(distinct, texts, length), "windows")
     spans = found.join(where, ["key", "seg"]).select(
         "doc_id", "tkey", F.struct((F.col("lo") + F.col("off")).alias("s"),
                                    (F.col("lo") + F.col("off") + F.col("len")).alias("e")).alias("r"))

@@ -133,6 +133,25 @@ def test_op1_hot_anchor_is_dealt_again(spark, monkeypatch):
         assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.remove_repeats(df).collect()} == want
 
 
+def test_op1_hot_anchors_read_no_document_again(spark, monkeypatch):
+    """Texts are read for the anchors and for the blocks; hot anchors, at any depth, take theirs from there."""
+    rng = random.Random(4)
+    line = _text(rng, 20)[:60]
+    rows = [(i, _text(rng, 45) + line + _text(rng, 45)) for i in range(100)]
+    for limit in (1 << 20, 5000, 0):
+        monkeypatch.setattr(suffix_dedup, "HOT_BYTES", limit)
+        read = spark.sparkContext.accumulator(0)
+
+        def seen(row, read=read):
+            read.add(1)
+            return row
+
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "doc_id long, text string")
+        d = df.withColumn("tkey", F.xxhash64("text"))
+        suffix_dedup.repeated_ranges(d).collect()
+        assert read.value == 2 * len(rows)
+
+
 def test_op1_cut_keeps_other_columns(docs):
     cut = suffix_dedup.cut_repeats(docs)
     out = {r[0]: r for r in cut.collect()}
